@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import radix, simhash
+from loomspark.llm import bottomk, decontam, licenses, packing, radix, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wording in all documents."""
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return bottomk.compared(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -23,6 +33,22 @@ def op7_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash, op7_suffix_radix)}
+def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of benchmark items in all documents."""
+    found = decontam.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in full sequences."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_bottom_k, op4_simhash, op6_token_transducer, op7_suffix_radix, op9_suffix_automaton, op10_mixture_packing)}
 
 ORACLES: dict[str, str] = {}
