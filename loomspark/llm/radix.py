@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,9 +175,9 @@ def _third_digit(depth: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spans = batch.filter(pa.compute.is_null(batch.column(0)))
+            spans = batch.filter(pc.is_null(batch.column(0)))
             yield spans.select(["row", "start", "end"])
-            h, row, start, _ = (c.to_numpy(zero_copy_only=False) for c in batch.filter(pa.compute.is_valid(batch.column(0))).columns)
+            h, row, start, _ = (c.to_numpy(zero_copy_only=False) for c in batch.filter(pc.is_valid(batch.column(0))).columns)
             if not len(h):
                 continue
             same = np.r_[h[0] == last, h[1:] == h[:-1]]

@@ -17,6 +17,7 @@ import re
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -196,7 +197,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk:
         for batch in batches:
             n = [count.total(reduce(count.compose, [(m["head"], m["inner"], m["tail"]) for m in maps])) for maps in batch.column(2).to_pylist()]
             n = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     texts = documents(docs).select("row", "doc_id", F.coalesce(F.col("data").cast("string"), F.lit("")).alias("text"))
     cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))
