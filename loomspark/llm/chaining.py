@@ -11,8 +11,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import bytescan
-from loomspark.llm.rows import documents
+from loomspark.llm.cutting import without
+from loomspark.llm.rows import documents, numbered
 from loomspark.llm.scratch import bytes_of, width, written
 
 SEED, SPREAD = 8, 16
@@ -282,44 +281,10 @@ def repeated_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: in
     return _passages(documents(docs), k, w, least, alike).drop("row")
 
 
-_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-
-
 def without_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: int = WORDS, alike: float = ALIKE) -> DataFrame:
     """`docs` with `text` cut of passages that repeat an earlier document, all columns kept; documents that
     consist of such passages go."""
-    known = documents(docs)
-    spans = _passages(known, k, w, least, alike).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"))).alias("_spans"))
-
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [m.span() for m in _WORD.finditer(data or b"")]
-                gone = np.zeros(len(words), bool)
-                for s in spans or ():
-                    gone[s["start"] : s["end"]] = True
-                if not gone.any():
-                    out.append(data)
-                    continue
-                pieces, at, i = [], 0, 0
-                while i < len(words):
-                    if gone[i]:
-                        j = i
-                        while j < len(words) and gone[j]:
-                            j += 1
-                        pieces.append(data[at : words[i][0]])
-                        at, i = words[j][0] if j < len(words) else len(data), j
-                    else:
-                        i += 1
-                pieces.append(data[at:])
-                rest = b"".join(pieces)
-                out.append(rest if _WORD.search(rest) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.binary())], [*batch.schema.names[2:], "_text"])
-
-    others = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*others).schema.add("_text", "binary")
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    rows = joined.select(bytes_of(F.col("text")).alias("_data"), "_spans", *others).mapInArrow(cut, schema)
-    kept = rows.where("_text is not null").withColumn("text", F.col("_text").cast("string"))
-    return kept.select(*docs.columns)
+    known = numbered(docs)
+    found = _passages(known.select("row", F.col("doc_id").cast("long").alias("doc_id"), bytes_of(F.col("text")).alias("data")), k, w, least, alike)
+    spans = found.groupBy("row").agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"))).alias("_spans"))
+    return without(known.join(spans, "row", "left").drop("row"), "_spans")

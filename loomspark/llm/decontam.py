@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.bytescan import ALNUM, words_of
-from loomspark.llm.rows import documents
+from loomspark.llm.cutting import without
+from loomspark.llm.rows import documents, numbered
 from loomspark.llm.scratch import bytes_of, written
 
 WINDOW = 10
+#: Share of hit words over which a document goes as a whole.
+COVERAGE = 0.5
 #: Bytes of items that one automaton holds; more items make more automata, each passed over in turn.
 PART = 1 << 20
 
@@ -196,6 +199,15 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, batch.schema.field(2).type), batch.column(3)], ["doc", "n_words", "spans", "items"])
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, part: int = PART) -> DataFrame:
+    """`docs` with `text` cut of its runs of hit words, all columns kept; documents with a share of hit words over `coverage` go."""
+    known = numbered(docs)
+    found = decontaminated(known.select(F.col("row").alias("doc_id"), "text"), benchmark, window, part).where("contaminated")
+    spans = found.select(F.col("doc_id").alias("row"), "spans", (F.col("n_hit") > coverage * F.col("n_words")).alias("_most"))
+    joined = known.join(spans, "row", "left").where("_most is null or not _most")
+    return without(joined.drop("row", "_most"), "spans")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
     """`docs` (doc_id, text) and `benchmark` (item_id, text) to one row a document: doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated, and spans, the runs of hit words as (start, end).

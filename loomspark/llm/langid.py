@@ -210,16 +210,31 @@ def predicted(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> Da
     null or have no letter, or if there is nothing to train on. score is the mean probability of lang_pred over all
     bytes of letters. Repeated rows come back as often; other columns are ignored; an empty table gives no rows.
     """
+    held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("_text"))
+    return _labelled(rows, docs, sample, hidden)
+
+
+def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int) -> DataFrame:
+    """`rows` with lang_pred and score of their last column, a text, in its place."""
     model = docs.sparkSession.sparkContext.broadcast(train(sampled(docs, sample), hidden))
+    names = rows.columns[:-1]
 
     def each(batches):
         read = Reader(*model.value)
         for batch in batches:
-            out = []
+            out, texts = [], batch.column(len(names))
             for k in range(0, batch.num_rows, 256):
-                out += read(batch.column(2).slice(k, 256).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                out += read(texts.slice(k, 256).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*names, "lang_pred", "score"])
 
-    held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(each, rows.select(*names).schema.add("lang_pred", "string").add("score", "double"))
+
+
+def identified(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> DataFrame:
+    """`docs` without the documents whose language is `und`, all columns kept."""
+    rows = docs.select("*", F.col("text").cast("string").alias("_text"))
+    clash = [c for c in ("lang_pred", "score") if c in docs.columns]
+    rows = rows.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    kept = _labelled(rows, docs, sample, hidden).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bottomk, decontam, licenses, packing, radix, simhash, tokencount
+from loomspark.llm import bottomk, chaining, decontam, langid, licenses, packing, radix, sharding, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License wording in all documents."""
     return licenses.scanned(_table(spark, sf_dir, "documents"))
@@ -33,11 +38,21 @@ def op7_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.deduplicated(_table(spark, sf_dir, "documents"))
 
 
+def op5_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that repeat an earlier one."""
+    return chaining.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return langid.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark items in all documents."""
     found = decontam.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -49,6 +64,6 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_bottom_k, op4_simhash, op6_token_transducer, op7_suffix_radix, op9_suffix_automaton, op10_mixture_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_license_scan, op3_bottom_k, op4_simhash, op5_collinear_chains, op6_token_transducer, op7_suffix_radix, op8_byte_gru, op9_suffix_automaton, op10_mixture_packing)}
 
 ORACLES: dict[str, str] = {}

@@ -23,14 +23,19 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return numbered.withColumn("row", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, data): the text's UTF-8 bytes under a unique `row` that ascends with doc_id.
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a unique `row` that ascends with doc_id.
 
     doc_id itself serves where it is unique and never null; otherwise rows are ranked by doc_id
     (null first), equal ones in an order fixed by their text.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of(F.col("text")).alias("data"))
-    twice = out.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    twice = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if twice.isEmpty():
-        return out.select(F.col("doc_id").alias("row"), "doc_id", "data")
-    return ranked(out.withColumn("_text", F.xxhash64("data")), "doc_id", "_text").select("row", "doc_id", "data")
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    return ranked(docs.withColumn("_text", F.xxhash64(bytes_of(F.col("text")))), "doc_id", "_text").drop("_text")
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, data): the text's UTF-8 bytes under the row of `numbered`."""
+    return numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row", "doc_id", bytes_of(F.col("text")).alias("data"))
