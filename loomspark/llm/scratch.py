@@ -22,7 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df` as Parquet files that outlive any executor, read back with a lineage of one scan."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
