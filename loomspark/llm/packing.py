@@ -188,7 +188,8 @@ def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WI
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
     rows = written(rows.mapInArrow(tokens, "doc_id long, queue int, part int, at long, n long, ids binary"), "tokens")
     sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    before = sums.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
+    # written, so that its size is known when the join with the texts' ids is planned
+    before = written(sums.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before")), "before")
     totals = [0] * (queues if shared else max(1, len(names)))
     for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # at most `queues` rows
         totals[r["queue"]] = r["n"]
