@@ -174,7 +174,7 @@ class Reader:
         if len(self._at) > MEMORY:
             self._at, self._sums = {}, self._sums[:0]
         new = list({r for x in runs for r in x if r not in self._at})
-        if new:
+        if new and self._languages:
             self._learn(new)
         out, at = [], self._at.__getitem__
         for x in runs:
@@ -232,9 +232,12 @@ def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int) -> Dat
 
 
 def identified(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> DataFrame:
-    """`docs` without the documents whose language is `und`, all columns kept."""
+    """`docs` without the documents whose language is `und`, all columns kept. Without a language to train on, those with a letter stay."""
     rows = docs.select("*", F.col("text").cast("string").alias("_text"))
     clash = [c for c in ("lang_pred", "score") if c in docs.columns]
     rows = rows.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    kept = _labelled(rows, docs, sample, hidden).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    found = _labelled(rows, docs, sample, hidden)
+    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    learned = not docs.where("lang is not null and text is not null").isEmpty()
+    kept = found.where(F.col("lang_pred") != UNKNOWN if learned else letters).drop("lang_pred", "score")
     return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})
