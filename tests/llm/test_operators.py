@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspark.llm import bottomk, bytescan, chaining, components, cutting, decontam, langid, licenses, packing, radix, rows, sharding, simhash, tokencount
+from loomspark.llm import bottomk, bytescan, chaining, components, cutting, decontam, langid, licenses, nearcopies, packing, radix, rows, sharding, simhash, tokencount
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -215,6 +215,33 @@ def test_links_of_dense_fingerprints(spark, cell):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_near_copies(spark, docs, odd, empty):
+    known = [(i, t) for i, t in sorted(texts(docs).items())]
+    sets = {i: _shingles(t) for i, t in known}
+    alike = {i: {j for j, b in sets.items() if (len(a & b) / len(a | b) if a | b else 1.0) >= 0.8} for i, a in sets.items()}
+    want, left = {}, set(sets)
+    while left:
+        group, todo = set(), {min(left)}
+        while todo:
+            group |= todo
+            todo = {j for i in todo for j in alike[i]} - group
+        want |= dict.fromkeys(group, min(group))
+        left -= group
+    got = {r["row"]: r["group"] for r in nearcopies.groups(docs.selectExpr("doc_id as row", "text")).collect()}
+    assert got == want
+    kept = nearcopies.representatives(odd)
+    assert kept.columns == odd.columns
+    assert max(c for i, c in Counter(r["doc_id"] for r in kept.collect()).items() if i is not None) == 1
+    assert nearcopies.representatives(empty).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    words_ = [f"w{i}" for i in range(300)]
+    rows_ = [(i, " ".join([*words_[: i % 290], f"x{i}", *words_[i % 290 + 1 :]])) for i in range(400)] + [(1000, " ".join(f"y{i}" for i in range(300)))]
+    got = {r["row"]: r["group"] for r in nearcopies.groups(spark.createDataFrame(rows_, "row long, text string").repartition(3)).collect()}
+    assert all(got[i] == 0 for i in range(400)) and got[1000] == 1000
+
+
 # --- 5 ---
 
 
