@@ -361,8 +361,8 @@ def plain_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("conv_id", text.plain_chat(F.col("m")).alias("prompt"))
 
 
-@query(f"""WITH h AS ({_knn_sql('-' + _DOT, 3)}), p AS (SELECT qid, string_agg('[' || rank || '] ' || text || chr(10) || chr(10), '' ORDER BY rank) AS body
-    FROM h JOIN documents d ON d.doc_id = h.id GROUP BY qid)
+@query(f"""WITH h AS ({_knn_sql('-' + _DOT, 3)}), f AS (SELECT qid, text, row_number() OVER (PARTITION BY qid ORDER BY rank) AS i FROM h JOIN documents d ON d.doc_id = h.id),
+  p AS (SELECT qid, string_agg('[' || i || '] ' || text || chr(10) || chr(10), '' ORDER BY i) AS body FROM f GROUP BY qid)
   SELECT qid, 'Answer from the passages.' || chr(10) || chr(10) || body || 'Question: ' || 'What is ' || qid || '?' AS prompt FROM p""")
 def grounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors stand for the documents of the same number."""
