@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of its own is set."""
+    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of its own is set, and removed in the end."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
-        have = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+        own = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        have = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", have)
     return have
 
