@@ -13,6 +13,7 @@ import base64
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,12 +38,21 @@ QUEUES = 256
 #: Least tokens that a queue gives at once, but for its last.
 SLICE = 256
 #: Word pieces that a worker remembers.
-WORDS = 400_000
+WORDS = 700_000
 _BLANKS = re.compile(r"\A |\s ")
+#: White space before a space, in ASCII text.
+_PAIRS = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 #: Words of Latin script without angle brackets, in which special strings stand.
 _PLAIN = re.compile(r"[^<>\u0250-\U0010ffff]*")
 
 
+def _blanks(text: str) -> bool:
+    """Whether the text starts with a space or has white space before one."""
+    if text.isascii():
+        return text.startswith(" ") or any(p in text for p in _PAIRS)
+    return _BLANKS.search(text) is not None
+
+
 def _same_ranks(tokenizer, ranks: str | None):
     """A faster encoder of plain words by the rank file of the same vocabulary; null if the two differ in a token."""
     if ranks is None:
@@ -78,16 +88,19 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(model)
         self.type = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if self.type.itemsize == 2 else "I"
         self._end = np.array([end], self.type).tobytes()
         self._plain = _same_ranks(self._tokenizer, ranks)
-        self._known: dict[str, bytes] = {}
+        #: Ids of words after a space (without it), and of strings as they are.
+        self._led: dict[str, bytes] = {}
+        self._whole: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
         rest = []
         for i, x in enumerate(texts):
             if self._plain is not None and _PLAIN.fullmatch(x):
-                out[i] = np.array(self._plain(x), self.type).tobytes()
+                out[i] = array(self._code, self._plain(x)).tobytes()
             else:
                 rest.append(i)
         for i, x in zip(rest, self._tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
@@ -95,27 +108,30 @@ class Encoder:
         return out
 
     @staticmethod
-    def _words(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        words = [first, *(" " + w for w in rest)]
-        if not _BLANKS.search(text):
-            return words
+    def _joined(words: list[str]) -> list[str]:
+        """Words split at spaces to strings that can be encoded alone: white space before a space stays with it."""
         out = words[:1]
-        for w in words[1:]:  # white space before a space belongs to the same split
+        for w in words[1:]:
             if not out[-1] or out[-1][-1].isspace():
-                out[-1] += w
+                out[-1] += " " + w
             else:
-                out.append(w)
+                out.append(" " + w)
         return out
 
+    def _learn(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
+        if len(known) > WORDS:
+            known.clear()
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._ids([lead + w for w in new])))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(x) for x in texts]
-        if len(self._known) > WORDS:
-            self._known.clear()
-        new = list({w for words in split for w in words if w not in self._known})
-        self._known.update(zip(new, self._ids(new)))
-        known = self._known.__getitem__
-        return [b"".join(map(known, words)) + self._end for words in split]
+        split = [x.split(" ") for x in texts]
+        blank = [_blanks(x) for x in texts]
+        split = [self._joined(words) if b else words for words, b in zip(split, blank)]
+        self._learn({w for words, b in zip(split, blank) for w in (words if b else words[:1])}, self._whole, "")
+        self._learn(set().union(*(words[1:] for words, b in zip(split, blank) if not b)), self._led, " ")
+        whole, led = self._whole.__getitem__, self._led.__getitem__
+        return [b"".join(map(whole, words)) + self._end if b else whole(words[0]) + b"".join(map(led, words[1:])) + self._end for words, b in zip(split, blank)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

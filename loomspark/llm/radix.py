@@ -188,19 +188,20 @@ def _third_digit(depth: int):
     return each
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
-    """(row, data) to spans (row, start, end), overlapping or not, that cover just the bytes of windows of
-    `depth` bytes that also start earlier, in a smaller row or before in the same."""
+def repeated_spans(docs: DataFrame, dealt: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
+    """(row, doc_id, data) to spans (row, start, end), overlapping or not, that cover just the bytes of windows of
+    `depth` bytes that also start earlier, in a smaller row or before in the same. `dealt` are the same rows, dealt out by row."""
     if not 0 < digit <= depth:
         raise ValueError("a digit has 1 to depth bytes")
     n = width(docs.sparkSession)
     runs = docs.select("row", "data").mapInArrow(_runs(depth, digit, hot), _ROWS)
-    dealt = runs.repartition(n, "deal").sortWithinPartitions("deal", "anchor", "run", "row", "start")
-    found = written(dealt.mapInArrow(_second_digit, _ROWS).select("kind", "row", "start", "end"), "runs")
+    runs = runs.repartition(n, "deal").sortWithinPartitions("deal", "anchor", "run", "row", "start")
+    found = written(runs.mapInArrow(_second_digit, _ROWS).select("kind", "row", "start", "end"), "runs")
     kinds = found.where(f"kind = {_RUN}").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    windows = docs.join(kinds, "row").select("row", "data", "runs").mapInArrow(_windows(depth), "hash long, row long, start long, end long")
-    dealt = windows.repartition(n, F.coalesce("hash", F.xxhash64("row"))).sortWithinPartitions("hash", "row", "start")
-    later = dealt.mapInArrow(_third_digit(depth), "row long, start long, end long")
+    # all columns of `dealt` are asked for, as by its other join, so that both read one exchange
+    windows = dealt.join(kinds, "row").select("row", "data", "runs", "doc_id").mapInArrow(_windows(depth), "hash long, row long, start long, end long")
+    windows = windows.repartition(n, F.coalesce("hash", F.xxhash64("row"))).sortWithinPartitions("hash", "row", "start")
+    later = windows.mapInArrow(_third_digit(depth), "row long, start long, end long")
     return found.where(f"kind = {_REMOVED}").select("row", "start", "end").union(later)
 
 
@@ -231,7 +232,8 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: i
     hashes, runs by 128 bits.
     """
     # the filter drops nothing; with it both joins below ask for the same exchange of the texts
-    dealt = documents(docs).where("row is not null").repartition(width(docs.sparkSession), "row")
-    spans = repeated_spans(dealt, depth, digit, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    known = documents(docs).where("row is not null")
+    dealt = known.repartition(width(docs.sparkSession), "row")
+    spans = repeated_spans(known, dealt, depth, digit, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = dealt.join(spans, "row", "left").select("doc_id", "data", "spans")
     return whole.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
