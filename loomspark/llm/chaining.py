@@ -27,6 +27,8 @@ SEED, SPREAD = 8, 16
 WORDS, ALIKE = 40, 0.8
 #: Cost of a word between matches, and the most words between two matches of a passage.
 GAP, MOST = 0.1, 64
+#: Bytes of slices that a task holds at once, and rows of them that it aligns at once.
+PART, ROWS = 4 << 20, 512
 
 
 def seeds_of(data: bytes | None, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +223,25 @@ def _chained(k: int, w: int):
 
 
 def _slices(batches):
-    """(row, from, to, doc_id, data) to the hashes of those words."""
-    last, hashes = None, None
+    """(row, asked, doc_id, data) to the hashes of each run of words that is asked for, in batches of about `PART` bytes."""
+
+    def batch_of(rows):
+        types = [pa.int64()] * 4 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["row", "from", "to", "doc_id", "words"])
+
     for batch in batches:
-        out = []
-        for row, start, end, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)):
-            if row != last:
-                words = bytescan.words_of(data.as_py(), bytescan.ALNUM)
-                joined, starts, ends = bytescan.bounds(words)
-                last, hashes = row, bytescan.RangeHash(np.frombuffer(joined, np.uint8))(starts, ends).astype(np.uint32)
-            out.append(hashes[start:end].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["row", "from", "to", "doc_id", "words"])
+        out, size = [], 0
+        for row, asked, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+            joined, starts, ends = bytescan.bounds(bytescan.words_of(data.as_py(), bytescan.ALNUM))
+            hashes = bytescan.RangeHash(np.frombuffer(joined, np.uint8))(starts, ends).astype(np.uint32)
+            for x in asked.as_py():
+                out.append((row, x["from"], x["to"], doc_id, hashes[x["from"] : x["to"]].tobytes()))
+                size += len(out[-1][-1])
+                if size > PART:
+                    yield batch_of(out)
+                    out, size = [], 0
+        if out:
+            yield batch_of(out)
 
 
 def _aligned(k: int, least: int, alike: float):
@@ -240,7 +250,7 @@ def _aligned(k: int, least: int, alike: float):
     def each(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in (r for i in range(0, batch.num_rows, ROWS) for r in batch.slice(i, ROWS).to_pylist()):
                 a, b = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)
                 s, e, t, f, share = align(a, b, [x - r["a_from"] for x in r["at"]], [x - r["b_from"] for x in r["there"]], k)
                 if e - s >= least and share >= alike:
@@ -261,7 +271,9 @@ def _passages(known: DataFrame, k: int, w: int, least: int, alike: float) -> Dat
     # copies of a passage ask for the same slice of its first document: once
     mine = found.select("row", F.col("a_from").alias("from"), F.col("a_to").alias("to"))
     theirs = found.select(F.col("first").alias("row"), F.col("b_from").alias("from"), F.col("b_to").alias("to"))
-    asked = mine.union(theirs).distinct().join(known, "row").select("row", "from", "to", "doc_id", "data")
+    # and a text is read once for all its slices, whose number the text's own length bounds
+    asked = mine.union(theirs).distinct().groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("asked"))
+    asked = asked.join(known, "row").select("row", "asked", "doc_id", "data")
     slices = written(asked.mapInArrow(_slices, "row long, from long, to long, doc_id long, words binary"), "slices")
     a = slices.select("row", F.col("from").alias("a_from"), F.col("to").alias("a_to"), "doc_id", F.col("words").alias("a"))
     b = slices.select(F.col("row").alias("first"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("doc_id").alias("source_doc_id"), F.col("words").alias("b"))
