@@ -242,6 +242,44 @@ def test_a_large_group_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(400)) and got[1000] == 1000
 
 
+def _variants(base, n, parts, edits, seed):
+    """`n` texts of each of `parts` rewritings of a third of `base`: alike within a rewriting, at 0.5 to 0.8 across."""
+    rng, out = np.random.default_rng(seed), []
+    for p in range(parts):
+        core = base[: len(base) * 5 // 6] + [f"p{p}w{i}" for i in range(len(base) // 6)]
+        for v in range(n):
+            w = list(core)
+            for i in rng.choice(len(base) * 5 // 6, edits, replace=False):
+                w[i] = f"p{p}v{v}e{i}"
+            out.append(" ".join(w))
+    return out
+
+
+def _near_groups(texts_):
+    """Smallest number reachable over texts alike by 0.8, by brute force; and the resemblances met."""
+    sets = [_shingles(t) for t in texts_]
+    label, met = list(range(len(sets))), []
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            met.append(shared / (len(sets[i]) + len(sets[j]) - shared))
+            if met[-1] >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label)), met
+
+
+@pytest.mark.parametrize("most", [nearcopies.LIST, 2])
+def test_near_copies_of_a_family_that_is_less_alike(spark, most):
+    base = [f"w{i}" for i in range(240)]
+    rows_ = _variants(base, 4, 40, 1, 1)
+    rows_ = [rows_[i] for i in np.random.default_rng(2).permutation(len(rows_))]
+    want, met = _near_groups(rows_)
+    assert sum(0.5 < x < 0.8 for x in met) > 64 * 100 and len(set(want.values())) == 40
+    made = spark.createDataFrame(list(enumerate(rows_)), "row long, text string").repartition(3)
+    assert {r["row"]: r["group"] for r in nearcopies.groups(made, most=most).collect()} == want
+
+
 # --- 5 ---
 
 
