@@ -280,6 +280,17 @@ def test_near_copies_of_a_family_that_is_less_alike(spark, most):
     assert {r["row"]: r["group"] for r in nearcopies.groups(made, most=most).collect()} == want
 
 
+@pytest.mark.parametrize("n", [100, 1000])
+def test_near_copies_at_the_limit_are_all_found(spark, n):
+    rows_ = []
+    for p in range(n):
+        w = [f"p{p}w{i}" for i in range(130)]
+        rows_ += [" ".join(w), " ".join(w[:-14] + [f"p{p}x{i}" for i in range(14)])]
+    assert 0.8 <= _near_groups(rows_[:2])[1][0] < 0.81
+    made = spark.createDataFrame(list(enumerate(rows_)), "row long, text string").repartition(4)
+    assert {r["row"]: r["group"] for r in nearcopies.groups(made).collect()} == {i: i - i % 2 for i in range(2 * n)}
+
+
 # --- 5 ---
 
 
