@@ -280,6 +280,14 @@ def test_near_copies_of_a_family_that_is_less_alike(spark, most):
     assert {r["row"]: r["group"] for r in nearcopies.groups(made, most=most).collect()} == want
 
 
+def test_near_copies_of_a_large_family_that_is_less_alike(spark):
+    rows_ = _variants([f"w{i}" for i in range(240)], 2, 500, 1, 1)
+    met = _near_groups(rows_[:3])[1]
+    assert met[0] > 0.9 and 0.5 < met[1] < 0.8 and 0.5 < met[2] < 0.8
+    made = spark.createDataFrame(list(enumerate(rows_)), "row long, text string").repartition(3)
+    assert {r["row"]: r["group"] for r in nearcopies.groups(made).collect()} == {i: i - i % 2 for i in range(1000)}
+
+
 @pytest.mark.parametrize("n", [100, 1000])
 def test_near_copies_at_the_limit_are_all_found(spark, n):
     rows_ = []
