@@ -13,7 +13,6 @@ import base64
 import os
 import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,39 +32,56 @@ WINDOW = 2048
 END = 1
 #: Windows that one partition packs.
 WINDOWS = 1024
-#: Most queues; with more sources, sources share queues by hash.
+#: Most queues. With more sources each queue has several, whose documents are spread evenly over it.
 QUEUES = 256
 #: Least tokens that a queue gives at once, but for its last.
 SLICE = 256
 #: Word pieces that a worker remembers.
 WORDS = 700_000
-_BLANKS = re.compile(r"\A |\s ")
-#: White space before a space, in ASCII text.
-_PAIRS = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+#: White space before a space.
+_PAIRS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 #: Words of Latin script without angle brackets, in which special strings stand.
 _PLAIN = re.compile(r"[^<>\u0250-\U0010ffff]*")
 
 
 def _blanks(text: str) -> bool:
     """Whether the text starts with a space or has white space before one."""
-    if text.isascii():
-        return text.startswith(" ") or any(p in text for p in _PAIRS)
-    return _BLANKS.search(text) is not None
+    return text.startswith(" ") or any(p in text for p in (_PAIRS[:10] if text.isascii() else _PAIRS))
 
 
-def _same_ranks(tokenizer, ranks: str | None):
-    """A faster encoder of plain words by the rank file of the same vocabulary; null if the two differ in a token."""
+class _Ranks:
+    """A faster encoder of plain words by the rank file of the same vocabulary."""
+
+    def __init__(self, by_bytes: dict[bytes, int]):
+        import tiktoken
+
+        self._encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens={})
+        self._led = np.zeros(max(by_bytes.values()) + 1, bool)
+        self._led[[i for b, i in by_bytes.items() if b.startswith(b" ")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return self._encoding.encode_to_numpy(text)
+
+    def led(self, words: list[str], kind: np.dtype) -> list[bytes]:
+        """Ids of words after a space, in one pass over all of them: just the first token of each word starts with a space, as
+        no word holds one or ends with white space."""
+        ids = self.ids(" " + " ".join(words)) if words else np.zeros(0, np.uint32)
+        cuts = np.r_[np.flatnonzero(self._led[ids]), len(ids)] * kind.itemsize
+        data = ids.astype(kind).tobytes()
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _same_ranks(tokenizer, ranks: str | None) -> _Ranks | None:
+    """The rank file's encoder; null if the two differ in a token."""
     if ranks is None:
         return None
-    import tiktoken
-
     with open(ranks, "rb") as lines:
         by_bytes = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     chars = _byte_chars()
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     if {"".join(chars[x] for x in b): i for b, i in by_bytes.items()}.items() - vocabulary.items():
         return None
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens={}).encode_ordinary
+    return _Ranks(by_bytes)
 
 
 def _byte_chars() -> list[str]:
@@ -88,7 +104,6 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(model)
         self.type = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._code = "H" if self.type.itemsize == 2 else "I"
         self._end = np.array([end], self.type).tobytes()
         self._plain = _same_ranks(self._tokenizer, ranks)
         #: Ids of words after a space (without it), and of strings as they are.
@@ -100,7 +115,7 @@ class Encoder:
         rest = []
         for i, x in enumerate(texts):
             if self._plain is not None and _PLAIN.fullmatch(x):
-                out[i] = array(self._code, self._plain(x)).tobytes()
+                out[i] = self._plain.ids(x).astype(self.type).tobytes()
             else:
                 rest.append(i)
         for i, x in zip(rest, self._tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
@@ -118,20 +133,36 @@ class Encoder:
                 out.append(" " + w)
         return out
 
-    def _learn(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
+    def _learn_led(self, words: list[str]) -> None:
+        if self._plain is not None:
+            plain = [w for w in words if w and not w[-1].isspace()]
+            if not _PLAIN.fullmatch("".join(plain)):
+                plain = [w for w in plain if _PLAIN.fullmatch(w)]
+            self._led.update(zip(plain, self._plain.led(plain, self.type)))
+            words = [w for w in words if w not in self._led]
+        self._led.update(zip(words, self._ids([" " + w for w in words])))
+
+    def _gathered(self, lists: list[list[str]], known: dict[str, bytes], learn) -> list[list[bytes]]:
+        """The ids of each word; those of new words are learnt together."""
         if len(known) > WORDS:
             known.clear()
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._ids([lead + w for w in new])))
+        found = [list(map(known.get, words)) for words in lists]
+        lack = [(words, ids, [j for j, x in enumerate(ids) if x is None]) for words, ids in zip(lists, found) if None in ids]
+        if lack:
+            learn(list({words[j] for words, _, at in lack for j in at}))
+        for words, ids, at in lack:
+            for j in at:
+                ids[j] = known[words[j]]
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
         blank = [_blanks(x) for x in texts]
-        split = [self._joined(words) if b else words for words, b in zip(split, blank)]
-        self._learn({w for words, b in zip(split, blank) for w in (words if b else words[:1])}, self._whole, "")
-        self._learn(set().union(*(words[1:] for words, b in zip(split, blank) if not b)), self._led, " ")
-        whole, led = self._whole.__getitem__, self._led.__getitem__
-        return [b"".join(map(whole, words)) + self._end if b else whole(words[0]) + b"".join(map(led, words[1:])) + self._end for words, b in zip(split, blank)]
+        whole = [self._joined(words) if b else words[:1] for words, b in zip(split, blank)]
+        led = [[] if b else words[1:] for words, b in zip(split, blank)]
+        first = self._gathered(whole, self._whole, lambda new: self._whole.update(zip(new, self._ids(new))))
+        rest = self._gathered(led, self._led, self._learn_led)
+        return [b"".join([*a, *b, self._end]) for a, b in zip(first, rest)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -207,21 +238,54 @@ def schedule(quota: list[int], windows: int, window: int, least: int):
                 room -= n
 
 
-def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, windows: int = WINDOWS, least: int = SLICE, queues: int = QUEUES) -> DataFrame:
-    """`docs` (doc_id, text, source) to pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue).
+def _spread(rows: DataFrame, queues: int) -> DataFrame:
+    """Rows (doc_id, source, part, at, n, ids) of any number of sources to the same of `queues` queues (doc_id, queue, part, at, n, ids).
+
+    A document stands in its queue where its middle token stands in its source, from 0 to 1, so any stretch of a queue
+    holds each of its sources in proportion, up to a document. Ranges of a queue are the parts of the result.
+    """
+    sums = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("source")
+    before = written(sums.select("source", "part", (F.sum("n").over(by.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(by).alias("all")), "sources")
+    place = (F.col("before") + F.col("at") + F.col("n") / 2) / F.col("all")
+    queue = F.pmod(F.xxhash64("source"), F.lit(queues)).cast("int")
+    order = ["queue", "place", "source", "part", "at"]
+    dealt = rows.join(before, ["source", "part"]).withColumn("place", place).withColumn("queue", queue)
+    dealt = dealt.repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "queue", "n", "ids")
+
+    def numbered(batches):
+        at, part = {}, TaskContext.get().partitionId()
+        for batch in batches:
+            starts = []
+            for q, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                starts.append(at.get(q, 0))
+                at[q] = starts[-1] + n
+            parts = pa.array(np.full(batch.num_rows, part, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], parts, pa.array(starts, pa.int64()), *batch.columns[2:]], ["doc_id", "queue", "part", "at", "n", "ids"])
+
+    return written(dealt.mapInArrow(numbered, _TOKENS), "queues")
+
+
+_TOKENS = "doc_id long, queue int, part int, at long, n long, ids binary"
+
+
+def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WINDOW, windows: int = WINDOWS, least: int = SLICE, queues: int = QUEUES, tokens: bool = False) -> DataFrame:
+    """`docs` (doc_id, text, source) to pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue),
+    with `tokens` also ids, the piece's token ids (array<int>): ordered by offset they are a sequence.
 
     A document's ids are the library's for `model`, then `end`; null and empty texts have `end` alone. Each id lies
     in just one piece, each sequence holds `window` ids, the last one what is left. A null source is a source.
-    Repeated rows are packed as often; other columns are ignored; an empty table gives no rows. The target mix
-    is that of the whole table. Documents go to their queues in the order of the table's partitions.
+    A document longer than all windows of a partition goes on in the next partitions. Repeated rows are packed as
+    often; other columns, of any name, are ignored; an empty table gives no rows. The target mix is that of the whole
+    table, by source exactly up to a window, with more than `queues` sources up to a window and a document.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    names = [r[0] for r in docs.select(source.alias("s")).distinct().orderBy("s").limit(queues + 1).collect()]
-    shared = len(names) > queues
-    place = {s: i for i, s in enumerate(names)}
+    names = [r[0] for r in docs.select(source.alias("s")).distinct().limit(queues + 1).collect()]
+    many = len(names) > queues
+    place = {s: i for i, s in enumerate(sorted(names))}
 
-    def tokens(batches):
+    def encoded(batches):
         encode, at = encoder(model, end), {}
         part = TaskContext.get().partitionId()
         for batch in batches:
@@ -231,19 +295,20 @@ def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WI
                 few = batch.slice(k, 512)
                 ids = encode([x or "" for x in few.column(1).to_pylist()])
                 for doc_id, name, x in zip(few.column(0).to_pylist(), few.column(2).to_pylist(), ids):
-                    queue = zlib.crc32(name.encode()) % queues if shared else place[name]
                     n = len(x) // encode.type.itemsize
-                    out.append((doc_id, queue, part, at.get(queue, 0), n, x))
-                    at[queue] = at.get(queue, 0) + n
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                    out.append((doc_id, name if many else place[name], part, at.get(name, 0), n, x))
+                    at[name] = at.get(name, 0) + n
+            types = [pa.int64(), pa.string() if many else pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "queue", "part", "at", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
-    rows = written(rows.mapInArrow(tokens, "doc_id long, queue int, part int, at long, n long, ids binary"), "tokens")
+    rows = written(rows.mapInArrow(encoded, _TOKENS.replace("queue int", "queue string") if many else _TOKENS), "tokens")
+    if many:
+        rows = _spread(rows.withColumnRenamed("queue", "source"), queues)
     sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     # written, so that its size is known when the join with the texts' ids is planned
     before = written(sums.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before")), "before")
-    totals = [0] * (queues if shared else max(1, len(names)))
+    totals = [0] * (queues if many else max(1, len(names)))
     for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # at most `queues` rows
         totals[r["queue"]] = r["n"]
     shares, size = Shares([max(0, n) for n in totals]), window * windows
@@ -264,7 +329,7 @@ def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WI
         mine = Shares(totals)
         a, b = mine.before(pack * size), mine.before(min(total, (pack + 1) * size))
         quota = [y - x for x, y in zip(a, b)]
-        heads, used, offset, last, out = [0] * len(quota), [0] * len(quota), 0, -1, []
+        heads, used, offset, last, out, pieces = [0] * len(quota), [0] * len(quota), 0, -1, [], []
         for w, q, n in schedule(quota, windows, window, least):
             if w != last:
                 offset, last = 0, w
@@ -272,12 +337,18 @@ def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WI
                 doc_id, start, doc_tokens, ids = held[q][heads[q]]
                 have = len(ids) // kind.itemsize - used[q]
                 m = min(n, have)
-                piece = np.frombuffer(ids, kind, m, used[q] * kind.itemsize).astype("<u4").tobytes()
-                out.append((doc_id, start + used[q], m, zlib.crc32(piece), doc_tokens, pack * windows + w, offset, q))
+                piece = np.frombuffer(ids, kind, m, used[q] * kind.itemsize).astype("<u4")
+                out.append((doc_id, start + used[q], m, zlib.crc32(piece.tobytes()), doc_tokens, pack * windows + w, offset, q))
+                if tokens:
+                    pieces.append(piece.view(np.int32))
                 n, offset, used[q] = n - m, offset + m, used[q] + m
                 if m == have:
                     heads[q], used[q] = heads[q] + 1, 0
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(8)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
+        columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(8)]
+        if tokens:
+            ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *pieces]))))
+        return pa.RecordBatch.from_arrays(columns, names_out)
 
     def fills(batches):
         kind, pack, held = encoder(model, end).type, None, {}
@@ -291,8 +362,9 @@ def packed(docs: DataFrame, model: str = MODEL, end: int = END, window: int = WI
         if held:
             yield fill(pack, held, kind)
 
+    names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue", *["ids"] * tokens]
     placed = rows.join(before, ["queue", "part"]).select("doc_id", "queue", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
     # mapInArrow takes columns in order
     dealt = placed.select("doc_id", "queue", "at", "n", "ids").mapInArrow(deal, "pack long, queue int, at long, doc_id long, start long, doc_tokens long, ids binary")
     dealt = dealt.repartition(width(spark), "pack").sortWithinPartitions("pack", "queue", "at")
-    return dealt.mapInArrow(fills, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_queue long")
+    return dealt.mapInArrow(fills, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_queue long" + ", ids array<int>" * tokens)

@@ -531,9 +531,53 @@ def test_packing(docs, odd, empty, window, windows):
     assert packing.packed(odd, queues=1).selectExpr("sum(length) n").first().n == packing.packed(odd).selectExpr("sum(length) n").first().n
 
 
+def test_packing_of_many_sources(spark):
+    rows_ = [(i, " ".join(f"word{i}x{j}" for j in range(3 + i % 5)), f"s{i % 300}", "pack") for i in range(9000)]
+    made = spark.createDataFrame(rows_, "doc_id long, text string, source string, queue string").repartition(3)
+    out = packing.packed(made, window=512, windows=16, least=16).collect()
+    mine, last, pieces = {}, max(r.sequence_id for r in out), {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append(r)
+        if r.sequence_id * 2 < last:
+            mine[r.doc_id % 300] = mine.get(r.doc_id % 300, 0) + r.length
+    assert all(sum(r.length for r in rs) == rs[0].doc_tokens for rs in pieces.values()) and len(pieces) == 9000
+    every = Counter()
+    for rs in pieces.values():
+        every[rs[0].doc_id % 300] += rs[0].doc_tokens
+    assert all(abs(mine[s] / n - 0.5) < 0.1 for s, n in every.items())
+    held = Counter()
+    for r in out:
+        held[r.sequence_id] += r.length
+    assert all(n == 512 for s, n in held.items() if s != last)
+
+
+def test_packing_of_a_text_longer_than_partitions_and_its_ids(spark):
+    long = " ".join(f"long {i}" for i in range(5000))
+    made = spark.createDataFrame([(1, long, "a"), (2, "short one", "b"), (3, None, None)], "doc_id long, text string, source string")
+    run, found = packing.encoder(packing.MODEL, 1), {}
+    for r in packing.packed(made, window=64, windows=8, least=16, tokens=True).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        found.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for i, text in ((1, long), (2, "short one"), (3, "")):
+        assert [x for _, ids in sorted(found[i]) for x in ids] == np.frombuffer(run([text])[0], run.type).tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\xa0a.'s1é<|>"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_words_are_encoded_alone(text):
     run = packing.encoder(packing.MODEL, 1)
     text += "<|endoftext|> it's"
     assert np.frombuffer(run([text])[0], run.type).tolist() == [*run._tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab.,'s1é\n\t\xa0 "), max_size=60), min_size=1, max_size=4))
+def test_new_words_are_encoded_together(texts_):
+    run = packing.Encoder(packing.MODEL, 1, packing.RANKS) if not _fresh else _fresh[0]
+    _fresh[:] = [run]
+    run._led.clear()
+    for text, got in zip(texts_, run(texts_)):
+        assert np.frombuffer(got, run.type).tolist() == [*run._tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+_fresh = []
