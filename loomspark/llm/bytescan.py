@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[tuple[int, str], np.ndarray] = {}
 
 #: A-Z lower-cased; bytes of words 0-9, a-z and 0x80 upwards kept; all others to space.
 ALNUM = bytes(
@@ -20,15 +20,15 @@ ALNUM = bytes(
 SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, 0 to n at least."""
-    if len(_tables.get("up", ())) <= n:
+    if len(_tables.get((base, "up"), ())) <= n:
         size = 1 << max(16, n.bit_length() + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
+        for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            table = np.full(size, x, np.uint64)
             table[0] = 1
-            _tables[name] = np.cumprod(table, dtype=np.uint64)
-    return _tables["up"], _tables["down"]
+            _tables[base, name] = np.cumprod(table, dtype=np.uint64)
+    return _tables[base, "up"], _tables[base, "down"]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,8 +43,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class RangeHash:
     """64-bit hashes of byte ranges of one text; equal ranges of any texts hash alike."""
 
-    def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data))
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        up, self._down = _powers(len(data), base)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
 

@@ -8,7 +8,8 @@ bytes in it, so equal windows have equal anchors at equal offsets and the first
 * Digit 1 is the anchor's bytes.
 * Digit 2 is all bytes around it: a run is the windows with the same anchor, and runs with equal bytes
   are equal in every window.
-* Digit 3, only for anchors with runs that differ, is each window of the first run of each kind.
+* Digit 3, only for anchors with runs that differ, is each window of the first run of each kind. The runs are sent
+  with their bytes and compared byte by byte; those of anchors with very many runs are dealt out window by window.
 
 The first of each group stays; the windows of all others are removed.
 """
@@ -31,19 +32,35 @@ DEPTH = 100
 DIGIT = 40
 #: Differing runs with one anchor in a batch of rows from which the anchor's runs are dealt out by their own digit.
 HOT = 256
+#: Differing runs with one anchor in all rows whose windows one task compares; those of more are dealt out.
+MANY = 4096
 
 _REMOVED, _RUN, _HOT = 0, 1, 2
-_ROWS = "kind byte, deal long, anchor long, run long, row long, start long, end long"
+#: A span is its start, times 2**32, and its length.
+_ROWS = "kind byte, key long, run long, row long, span long"
+_PIECES = "kind byte, key long, second long, row long, span long, data binary"
+#: The run of the row that tells an anchor's other runs that it is hot; it sorts first.
+_MARK = np.iinfo(np.int64).min
+#: Base of the second hash of windows.
+_OTHER = 0xD6E8FEB86659FD93
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _batch(kind, deal, anchor, run, row, start, end) -> pa.RecordBatch:
-    n = len(row)
-    kind = pa.array(np.full(n, kind, np.int8))
-    return pa.RecordBatch.from_arrays([kind, *(pa.array(np.asarray(x, np.int64)) for x in (deal, anchor, run, row, start, end))], ["kind", "deal", "anchor", "run", "row", "start", "end"])
+def _packed(start, end):
+    return (np.asarray(start, np.int64) << 32) | (np.asarray(end, np.int64) - np.asarray(start, np.int64))
+
+
+def _ends(span: np.ndarray):
+    start = span >> 32
+    return start, start + (span & 0xFFFFFFFF)
+
+
+def _batch(kind, key, run, row, span) -> pa.RecordBatch:
+    kind = pa.array(np.full(len(row), kind, np.int8))
+    return pa.RecordBatch.from_arrays([kind, *(pa.array(np.asarray(x, np.int64)) for x in (key, run, row, span))], ["kind", "key", "run", "row", "span"])
 
 
 def _merged(row, start, end):
@@ -87,122 +104,179 @@ def _runs(depth: int, digit: int, hot: int):
             same = np.r_[False, (anchor[1:] == anchor[:-1]) & (run[1:] == run[:-1])]
             spans = _merged(row[same], start[same], end[same])
             none = np.zeros(len(spans[0]), np.int64)
-            yield _batch(_REMOVED, _i64(mixed(spans[0].view(np.uint64))), none, none, *spans)
-            anchor, run, row, start, end = (x[~same] for x in (anchor, run, row, start, end))
+            yield _batch(_REMOVED, _i64(mixed(spans[0].view(np.uint64))), none, spans[0], _packed(*spans[1:]))
+            anchor, run, row, span = anchor[~same], run[~same], row[~same], _packed(start, end)[~same]
             group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
             many = np.bincount(group)[group] > hot
-            deal = np.where(many, mixed(anchor ^ (run & np.uint64(63)) * np.uint64(0x9E3779B97F4A7C15)), anchor)
-            yield _batch(_RUN, _i64(deal[~many]), _i64(anchor[~many]), _i64(run[~many]), row[~many], start[~many], end[~many])
-            yield _batch(_HOT, _i64(deal[many]), _i64(anchor[many]), _i64(run[many]), row[many], start[many], end[many])
-            told = np.unique(anchor[many])  # one row without windows: others with this anchor aren't alone
+            yield _batch(_RUN, _i64(anchor[~many]), _i64(run[~many]), row[~many], span[~many])
+            key = mixed(anchor ^ (run & np.uint64(63)) * np.uint64(0x9E3779B97F4A7C15))
+            yield _batch(_HOT, _i64(key[many]), _i64(run[many]), row[many], span[many])
+            told = np.unique(anchor[many])
             none = np.zeros(len(told), np.int64)
-            yield _batch(_HOT, _i64(told), _i64(told), none, none, none, none)
+            yield _batch(_HOT, _i64(told), none + _MARK, none, none)
 
     return each
 
 
 def _second_digit(batches):
-    """Rows by (deal, anchor, run, row, start): later equal runs are removed; the first of each kind goes on
-    if the anchor has another kind. Only the last group's first row is held from batch to batch."""
-    last_deal = last_anchor = last_run = None
-    held, several = None, False  # the only run so far of the last anchor; whether it is known to have others
+    """Rows by (key, run, row, span): later equal runs are removed; the first of each kind goes on if the anchor has another
+    kind, or is hot. Only the last group's first row is held from batch to batch."""
+    last_key = last_run = None
+    held, several, hot = None, False, False  # the only run so far of the last key; whether it has others; whether it is hot
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind, deal, anchor, run, row, start, end = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        kind, key, run, row, span = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         gone = kind == _REMOVED
-        yield _batch(_REMOVED, deal[gone], anchor[gone], run[gone], row[gone], start[gone], end[gone])
-        kind, deal, anchor, run, row, start, end = (x[~gone] for x in (kind, deal, anchor, run, row, start, end))
+        yield _batch(_REMOVED, key[gone], run[gone], row[gone], span[gone])
+        kind, key, run, row, span = (x[~gone] for x in (kind, key, run, row, span))
         if not len(row):
             continue
-        goes_on = bool(deal[0] == last_deal and anchor[0] == last_anchor)
-        alike = np.r_[goes_on, (deal[1:] == deal[:-1]) & (anchor[1:] == anchor[:-1])]
+        goes_on = bool(key[0] == last_key)
+        alike = np.r_[goes_on, key[1:] == key[:-1]]
         equal = alike & np.r_[goes_on and run[0] == last_run, run[1:] == run[:-1]]
-        marks = end == start
+        marks = span == 0
         later = equal & ~marks
-        yield _batch(_REMOVED, deal[later], anchor[later], run[later], row[later], start[later], end[later])
+        yield _batch(_REMOVED, key[later], run[later], row[later], span[later])
         group = np.cumsum(~alike) - (not alike[0])
         reps = ~equal & ~marks
-        differ = np.bincount(group, weights=(alike & ~equal) | (kind == _HOT)) > 0
+        first = np.flatnonzero(np.r_[True, ~alike[1:]])
+        hots = kind[first] == _HOT
+        kinds = np.bincount(group, weights=reps)
+        differ = (kinds > 1) | hots
         if goes_on:
-            differ[0] |= several
+            hots[0] |= hot
+            differ[0] = several or hots[0] or kinds[0] + (held is not None) > 1
         if held is not None and (not goes_on or differ[0]):
             if goes_on:
-                yield _batch(_RUN, *([x] for x in held))
+                yield _batch(_HOT if hots[0] else _RUN, *([x] for x in held))
             held = None
-        on = reps & differ[group]
-        yield _batch(_RUN, deal[on], anchor[on], run[on], row[on], start[on], end[on])
-        several = bool(differ[-1])
+        for kind_, pick in ((_RUN, ~hots), (_HOT, hots)):
+            on = reps & (differ & pick)[group]
+            yield _batch(kind_, key[on], run[on], row[on], span[on])
+        several, hot = bool(differ[-1]), bool(hots[-1])
         if not several:
             mine = np.flatnonzero(reps & (group == group[-1]))
             if len(mine):
                 i = mine[0]
-                held = (deal[i], anchor[i], run[i], row[i], start[i], end[i])
-        last_deal, last_anchor, last_run = deal[-1], anchor[-1], run[-1]
+                held = (key[i], run[i], row[i], span[i])
+        last_key, last_run = key[-1], run[-1]
+
 
+def _pieces(depth: int):
+    """(row, data, runs) to runs with their bytes, by anchor, and windows of hot ones, by two hashes; later equal windows of a batch
+    come as spans to be removed."""
 
-def _windows(depth: int):
-    """(row, data, runs) to windows (hash, row, start) with end 0; later equal ones of a batch come as spans with hash null."""
+    def batch_of(kind, key, second, row, span, data=None) -> pa.RecordBatch:
+        ints = [pa.array(np.asarray(x, np.int64)) for x in (key, second, row, span)]
+        data = pa.nulls(len(row), pa.binary()) if data is None else pa.array(data, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int8)), *ints, data], ["kind", "key", "second", "row", "span", "data"])
 
     def each(batches):
         for batch in batches:
-            hashes, rows, starts = [], [], []
+            out, hashes, others, rows, starts = [], [], [], [], []
             for row, data, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ranges = RangeHash(np.frombuffer(data, np.uint8))
-                p = np.unique(np.concatenate([np.arange(r["start"], r["end"] - depth + 1) for r in runs]))
-                hashes.append(ranges(p, p + depth))
-                rows.append(np.full(len(p), row, np.int64))
-                starts.append(p)
+                p = []
+                for r in runs:
+                    start, end = r["span"] >> 32, (r["span"] >> 32) + (r["span"] & 0xFFFFFFFF)
+                    if r["hot"]:
+                        p.append(np.arange(start, end - depth + 1))
+                    else:
+                        out.append((r["key"], row, r["span"], data[start:end]))
+                if p:
+                    whole, p = np.frombuffer(data, np.uint8), np.unique(np.concatenate(p))
+                    hashes.append(RangeHash(whole)(p, p + depth))
+                    others.append(RangeHash(whole, _OTHER)(p, p + depth))
+                    rows.append(np.full(len(p), row, np.int64))
+                    starts.append(p)
+            if out:
+                key, row, span, data = zip(*out)
+                yield batch_of(_RUN, key, np.zeros(len(key)), row, span, data)
             if not rows:
                 continue
-            h, row, start = map(np.concatenate, (hashes, rows, starts))
-            order = np.lexsort((start, row, h))
-            h, row, start = h[order], row[order], start[order]
-            same = np.r_[False, h[1:] == h[:-1]]
+            h, other, row, start = map(np.concatenate, (hashes, others, rows, starts))
+            order = np.lexsort((start, row, other, h))
+            h, other, row, start = h[order], other[order], row[order], start[order]
+            same = np.r_[False, (h[1:] == h[:-1]) & (other[1:] == other[:-1])]
             spans = _merged(row[same], start[same], start[same] + depth)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(spans[0]), pa.int64()), *map(pa.array, spans)], ["hash", "row", "start", "end"])
-            keep = [_i64(h[~same]), row[~same], start[~same], np.zeros((~same).sum(), np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keep)], ["hash", "row", "start", "end"])
+            yield batch_of(_REMOVED, _i64(mixed(spans[0].view(np.uint64))), np.zeros(len(spans[0])), spans[0], _packed(*spans[1:]))
+            h, other, row, start = h[~same], other[~same], row[~same], start[~same]
+            yield batch_of(_HOT, _i64(h), _i64(other), row, _packed(start, start + depth))
 
     return each
 
 
 def _third_digit(depth: int):
-    """Windows by (hash, row, start) to spans of all but the first of each hash."""
+    """Pieces by (kind, key, second, row, span) to spans of all windows but the first of each kind."""
+
+    def removed(key, rows, seen, last):
+        """Windows of runs with their bytes: `seen` holds those of the anchor `last`."""
+        out = []
+        for k, row, span, data in zip(key, *(rows.column(i).to_pylist() for i in (3, 4, 5))):
+            if k != last:
+                seen.clear()
+                last = k
+            at, start = span >> 32, -1
+            for p in range(len(data) - depth + 1):
+                w = data[p : p + depth]
+                if w in seen:
+                    if start < 0:
+                        start = p
+                else:
+                    seen.add(w)
+                    if start >= 0:
+                        out.append((row, ((at + start) << 32) | (p - 1 + depth - start)))
+                        start = -1
+            if start >= 0:
+                out.append((row, ((at + start) << 32) | (len(data) - start)))
+        return out, last
+
+    def spans(row, span) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(row, np.int64)), pa.array(np.asarray(span, np.int64))], ["row", "span"])
 
     def each(batches):
-        last = None
+        seen, anchor, last = set(), None, (None, None)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spans = batch.filter(pc.is_null(batch.column(0)))
-            yield spans.select(["row", "start", "end"])
-            h, row, start, _ = (c.to_numpy(zero_copy_only=False) for c in batch.filter(pc.is_valid(batch.column(0))).columns)
-            if not len(h):
-                continue
-            same = np.r_[h[0] == last, h[1:] == h[:-1]]
-            last = h[-1]
-            merged = _merged(row[same], start[same], start[same] + depth)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged)], ["row", "start", "end"])
+            yield batch.filter(pc.equal(batch.column(0), _REMOVED)).select(["row", "span"])
+            runs = batch.filter(pc.equal(batch.column(0), _RUN))
+            for i in range(0, runs.num_rows, 4096):
+                part = runs.slice(i, 4096)
+                out, anchor = removed(part.column(1).to_pylist(), part, seen, anchor)
+                if out:
+                    yield spans(*zip(*out))
+            windows = batch.filter(pc.equal(batch.column(0), _HOT))
+            if windows.num_rows:
+                seen.clear()
+                h, other, row, span = (windows.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+                same = np.r_[(h[0], other[0]) == last, (h[1:] == h[:-1]) & (other[1:] == other[:-1])]
+                last = (h[-1], other[-1])
+                row, start, end = _merged(row[same], *_ends(span[same]))
+                yield spans(row, _packed(start, end))
 
     return each
 
 
-def repeated_spans(docs: DataFrame, dealt: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
-    """(row, doc_id, data) to spans (row, start, end), overlapping or not, that cover just the bytes of windows of
+def _repeated(docs: DataFrame, dealt: DataFrame, depth: int, digit: int, hot: int, many: int) -> DataFrame:
+    """(row, doc_id, data) to spans (row, span), overlapping or not, that cover just the bytes of windows of
     `depth` bytes that also start earlier, in a smaller row or before in the same. `dealt` are the same rows, dealt out by row."""
     if not 0 < digit <= depth:
         raise ValueError("a digit has 1 to depth bytes")
     n = width(docs.sparkSession)
     runs = docs.select("row", "data").mapInArrow(_runs(depth, digit, hot), _ROWS)
-    runs = runs.repartition(n, "deal").sortWithinPartitions("deal", "anchor", "run", "row", "start")
-    found = written(runs.mapInArrow(_second_digit, _ROWS).select("kind", "row", "start", "end"), "runs")
-    kinds = found.where(f"kind = {_RUN}").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = runs.repartition(n, "key").sortWithinPartitions("key", "run", "row", "span")
+    found = written(runs.mapInArrow(_second_digit, _ROWS).select("kind", "key", "row", "span"), "runs")
+    on = found.where(f"kind <> {_REMOVED}").select("row", "key", "span", (F.col("kind") == _HOT).alias("hot"))
+    full = written(on.where("not hot").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key", F.lit(True).alias("full")), "full")
+    if not full.isEmpty():
+        on = on.join(full, "key", "left").withColumn("hot", F.col("hot") | F.coalesce("full", F.lit(False)))
+    kinds = on.groupBy("row").agg(F.collect_list(F.struct("key", "span", "hot")).alias("runs"))
     # all columns of `dealt` are asked for, as by its other join, so that both read one exchange
-    windows = dealt.join(kinds, "row").select("row", "data", "runs", "doc_id").mapInArrow(_windows(depth), "hash long, row long, start long, end long")
-    windows = windows.repartition(n, F.coalesce("hash", F.xxhash64("row"))).sortWithinPartitions("hash", "row", "start")
-    later = windows.mapInArrow(_third_digit(depth), "row long, start long, end long")
-    return found.where(f"kind = {_REMOVED}").select("row", "start", "end").union(later)
+    pieces = dealt.join(kinds, "row").select("row", "data", "runs", "doc_id").mapInArrow(_pieces(depth), _PIECES)
+    pieces = pieces.repartition(n, "key").sortWithinPartitions("kind", "key", "second", "row", "span")
+    later = pieces.mapInArrow(_third_digit(depth), "row long, span long")
+    return found.where(f"kind = {_REMOVED}").select("row", "span").union(later)
 
 
 def _kept(batches):
@@ -212,7 +286,7 @@ def _kept(batches):
             data = data or b""
             removed, pieces, at, n = 0, [], 0, 0
             if spans:
-                _, start, end = _merged(np.zeros(len(spans), np.int64), *(np.array([s[k] for s in spans], np.int64) for k in ("start", "end")))
+                _, start, end = _merged(np.zeros(len(spans), np.int64), *_ends(np.array(spans, np.int64)))
                 for s, e in zip(start.tolist(), end.tolist()):
                     pieces.append(data[at:s])
                     at, removed, n = e, removed + e - s, n + 1
@@ -223,17 +297,18 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
 
-def deduplicated(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: int = HOT, many: int = MANY) -> DataFrame:
     """`docs` (doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row each.
 
     Texts are UTF-8 bytes, null is empty; windows never cross documents and are judged on the input. Rows with
-    equal doc_id are documents of their own, in an order fixed by their texts; other columns are ignored;
-    an empty table gives no rows; texts shorter than `depth` stay whole. Windows are compared by 64-bit
-    hashes, runs by 128 bits.
+    equal doc_id are documents of their own, in an order fixed by their texts; other columns, of any name, are ignored;
+    an empty table gives no rows; texts shorter than `depth` stay whole; a long text is hashed in one task and costs memory
+    in proportion. Windows are compared byte by byte, or by two hashes of 64 bits each where one anchor has
+    over `many` differing runs; equal runs are told by 128 bits.
     """
     # the filter drops nothing; with it both joins below ask for the same exchange of the texts
     known = documents(docs).where("row is not null")
     dealt = known.repartition(width(docs.sparkSession), "row")
-    spans = repeated_spans(known, dealt, depth, digit, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = _repeated(known, dealt, depth, digit, hot, many).groupBy("row").agg(F.collect_list("span").alias("spans"))
     whole = dealt.join(spans, "row", "left").select("doc_id", "data", "spans")
     return whole.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

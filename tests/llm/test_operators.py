@@ -383,8 +383,8 @@ def test_token_counts(odd, empty, library):
 # --- 7 ---
 
 
-@pytest.mark.parametrize(("depth", "digit", "hot"), [(100, 40, 256), (30, 10, 1), (8, 8, 2)])
-def test_radix(docs, empty, depth, digit, hot):
+@pytest.mark.parametrize(("depth", "digit", "hot", "many"), [(100, 40, 256, 4096), (30, 10, 1, 4096), (30, 10, 256, 1), (8, 8, 2, 2), (12, 4, 256, 4096)])
+def test_radix(docs, empty, depth, digit, hot, many):
     seen, want = set(), {}
     for i, t in sorted(texts(docs).items()):
         data = (t or "").encode()
@@ -395,7 +395,7 @@ def test_radix(docs, empty, depth, digit, hot):
             seen.add(data[p : p + depth])
         spans = len(re.findall(b"\1+", bytes(gone)))
         want[i] = (len(data), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
-    got = {r.doc_id: tuple(r)[1:] for r in radix.deduplicated(docs, depth, digit, hot).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in radix.deduplicated(docs, depth, digit, hot, many).collect()}
     assert got == want
     assert radix.deduplicated(empty).count() == 0
 
