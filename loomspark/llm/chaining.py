@@ -1,12 +1,15 @@
 """Fuzzy repeated passages by collinear chaining of shared word seeds.
 
 * Seeds are runs of `k` words that hold the least hash of some window of `w` such runs, so equal runs of
-  k + w - 1 words of any two documents share one. Every occurrence is matched to the first one only, a star
-  instead of all pairs.
+  k + w - 1 words of any two documents share one. Every occurrence is matched to the first document with the seed
+  only, a star instead of all pairs; occurrences in one document are matched in order.
 * The matches of a document with one earlier document are chained: ordered in both, with a cost for gaps, the best
-  chain before a match found in a Fenwick tree over the places in the earlier document.
+  predecessor within `most` words found in Fenwick trees over the places in the earlier document.
 * Chains are aligned on the words themselves: gaps between matches by longest common subsequence, both ends along
-  the diagonal while it pays. Passages long and alike enough remain.
+  the diagonal while it pays. Parts that overlap or touch are one passage, whichever documents they come from;
+  passages long and alike enough remain.
+
+No result depends on how the rows lie in files and batches.
 """
 
 from __future__ import annotations
@@ -19,14 +22,18 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytescan
 from loomspark.llm.cutting import without
-from loomspark.llm.rows import documents, numbered
+from loomspark.llm.rows import documents, numbered, unused
 from loomspark.llm.scratch import bytes_of, width, written
 
-SEED, SPREAD = 8, 16
+SEED, SPREAD = 5, 5
 #: Words of a passage, and the share of its words that are equal.
 WORDS, ALIKE = 40, 0.8
 #: Cost of a word between matches, and the most words between two matches of a passage.
 GAP, MOST = 0.1, 64
+#: Occurrences of a seed in a batch of rows of which only the first by its number in the document is dealt out by the seed.
+HOT = 64
+#: Slices of texts start and end at multiples of so many words, so that many chains ask for the same ones.
+STEP = 32
 #: Bytes of slices that a task holds at once, and rows of them that it aligns at once.
 PART, ROWS = 4 << 20, 512
 
@@ -64,18 +71,70 @@ class Fenwick:
         return found
 
 
+class Nearby:
+    """Largest (value, who) at the `span` places before one. Places are cut into blocks of `span`: what is wanted is the head of
+    one block and the rest of the block before, so each block has one tree from its start and one from its end."""
+
+    def __init__(self, span: int):
+        self._span, self._blocks = span, {}
+
+    def put(self, place: int, value: float, who: int) -> None:
+        block, at = divmod(place, self._span)
+        if block not in self._blocks:
+            self._blocks[block] = Fenwick(self._span), Fenwick(self._span)
+        up, down = self._blocks[block]
+        up.put(at, value, who)
+        down.put(self._span - 1 - at, value, who)
+
+    def before(self, place: int) -> tuple[float, int]:
+        block, at = divmod(place, self._span)
+        found = (float("-inf"), -1)
+        if at and block in self._blocks:
+            found = self._blocks[block][0].upto(at - 1)
+        if block - 1 in self._blocks:
+            found = max(found, self._blocks[block - 1][1].upto(self._span - 1 - at))
+        return found
+
+
+def _scores(at: list[int], there: list[int], k: int, gap: float, most: int) -> tuple[list[float], list[int]]:
+    """The best score of a chain that ends at each match, and the match before it (-1: none).
+
+    A match follows another one that stands at most `most` + k words before it in both documents. Matches are cut into blocks
+    of so many words: of the block before, those still near enough are put in from the last one back; of the own block, in order.
+    """
+    span = most + k
+    score, before = [float(k)] * len(at), [-1] * len(at)
+    last, i = [], 0
+    while i < len(at):
+        block = at[i] // span
+        own = [i]
+        while own[-1] + 1 < len(at) and at[own[-1] + 1] // span == block:
+            own.append(own[-1] + 1)
+        i = own[-1] + 1
+        near, early = Nearby(span), {}
+        if last and at[last[0]] // span == block - 1:
+            for j in reversed(own):
+                while last and at[last[-1]] >= at[j] - span:
+                    x = last.pop()
+                    near.put(there[x], score[x] + gap * (at[x] + there[x]), x)
+                early[j] = near.before(there[j])
+        near, waiting = Nearby(span), 0
+        for j in own:
+            while at[own[waiting]] < at[j]:
+                x = own[waiting]
+                near.put(there[x], score[x] + gap * (at[x] + there[x]), x)
+                waiting += 1
+            value, x = max(near.before(there[j]), early.get(j, (float("-inf"), -1)))
+            gain = value - gap * (at[j] + there[j])
+            if x >= 0 and gain > 0:
+                score[j], before[j] = k + gain, x
+        last = own
+    return score, before
+
+
 def chains(at: list[int], there: list[int], k: int = SEED, gap: float = GAP, most: int = MOST) -> list[list[int]]:
     """Matches (at, there), ascending by `at`, to chains of their numbers, ascending in both places, each in one at most."""
-    rank = {p: i for i, p in enumerate(sorted(set(there)))}
-    tree, score, before = Fenwick(len(rank)), [0.0] * len(at), [-1] * len(at)
-    for i, (a, b) in enumerate(zip(at, there)):
-        value, j = tree.upto(rank[b] - 1)
-        gain = value - gap * (a + b)
-        if j >= 0 and gain > 0 and a - at[j] <= most + k and b - there[j] <= most + k:
-            score[i], before[i] = k + gain, j
-        else:
-            score[i] = k
-        tree.put(rank[b], score[i] + gap * (a + b), i)
+    score, before = _scores(at, there, k, gap, most)
     out, used = [], [False] * len(at)
     for i in sorted(range(len(at)), key=lambda i: (-score[i], i)):
         chain = []
@@ -134,23 +193,29 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int)
     return at[0] - n, x + m, there[0] - n, y + m, (equal + same + also) / (columns + n + m)
 
 
-_MATCH = "seed long, row long, at long, first long, there long"
+#: Kinds of rows: an occurrence by its seed, one that has others of its batch behind it, one that stands behind another (seed: its
+#: row, other: its place); after the first step a match, what the occurrence in front is matched to, and one that still stands behind.
+_ALONE, _FRONT, _BEHIND = 0, 1, 2
+_SEED = "kind byte, seed long, row long, at int, turn int, other int"
+_MATCH = "kind byte, row long, at int, first long, there int"
 
 
-def _match_batch(seed, row, at, first, there) -> pa.RecordBatch:
-    seed = pa.nulls(len(row), pa.int64()) if seed is None else pa.array(seed.view(np.int64))
-    first, there = (pa.nulls(len(row), pa.int64()) if x is None else pa.array(x) for x in (first, there))
-    return pa.RecordBatch.from_arrays([seed, pa.array(row), pa.array(at), first, there], ["seed", "row", "at", "first", "there"])
+def _batch(names: list[str], kind: int, *columns) -> pa.RecordBatch:
+    n = len(columns[0])
+    types = [pa.int64() if x in ("seed", "row", "first") else pa.int32() for x in names[1:]]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(c).cast(t) for c, t in zip(columns, types))], names)
 
 
-def _matched(seed, row, at, first_row, first_at):
-    """Occurrences with the first of their seed, in other documents."""
-    other = row != first_row
-    return row[other], at[other], first_row[other], first_at[other]
+def _turns(group: np.ndarray) -> np.ndarray:
+    """Number from 0 of each entry in its run of equal ones."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
 
 
-def _seeds(k: int, w: int):
-    """(row, data) to the first occurrence of each seed in a batch (seed, row, at), and matches of the others with it."""
+def _seeds(k: int, w: int, hot: int):
+    """(row, data) to the occurrences of seeds, each with its turn among those of its document. Of a seed with over `hot` in the
+    batch, the first row's of each turn is dealt out by the seed, and the others stand behind it."""
+    names = ["kind", "seed", "row", "at", "turn", "other"]
 
     def each(batches):
         for batch in batches:
@@ -160,43 +225,66 @@ def _seeds(k: int, w: int):
                 for kept, x in zip(found, (h, np.full(len(h), row, np.int64), at)):
                     kept.append(x)
             seed, row, at = map(np.concatenate, found)
+            if not len(seed):
+                continue
             order = np.lexsort((at, row, seed))
             seed, row, at = seed[order], row[order], at[order]
-            new = np.r_[True, seed[1:] != seed[:-1]][: len(seed)]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(seed) else np.zeros(0, np.int64)
-            yield _match_batch(seed[new], row[new], at[new], None, None)
-            yield _match_batch(None, *_matched(None, row, at, row[first], at[first]))
+            group = np.cumsum(np.r_[0, (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])])
+            turn, group = _turns(group), np.cumsum(np.r_[0, seed[1:] != seed[:-1]])
+            many = np.bincount(group)[group] > hot
+            few = ~many
+            yield _batch(names, _ALONE, seed[few].view(np.int64), row[few], at[few], turn[few], np.zeros(few.sum(), np.int64))
+            if not many.any():
+                continue
+            seed, row, at, turn, group = (x[many] for x in (seed, row, at, turn, group))
+            order = np.lexsort((row, turn, group))
+            seed, row, at, turn, group = (x[order] for x in (seed, row, at, turn, group))
+            new = np.r_[True, (group[1:] != group[:-1]) | (turn[1:] != turn[:-1])]
+            front = np.flatnonzero(new)[np.cumsum(new) - 1]
+            yield _batch(names, _FRONT, seed[new].view(np.int64), row[new], at[new], turn[new], np.zeros(new.sum(), np.int64))
+            yield _batch(names, _BEHIND, row[front][~new], row[~new], at[~new], turn[~new], at[front][~new])
 
     return each
 
 
 def _firsts(batches):
-    """Seeds by (seed, row, at) to matches with the first occurrence; matches pass."""
-    last = None
+    """Occurrences by (seed, row, at) to matches with the first row of their seed, turn by turn, its last place for turns beyond; also
+    for those that have others behind them. The places in the first row of the last seed are held from batch to batch."""
+    names = ["kind", "row", "at", "first", "there"]
+    held = None
     for batch in batches:
-        yield batch.filter(pc.is_null(batch.column(0)))
-        batch = batch.filter(pc.is_valid(batch.column(0)))
+        behind = batch.filter(pc.equal(batch.column(0), _BEHIND))
+        yield _batch(names, _BEHIND, behind.column(2), behind.column(3), behind.column(1), behind.column(5))
+        batch = batch.filter(pc.not_equal(batch.column(0), _BEHIND))
         if not batch.num_rows:
             continue
-        seed, row, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if last is not None:
-            seed, row, at = (np.r_[x, y] for x, y in zip(last, (seed, row, at)))
-        new = np.r_[True, seed[1:] != seed[:-1]]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        held = 0 if last is None else 1
-        yield _match_batch(None, *_matched(None, row[held:], at[held:], row[first][held:], at[first][held:]))
-        i = first[-1]
-        last = (seed[i : i + 1], row[i : i + 1], at[i : i + 1])
-
-
-def _chained(k: int, w: int):
+        kind, seed, row, at, turn = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        before = 0
+        if held is not None and held[1][0] == seed[0]:
+            before = len(held[0])
+            kind, seed, row, at, turn = (np.r_[x, y] for x, y in zip(held, (kind, seed, row, at, turn)))
+        start = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+        group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(seed)]))
+        first = row[start][group]
+        mine = np.bincount(group, weights=row == first).astype(np.int64)
+        there = at[start[group] + np.minimum(turn, mine[group] - 1)]
+        new = np.arange(len(seed)) >= before
+        pick = new & (row != first)
+        yield _batch(names, _ALONE, row[pick], at[pick], first[pick], there[pick])
+        pick = new & (kind == _FRONT)
+        yield _batch(names, _FRONT, row[pick], at[pick], first[pick], there[pick])
+        tail = slice(start[-1], start[-1] + mine[-1])
+        held = [x[tail] for x in (kind, seed, row, at, turn)]
+
+
+def _chained(k: int, w: int, most: int):
     """Matches by (row, first, at) to chains with the slices of both documents that their alignment needs."""
     slack = k + w
 
     def out_of(key, at, there):
-        for chain in chains(at, there, k):
+        for chain in chains(at, there, k, GAP, most):
             a, b = [at[i] for i in chain], [there[i] for i in chain]
-            yield (*key, max(0, a[0] - slack), a[-1] + k + slack, max(0, b[0] - slack), b[-1] + k + slack, a, b)
+            yield (*key, *_rounded(a[0] - slack, a[-1] + k + slack), *_rounded(b[0] - slack, b[-1] + k + slack), a, b)
 
     def batch_of(rows):
         types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
@@ -222,6 +310,10 @@ def _chained(k: int, w: int):
     return each
 
 
+def _rounded(start: int, end: int) -> tuple[int, int]:
+    return max(0, start) // STEP * STEP, -(-end // STEP) * STEP
+
+
 def _slices(batches):
     """(row, asked, doc_id, data) to the hashes of each run of words that is asked for, in batches of about `PART` bytes."""
 
@@ -244,8 +336,17 @@ def _slices(batches):
             yield batch_of(out)
 
 
-def _aligned(k: int, least: int, alike: float):
+_PART = "row long, doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, alike double"
+
+
+def _part_batch(rows) -> pa.RecordBatch:
     names = ["row", "doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "alike"]
+    types = [pa.int64()] * 7 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def _aligned(k: int, alike: float):
+    """Chains with both slices to parts of passages; single seeds that nothing is alike around are none."""
 
     def each(batches):
         for batch in batches:
@@ -253,21 +354,56 @@ def _aligned(k: int, least: int, alike: float):
             for r in (r for i in range(0, batch.num_rows, ROWS) for r in batch.slice(i, ROWS).to_pylist()):
                 a, b = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)
                 s, e, t, f, share = align(a, b, [x - r["a_from"] for x in r["at"]], [x - r["b_from"] for x in r["there"]], k)
-                if e - s >= least and share >= alike:
+                if e - s >= 2 * k and share >= alike:
                     out.append((r["row"], r["doc_id"], s + r["a_from"], e + r["a_from"], r["source_doc_id"], t + r["b_from"], f + r["b_from"], share))
-            types = [pa.int64()] * 7 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+            yield _part_batch(out)
+
+    return each
+
+
+def _whole(k: int, least: int, alike: float):
+    """Parts by (row, start_word) to those of passages long and alike enough: parts that overlap or stand at most k words apart are one."""
+
+    def passage(parts):
+        end, equal = parts[0][2], 0.0
+        for p in parts:
+            equal += max(0, p[3] - max(end, p[2])) * p[7]
+            end = max(end, p[3])
+        size = end - parts[0][2]
+        if size >= least and equal >= alike * size:
+            return parts
+        return [p for p in parts if p[3] - p[2] >= least]
+
+    def each(batches):
+        held, end = [], 0
+        for batch in batches:
+            out = []
+            for p in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (p[0] != held[0][0] or p[2] > end + k):
+                    out += passage(held)
+                    held = []
+                end = max(end, p[3]) if held else p[3]
+                held.append(p)
+            if out:
+                yield _part_batch(out)
+        if held:
+            yield _part_batch(passage(held))
 
     return each
 
 
-def _passages(known: DataFrame, k: int, w: int, least: int, alike: float) -> DataFrame:
+def _passages(known: DataFrame, k: int, w: int, least: int, alike: float, hot: int = HOT, most: int = MOST) -> DataFrame:
     n = width(known.sparkSession)
-    seeds = known.select("row", "data").mapInArrow(_seeds(k, w), _MATCH)
-    dealt = seeds.repartition(n, F.coalesce("seed", F.xxhash64("row", "first"))).sortWithinPartitions("seed", "row", "at")
-    matches = dealt.mapInArrow(_firsts, _MATCH).select("row", "first", "at", "there")
-    matches = matches.repartition(n, "row", "first").sortWithinPartitions("row", "first", "at", "there")
-    found = written(matches.mapInArrow(_chained(k, w), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
+    seeds = known.select("row", "data").mapInArrow(_seeds(k, w, hot), _SEED)
+    dealt = seeds.repartition(n, "seed").sortWithinPartitions("seed", "row", "at")
+    found = written(dealt.mapInArrow(_firsts, _MATCH), "matches")
+    matches = found.where(f"kind = {_ALONE}").select("row", "first", "at", "there")
+    behind = found.where(f"kind = {_BEHIND}").select("row", "at", F.col("first").alias("front"), F.col("there").alias("front_at"))
+    if not behind.isEmpty():
+        front = found.where(f"kind = {_FRONT}").select(F.col("row").alias("front"), F.col("at").alias("front_at"), "first", "there")
+        matches = matches.union(behind.join(front, ["front", "front_at"]).where("row <> first").select("row", "first", "at", "there"))
+    matches = matches.repartition(n, "row", "first").sortWithinPartitions("row", "first", "at")
+    found = written(matches.mapInArrow(_chained(k, w, most), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
     # copies of a passage ask for the same slice of its first document: once
     mine = found.select("row", F.col("a_from").alias("from"), F.col("a_to").alias("to"))
     theirs = found.select(F.col("first").alias("row"), F.col("b_from").alias("from"), F.col("b_to").alias("to"))
@@ -278,25 +414,29 @@ def _passages(known: DataFrame, k: int, w: int, least: int, alike: float) -> Dat
     a = slices.select("row", F.col("from").alias("a_from"), F.col("to").alias("a_to"), "doc_id", F.col("words").alias("a"))
     b = slices.select(F.col("row").alias("first"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("doc_id").alias("source_doc_id"), F.col("words").alias("b"))
     both = found.join(a, ["row", "a_from", "a_to"]).join(b, ["first", "b_from", "b_to"])
-    return both.mapInArrow(_aligned(k, least, alike), "row long, doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, alike double")
+    parts = both.mapInArrow(_aligned(k, alike), _PART)
+    parts = parts.repartition(n, "row").sortWithinPartitions("row", "start_word", "end_word")
+    return parts.mapInArrow(_whole(k, least, alike), _PART)
 
 
-def repeated_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: int = WORDS, alike: float = ALIKE) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: int = WORDS, alike: float = ALIKE, hot: int = HOT) -> DataFrame:
     """`docs` (doc_id, text) to the passages that repeat an earlier document: (doc_id, start_word, end_word, source_doc_id,
-    source_start, source_end, alike), words counted from 0.
+    source_start, source_end, alike), words counted from 0; a passage from several documents has a row for each part.
 
     A passage has `least` words or more, of which a share `alike` is equal in order; any with an equal run of
-    k + w - 1 words is found. The source is the first document, by doc_id, with the passage's seeds, or the first of the
-    documents read together. Null and short texts have none; rows with equal doc_id are documents of their own, in an
-    order fixed by their texts; other columns are ignored; an empty table gives no rows.
+    k + w - 1 words is found. A part's source is the first document, by doc_id, with its seeds. Null and short texts
+    have none; rows with equal doc_id are documents of their own, in an order fixed by their texts; other columns, of any name, are
+    ignored; an empty table gives no rows. A long text is read in one task and costs memory in proportion.
     """
-    return _passages(documents(docs), k, w, least, alike).drop("row")
+    return _passages(documents(docs), k, w, least, alike, hot).drop("row")
 
 
 def without_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: int = WORDS, alike: float = ALIKE) -> DataFrame:
-    """`docs` with `text` cut of passages that repeat an earlier document, all columns kept; documents that
-    consist of such passages go."""
-    known = numbered(docs)
-    found = _passages(known.select("row", F.col("doc_id").cast("long").alias("doc_id"), bytes_of(F.col("text")).alias("data")), k, w, least, alike)
-    spans = found.groupBy("row").agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"))).alias("_spans"))
-    return without(known.join(spans, "row", "left").drop("row"), "_spans")
+    """`docs` with `text` cut of passages that repeat an earlier document, all columns kept, of any name; documents that
+    consist of such passages go. Null and empty texts stay; an empty table stays empty; of repeated rows the first, in an order
+    fixed by their texts, stays whole; others are cut if they are long enough."""
+    row, spans = unused(docs, "row"), unused(docs, "spans")
+    known = numbered(docs, row)
+    found = _passages(known.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), bytes_of(F.col("text")).alias("data")), k, w, least, alike)
+    cuts = found.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"))).alias(spans))
+    return without(known.join(cuts, row, "left").drop(row), spans)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.bytescan import ALNUM, words_of
 from loomspark.llm.cutting import without
-from loomspark.llm.rows import documents, numbered
+from loomspark.llm.rows import documents, numbered, unused
 from loomspark.llm.scratch import bytes_of, written
 
 WINDOW = 10
@@ -200,12 +200,14 @@ def _joined(batches):
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, part: int = PART) -> DataFrame:
-    """`docs` with `text` cut of its runs of hit words, all columns kept; documents with a share of hit words over `coverage` go."""
-    known = numbered(docs)
-    found = decontaminated(known.select(F.col("row").alias("doc_id"), "text"), benchmark, window, part).where("contaminated")
-    spans = found.select(F.col("doc_id").alias("row"), "spans", (F.col("n_hit") > coverage * F.col("n_words")).alias("_most"))
-    joined = known.join(spans, "row", "left").where("_most is null or not _most")
-    return without(joined.drop("row", "_most"), "spans")
+    """`docs` with `text` cut of its runs of hit words, all columns kept, of any name; documents with a share of hit words over
+    `coverage` go. Null and empty texts stay; repeated rows are each cut; without items nothing is cut."""
+    row, spans, most = (unused(docs, x) for x in ("row", "spans", "most"))
+    known = numbered(docs, row)
+    found = decontaminated(known.select(F.col(row).alias("doc_id"), "text"), benchmark, window, part).where("contaminated")
+    hits = found.select(F.col("doc_id").alias(row), F.col("spans").alias(spans), (F.col("n_hit") > coverage * F.col("n_words")).alias(most))
+    joined = known.join(hits, row, "left").where(F.col(most).isNull() | ~F.col(most))
+    return without(joined.drop(row, most), spans)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:

@@ -9,22 +9,34 @@ from pyspark.sql import functions as F
 from loomspark.llm.scratch import bytes_of, width, written
 
 
-def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """`df` with `row`, its position from 0 by the columns `order`: rows are dealt out by range, numbered in
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it as long as `df` has such a column (names differ in more than case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """`df` with `name`, its position from 0 by the columns `order`: rows are dealt out by range, numbered in
     each range, and the counts of the ranges before are added (one small row a range)."""
-    spark = df.sparkSession
+    spark, at, part, before = df.sparkSession, *(unused(df, x) for x in ("_at", "_part", "_before"))
     dealt = df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
-    dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33)
-    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    dealt = written(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked")
+    sizes = dealt.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias("n"))
     # one row a range, so this window without keys holds as many rows as the shuffle has partitions
-    sizes = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
-    numbered = dealt.join(sizes, part == F.col("_part"))
-    return numbered.withColumn("row", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+    sizes = sizes.select(part, (F.sum("n").over(W.orderBy(part)) - F.col("n")).alias(before))
+    numbered = dealt.join(sizes, F.shiftright(at, 33) == F.col(part))
+    return numbered.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, before)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a unique `row` that ascends with doc_id.
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """`docs` with a unique number `name`, a name it hasn't (see `unused`), that ascends with doc_id.
 
     doc_id itself serves where it is unique and never null; otherwise rows are ranked by doc_id
     (null first), equal ones in an order fixed by their text.
@@ -32,8 +44,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     twice = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if twice.isEmpty():
-        return docs.withColumn("row", F.col("doc_id").cast("long"))
-    return ranked(docs.withColumn("_text", F.xxhash64(bytes_of(F.col("text")))), "doc_id", "_text").drop("_text")
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    text = unused(docs, "_text")
+    return ranked(docs.withColumn(text, F.xxhash64(bytes_of(F.col("text")))), name, "doc_id", text).drop(text)
 
 
 def documents(docs: DataFrame) -> DataFrame:

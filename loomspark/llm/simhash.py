@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytescan
 from loomspark.llm.components import components
-from loomspark.llm.rows import numbered
+from loomspark.llm.rows import numbered, unused
 from loomspark.llm.scratch import bytes_of, width, written
 
 DISTANCE = 3
@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 
 def representatives(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """`docs` with one document of each component, that of the smallest doc_id, all columns kept."""
-    known = numbered(docs)
-    groups = near_duplicates(known.select(F.col("row").alias("doc_id"), "text"), words, distance)
-    return known.join(groups.where("doc_id = component_id").select(F.col("doc_id").alias("row")), "row", "left_semi").drop("row")
+    """`docs` with one document of each component, that of the smallest doc_id, all columns kept, of any name."""
+    row = unused(docs, "row")
+    known = numbered(docs, row)
+    groups = near_duplicates(known.select(F.col(row).alias("doc_id"), "text"), words, distance)
+    return known.join(groups.where("doc_id = component_id").select(F.col("doc_id").alias(row)), row, "left_semi").drop(row)

@@ -57,7 +57,7 @@ def test_components(spark):
 
 
 def test_numbered_rows_are_unique_and_ascend(odd, docs):
-    got = rows.numbered(odd).select("row", "doc_id").orderBy("row").collect()
+    got = rows.numbered(odd, 'row').select("row", "doc_id").orderBy("row").collect()
     assert len({r["row"] for r in got}) == odd.count()
     ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
     assert ids == sorted(ids)
@@ -312,6 +312,69 @@ def test_chains_ascend_and_use_each_match_once(matches):
         assert all(at[i] < at[j] and there[i] < there[j] for i, j in zip(c, c[1:]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(0, 40)), max_size=30), st.integers(1, 5), st.integers(0, 12))
+def test_chains_are_the_best_within_the_window(matches, k, most):
+    matches.sort()
+    at, there = [a for a, _ in matches], [b for _, b in matches]
+    score, before = chaining._scores(at, there, k, 0.1, most)
+    want = []
+    for i, (a, b) in enumerate(matches):
+        near = [want[j] - 0.1 * (a - x + b - y) for j, (x, y) in enumerate(matches[:i]) if 0 < a - x <= most + k and 0 < b - y <= most + k]
+        want.append(k + max([0.0, *near]))
+        j = before[i]
+        if j >= 0:
+            assert 0 < a - at[j] <= most + k and 0 < b - there[j] <= most + k
+    assert score == pytest.approx(want)
+
+
+def _prose(rng, n):
+    return [f"{rng.choice(list('abcdefghij'))}{rng.integers(0, 3000)}" for _ in range(n)]
+
+
+def test_a_second_passage_after_a_longer_one_is_one_row(spark):
+    rng = np.random.default_rng(4)
+    long, fuzzy = _prose(rng, 600), _prose(rng, 200)
+    edited = [w if i % 12 else "edit" for i, w in enumerate(fuzzy)]
+    rows_ = [(1, " ".join([*_prose(rng, 50), *long, *_prose(rng, 100), *fuzzy])), (2, " ".join([*_prose(rng, 50), *long, *_prose(rng, 100), *edited, *_prose(rng, 80)]))]
+    got = sorted((r.start_word, r.end_word, r.source_doc_id) for r in chaining.repeated_passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect())
+    assert len(got) == 2 and abs(got[0][0] - 50) < 3 and abs(got[0][1] - 650) < 3 and abs(got[1][0] - 750) < 3 and abs(got[1][1] - 950) < 3
+
+
+def test_passages_of_two_sources_and_twice_in_a_document(spark):
+    rng = np.random.default_rng(5)
+    left, right, twice = _prose(rng, 25), _prose(rng, 25), _prose(rng, 60)
+    rows_ = [(1, [*_prose(rng, 30), *left, *_prose(rng, 30)]), (2, [*right, *_prose(rng, 30)]), (3, [*_prose(rng, 20), *left, *right, *_prose(rng, 9)]), (4, twice), (5, [*twice, *_prose(rng, 70), *twice]), (6, ["spam"] * 300), (7, [*_prose(rng, 9), *["spam"] * 200])]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")
+    want = None
+    for parts in (1, 7):
+        for hot in (64, 1):
+            got = sorted(tuple(r) for r in chaining.repeated_passages(made.repartition(parts), hot=hot).collect())
+            want = want or got
+            assert got == want
+    of = {}
+    for r in want:
+        of.setdefault(r[0], []).append(r[1:4])
+    assert of[3] == [(20, 45, 1), (45, 70, 2)]
+    assert sorted(of[5]) == [(0, 60, 4), (130, 190, 4)]
+    assert sum(e - s for s, e, _ in of[7]) > 150 and set(of) == {3, 5, 7}
+
+
+def test_passages_do_not_depend_on_partitions(docs):
+    few = sorted(tuple(r) for r in chaining.repeated_passages(docs.coalesce(1)).collect())
+    for hot in (64, 2):
+        assert sorted(tuple(r) for r in chaining.repeated_passages(docs.repartition(50), hot=hot).collect()) == few
+
+
+def test_edited_passages_are_found(spark):
+    rng = np.random.default_rng(6)
+    passages = [_prose(rng, 60) for _ in range(200)]
+    edited = [[w if x >= 0.1 else f"e{i}" for i, (w, x) in enumerate(zip(p, rng.random(60)))] for p in passages]
+    rows_ = [(i, [*_prose(rng, 20), *p, *_prose(rng, 20)]) for i, p in enumerate(passages)] + [(1000 + i, [*_prose(rng, 30), *p, *_prose(rng, 10)]) for i, p in enumerate(edited)]
+    found = {r.doc_id - 1000 for r in chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")).collect() if r.source_doc_id == r.doc_id - 1000}
+    assert len(found) >= 190
+
+
 def test_alignment_bridges_edits():
     a = np.arange(100, dtype=np.uint32)
     b = np.concatenate([np.arange(500, 510), a[:40], [999], a[41:60], a[62:100], np.arange(600, 605)]).astype(np.uint32)
