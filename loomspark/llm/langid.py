@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of each run of letters forwards and backwards from a zero state, gives every
-position a probability of each language, and a document the mean over its positions. As a run's
-probabilities depend on its bytes alone, a task runs the network once for each distinct run and sums up.
-It is trained in numpy by backpropagation through time on a bounded sample of labelled documents.
+The network reads all bytes of a text (letters, with one space for whatever stands between) forwards and backwards,
+gives every position a probability of each language, and a document the mean over its positions. Texts are
+read in sequences of bounded length; each also reads the bytes that stand before and after it, so that its states at
+its own positions carry over words and over the cuts. It is trained in numpy by backpropagation through time
+on windows from all over a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -16,22 +17,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN = 16
-#: Documents of a language that are trained on, about, and characters of each.
-SAMPLE, CHARS = 400, 4000
-#: Runs of letters that are trained on, and passes over them.
-RUNS, PASSES = 60_000, 4
-#: Bytes that are read as one sequence; longer runs are read in pieces.
-LENGTH = 32
-#: Distinct runs that a worker remembers.
-MEMORY = 400_000
+from loomspark.llm.rows import quoted, unused
+
+HIDDEN = 12
+#: Documents of a language that are trained on, about, and windows of each, evenly spaced over its whole text.
+SAMPLE, PIECES = 400, 32
+#: Bytes of a window, windows that are trained on, and passes over them.
+WINDOW, WINDOWS, PASSES = 64, 16_000, 3
+#: Bytes of a sequence, and bytes that it reads before and after them (spaces beyond the text).
+SEQUENCE, MARGIN = 512, 32
+#: Bytes of texts that are read at once.
+BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Mean probability of the likeliest language under which `identified` takes a text for one of no language.
+SURE = 0.4
 
 #: Letters: A-Z lower-cased, a-z and bytes of other scripts; all else to space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def letters(text: str) -> bytes:
+    """The bytes that the network reads."""
+    return b" ".join(text.encode().translate(_LETTERS).split())
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -75,6 +85,44 @@ class Network:
         """(position, sequence, language)."""
         return self._scores(self._run(data, "f"), self._run(data, "b"))
 
+    def pooled(self, data: np.ndarray, own: np.ndarray, margin: int) -> np.ndarray:
+        """Sums of the probabilities (sequence, language) over the positions `margin` to margin + own of each sequence. data:
+        (position, sequence), sequences by descending `own`; each is read to margin + own + margin."""
+        n, o, bias = self.hidden, self.weights["o"].T.copy(), self.weights["b"][:, None]
+        half = np.empty((len(data), self.languages, len(own)), np.float32)
+        sums = np.zeros((self.languages, len(own)))
+        active = np.searchsorted(-own, 2 * margin - np.arange(len(data)), "left")  # own + 2 margin > position
+        counted = np.searchsorted(-own, margin - np.arange(len(data)), "left")
+        for way in "fb":
+            x, u, h = self.weights["x" + way].T.copy(), self.weights["u" + way].T.copy(), np.zeros((n, len(own)), np.float32)
+            mine = o[:, :n] if way == "f" else o[:, n:]
+            for t in range(len(data)) if way == "f" else range(len(data) - 1, -1, -1):
+                k = active[t]
+                now = h[:, :k]
+                a, r = x.take(data[t, :k], axis=1, mode="clip"), u @ now
+                gates, candidate = a[: 2 * n], r[2 * n :]
+                gates += r[: 2 * n]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                candidate *= gates[n:]
+                candidate += a[2 * n :]
+                np.tanh(candidate, out=candidate)
+                candidate -= now
+                candidate *= gates[:n]
+                now += candidate
+                if way == "f":
+                    half[t, :, :k] = mine @ now
+                elif t >= margin and (m := counted[t]):
+                    s = mine @ now[:, :m]
+                    s += half[t, :, :m]
+                    s += bias
+                    np.exp(s, out=s)
+                    s /= s.sum(axis=0)
+                    sums[:, :m] += s
+        return sums.T
+
     def gradients(self, data: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean cross entropy over all positions, by backpropagation through time; and that mean."""
         kept = {"f": [], "b": []}
@@ -104,31 +152,18 @@ class Network:
         return grads, loss
 
 
-def _pieces(run: bytes) -> Iterable[bytes]:
-    return (run[i : i + LENGTH] for i in range(0, len(run), LENGTH))
-
-
-def _by_length(runs: list[bytes]) -> Iterable[np.ndarray]:
-    """Positions in `runs` of those of each length."""
-    lengths = np.array([len(r) for r in runs])
-    for n in np.unique(lengths):
-        yield np.flatnonzero(lengths == n)
-
-
-def _matrix(runs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(runs), np.uint8).reshape(len(runs), -1)
-
-
-def train(texts: list[tuple[str, str]], hidden: int = HIDDEN, runs: int = RUNS, passes: int = PASSES, seed: int = 7) -> tuple[list[str], Network]:
-    """(text, language) pairs to the languages in order and the network. Languages weigh alike."""
-    languages = sorted({lang for _, lang in texts})
+def train(pieces: list[tuple[bytes, str]], hidden: int = HIDDEN, windows: int = WINDOWS, passes: int = PASSES, seed: int = 7) -> tuple[list[str], Network]:
+    """(bytes of letters, language) pairs to the languages in order and the network. Languages weigh alike."""
+    languages = sorted({lang for _, lang in pieces})
     rng, found = np.random.default_rng(seed), {lang: [] for lang in languages}
-    for text, lang in texts:
-        found[lang] += [p for run in text.encode().translate(_LETTERS).split() for p in _pieces(run)]
-    network, batch, data, label = Network(len(languages), hidden, seed), 256, [], []
+    for piece, lang in pieces:
+        if piece:
+            found[lang].append(piece)
+    network, batch, data, label = Network(len(languages), hidden, seed), 128, [], []
     for k, lang in enumerate(languages):
         if found[lang]:
-            pick = rng.integers(0, len(found[lang]), max(1, runs // len(languages)))
+            pick = rng.permutation(len(found[lang]))
+            pick = np.resize(pick, max(1, windows // len(languages))) if len(pick) < windows // len(languages) else pick[: windows // len(languages)]
             data += [found[lang][i] for i in pick]
             label += [k] * len(pick)
     label = np.array(label, np.int64)
@@ -151,55 +186,84 @@ def train(texts: list[tuple[str, str]], hidden: int = HIDDEN, runs: int = RUNS,
     return languages, network
 
 
+def _by_length(pieces: list[bytes]) -> Iterable[np.ndarray]:
+    """Positions in `pieces` of those of each length."""
+    lengths = np.array([len(r) for r in pieces])
+    for n in np.unique(lengths):
+        yield np.flatnonzero(lengths == n)
+
+
+def _matrix(pieces: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)
+
+
 class Reader:
-    """Pools the probabilities of texts; those of distinct runs are remembered."""
-
-    def __init__(self, languages: list[str], network: Network):
-        self._languages, self._network = languages, network
-        self._at: dict[bytes, int] = {}
-        self._sums = np.zeros((0, len(languages)))
-
-    def _learn(self, runs: list[bytes]) -> None:
-        sums, pieces = np.zeros((len(runs), len(self._languages))), [(p, i) for i, r in enumerate(runs) for p in _pieces(r)]
-        for same in _by_length([p for p, _ in pieces]):
-            for k in range(0, len(same), 4096):
-                part = same[k : k + 4096]
-                p = self._network.probabilities(_matrix([pieces[i][0] for i in part])).sum(axis=0)
-                np.add.at(sums, [pieces[i][1] for i in part], p)
-        self._at.update(zip(runs, range(len(self._sums), len(self._sums) + len(runs))))
-        self._sums = np.concatenate([self._sums, sums])
+    """Pools the probabilities of texts."""
+
+    def __init__(self, languages: list[str], network: Network, sequence: int = SEQUENCE, margin: int = MARGIN):
+        self._languages, self._network, self._sequence, self._margin = languages, network, sequence, margin
+
+    def _sums(self, texts: list[bytes]) -> np.ndarray:
+        """(text, language): sums over all positions."""
+        size, margin = self._sequence, self._margin
+        blank = b" " * margin
+        joined = b"".join(x for t in texts for x in (blank, t, blank)) + b" " * size
+        lengths = np.array([len(t) for t in texts], np.int64)
+        number = -(-lengths // size)
+        who = np.repeat(np.arange(len(texts)), number)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(number) - number, number)
+        own = np.minimum(size, lengths[who] - nth * size)
+        at = (np.cumsum(lengths + 2 * margin) - lengths - 2 * margin)[who] + nth * size
+        order = np.argsort(-own, kind="stable")
+        sums = np.zeros((len(texts), len(self._languages)))
+        data = np.frombuffer(joined, np.uint8)
+        for i in range(0, len(order), 2048):
+            part = order[i : i + 2048]
+            wide = int(own[part[0]]) + 2 * margin
+            rows = np.lib.stride_tricks.sliding_window_view(data, wide)[at[part]]
+            np.add.at(sums, who[part], self._network.pooled(rows.T.astype(np.intp), own[part], margin))
+        return sums / np.maximum(lengths, 1)[:, None]
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        runs = [x.encode().translate(_LETTERS).split() if x and _LETTER.search(x) else [] for x in texts]
-        if len(self._at) > MEMORY:
-            self._at, self._sums = {}, self._sums[:0]
-        new = list({r for x in runs for r in x if r not in self._at})
-        if new and self._languages:
-            self._learn(new)
-        out, at = [], self._at.__getitem__
-        for x in runs:
-            if not x or not self._languages:
-                out.append((UNKNOWN, 0.0))
-                continue
-            p = self._sums[list(map(at, x))].sum(axis=0)
-            p /= p.sum()
-            best = int(p.argmax())
-            out.append((self._languages[best], min(1.0, float(p[best]))))
+        read = [letters(x) if x and _LETTER.search(x) else b"" for x in texts]
+        out, i = [(UNKNOWN, 0.0)] * len(read), 0
+        while i < len(read) and self._languages:
+            few, size = [], 0
+            while i < len(read) and (not few or size < BLOCK):
+                if read[i]:
+                    few.append(i)
+                    size += len(read[i])
+                i += 1
+            if few:
+                with np.errstate(over="ignore"):
+                    sums = self._sums([read[j] for j in few])
+                for j, p in zip(few, sums):
+                    best = int(p.argmax())
+                    out[j] = self._languages[best], min(1.0, float(p[best]))
         return out
 
 
-def sampled(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> list[tuple[str, str]]:
-    """About `sample` labelled documents of each language, chosen by the hash of doc_id among those not held out,
-    at most four times as many, and `chars` characters of each."""
-    known = docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+def sampled(docs: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> list[tuple[bytes, str]]:
+    """Windows of about `sample` labelled documents of each language, chosen by the hash of doc_id among those not held out,
+    at most four times as many; `pieces` windows of each at most, evenly spaced over its whole text."""
+    known = docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return []
     grains = 1 << 24
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(grains, grains * sample // r["count"] + 1))]), F.col("lang"))
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(grains)) < share)
-    rows = few.select("doc_id", F.substring("text", 1, chars).alias("text"), "lang").limit(4 * sample * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
+    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(grains)) < share).limit(4 * sample * len(counts))
+
+    def windows(batches):
+        for batch in batches:
+            out = []
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                data = b" " * MARGIN + letters(text.as_py()) + b" " * MARGIN
+                n = min(pieces, -(-len(data) // WINDOW))
+                out += [(data[at : at + WINDOW], lang) for at in (i * max(0, len(data) - WINDOW) // max(1, n - 1) for i in range(n))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.string()))], ["data", "lang"])
+
+    return sorted((bytes(r["data"]), r["lang"]) for r in few.select("text", "lang").mapInArrow(windows, "data binary, lang string").collect())
 
 
 def predicted(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> DataFrame:
@@ -208,15 +272,16 @@ def predicted(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> Da
     Trained on documents with a language whose crc32(doc_id as text) mod 3 is not 1; those with remainder 1 are held
     out, a null doc_id is neither. lang_pred is a trained language, or `und` with score 0 for texts that are
     null or have no letter, or if there is nothing to train on. score is the mean probability of lang_pred over all
-    bytes of letters. Repeated rows come back as often; other columns are ignored; an empty table gives no rows.
+    positions of the text. Repeated rows come back as often; other columns, of any name, are ignored; an empty table gives no
+    rows. A very long text is read in as many sequences as it needs, in one task.
     """
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("_text"))
-    return _labelled(rows, docs, sample, hidden)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
+    return _labelled(rows, docs, sample, hidden, "lang_pred", "score")
 
 
-def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int) -> DataFrame:
-    """`rows` with lang_pred and score of their last column, a text, in its place."""
+def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int, lang: str, score: str) -> DataFrame:
+    """`rows` with columns `lang` and `score` in the place of their last column, a text."""
     model = docs.sparkSession.sparkContext.broadcast(train(sampled(docs, sample), hidden))
     names = rows.columns[:-1]
 
@@ -224,20 +289,20 @@ def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int) -> Dat
         read = Reader(*model.value)
         for batch in batches:
             out, texts = [], batch.column(len(names))
-            for k in range(0, batch.num_rows, 256):
-                out += read(texts.slice(k, 256).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*names, "lang_pred", "score"])
-
-    return rows.mapInArrow(each, rows.select(*names).schema.add("lang_pred", "string").add("score", "double"))
-
-
-def identified(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> DataFrame:
-    """`docs` without the documents whose language is `und`, all columns kept. Without a language to train on, those with a letter stay."""
-    rows = docs.select("*", F.col("text").cast("string").alias("_text"))
-    clash = [c for c in ("lang_pred", "score") if c in docs.columns]
-    rows = rows.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    found = _labelled(rows, docs, sample, hidden)
-    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    learned = not docs.where("lang is not null and text is not null").isEmpty()
-    kept = found.where(F.col("lang_pred") != UNKNOWN if learned else letters).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})
+            for k in range(0, batch.num_rows, 512):
+                out += read(texts.slice(k, 512).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*names, lang, score])
+
+    return rows.mapInArrow(each, rows.select(*map(quoted, names)).schema.add(lang, "string").add(score, "double"))
+
+
+def identified(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN, sure: float = SURE) -> DataFrame:
+    """`docs` without those of no language: texts that are null or have no letter, and those whose likeliest language has a mean
+    probability under `sure`. All columns are kept, of any name; a null `lang` becomes the language found. Without a
+    language to train on, texts with a letter stay. Repeated rows are judged alike; an empty table stays empty."""
+    text, lang, score = (unused(docs, x) for x in ("_text", "_lang", "_score"))
+    found = _labelled(docs.select("*", F.col("text").cast("string").alias(text)), docs, sample, hidden, lang, score)
+    if docs.where("lang is not null and text is not null").isEmpty():
+        return found.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))).drop(lang, score)
+    kept = found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= sure))
+    return kept.withColumn("lang", F.coalesce(F.col("lang"), F.col(lang).cast(docs.schema["lang"].dataType))).drop(lang, score)

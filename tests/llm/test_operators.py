@@ -490,6 +490,35 @@ def test_gradients():
         assert (up - down) / 2e-3 == pytest.approx(grads[k][at], rel=1e-2, abs=1e-5)
 
 
+def test_texts_are_read_in_sequences_with_margins():
+    network = langid.Network(3, 4, 1)
+    texts_ = ["one Tale, of two", "", None, "été", "42", "a" * 50, "x y z " * 9]
+    got = langid.Reader(["a", "b", "c"], network, sequence=8, margin=4)(texts_)
+    for text, (lang, score) in zip(texts_, got):
+        data = langid.letters(text or "")
+        if not data:
+            assert (lang, score) == ("und", 0)
+            continue
+        sums = np.zeros(3)
+        for at in range(0, len(data), 8):
+            own = data[at : at + 8]
+            read = (b" " * 4 + data + b" " * 4)[at : at + len(own) + 8]
+            sums += network.probabilities(np.frombuffer(read, np.uint8)[None])[4 : 4 + len(own), 0].sum(axis=0)
+        assert score == pytest.approx(sums.max() / len(data), rel=1e-4) and lang == "abc"[sums.argmax()]
+
+
+def test_held_out_accuracy(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    joined = langid.predicted(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").selectExpr("avg(int(lang = lang_pred)) a").first().a
+    assert joined > 0.95
+
+
+def test_identified_keeps_columns_of_any_name(spark):
+    made = spark.createDataFrame([(i, "the thing and the others", "en" if i % 2 else None, i, 1.0, "t", i) for i in range(40)] + [(99, "12", "en", 1, 1.0, "t", 9), (98, None, "en", 1, 1.0, "t", 9)], "doc_id long, text string, lang string, lang_pred int, score double, _text string, `_LANG` int")
+    kept = langid.identified(made)
+    assert kept.columns == made.columns and kept.count() == 40 and kept.where("lang is null").count() == 0
+
+
 def test_languages(spark, odd, empty):
     tables = {"en": ["the", "and", "thing", "with", "hello"], "fr": ["été", "le", "vous", "être", "où"], "de": ["über", "und", "nicht", "schön", "zeit"]}
     rng = np.random.default_rng(2)
