@@ -108,6 +108,67 @@ def test_templates():
     assert run("licensed under a license end end end end") == 7
 
 
+@pytest.mark.parametrize(
+    ("template", "yes", "no"),
+    [
+        ("x [[a b|a]] y", ["x a b y", "x a y", "x y"], ["x b y", "x a b b y"]),
+        ("x [[a|a b]] y", ["x a b y", "x a y", "x y"], ["x a b b b y"]),
+        ("x [[a||b]] y", ["x y", "x a y", "x b y"], ["x a b y"]),
+        ("x [[a [[b|c]] d]] y", ["x y", "x a d y", "x a b d y", "x a c d y"], ["x a b c d y", "x b y"]),
+        ("x [[a <<2>>]] y", ["x y", "x a y", "x a z z y"], ["x z y", "x a z z z y"]),
+        ("x y z", ["x y z"], ["x y"]),
+    ],
+)
+def test_regions_are_compiled(template, yes, no):
+    a = licenses.Automaton(template)
+    for text in yes:
+        assert a.match(text.encode().split(), 0) == len(text.split()), text
+    for text in no:
+        assert a.match(text.encode().split(), 0) != len(text.split()), text
+
+
+def test_markup_that_does_not_close():
+    for wrong in ("x [[a", "x a]]", "x | y"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(wrong)
+
+
+def _license_scan(text):
+    """All matches by trying every start and every end of a regular expression made from the markup."""
+    w = words(text)
+    places, labels, base, covered = [], set(), set(), set()
+    for is_base, group in ((True, licenses.BASE), (False, licenses.TEMPLATES)):
+        for label, template in group.items():
+            parts = re.findall(r"\[\[|\]\]|\||<<\d+>>|[^\s\[\]|<]+", template)
+            marks = {"[[": "(?:", "]]": ")?", "|": "|"}
+            pattern = re.compile("".join(marks.get(x) or (rf"(?:\S+ ){{0,{x[2:-2]}}}" if x[0] == "<" else x + " ") for x in parts))
+            for i in range(len(w)):
+                ends = [e for e in range(len(w), i, -1) if pattern.fullmatch("".join(x + " " for x in w[i:e]))]
+                if ends:
+                    labels.add(label)
+                    covered |= set(range(i, ends[0]))
+                    if is_base:
+                        places.append(i)
+                        base.add(label)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), len(covered) / len(w) if w else 0.0
+
+
+def test_license_scan_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    wording = [re.sub(r"<<\d+>>", "some one", re.sub(r"[\[\]]+|\|", " ", t)) for t in licenses.TEMPLATES.values()]
+    wording += [re.sub(r"<<\d+>>", "", re.sub(r"\[\[.*\]\]", "", t)) for t in licenses.TEMPLATES.values()] + list(licenses.BASE.values())
+    filler = "the of apache license under gnu general public cc by all rights reserved copyright c software is free".split()
+    rows_ = [(i, " ".join(" ".join([*rng.choice(filler, rng.integers(0, 9)), wording[rng.integers(0, len(wording))]]) for _ in range(rng.integers(0, 3))) + " " + " ".join(rng.choice(filler, rng.integers(0, 12))), "t", 1.0) for i in range(80)]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows_, "doc_id long, text string, labels string, score double")).collect()}
+    seen = set()
+    for i, text, _, _ in rows_:
+        r, want = got[i], _license_scan(text)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want[:6]
+        assert r.score == pytest.approx(want[6])
+        seen |= set(want[5].split(","))
+    assert len(seen) > 12
+
+
 def test_license_scan(spark, odd, empty):
     r = licenses.scanned(spark.createDataFrame([(1, "See CC-BY! and cc by; All rights, reserved. x", 0), (2, None, 0)], "doc_id long, text string, labels int"))
     one = by_id(r)[1]
