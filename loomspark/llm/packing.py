@@ -37,7 +37,7 @@ QUEUES = 256
 #: Least tokens that a queue gives at once, but for its last.
 SLICE = 256
 #: Word pieces that a worker remembers.
-WORDS = 700_000
+WORDS = 300_000
 #: White space before a space.
 _PAIRS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 #: Words of Latin script without angle brackets, in which special strings stand.

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytescan
 from loomspark.llm.components import components
-from loomspark.llm.rows import numbered, unused
 from loomspark.llm.scratch import bytes_of, width, written
 
 DISTANCE = 3
@@ -154,11 +153,11 @@ def _dense(fps: DataFrame, distance: int) -> DataFrame:
     return near.union(far).join(meet, "z").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL, full: bool = True) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) with the components of "at most `distance` bits differ".
 
     Pairs of a cell are never written out: each cell gives a spanning forest of its links. Cells of more than
-    `cell` fingerprints give their members to `_dense`, which is linear in them.
+    `cell` fingerprints give their members to `_dense`, which is linear in them; with `full` false they are left to the caller.
     """
     if not 2 <= distance <= 3:
         raise ValueError("the six groups of dimensions hold for 2 or 3 differing bits")
@@ -168,8 +167,8 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL
     rows = rows.repartition(width(spark), "grid", "key").sortWithinPartitions("grid", "key", "fp")
     found = written(rows.mapInArrow(_cells(distance, cell), "a long, b long"), "links")
     links = found.where("b is not null").distinct()
-    full = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    return links if full.isEmpty() else links.union(_dense(written(full, "dense"), distance))
+    rest = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    return links if not full or rest.isEmpty() else links.union(_dense(written(rest, "dense"), distance))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
@@ -189,11 +188,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     classes = nodes.join(roots, "label").select("fp", "component_id")
     out = fps.join(classes, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """`docs` with one document of each component, that of the smallest doc_id, all columns kept, of any name."""
-    row = unused(docs, "row")
-    known = numbered(docs, row)
-    groups = near_duplicates(known.select(F.col(row).alias("doc_id"), "text"), words, distance)
-    return known.join(groups.where("doc_id = component_id").select(F.col("doc_id").alias(row)), row, "left_semi").drop(row)
