@@ -1,58 +1,77 @@
 """Exact token counts by a finite-state compilation of a BPE tokenizer.
 
-`CountTransducer` reads a word character by character. Its state is what the merges can still depend
-on (the last characters, and the last token and count at each of them); states and transitions are
-compiled when first met, and each transition is annotated with the change of the token count. For the
-last token at a position only one piece is possible: the one that ends there and stays apart from the
-token before it when the two are merged alone.
-
-No piece continues over a word's end into the next word's mark, so a chunk of text maps to (head, count,
-tail): the fragments at its two cuts and the tokens between. Such maps compose associatively, and a
-document's count is their scan.
+`CountTransducer` reads a text character by character. Its state is what the merges can still depend on: the longest end
+of the text that a piece can go on from, and for each position in it the last token there and how many tokens lie
+between. Histories that agree in that are one state. States and transitions are compiled when first met, and
+each transition is annotated with the change of the token count. For the last token at a position only one
+piece is possible: the one that ends there and stays apart from the token before it when the two are merged alone.
+
+A chunk of a text is a map from the states it can be entered in to the state it is left in and the tokens
+between. The states it can be entered in are those after some more characters before the chunk, read from a few places
+on: in most texts all of these lead to the same one. Maps compose associatively, and a document's count is their
+scan: first in groups of neighbouring chunks, then over the groups.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.rows import documents
+from loomspark.llm.scratch import written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
-#: Characters of a chunk.
-CHUNK = 1 << 16
+#: Characters of a chunk, and chunks of which maps are composed first.
+CHUNK, GROUP = 1 << 16, 64
+#: Characters before a chunk from which on its states of entry are found, at least.
+LEAD = 64
 #: Compiled states and remembered words of a worker; beyond, it starts anew.
 STATES, WORDS = 300_000, 800_000
 _MARK = "▁"
 
 
 class CountTransducer:
-    """Counts the tokens of character sequences without word ends inside.
+    """Counts the tokens of character sequences. State 0 is the empty text's.
 
-    The transitions out of a state are compiled when first taken: `_steps[state, character]` is the next state and
-    the change of the count. `_tail`, `_token` and `_count` hold what a state knows of the characters read: the
-    last `longest` of them, the last token and the tokens since the word's start; `_up` is the state before the last.
+    `_steps[state][character]` is the next state and the change of the count, compiled when first taken. `_keys[state]` is
+    (tail, tokens, counts): the longest end of the text that a piece can go on from, and the last token and the count (that
+    of the whole text taken off) at each position from its start to its end.
     """
 
     def __init__(self, rank: dict[str, int]):
         self.rank = rank
         self.longest = max(map(len, rank), default=1)
         self._apart: dict[tuple[str, str], bool] = {}
-        #: Pieces that come out of their own characters.
+        #: Pieces that come out of their own characters, and what they begin with.
         self._standing = {x for x in rank if self.merged(x) == [x]}
+        self._begun = {x[:i] for x in self._standing for i in range(1, len(x))}
         self._reset()
 
     def _reset(self) -> None:
-        self._steps: dict[tuple[int, str], tuple[int, int]] = {}
-        self._tail, self._token, self._count, self._up = [""], [""], [0], [0]
+        self._steps: list[dict[str, tuple[int, int]]] = []
+        self._keys: list[tuple] = []
+        self._known: dict[tuple, int] = {}
+        self.state(("", ("",), (0,)))
+
+    def state(self, key: tuple) -> int:
+        """The number of a state."""
+        found = self._known.get(key)
+        if found is None:
+            found = self._known[key] = len(self._keys)
+            self._keys.append(key)
+            self._steps.append({})
+        return found
+
+    def key(self, state: int) -> str:
+        """A state's name, the same in all workers."""
+        return json.dumps(self._keys[state])
 
     def merged(self, text: str) -> list[str]:
         """The pieces by definition: the best-ranked pair merges first, the leftmost of equals."""
@@ -75,89 +94,105 @@ class CountTransducer:
         return known
 
     def _compile(self, state: int, char: str) -> tuple[int, int]:
-        tail, standing, before, n = self._tail[state] + char, self._standing, state, 1
-        piece = char
+        if len(self._keys) > STATES:
+            key = self._keys[state]
+            self._reset()
+            state = self.state(key)
+        tail, tokens, counts = self._keys[state]
+        text, n, piece = tail + char, 1, char
         # one piece at most stays apart from the token before it, so the order of trial is free
-        while not ((n == 1 or piece in standing) and self._stay_apart(self._token[before], piece)):
-            before, n = self._up[before], n + 1
-            piece = tail[-n:]
-        count = self._count[before] + self._size(piece)
-        self._tail.append(tail[-self.longest :])
-        self._token.append(piece)
-        self._count.append(count)
-        self._up.append(state)
-        return len(self._up) - 1, count - self._count[state]
+        while not ((n == 1 or piece in self._standing) and self._stay_apart(tokens[-n], piece)):
+            n += 1
+            piece = text[-n:]
+        change = counts[-n] + self._size(piece)
+        new = text
+        while new and new not in self._begun:
+            new = new[1:]
+        at = len(text) - len(new)
+        tokens, counts = (*tokens, piece)[at:], tuple(c - change for c in (*counts, change)[at:])
+        if tokens[0] not in self.rank or (new.startswith(_MARK) and not tokens[0].endswith(_MARK)):
+            tokens = ("", *tokens[1:])  # nothing merges with what stands before
+        step = self._steps[state][char] = self.state((new, tokens, counts)), change
+        return step
 
     def _size(self, piece: str) -> int:
         """A character without a piece gives a token a byte."""
         return 1 if piece in self.rank else len(piece.encode())
 
-    def count(self, word: str) -> int:
-        if len(self._tail) > STATES:
-            self._reset()
-        state = total = 0
-        steps = self._steps
-        for char in word:
-            step = steps.get((state, char))
+    def run(self, text: str, state: int = 0) -> tuple[int, int]:
+        """The state after a text that is entered in `state`, and its tokens."""
+        total, steps = 0, self._steps
+        for char in text:
+            step = steps[state].get(char)
             if step is None:
-                step = steps[state, char] = self._compile(state, char)
+                step = self._compile(state, char)
+                steps = self._steps
             state, change = step
             total += change
-        return total
+        return state, total
 
 
 class Counter:
-    """Counts the tokens of text, with the words seen so far remembered."""
+    """Counts the tokens of text. A word from its mark on leads from any state to the same one, so it is one transition, whose
+    count is remembered."""
 
     def __init__(self, rank: dict[str, int]):
-        self._run = CountTransducer(rank)
+        self.machine = CountTransducer(rank)
         self._known: dict[str, int] = {}
-        self._units = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
-        self._line = "\n" not in rank and not any("\n" in x for x in rank)
-
-    def _unit(self, unit: str) -> int:
-        n = self._known.get(unit)
-        if n is None:
-            n = self._run.count(unit)
-            if len(unit) <= 40:
-                if len(self._known) >= WORDS:
-                    self._known.clear()
-                self._known[unit] = n
-        return n
-
-    def fragment(self, text: str) -> int:
-        """Tokens of a text, spaces as marks, that starts at a word's start."""
-        if self._line:  # no merge reaches over a character that is in no piece
-            head, *lines = text.split("\n")
-            return sum(map(self._unit, self._units.findall(head))) + sum(1 + sum(map(self._unit, self._units.findall(x))) for x in lines)
-        return sum(map(self._unit, self._units.findall(text)))
-
-    def chunk(self, text: str) -> tuple[str, int, str] | tuple[str, None, None]:
-        """The map of a chunk (spaces as marks): the fragments before its first and after its last word end, and
-        the tokens between; or all of it, if it has less than two word ends."""
-        first = re.search(f"(?<=[^{_MARK}]){_MARK}", text)
-        if not first:
-            return text, None, None
-        last = len(text.rstrip(_MARK))
-        while last and text[last - 1] != _MARK:
-            last = text.rfind(_MARK, 0, last) + 1
-        while last and text[last - 1] == _MARK:
-            last -= 1
-        if last <= first.start():
-            return text[: first.start()], 0, text[first.start() :]
-        return text[: first.start()], self.fragment(text[first.start() : last]), text[last:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None and b[1] is None:
-            return a[0] + b[0], None, None
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.fragment(a[2] + b[0]) + b[1], b[2]
-
-    def total(self, whole: tuple) -> int:
-        return self.fragment(whole[0]) + (self.fragment(whole[2]) + whole[1] if whole[1] is not None else 0)
+        self._words = re.compile(f"{_MARK}+[^{_MARK}]*")
+        self._end = re.compile(f"(?<=[^{_MARK}]){_MARK}")
+
+    def _counts(self, words: list[str], lead: str) -> int:
+        """Of words that follow `lead`, a mark or none (words with theirs)."""
+        found = list(map(self._known.get, words))
+        if None in found:
+            if len(self._known) >= WORDS:
+                self._known.clear()
+            for i, n in enumerate(found):
+                if n is None:
+                    n = found[i] = self.machine.run(lead + words[i])[1]
+                    if len(words[i]) <= 40:
+                        self._known[words[i]] = n
+        return sum(found)
+
+    def marked(self, text: str) -> int:
+        """Tokens of a text that starts with a mark."""
+        if _MARK * 2 in text or text.endswith(_MARK):
+            return sum(self._counts([x[1:]], _MARK) if x[1:2] not in ("", _MARK) else self.machine.run(x)[1] for x in self._words.findall(text))
+        return self._counts(text[1:].split(_MARK), _MARK)
+
+    def maps(self, lead: str, text: str, last: bool) -> list[tuple[str, str, int]]:
+        """The map of a chunk: (entry, exit, tokens) for each state it can be entered in. lead: what stands before, or empty at the start of
+        a document, which begins with a mark; last: nothing follows."""
+        machine = self.machine
+        if not lead:
+            entries, head, rest = [0], "", text
+        else:
+            first = self._end.search(text)
+            head, rest = (text[: first.start()], text[first.start() :]) if first else (text, "")
+            starts = range(max(0, len(lead) - LEAD - machine.longest), max(0, len(lead) - LEAD) + 1)
+            keys = {machine.key(machine.run(lead[i:])[0]) for i in starts}
+            entries = [machine.state(_read(k)) for k in sorted(keys)]
+        inner, out = self.marked(rest) if rest else 0, []
+        name = ""
+        if rest and not last:
+            cut = len(rest.rstrip(_MARK))
+            while cut and rest[cut - 1] != _MARK:
+                cut -= 1
+            name = machine.key(machine.run(rest[max(0, cut - 1) :])[0])
+        for key in [machine.key(e) for e in entries]:
+            state, n = machine.run(head, machine.state(_read(key)))
+            out.append((key, "" if last else name or machine.key(state), n + inner))
+        return out
+
+    def total(self, text: str) -> int:
+        """All of a text that starts with a mark, character by character."""
+        return self.machine.run(text)[1]
+
+
+def _read(key: str) -> tuple:
+    tail, tokens, counts = json.loads(key)
+    return tail, tuple(tokens), tuple(counts)
 
 
 _counters: dict[str, Counter] = {}
@@ -174,35 +209,72 @@ def counter(model: str = MODEL) -> Counter:
     return _counters[model]
 
 
-def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
+_MAPS = "array<struct<entry: string, exit: string, n: long>>"
+
+
+def composed(chunks: Column) -> Column:
+    """Maps of neighbouring chunks, ARRAY<STRUCT<at, maps>> in order, to the map of all: for each state of entry of the first, what the
+    others make of its exit. An exit that a chunk has no entry for gives a null exit and count."""
+
+    def after(m: Column, chunk: Column) -> Column:
+        on = F.get(F.filter(chunk["maps"], lambda x: x["entry"] == m["exit"]), 0)
+        return F.struct(m["entry"].alias("entry"), on["exit"].alias("exit"), (m["n"] + on["n"]).alias("n"))
+
+    rest = F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0)))
+    return F.transform(F.get(chunks, 0)["maps"], lambda m: F.aggregate(rest, F.struct(m["entry"].alias("entry"), m["exit"].alias("exit"), m["n"].alias("n")), after))
+
+
+def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """`docs` (doc_id, text) to (doc_id, n_bytes, n_tokens, over_limit), one row each.
 
     Tokens are those of the library for `model`, without begin, end or other added tokens. Null and empty texts
-    have 0 bytes and tokens. Repeated rows come back as often; other columns are ignored; an empty table gives
-    no rows. `model` is a path that all executors have.
+    have 0 bytes and tokens. A text of any length is counted in chunks of `chunk` characters, in different tasks; one whose
+    maps don't meet (there, what stands far before a chunk still tells) is read again in one. Repeated rows come back as
+    often; other columns, of any name, are ignored; an empty table gives no rows. `model` is a path that all executors have.
     """
 
     def maps(batches):
         count = counter(model)
+        names = ["row", "doc_id", "at", "n_bytes", "maps"]
+        kind = pa.list_(pa.struct([("entry", pa.string()), ("exit", pa.string()), ("n", pa.int64())]))
         for batch in batches:
-            out = []
-            for text, at in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-                marked = (_MARK if at == 0 and text else "") + text.replace(" ", _MARK)
-                out.append((len(text.encode()), *count.chunk(marked)))
-            cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["row", "doc_id", "at", "n_bytes", "head", "inner", "tail"])
-
-    def scan(batches):
+            sizes, out = [], []
+            for at, lead, text, last in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                sizes.append(len(text.encode()))
+                text = text.replace(" ", _MARK)
+                if at == 0:
+                    found = count.maps("", _MARK + text, last) if text else [("", "", 0)]
+                else:
+                    found = count.maps((_MARK if at * chunk <= len(lead) else "") + lead.replace(" ", _MARK), text, last)
+                out.append([{"entry": a, "exit": b, "n": n} for a, b, n in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(out, kind)], names)
+
+    def whole(batches):
         count = counter(model)
         for batch in batches:
-            n = [count.total(reduce(count.compose, [(m["head"], m["inner"], m["tail"]) for m in maps])) for maps in batch.column(2).to_pylist()]
-            n = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n = [count.total(_MARK + x.replace(" ", _MARK)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["row", "n"])
 
     texts = documents(docs).select("row", "doc_id", F.coalesce(F.col("data").cast("string"), F.lit("")).alias("text"))
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))
+    lead = LEAD + 64
+    size = F.length("text")
+    pieces = F.greatest(F.lit(0), F.floor((size - 1) / chunk).cast("int"))
+
+    def cut(i: Column) -> Column:
+        start = F.greatest(i * chunk - lead, F.lit(0))
+        return F.struct(F.substring("text", start + 1, i * chunk - start).alias("lead"), F.substring("text", i * chunk + 1, F.lit(chunk)).alias("chunk"), (i == pieces).alias("last"))
+
     # a text of one chunk needs no cutting
-    chunks = texts.select("row", "doc_id", F.posexplode(F.when(F.length("text") <= chunk, F.array("text")).otherwise(cuts)).alias("at", "chunk"))
-    mapped = chunks.mapInArrow(maps, "row long, doc_id long, at int, n_bytes long, head string, inner long, tail string")
-    whole = mapped.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("at", "head", "inner", "tail"))).alias("maps"))
-    return whole.select("doc_id", "n_bytes", "maps").mapInArrow(scan, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    one = F.array(F.struct(F.lit("").alias("lead"), F.col("text").alias("chunk"), F.lit(True).alias("last")))
+    cuts = F.when(size <= chunk, one).otherwise(F.transform(F.sequence(F.lit(0), pieces), cut))
+    chunks = texts.select("row", "doc_id", F.posexplode(cuts).alias("at", "c")).select("row", "doc_id", "at", "c.lead", "c.chunk", "c.last")
+    mapped = chunks.mapInArrow(maps, f"row long, doc_id long, at int, n_bytes long, maps {_MAPS}")
+    for by in ([F.expr(f"at div {group}").alias("at")], []):  # the scan's two levels
+        place = F.struct("at", "maps")
+        mapped = mapped.groupBy("row", *by).agg(F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(place)).alias("chunks"))
+        mapped = mapped.select("row", *["at" for _ in by], "doc_id", "n_bytes", composed(F.col("chunks")).alias("maps"))
+    counts = written(mapped.select("row", "doc_id", "n_bytes", F.get("maps", 0)["n"].alias("n_tokens")), "counts")
+    if not (open_ := counts.where("n_tokens is null")).isEmpty():
+        again = texts.join(open_.select("row"), "row", "left_semi").select("row", "text").mapInArrow(whole, "row long, n long")
+        counts = counts.join(again, "row", "left").withColumn("n_tokens", F.coalesce("n_tokens", "n"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -494,18 +494,44 @@ def library():
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(alphabet=st.one_of(st.sampled_from(" ▁\nthe ing,.x"), st.characters(exclude_categories=["Cs"])), max_size=60), size=st.integers(1, 30))
 def test_token_maps_compose(counter, library, text, size):
-    whole = None
-    for at in range(0, max(1, len(text)), size):
-        mine = counter.chunk(("▁" if at == 0 and text else "") + text[at : at + size].replace(" ", "▁"))
-        whole = mine if whole is None else counter.compose(whole, mine)
-    assert counter.total(whole) == len(library.encode(text))
-
-
-def test_token_counts(odd, empty, library):
-    for chunk in (1 << 16, 40):
-        got = tokencount.token_counts(odd, chunk=chunk, limit=100).collect()
+    marked = ("▁" if text else "") + text.replace(" ", "▁")
+    cuts = [0, *range(size + 1, len(marked), size), len(marked)] if marked else []
+    at, total = counter.machine.key(0), 0
+    for i, j in zip(cuts, cuts[1:]):
+        found = {a: (b, n) for a, b, n in counter.maps(marked[:i], marked[i:j], j == len(marked))}
+        assert at in found or i > tokencount.LEAD
+        at, n = found[at]
+        total += n
+    assert total == len(library.encode(text))
+    assert (counter.marked(marked) if marked else 0) == (counter.total(marked) if marked else 0) == total
+
+
+def test_states_of_long_words_merge(counter, library):
+    rng = np.random.default_rng(3)
+    word = "".join(rng.choice(list("abcdefghijklmnop"), 200_000))
+    before = len(counter.machine._keys)
+    assert counter.total("▁" + word) == len(library.encode(word))
+    assert len(counter.machine._keys) - before < 120_000
+    before = len(counter.machine._keys)
+    assert counter.total("▁" + "ab" * 100_000) == len(library.encode("ab" * 100_000))
+    assert len(counter.machine._keys) - before < 100
+
+
+def test_states_start_anew(library, monkeypatch):
+    monkeypatch.setattr(tokencount, "STATES", 50)
+    small = tokencount.Counter(tokencount.counter().machine.rank)
+    text = "some words whoseunusuallengthmakesmanystates and others, été"
+    assert small.total("▁" + text.replace(" ", "▁")) == small.marked("▁" + text.replace(" ", "▁")) == len(library.encode(text))
+
+
+def test_token_counts(spark, odd, empty, library):
+    rng = np.random.default_rng(4)
+    long = [(9000, "a" * 30_000, 1), (9001, "".join(rng.choice(list("abc "), 20_000)), 1), (9002, "  " * 3000 + "x", 1), (9003, "the " * 9000, 1)]
+    wide = odd.selectExpr("doc_id", "text", "1 as at").union(spark.createDataFrame(long, "doc_id long, text string, at int"))
+    for chunk, group in ((1 << 16, 64), (40, 3), (1000, 2)):
+        got = tokencount.token_counts(wide, chunk=chunk, limit=100, group=group).collect()
         want = Counter()
-        for r in odd.collect():
+        for r in wide.collect():
             t = r["text"] or ""
             n = len(library.encode(t))
             want[r["doc_id"], len(t.encode()), n, n > 100] += 1
