@@ -158,12 +158,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extent(equal: np.ndarray, drop: int = 6) -> tuple[int, int]:
-    """Steps that pay along a diagonal (a match 1, a difference -2) before the sum falls `drop` below its best; and the equal ones."""
+def _extent(equal: np.ndarray, loss: float) -> tuple[int, int]:
+    """Steps that pay along a diagonal (a match 1, a difference -loss) before the sum falls by over two differences; and the equal ones."""
     if not len(equal):
         return 0, 0
-    total = np.cumsum(np.where(equal, 1, -2))
-    low = np.flatnonzero(np.maximum.accumulate(total) - total >= drop)
+    total = np.cumsum(np.where(equal, 1, -loss))
+    low = np.flatnonzero(np.maximum.accumulate(total) - total > 2 * loss)
     upto = total[: low[0]] if len(low) else total
     if not len(upto) or upto.max() <= 0:
         return 0, 0
@@ -171,9 +171,33 @@ def _extent(equal: np.ndarray, drop: int = 6) -> tuple[int, int]:
     return n, int(equal[:n].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int) -> tuple[int, int, int, int, float]:
-    """Word hashes of two slices and a chain of matches in them to (start, end, start there, end there, share of equal words)."""
-    equal = columns = 0
+def _best(worth: list[float]) -> list[tuple[int, int]]:
+    """The stretches (first, last) of greatest sums: none can be made longer or shorter for more, and no other pays."""
+    stack: list[tuple[int, int, float, float]] = []
+    total = 0.0
+    for i, x in enumerate(worth):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        first, low = i, before
+        while True:
+            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][2] < low), -1)
+            if j < 0 or stack[j][3] >= total:
+                stack.append((first, i, low, total))
+                break
+            first, low = stack[j][0], stack[j][2]
+            del stack[j:]
+    return [(first, last) for first, last, _, _ in stack]
+
+
+def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int, alike: float = ALIKE) -> list[tuple[int, int, int, int, float]]:
+    """Word hashes of two slices and a chain of matches in them to passages (start, end, start there, end there, share of equal words).
+
+    Matches and the gaps between them are weighed so that a stretch pays if over a share `alike` of its words is equal; the best
+    stretches remain, so a match far off takes nothing from those before it. Neighbours are joined where they are alike enough
+    together and the smaller one outweighs the gap."""
+    loss = alike / max(1 - alike, 1e-6)
+    blocks: list[list[int]] = []  # from, to, from there, to there, equal, columns
     x, y = at[0], there[0]
     for i, j in zip(at, there):
         if i < x or j < y:  # the match overlaps the one before: both ends move on by what is new
@@ -183,14 +207,40 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int)
             i, j, n = i + step, j + step, k - step
         else:
             n = k
-        equal += _common(a[x:i], b[y:j]) + n
-        columns += max(i - x, j - y) + n
+        if i > x or j > y:
+            blocks.append([x, i, y, j, _common(a[x:i], b[y:j]), max(i - x, j - y)])
+        if blocks and blocks[-1][1] == i and blocks[-1][3] == j and blocks[-1][4] == blocks[-1][5]:
+            blocks[-1][1], blocks[-1][3] = i + n, j + n
+            blocks[-1][4] += n
+            blocks[-1][5] += n
+        else:
+            blocks.append([i, i + n, j, j + n, n, n])
         x, y = i + n, j + n
-    left = min(at[0], there[0])
-    n, same = _extent((a[at[0] - left : at[0]] == b[there[0] - left : there[0]])[::-1])
-    right = min(len(a) - x, len(b) - y)
-    m, also = _extent(a[x : x + right] == b[y : y + right])
-    return at[0] - n, x + m, there[0] - n, y + m, (equal + same + also) / (columns + n + m)
+
+    def counted(first: int, last: int) -> np.ndarray:
+        return sums[last + 1] - sums[first]
+
+    sums = np.cumsum([[0, 0], *([e, c] for *_, e, c in blocks)], axis=0)
+    found: list[tuple[int, int]] = []
+    for first, last in _best([e - loss * (c - e) for *_, e, c in blocks]):
+        while found:
+            both, gap = counted(found[-1][0], last), counted(found[-1][1] + 1, first - 1)
+            less = min(counted(*found[-1]), counted(first, last), key=lambda x: x[1]) + gap
+            if both[0] < alike * both[1] or 2 * less[0] < less[1]:
+                break
+            first = found.pop()[0]
+        found.append((first, last))
+    out = []
+    for first, last in found:
+        s, _, t, *_ = blocks[first]
+        _, e, _, f, *_ = blocks[last]
+        equal, columns = counted(first, last).tolist()
+        left = min(s, t)
+        n, same = _extent((a[s - left : s] == b[t - left : t])[::-1], loss)
+        right = min(len(a) - e, len(b) - f)
+        m, also = _extent(a[e : e + right] == b[f : f + right], loss)
+        out.append((s - n, e + m, t - n, f + m, (equal + same + also) / (columns + n + m)))
+    return out
 
 
 #: Kinds of rows: an occurrence by its seed, one that has others of its batch behind it, one that stands behind another (seed: its
@@ -346,16 +396,16 @@ def _part_batch(rows) -> pa.RecordBatch:
 
 
 def _aligned(k: int, alike: float):
-    """Chains with both slices to parts of passages; single seeds that nothing is alike around are none."""
+    """Chains with both slices to parts of passages; seeds that nothing is alike around are none."""
 
     def each(batches):
         for batch in batches:
             out = []
             for r in (r for i in range(0, batch.num_rows, ROWS) for r in batch.slice(i, ROWS).to_pylist()):
                 a, b = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)
-                s, e, t, f, share = align(a, b, [x - r["a_from"] for x in r["at"]], [x - r["b_from"] for x in r["there"]], k)
-                if e - s >= 2 * k and share >= alike:
-                    out.append((r["row"], r["doc_id"], s + r["a_from"], e + r["a_from"], r["source_doc_id"], t + r["b_from"], f + r["b_from"], share))
+                for s, e, t, f, share in align(a, b, [x - r["a_from"] for x in r["at"]], [x - r["b_from"] for x in r["there"]], k, alike):
+                    if e - s >= 2 * k and share >= alike:
+                        out.append((r["row"], r["doc_id"], s + r["a_from"], e + r["a_from"], r["source_doc_id"], t + r["b_from"], f + r["b_from"], share))
             yield _part_batch(out)
 
     return each
@@ -365,13 +415,23 @@ def _whole(k: int, least: int, alike: float):
     """Parts by (row, start_word) to those of passages long and alike enough: parts that overlap or stand at most k words apart are one."""
 
     def passage(parts):
+        cover, at, i = [], parts[0][2], 0  # the fewest parts that reach from the first word to the last
+        while i < len(parts):
+            best = parts[i]
+            at = max(at, best[2])
+            while i < len(parts) and parts[i][2] <= at:
+                best = max(best, parts[i], key=lambda p: p[3])
+                i += 1
+            if best[3] > at:
+                cover.append(best)
+                at = best[3]
         end, equal = parts[0][2], 0.0
-        for p in parts:
-            equal += max(0, p[3] - max(end, p[2])) * p[7]
-            end = max(end, p[3])
+        for p in cover:
+            equal += (p[3] - max(end, p[2])) * p[7]
+            end = p[3]
         size = end - parts[0][2]
         if size >= least and equal >= alike * size:
-            return parts
+            return cover
         return [p for p in parts if p[3] - p[2] >= least]
 
     def each(batches):

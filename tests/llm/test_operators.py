@@ -448,8 +448,23 @@ def test_edited_passages_are_found(spark):
 def test_alignment_bridges_edits():
     a = np.arange(100, dtype=np.uint32)
     b = np.concatenate([np.arange(500, 510), a[:40], [999], a[41:60], a[62:100], np.arange(600, 605)]).astype(np.uint32)
-    s, e, t, f, share = chaining.align(a, b, [10, 45, 70], [20, 55, 78], 8)
-    assert (s, e, t, f) == (0, 100, 10, 108) and 0.9 < share < 1
+    (found,) = chaining.align(a, b, [10, 45, 70], [20, 55, 78], 8)
+    assert found[:4] == (0, 100, 10, 108) and 0.9 < found[4] < 1
+    far = np.concatenate([a[:50], np.arange(900, 960), a[50:60]]).astype(np.uint32)
+    assert chaining.align(a[:60], far, [0, 20, 52], [0, 20, 112], 8)[0][:4] == (0, 50, 0, 50)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-6, 6), max_size=12))
+def test_best_stretches(worth):
+    found = chaining._best([float(x) for x in worth])
+    sums = lambda i, j: sum(worth[i : j + 1])
+    assert all(sums(i, j) > 0 for i, j in found) and all(a[1] < b[0] for a, b in zip(found, found[1:]))
+    if any(x > 0 for x in worth):
+        most = max(sums(i, j) for i in range(len(worth)) for j in range(i, len(worth)))
+        assert max(sums(i, j) for i, j in found) == most
+    covered = {i for a, b in found for i in range(a, b + 1)}
+    assert all(i in covered for i, x in enumerate(worth) if x > 0)
 
 
 def test_passages(docs, odd, empty):
