@@ -59,6 +59,13 @@ class RangeHash:
         return mixed((self._sums[q:] - self._sums[:n]) * self._down[:n] + np.uint64(q))
 
 
+def slices(batches, rows: int = 2048):
+    """Arrow batches cut to `rows` rows, for functions that hold much more than a batch's texts."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def words_of(data: bytes | None, table: bytes) -> list[bytes]:
     """Words of a text after `table` (ALNUM or SPACED); null has none."""
     return data.translate(table).split() if data else []

@@ -268,7 +268,7 @@ def _seeds(k: int, w: int, hot: int):
     names = ["kind", "seed", "row", "at", "turn", "other"]
 
     def each(batches):
-        for batch in batches:
+        for batch in bytescan.slices(batches):
             found = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64)]
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, at = seeds_of(data, k, w)
@@ -371,7 +371,7 @@ def _slices(batches):
         types = [pa.int64()] * 4 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["row", "from", "to", "doc_id", "words"])
 
-    for batch in batches:
+    for batch in bytescan.slices(batches):
         out, size = [], 0
         for row, asked, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
             joined, starts, ends = bytescan.bounds(bytescan.words_of(data.as_py(), bytescan.ALNUM))

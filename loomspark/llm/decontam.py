@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.bytescan import ALNUM, words_of
+from loomspark.llm.bytescan import ALNUM, slices, words_of
 from loomspark.llm.cutting import without
 from loomspark.llm.rows import documents, numbered, unused
 from loomspark.llm.scratch import bytes_of, written
@@ -171,7 +171,7 @@ def _scan(items: DataFrame, window: int):
 
     def each(batches):
         automaton = _automaton(key, held.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in batch.column(1).to_pylist():
                 words = words_of(data, ALNUM)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.bytescan import RangeHash, mixed, sliding_argmin
+from loomspark.llm.bytescan import RangeHash, mixed, slices, sliding_argmin
 from loomspark.llm.rows import documents
 from loomspark.llm.scratch import width, written
 
@@ -81,7 +81,7 @@ def _runs(depth: int, digit: int, hot: int):
     """Documents to runs. What a batch of rows already tells (later equal runs) is removed before the shuffle."""
 
     def each(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, found = batch.column(0).to_pylist(), [[], [], [], [], []]
             for row, data in zip(rows, batch.column(1).to_pylist()):
                 if data is None or len(data) < depth:
@@ -173,7 +173,7 @@ def _pieces(depth: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int8)), *ints, data], ["kind", "key", "second", "row", "span", "data"])
 
     def each(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out, hashes, others, rows, starts = [], [], [], [], []
             for row, data, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 p = []
