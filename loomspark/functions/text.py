@@ -50,6 +50,11 @@ def byte_level(text: Column, prefix_space: bool = False, split: bool = True) ->
     return gpt2_split(text) if split else F.array(text)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space, as in Unicode, at both ends."""
+    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+
+
 def words(text: Column) -> Column:
     """Words between white space; none in an empty text."""
     return F.filter(F.split(text, rf"{_SPACE}+"), lambda w: w != "")
@@ -63,7 +68,7 @@ def answer_normal_form(text: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line of what is left after trimming, trimmed."""
-    return F.trim(F.element_at(F.split(F.trim(text), "\n"), 1))
+    return trimmed(F.element_at(F.split(trimmed(text), "\n"), 1))
 
 
 def with_instruction(prefix: str, query: Column) -> Column:
@@ -84,7 +89,7 @@ def chatml(messages: Column, system: str = DEFAULT_SYSTEM) -> Column:
 
 def llama3_chat(messages: Column, begin: bool = True) -> Column:
     head = lambda role: F.concat(F.lit("<|start_header_id|>"), role, F.lit("<|end_header_id|>\n\n"))
-    body = F.array_join(F.transform(messages, lambda m: F.concat(head(m["role"]), F.trim(m["text"]), F.lit("<|eot_id|>"))), "")
+    body = F.array_join(F.transform(messages, lambda m: F.concat(head(m["role"]), trimmed(m["text"]), F.lit("<|eot_id|>"))), "")
     return F.concat(F.lit("<|begin_of_text|>" if begin else ""), body, head(F.lit("assistant")))
 
 
@@ -128,5 +133,10 @@ def sse(payload: Column) -> Column:
     return F.concat(F.lit("data: "), payload, F.lit("\n\n"))
 
 
+def sse_stream(payloads: Column) -> Column:
+    """The events of an array of payloads and the closing mark."""
+    return F.concat(F.array_join(F.transform(payloads, sse), ""), sse(F.lit("[DONE]")))
+
+
 def without_special(ids: Column, special: list[int]) -> Column:
     return F.filter(ids, lambda x: ~x.isin(special))

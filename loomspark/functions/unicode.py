@@ -45,3 +45,29 @@ def bert_words(text: Column) -> Column:
     """White space splits, and every punctuation character stands alone."""
     apart = F.regexp_replace(text, r"([!-/:-@\[-`{-~\p{P}])", " $1 ")
     return F.filter(F.split(apart, " +"), lambda w: w != "")
+
+
+def bert_words_of(text: str, lower: bool = True, accents: bool = False) -> list[str]:
+    """`bert_words(bert_clean(text))` inside a task."""
+    out = []
+    for c in text:
+        kind = unicodedata.category(c)
+        if c in "\0\ufffd" or (kind[0] == "C" and c not in "\t\n\r"):
+            continue
+        if c in "\t\n\r" or kind[0] == "Z":
+            out.append(" ")
+        elif any(low <= ord(c) <= high for low, high in _IDEOGRAPHS):
+            out.append(f" {c} ")
+        else:
+            out.append(c)
+    clean = "".join(out)
+    if not accents:
+        clean = "".join(c for c in unicodedata.normalize("NFD", clean) if unicodedata.category(c) != "Mn")
+    clean = clean.lower() if lower else clean
+    parts = "".join(f" {c} " if c in _ASCII_MARKS or unicodedata.category(c)[0] == "P" else c for c in clean).split(" ")
+    return [x for x in parts if x]
+
+
+#: Blocks of ideographs, and ASCII characters that count as punctuation.
+_IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+_ASCII_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.sampling import Random
-from loomspark.operators.knn import ranked
+from loomspark.operators.knn import query_blocks, ranked
 
 
 class Graph:
@@ -97,6 +98,15 @@ def _vectors_of(frame: pd.DataFrame) -> np.ndarray:
     return np.array(frame["embedding"].tolist(), np.float64)
 
 
+#: Vectors of a shard, about: what one task builds and searches.
+SHARD = 20_000
+
+
+def shards_for(vectors: DataFrame) -> int:
+    """Shards for a table of vectors: as many as keep each within what a task holds."""
+    return max(1, -(-vectors.count() // SHARD))
+
+
 def _shard(shards: int):
     return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
@@ -118,8 +128,13 @@ def built(vectors: DataFrame, shards: int, m: int = 16, width: int = 200, seed:
 
 
 def search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, shards: int, width: int = 128, m: int = 16, metric: str = "l2") -> DataFrame:
-    """(qid, id, distance, rank) of each query (qid, embedding), a bounded set, over all shards."""
-    held = queries.sparkSession.sparkContext.broadcast([(r["qid"], np.array(r["embedding"], np.float64)) for r in queries.orderBy("qid").collect()])
+    """(qid, id, distance, rank) of each query (qid, embedding) over all shards; queries go out in blocks of bounded size."""
+    found = [_search(edges, vectors, block, k, shards, width, m, metric) for block in query_blocks(queries)]
+    return ranked(reduce(DataFrame.union, found), k, "qid")
+
+
+def _search(edges: DataFrame, vectors: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, shards: int, width: int, m: int, metric: str) -> DataFrame:
+    held = vectors.sparkSession.sparkContext.broadcast(list(zip(block[0].tolist(), block[1])))
 
     def one(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("id").reset_index(drop=True)
@@ -135,10 +150,25 @@ def search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, sha
         return pd.DataFrame(out, columns=["qid", "id", "distance"])
 
     nodes = vectors.select(_shard(shards).alias("shard"), F.col("id").cast("long").alias("id"), "embedding")
-    found = nodes.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(one, "qid long, id long, distance double")
-    return ranked(found, k, "qid")
+    return nodes.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(one, "qid long, id long, distance double")
 
 
 def mean_degree(edges: DataFrame) -> DataFrame:
     """One row: links a vector on layer 0."""
     return edges.where("layer = 0").groupBy("shard", "src").agg(F.count("dst").alias("n")).agg(F.avg("n").alias("degree"))
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """(shard, vectors, reached): vectors that can be reached on layer 0 from the one a search of the shard starts at, by widening the
+    frontier with a join a round."""
+    base = edges.where("layer = 0")
+    layers = edges.groupBy("shard").agg(F.max(F.struct("layer", -F.col("src"))).alias("top"))
+    seen = layers.select("shard", (-F.col("top.col2")).alias("src"))
+    links = base.where("dst is not null").select("shard", "src", "dst")
+    frontier, n = seen, -1
+    while n != (n := seen.count()):
+        frontier = links.join(frontier, ["shard", "src"]).select("shard", F.col("dst").alias("src")).distinct().join(seen, ["shard", "src"], "left_anti")
+        frontier = frontier.checkpoint() if base.sparkSession.conf.get("spark.checkpoint.dir", None) else frontier.persist()
+        seen = seen.union(frontier)
+    every = base.groupBy("shard").agg(F.countDistinct("src").alias("vectors"))
+    return every.join(seen.groupBy("shard").agg(F.count("*").alias("reached")), "shard")

@@ -1,20 +1,21 @@
 """Inverted file with product quantization: cells by k-means, residuals as a code for each sub-vector.
 
-The index is a table (cell, id, codes) to be written partitioned by cell, so a search reads the cells it
+The index is a table (cell, id, codes); saved, it is partitioned by cell, so a search reads the cells it
 probes and no others. Centroids and codewords are small and of fixed number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators import kmeans
-from loomspark.operators.knn import _nearest, _vectors, distances, ranked
+from loomspark.operators.knn import _nearest, _vectors, distances, query_blocks, ranked
 
 
 @dataclass
@@ -79,14 +80,17 @@ def encoded(vectors: DataFrame, index: Index) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, refine: int = 0, vectors: DataFrame | None = None) -> DataFrame:
     """(qid, id, distance, rank) of the k nearest by the codes in the `probes` nearest cells; with `refine`, k * refine candidates
-    are ranked again by their own vectors (id, embedding). Queries (qid, embedding) are a bounded set."""
-    spark, metric = queries.sparkSession, index.metric
-    rows = queries.orderBy("qid").collect()
-    qids, q = np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)
-    near = np.argsort(distances(q, index.centroids, metric), axis=1, kind="stable")[:, :probes]
+    are ranked again by their own vectors (id, embedding). Queries (qid, embedding) go out in blocks of bounded size."""
+    keep = k * max(1, refine)
+    return ranked(reduce(DataFrame.union, [_search(index, block, k, probes, keep, vectors if refine else None) for block in query_blocks(queries)]), k, "qid")
+
+
+def _search(index: Index, block: tuple[np.ndarray, np.ndarray], k: int, probes: int, keep: int, vectors: DataFrame | None) -> DataFrame:
+    """Candidates (qid, id, distance) of a block of queries."""
+    spark, metric, (qids, q) = index.entries.sparkSession, index.metric, block
+    near = np.argsort(distances(q, index.centroids, metric), axis=1, kind="stable")[:, :probes] if len(q) else np.zeros((0, probes), np.int64)
     probed = sorted(set(near.ravel().tolist()))
     held = spark.sparkContext.broadcast((qids, q, near, index.centroids, index.codewords))
-    keep = k * max(1, refine)
 
     def each(batches):
         qids, q, near, centroids, codewords = held.value
@@ -98,12 +102,12 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, refine: int =
                 here = batch.filter(pa.array(cells == cell))
                 codes = np.array(here.column(2).to_pylist())
                 approx = np.concatenate([codewords[j][codes[:, j]] for j in range(m)], axis=1) + centroids[cell]
-                n, ids, d = _nearest(distances(q[who], approx, metric), here.column(1).to_numpy(), keep)
+                n, ids, d = _nearest(q[who], approx, here.column(1).to_numpy(), keep, metric)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[who][n]), pa.array(ids), pa.array(d)], ["qid", "id", "distance"])
 
     entries = index.entries.where(F.col("cell").isin(probed)).select("cell", "id", "codes")
-    found = ranked(entries.mapInArrow(each, "qid long, id long, distance double"), keep, "qid")
-    if not refine:
+    found = ranked(entries.mapInArrow(each, "qid long, id long, distance double"), keep, "qid").select("qid", "id", "distance")
+    if vectors is None:
         return found
     pairs = found.select("qid", "id").join(vectors, "id").select("qid", "id", F.col("embedding").cast("array<double>").alias("embedding"))
 
@@ -115,4 +119,54 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, refine: int =
                 d = -(x * mine).sum(axis=1) if metric == "ip" else ((x - mine) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["qid", "id", "distance"])
 
-    return ranked(pairs.mapInArrow(again, "qid long, id long, distance double"), k, "qid")
+    return pairs.mapInArrow(again, "qid long, id long, distance double")
+
+
+def search_cells(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2") -> DataFrame:
+    """(qid, id, distance, rank) of the k nearest of the vectors (id, embedding) in the `probes` cells nearest to each query, without codes."""
+
+    def one(block) -> DataFrame:
+        near = np.argsort(distances(block[1], centroids, metric), axis=1, kind="stable")[:, :probes] if len(block[0]) else np.zeros((0, probes), np.int64)
+        held = vectors.sparkSession.sparkContext.broadcast((*block, near, centroids))
+
+        def each(batches):
+            qids, q, near, centroids = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, ids = _vectors(batch.column(1)), batch.column(0).to_numpy()
+                cells = distances(x, centroids, metric).argmin(axis=1)
+                for cell in np.unique(cells):
+                    who, here = np.flatnonzero((near == cell).any(axis=1)), np.flatnonzero(cells == cell)
+                    n, found, d = _nearest(q[who], x[here], ids[here], k, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[who][n]), pa.array(found), pa.array(d)], ["qid", "id", "distance"])
+
+        rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        return rows.mapInArrow(each, "qid long, id long, distance double")
+
+    return ranked(reduce(DataFrame.union, map(one, query_blocks(queries))), k, "qid")
+
+
+def saved(index: Index, path: str) -> None:
+    """The index as tables: entries partitioned by cell, so that a search reads the cells it probes and no others, centroids and codewords."""
+    spark = index.entries.sparkSession
+    index.entries.repartition("cell").write.partitionBy("cell").parquet(f"{path}/entries")
+    rows = [("centroid", i, 0, v.tolist()) for i, v in enumerate(index.centroids)] + [("codeword", c, j, v.tolist()) for j, words in enumerate(index.codewords) for c, v in enumerate(words)]
+    spark.createDataFrame([(*r, index.metric) for r in rows], "kind string, number int, part int, v array<double>, metric string").write.parquet(f"{path}/model")
+
+
+def loaded(spark: SparkSession, path: str) -> Index:
+    rows = spark.read.parquet(f"{path}/model").orderBy("kind", "part", "number").collect()  # of fixed number
+    centroids = np.array([r["v"] for r in rows if r["kind"] == "centroid"])
+    words = [r for r in rows if r["kind"] == "codeword"]
+    parts = 1 + max(r["part"] for r in words)
+    codewords = np.array([r["v"] for r in words]).reshape(parts, len(words) // parts, -1)
+    return Index(centroids, codewords, rows[0]["metric"], spark.read.parquet(f"{path}/entries").select(F.col("cell").cast("long").alias("cell"), "id", "codes"))
+
+
+def added(index: Index, vectors: DataFrame, path: str) -> None:
+    """More vectors (id, embedding) for a saved index; ids go on after the largest one there."""
+    entries = index.entries.sparkSession.read.parquet(f"{path}/entries")
+    last = entries.agg(F.max("id")).first()[0]
+    moved = vectors.select((F.col("id") + (0 if last is None else last + 1)).alias("id"), "embedding")
+    encoded(moved, index).repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/entries")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from loomspark.functions.text import words
 
@@ -34,26 +38,57 @@ def neighbour_recall(found: DataFrame, truth: DataFrame, queries: DataFrame, k:
     return hits.agg(F.count("*").alias("hits")).crossJoin(queries.agg(F.count("*").alias("n"))).select((F.col("hits") / (F.col("n") * k)).alias("recall"))
 
 
+@F.pandas_udf(LongType())
+def _shared(prediction: pd.Series, answer: pd.Series) -> pd.Series:
+    """Tokens that two texts share, each as often as both have it."""
+    return pd.Series([sum((Counter(p) & Counter(a)).values()) for p, a in zip(prediction, answer)], dtype="int64")
+
+
 def token_f1(pairs: DataFrame) -> DataFrame:
     """`pairs` (id, gold, prediction, answer; both in normal form) to (id, em, f1), each the best over the golds; (0, 0) without one.
 
-    Two empty texts are an exact match with f1 0.
+    Two empty texts are an exact match with f1 0. Only the scores are grouped; tokens stay in their row.
     """
-    of = lambda c: pairs.select("id", "gold", F.explode(words(F.col(c))).alias("token")).groupBy("id", "gold", "token").agg(F.count("*").alias("n"))
-    same = of("prediction").join(of("answer").withColumnRenamed("n", "m"), ["id", "gold", "token"]).groupBy("id", "gold").agg(F.sum(F.least("n", "m")).alias("same"))
-    joined = pairs.join(same, ["id", "gold"], "left").withColumn("same", F.coalesce("same", F.lit(0)))
-    p, r = F.col("same") / F.size(words(F.col("prediction"))), F.col("same") / F.size(words(F.col("answer")))
+    split = lambda c: F.coalesce(words(F.col(c)), F.array().cast("array<string>"))
+    rows = pairs.select("id", "prediction", "answer", split("prediction").alias("p"), split("answer").alias("a"))
+    rows = rows.select("id", "prediction", "answer", F.size("p").alias("n"), F.size("a").alias("m"), _shared("p", "a").alias("same"))
+    p, r = F.col("same") / F.col("n"), F.col("same") / F.col("m")
     f1 = F.when(F.col("same") > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
     em = F.coalesce((F.col("prediction") == F.col("answer")).cast("double"), F.lit(0.0))
-    return joined.groupBy("id").agg(F.max(em).alias("em"), F.max(f1).alias("f1"))
+    return rows.groupBy("id").agg(F.max(em).alias("em"), F.max(f1).alias("f1"))
+
+
+def corpus_scores(scores: DataFrame) -> DataFrame:
+    """(em, f1) of all questions to one row: 100 times the means."""
+    return scores.agg(F.count("*").alias("questions"), *((100 * F.avg(c)).alias(c) for c in ("em", "f1")))
+
+
+#: Ranges of values that one group is cut into, so that no task sorts a group.
+RANGES = 256
 
 
 def percentiles(values: DataFrame, by: list[str], column: str, wanted: list[float]) -> DataFrame:
-    """Nearest rank, half away from zero: entry round(p / 100 * (n - 1)) of the sorted values; no interpolation. Nulls don't count."""
-    order = W.partitionBy(*by)
-    placed = values.where(F.col(column).isNotNull()).select(*by, column, F.row_number().over(order.orderBy(column)).alias("i"), F.count("*").over(order).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.lit(p / 100.0) * (F.col("n") - 1) + 0.5) + 1, F.col(column)))
-    return placed.groupBy(*by).agg(*[F.coalesce(at(p), F.lit(0.0)).alias(f"p{p:g}") for p in wanted])
+    """Nearest rank, half away from zero: entry round(p / 100 * (n - 1)) of the sorted values; no interpolation. Nulls don't count.
+
+    Equal values are counted first. A group is cut into ranges of about equal numbers of values (any cuts give the same
+    result); the counts of the ranges tell which one holds a rank, and each is sorted by itself.
+    """
+    one = F.lit(0).alias("_all")
+    counted = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_value")).agg(F.count("*").alias("_n")).withColumn("_all", one)
+    group = ["_all", *by]
+    cuts = counted.groupBy(*group).agg(F.percentile_approx("_value", [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("_cuts"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    placed = counted.alias("l").join(cuts.alias("r"), same).select("l.*", F.size(F.filter(F.array_distinct("_cuts"), lambda x: x < F.col("_value"))).alias("_range"))
+    sums = placed.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"))
+    upto = W.partitionBy(*group)  # RANGES rows a group
+    sums = sums.select(*group, "_range", (F.sum("_size").over(upto.orderBy("_range")) - F.col("_size")).alias("_before"), F.sum("_size").over(upto).alias("_total"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_range"]]
+    rows = placed.alias("l").join(sums.alias("r"), same).select("l.*", "_before", "_total")
+    last = F.col("_before") + F.sum("_n").over(W.partitionBy(*group, "_range").orderBy("_value"))
+    rows = rows.withColumn("_last", last)
+    rank = lambda p: F.floor(F.lit(p / 100.0) * (F.col("_total") - 1) + 0.5)
+    at = lambda p: F.max(F.when((rank(p) < F.col("_last")) & (rank(p) >= F.col("_last") - F.col("_n")), F.col("_value")))
+    return rows.groupBy(*group).agg(*[F.coalesce(at(p), F.lit(0.0)).alias(f"p{p:g}") for p in wanted]).drop("_all")
 
 
 def perplexity(tokens: DataFrame, context: int) -> DataFrame:
@@ -83,16 +118,19 @@ def load_summary(records: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.when(ok, F.col("done") - F.col("arrival")).alias("e2e"),
     )
 
-    def pct(column: str, p: float) -> Column:
-        values = F.array_sort(F.collect_list(column))
-        return F.coalesce(F.get(values, F.floor(F.lit(p / 100.0) * (F.size(values) - 1) + 0.5).cast("int")), F.lit(0.0))
-
     seconds = F.max("done") - F.min("arrival")
-    return rows.groupBy(*by).agg(
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("requests"),
         F.sum((~F.col("ok")).cast("long")).alias("failed"),
         seconds.alias("duration"),
         F.sum("tokens").cast("long").alias("output_tokens"),
         F.sum(F.col("tokens") + F.col("prompt")).cast("long").alias("total_tokens"),
-        *[pct(c, p).alias(f"{c}_p{p}") for c, ps in (("ttft", (50, 90, 99)), ("tpot", (50, 99)), ("e2e", (50, 99))) for p in ps],
     )
+    parts = {"ttft": (50, 90, 99), "tpot": (50, 99), "e2e": (50, 99)}
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("_metric"), F.col(c).alias("_x")) for c in parts))).alias("m")).select(*by, "m.*")
+    found = percentiles(long, [*by, "_metric"], "_x", [50, 90, 99])
+    picked = found.groupBy(*by).agg(*[F.max(F.when(F.col("_metric") == c, F.col(f"p{p}"))).alias(f"{c}_p{p}") for c, ps in parts.items() for p in ps])
+    names = [f"{c}_p{p}" for c, ps in parts.items() for p in ps]
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or F.lit(True)
+    joined = sums.alias("l").join(picked.alias("r"), same, "left")
+    return joined.select("l.*", *[F.coalesce(F.col(f"r.{c}"), F.lit(0.0)).alias(c) for c in names])

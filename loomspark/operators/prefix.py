@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType
+
+
+def chained(prompts: DataFrame, block: int) -> DataFrame:
+    """`prompts` (req_id, arrival, tokens: array<string>) to (req_id, arrival, keys), the key of the prefix up to the end of each full block that doesn't
+    hold the last token: a digest of 128 bits of the key before and the block's tokens, each with its length."""
+
+    def each(batches):
+        for batch in batches:
+            out = []
+            for tokens in batch.column(2).to_pylist():
+                keys, key = [], b""
+                for i in range(block, len(tokens or ()), block):
+                    parts = [(x or "").encode() for x in tokens[i - block : i]]
+                    key = hashlib.blake2b(key + b"".join(len(x).to_bytes(4, "little") + x for x in parts), digest_size=16).digest()
+                    keys.append(key)
+                out.append(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["req_id", "arrival", "keys"])
 
-from loomspark.functions.vector import let
+    rows = prompts.select("req_id", "arrival", F.col("tokens").cast("array<string>").alias("tokens"))
+    return rows.mapInArrow(each, rows.select("req_id", "arrival").schema.add("keys", ArrayType(BinaryType())))
 
 
 def block_hits(prompts: DataFrame, block: int) -> DataFrame:
     """`prompts` (req_id, arrival, tokens) to (req_id, blocks, hits, cached_tokens).
 
-    A full block is found if an earlier request (by arrival, then req_id) had the same prefix up to its end; hits are the
-    leading run of those. The block that holds the last token is never taken from the cache. Prefixes are told apart by a
-    96-bit hash chain over the whole prefix, and the earliest request of each is a pre-aggregated minimum.
+    A full block is found if an earlier request (by arrival, then req_id) had the same prefix up to its end, and then so are all
+    blocks before it. The block that holds the last token is never taken from the cache. Keys that one request has are
+    dropped after a pre-aggregated count; the few that are left meet their requests in a join that AQE splits where a key is hot.
     """
-    rows = prompts.select("req_id", "arrival", "tokens", F.floor((F.size("tokens") - 1) / block).cast("int").alias("blocks"))
-
-    def chain(tokens: Column) -> Column:
-        """Each link hashes the one before with the block's own tokens, twice to 96 bits."""
-        ends = F.when(F.col("blocks") > 0, F.sequence(F.lit(1), F.col("blocks"))).otherwise(F.array().cast("array<int>"))
-        hashes = F.transform(ends, lambda i: F.struct(F.xxhash64(F.slice(tokens, (i - 1) * block + 1, block)).alias("a"), F.hash(F.slice(tokens, (i - 1) * block + 1, block)).cast("long").alias("b")))
-        step = lambda links, h: F.concat(links, F.array(let(F.element_at(links, -1), lambda last: F.struct(F.xxhash64(last["a"], h["a"]).alias("a"), F.hash(last["b"], h["b"]).cast("long").alias("b")))))
-        seed = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-        return F.slice(F.aggregate(hashes, seed, step), F.lit(2), F.col("blocks"))
-
-    keys = rows.withColumn("chain", let(F.col("tokens"), chain))
-    each = keys.select("req_id", "arrival", F.posexplode("chain").alias("i", "key"))
-    first = each.groupBy("i", "key").agg(F.min(F.struct("arrival", "req_id")).alias("first"))
-    found = each.join(first, ["i", "key"]).select("req_id", "i", (F.col("first.req_id") != F.col("req_id")).alias("hit"))
-    missed = found.where("not hit").groupBy("req_id").agg(F.min("i").alias("miss"))
-    out = rows.select("req_id", F.col("blocks").cast("long").alias("blocks")).join(missed, "req_id", "left")
-    return out.select("req_id", "blocks", F.coalesce(F.col("miss").cast("long"), F.col("blocks")).alias("hits")).withColumn("cached_tokens", F.col("hits") * block)
+    rows = chained(prompts, block)
+    each = rows.select("req_id", "arrival", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.min(F.struct("arrival", "req_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = each.join(shared, "key").where(F.struct("arrival", "req_id") > F.col("first")).groupBy("req_id").agg(F.count("*").alias("hits"))
+    out = rows.select("req_id", F.size("keys").cast("long").alias("blocks")).join(hits, "req_id", "left")
+    return out.select("req_id", "blocks", F.coalesce("hits", F.lit(0).cast("long")).alias("hits")).withColumn("cached_tokens", F.col("hits") * block)

@@ -1,4 +1,4 @@
-"""Token ids of text: pieces are split by expression, distinct pieces encoded once, and the ids joined back."""
+"""Token ids of text: pieces are split by expression, and encoded in the same task, each distinct one once."""
 
 from __future__ import annotations
 
@@ -7,24 +7,33 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomspark.functions.text import gpt2_split
-from loomspark.functions.unicode import bert_clean, bert_words
+from loomspark.functions.unicode import bert_clean, bert_words, bert_words_of
+
+#: Pieces that a task remembers.
+MEMORY = 200_000
 
 
 def encoded(docs: DataFrame, pieces, encode: Callable[[], Callable[[list[str]], list[list[int]]]]) -> DataFrame:
     """`docs` (doc_id, text) to (doc_id, ids). `pieces` maps the text column to an array of pieces; `encode()` is called once a task and
-    gives the ids of a list of pieces. Texts without pieces have no ids."""
+    gives the ids of a list of pieces. Texts without pieces have no ids. No row leaves its task."""
 
     def each(batches):
-        run = encode()
+        run, known = encode(), {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["piece", "ids"])
+            lists = batch.column(1).to_pylist()
+            new = list({x for pieces_ in lists for x in pieces_ or () if x not in known})
+            if len(known) + len(new) > MEMORY:
+                known.clear()
+                new = list({x for pieces_ in lists for x in pieces_ or ()})
+            known.update(zip(new, run(new)))
+            ids = [[i for x in pieces_ or () for i in known[x]] for pieces_ in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    rows = docs.select("doc_id", F.posexplode(pieces(F.col("text"))).alias("i", "piece"))
-    known = rows.select("piece").distinct().mapInArrow(each, "piece string, ids array<int>")
-    joined = rows.join(known, "piece").groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = docs.select("doc_id", pieces(F.col("text")).alias("pieces"))
+    return rows.mapInArrow(each, docs.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def byte_bpe(docs: DataFrame, path: str) -> DataFrame:
@@ -60,3 +69,9 @@ def word_pieces(docs: DataFrame, vocabulary: dict[str, int], most: int = 512, lo
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = encoded(docs, lambda text: bert_words(bert_clean(text, lower)), lambda: lambda pieces: [longest_match(w, held.value, unknown) for w in pieces])
     return rows.select("doc_id", F.concat(F.slice(F.concat(F.array(F.lit(cls)), "ids"), 1, max(most - 1, 1)), F.array(F.lit(sep))).alias("ids"))
+
+
+def word_cost(vocabulary: dict[str, int], lower: bool = True) -> Callable[[str], int]:
+    """Word pieces of a word: what it costs in a passage (`chunk.by_cost`)."""
+    unknown = vocabulary["[UNK]"]
+    return lambda word: sum(len(longest_match(x, vocabulary, unknown)) for x in bert_words_of(word, lower))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import trimmed
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank lines are skipped; a line that isn't JSON ends the read."""
@@ -20,7 +22,7 @@ def string_field(column: str) -> Column:
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Lines {_id, title, text} to (doc_id, text), title and text joined and trimmed."""
     rows = json_lines(spark, path, "_id string, title string, text string")
-    return rows.select(string_field("_id").alias("doc_id"), F.trim(F.concat(string_field("title"), F.lit(" "), string_field("text"))).alias("text"))
+    return rows.select(string_field("_id").alias("doc_id"), trimmed(F.concat(string_field("title"), F.lit(" "), string_field("text"))).alias("text"))
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +59,7 @@ def question_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """One prompt a line that isn't blank."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("prompt"))
+    return spark.read.text(path).where(trimmed(F.col("value")) != "").select(F.col("value").alias("prompt"))
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
