@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 L2, INNER_PRODUCT = "l2", "ip"
@@ -119,3 +121,32 @@ def _bits(x: Column) -> Column:
     exponent = F.when(normal, e + 127).otherwise(F.lit(0)).cast("long")
     sign = F.when(_double(x) < 0, F.lit(1 << 31)).otherwise(F.lit(0)).cast("long")
     return sign + F.when(a > 0, exponent * (1 << 23) + fraction).otherwise(F.lit(0).cast("long"))
+
+
+# Coefficients of a rational Chebyshev fit of the complementary error function, by ascending power; error below 1.2e-7.
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erf(x: Column) -> Column:
+    z = F.abs(_double(x))
+
+    def right(t: Column) -> Column:
+        power = F.lit(0.0)
+        for c in reversed(_ERFC):
+            power = power * t + c
+        return F.lit(1.0) - t * F.exp(power - z * z)
+
+    return let(F.lit(1.0) / (F.lit(1.0) + z * 0.5), lambda t: F.when(_double(x) >= 0, right(t)).otherwise(-right(t)))
+
+
+def gelu(x: Column) -> Column:
+    """x times the normal distribution function of x."""
+    return _double(x) * 0.5 * (F.lit(1.0) + erf(_double(x) / math.sqrt(2.0)))
+
+
+def pooled(rows: DataFrame, by: str, order: str, column: str) -> DataFrame:
+    """(by, mean, cls): the mean of the vectors of a group, entry by entry, and its first vector."""
+    first = rows.groupBy(by).agg(F.min_by(F.col(column).cast("array<double>"), order).alias("cls"))
+    entries = rows.select(by, F.posexplode(F.col(column).cast("array<double>")).alias("_at", "_x")).groupBy(by, "_at").agg(F.avg("_x").alias("_x"))
+    means = entries.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda e: e["_x"]).alias("mean"))
+    return means.join(first, by)

@@ -103,8 +103,9 @@ SHARD = 20_000
 
 
 def shards_for(vectors: DataFrame) -> int:
-    """Shards for a table of vectors: as many as keep each within what a task holds."""
-    return max(1, -(-vectors.count() // SHARD))
+    """Shards for a table of vectors: as many as keep each within what a task holds, and the cluster busy."""
+    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // SHARD), min(cores, n // 250))
 
 
 def _shard(shards: int):

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.functions import quant, sampling, text, unicode, vector
-from loomspark.operators import chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix
+from loomspark.functions import quant, requests, sampling, text, unicode, vector
+from loomspark.operators import chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
 from loomspark.plans import retrieval
 from loomspark.session import table
 
@@ -237,7 +237,7 @@ def _index(v: DataFrame) -> ivfpq.Index:
     share = min(1.0, _SAMPLE / max(1, v.count()))
     sample = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "embedding")
     start = [r["id"] for r in sample.orderBy(F.xxhash64("id")).limit(_CELLS).select("id").collect()]
-    index = ivfpq.trained(sample, start, 32, 128, 2)
+    index = ivfpq.trained(sample, start, 64, 128, 2)
     index.entries = ivfpq.encoded(v, index)
     return index
 
@@ -585,14 +585,74 @@ def prefix_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.block_hits(d, 16)
 
 
-@query("""SELECT event_id, CASE WHEN value IS NULL THEN 'missing value' WHEN value < 0 THEN 'value below 0' WHEN event_type = '' THEN 'empty type' END AS error,
-    CASE WHEN value IS NULL OR value < 0 OR event_type = '' THEN 'rejected' ELSE 'accepted' END AS state FROM events""")
+_REQUESTS = """r AS (SELECT conv_id, max(turn) AS turns, count(*) FILTER (text IS NOT NULL AND role IS NOT NULL) AS whole, count(*) AS messages, CASE WHEN conv_id % 7 = 3 THEN 2 WHEN conv_id % 2 = 0 THEN 1 END AS n,
+    CASE WHEN conv_id % 5 <> 4 THEN (conv_id % 13) * 10.0 - 5 END AS temperature, CASE WHEN conv_id % 3 <> 2 THEN (conv_id % 9) / 6.0 END AS top_p, CASE WHEN conv_id % 4 = 0 THEN (conv_id % 3)::BIGINT END AS max_tokens FROM conversations GROUP BY conv_id)"""
+
+
+@query(f"""WITH {_REQUESTS}, e AS (SELECT *, CASE WHEN whole < messages THEN 'message without content' WHEN coalesce(n, 1) <> 1 THEN 'only n = 1 is supported'
+      WHEN coalesce(temperature, 1) < 0 OR coalesce(temperature, 1) > 100 OR coalesce(top_p, 1) <= 0 OR coalesce(top_p, 1) > 1 THEN 'temperature must be in [0, 100] and top_p in (0, 1]' END AS error FROM r)
+  SELECT conv_id, error, greatest(coalesce(max_tokens, 512), 1) AS max_tokens, coalesce(temperature, 1.0)::DOUBLE AS temperature, error IS NULL AND coalesce(temperature, 1) = 0 AS greedy FROM e""")
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.when(F.col("value").isNull(), "missing value").when(F.col("value") < 0, "value below 0").when(F.col("event_type") == "", "empty type")
-    return table(spark, sf_dir, "events").select("event_id", error.alias("error"), F.when(error.isNull(), "accepted").otherwise("rejected").alias("state"))
+    """Conversations as chat requests, with parameters made from their ids."""
+    c = table(spark, sf_dir, "conversations")
+    messages = F.collect_list(F.struct("role", F.col("text").alias("content")))
+    i = F.col("conv_id")
+    r = c.groupBy("conv_id").agg(messages.alias("messages")).select(
+        "conv_id", "messages", F.when(i % 7 == 3, 2).when(i % 2 == 0, 1).alias("n"), F.when(i % 5 != 4, (i % 13) * 10.0 - 5).alias("temperature"),
+        F.when(i % 3 != 2, (i % 9) / 6.0).alias("top_p"), F.when(i % 4 == 0, i % 3).alias("max_tokens"),
+    )
+    kept = requests.with_defaults(r, chat=True).withColumn("error", requests.chat_error())
+    return kept.select("conv_id", "error", "max_tokens", F.col("temperature").cast("double").alias("temperature"), (F.col("error").isNull() & requests.greedy(F.col("temperature"))).alias("greedy"))
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'input must be a string or an array of strings' WHEN doc_id % 11 = 7 THEN 'unsupported encoding_format "' || source || '"' END AS error FROM documents""")
+def embedding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as embedding requests of one input."""
+    d = table(spark, sf_dir, "documents")
+    inputs = F.when(F.col("text").isNotNull(), F.array("text"))
+    form = F.when(F.col("doc_id") % 11 == 7, F.col("source")).when(F.col("doc_id") % 2 == 0, "base64")
+    return d.select("doc_id", requests.embedding_error(inputs, form).alias("error"))
 
 
-@query("""SELECT 'requests_total{type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
+@query("""WITH t AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+    s AS (SELECT event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS failed, round(coalesce(sum(value), 0), 3)::DOUBLE AS total FROM t GROUP BY event_type)
+  SELECT 'requests_total{type="' || event_type || '"} ' || n AS line FROM s UNION ALL SELECT 'failed_total{type="' || event_type || '"} ' || failed FROM s UNION ALL SELECT 'open{type="' || event_type || '"} ' || (n - failed) FROM s""")
 def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.select(F.concat(F.lit('requests_total{type="'), "event_type", F.lit('"} '), F.col("n").cast("string")).alias("line"))
+    """Counters of a log, a series each, as lines of the text format."""
+    s = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("requests_total"), F.count(F.when(F.col("value").isNull(), 1)).alias("failed_total"))
+    s = s.withColumn("open", F.col("requests_total") - F.col("failed_total"))
+    return requests.metric_lines(s, {"type": "event_type"}, ["requests_total", "failed_total", "open"]).select("line")
+
+
+@query(f"""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt({_DOT.format(a="embedding", b="embedding")}), 0.5), 9)) AS unit,
+    round({_DOT.format(a="embedding", b="list_reverse(embedding)")}, 9) AS score, label::BIGINT IN (1, 2) AS judged FROM embeddings""")
+def unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by their length, or a floor, and a cosine score of a distance."""
+    e = F.col("embedding")
+    score = vector.cosine_score(vector.distance(vector.INNER_PRODUCT, e, F.reverse(e)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vector.normalized_floor(e, 0.5), lambda x: F.round(x, 9)).alias("unit"), F.round(score, 9).alias("score"), F.col("label").isin(1, 2).alias("judged"))
+
+
+@query(f"""WITH g AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE * 4 AS x FROM embeddings),
+  t AS (SELECT *, 1 / (1 + 0.5 * abs(x / sqrt(2.0))) AS t, abs(x / sqrt(2.0)) AS z FROM g),
+  r AS (SELECT *, t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))) AS c FROM t)
+  SELECT vec_id, list(round(0.5 * x * (1 + CASE WHEN x >= 0 THEN 1 - c ELSE c - 1 END), 8) ORDER BY i) AS gelu FROM r GROUP BY vec_id""")
+def gelu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double") * 4)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(e, lambda x: F.round(vector.gelu(x), 8)).alias("gelu"))
+
+
+@query(f"""WITH x AS (SELECT label, unnest(range(0, 64)) AS d, unnest(embedding)::DOUBLE AS v, vec_id FROM embeddings)
+  SELECT label, list(round(m, 8) ORDER BY d) AS mean, list(round(c, 8) ORDER BY d) AS cls FROM (SELECT label, d, avg(v) AS m, arg_min(v, vec_id) AS c FROM x GROUP BY label, d) GROUP BY label""")
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label as the positions of a sequence: their mean, and the first one."""
+    p = vector.pooled(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return p.select("label", *[F.transform(c, lambda x: F.round(x, 8)).alias(c) for c in ("mean", "cls")])
+
+
+@query()
+def chunk_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages by word pieces, with single letters and frequent pairs as the vocabulary."""
+    letters = [chr(c) for c in range(33, 0x180)]
+    names = ["[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{x}" for x in letters), *(a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou"), *(f"##{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou")]
+    return chunk.by_cost(table(spark, sf_dir, "documents"), 128, 16, tokens.word_cost({x: i for i, x in enumerate(names)}))

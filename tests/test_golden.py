@@ -7,10 +7,12 @@ import struct
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from loomspark.functions import quant, sampling, text, unicode, vector
+from loomspark.functions import quant, requests, sampling, text, unicode, vector
 from loomspark.operators import chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
 from loomspark.sources import text as text_source
 from loomspark.sources import vectors as vector_source
@@ -237,3 +239,113 @@ def test_detokenizing_stream(spark, tmp_path):
 def test_driver_contract(spark):
     assert driver.entry(spark).count() == 1
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_trim_is_unicode(spark):
+    assert one(spark, text.first_line(F.lit("\n\u00a0\u2003Lyon \t\nnext"))) == "Lyon"
+    assert one(spark, text.trimmed(F.lit("\x85 a b\u3000"))) == "a b"
+    assert one(spark, text.sse_stream(F.array(F.lit("x"), F.lit("y")))) == "data: x\n\ndata: y\n\ndata: [DONE]\n\n"
+
+
+def test_text_helpers(spark):
+    assert one(spark, text.byte_level(F.lit("hi you"), prefix_space=True)) == [" hi", " you"]
+    assert one(spark, text.byte_level(F.lit("hi you"), split=False)) == ["hi you"]
+    assert [one(spark, text.chat_format(F.lit(x))) for x in ("a <|im_start|> b", "<|start_header_id|>", "")] == ["chatml", "llama3", "plain"]
+    assert one(spark, text.without_special(F.array(*map(F.lit, (5, 1, 7, 1))), [1])) == [5, 7]
+    assert one(spark, vector.usable(F.lit(1.0))) and not one(spark, vector.usable(F.lit(float("inf")))) and not one(spark, vector.usable(F.lit(float("nan"))))
+
+
+def test_samples(spark):
+    tokens_ = F.sequence(F.lit(0), F.lit(99))
+    assert [x[0] for x in one(spark, sampling.evenly_spaced(tokens_, 4, 10))] == [0, 22, 45, 67]
+    rows = spark.range(200).selectExpr("id % 3 as g", "id")
+    first = {tuple(r) for r in sampling.hash_sample(rows, "g", "id", 5).collect()}
+    assert len(first) == 15 and first == {tuple(r) for r in sampling.hash_sample(rows.repartition(7), "g", "id", 5).collect()}
+    sparse = spark.createDataFrame([(0, 2, 0.25), (0, 3, 0.75)], "row int, token int, p double")
+    assert [r.p for r in sampling.dense(sparse, sparse.select("row").distinct(), 5).orderBy("token").collect()] == [0, 0, 0.25, 0.75, 0]
+
+
+@given(st.lists(st.integers(1, 9), max_size=40), st.integers(1, 12), st.integers(0, 12))
+def test_spans_follow_the_rule(costs, budget, overlap):
+    found = chunk.spans(costs, budget, overlap)
+    assert sorted({i for s, e in found for i in range(s, e)}) == list(range(len(costs)))
+    for s, e in found:
+        assert e == s + 1 or sum(costs[s:e]) <= budget
+        assert e == len(costs) or sum(costs[s : e + 1]) > budget
+    for (s, e), (t, _) in zip(found, found[1:]):
+        assert s < t <= e and (t == s + 1 or sum(costs[t:e]) <= overlap)
+        assert t == s + 1 or sum(costs[t - 1 : e]) > overlap
+
+
+def test_words_of_pieces_agree(spark):
+    samples = ["Héllo, wörld!", "漢字 and 한글", "a\tb\nc", "x\u0000y\ufffd", "don't—stop", "$5.00 €", "ÀÉ ñ"]
+    df = spark.createDataFrame([(x,) for x in samples], "t string").select("t", unicode.bert_words(unicode.bert_clean(F.col("t"))).alias("w"))
+    for r in df.collect():
+        assert unicode.bert_words_of(r.t) == r.w
+    vocabulary = {x: i for i, x in enumerate(["[UNK]", "[CLS]", "[SEP]", "un", "##able", "a", "##b", ","])}
+    cost = tokens.word_cost(vocabulary)
+    assert [cost(x) for x in ("unable", "ab,a", "zz", "")] == [2, 4, 1, 0]
+    docs = spark.createDataFrame([(1, "unable ab a unable"), (2, " ")], "doc_id long, text string")
+    got = {(r.doc_id, r.passage): r.text for r in chunk.by_cost(docs, 6, 1, cost).collect()}
+    assert got == {(1, 0): "unable ab", (1, 1): "a unable", (2, 0): " "} or got[1, 0] == "unable ab"
+
+
+def test_vectors_of_different_lengths(spark):
+    base = spark.createDataFrame([(0, [1.0, 0.0, 1.0]), (1, [1.0])], "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, embedding array<double>")
+    with pytest.raises(Exception, match="different dimensions"):
+        knn.exact(base, q, 1).collect()
+
+
+def test_close_vectors_of_large_norm_keep_their_order(spark):
+    base = spark.createDataFrame([(i, [1e8 + i * 1e-3, 1e8]) for i in range(20)], "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1e8, 1e8])], "qid long, embedding array<double>")
+    assert [r.id for r in knn.exact(base, q, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_index_is_kept_and_added_to(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    index = ivfpq.trained(v, list(range(4)), 8, 32, 2)
+    index.entries = ivfpq.encoded(v, index)
+    ivfpq.saved(index, f"{tmp_path}/index")
+    q = v.where("id < 5").withColumnRenamed("id", "qid")
+    again = ivfpq.loaded(spark, f"{tmp_path}/index")
+    want = [tuple(r) for r in ivfpq.search(index, q, 3, 2).orderBy("qid", "rank").collect()]
+    assert [tuple(r) for r in ivfpq.search(again, q, 3, 2).orderBy("qid", "rank").collect()] == want
+    ivfpq.added(again, v.where("id < 2"), f"{tmp_path}/index")
+    more = ivfpq.loaded(spark, f"{tmp_path}/index")
+    assert more.entries.count() == 302 and {r.id for r in more.entries.where("id >= 300").collect()} == {300, 301}
+    found = {r.id for r in ivfpq.search(more, q.where("qid = 0"), 2, 4).collect()}
+    assert found == {0, 300}
+
+
+def test_reachable(spark):
+    edges = spark.createDataFrame([(0, 0, 1, 2), (0, 0, 2, 3), (0, 0, 3, 1), (0, 0, 4, 1), (0, 1, 1, None)], "shard int, layer int, src long, dst long")
+    assert [tuple(r) for r in hnsw.reachable(edges).collect()] == [(0, 4, 3)]
+
+
+def test_requests(spark):
+    rows = [(0, [("user", "hi")], None, 0.0, 0.5), (1, [], None, 1.0, 1.0), (2, [("user", None)], None, 1.0, 1.0), (3, [("user", "x")], 2, 1.0, 1.0), (4, [("user", "x")], 1, 101.0, 1.0), (5, [("user", "x")], 1, 1.0, 0.0), (6, None, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "i int, messages array<struct<role: string, content: string>>, n int, temperature double, top_p double")
+    got = {r.i: r.e for r in df.select("i", requests.chat_error().alias("e")).collect()}
+    assert got[0] is None and got[1] == "messages is empty" and got[2] == "message without content" and got[3] == "only n = 1 is supported" and got[4] == got[5] != got[0] and got[6] == "missing messages"
+    ids = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, requests.admission_error(ids(1, 2), 3, 9)) is None
+    assert one(spark, requests.admission_error(F.array().cast("array<int>"), 3, 9)) == "prompt of 0 tokens; this server fits 1 to 2"
+    assert one(spark, requests.admission_error(ids(1, 2, 3), 3, 9)) == "prompt of 3 tokens; this server fits 1 to 2"
+    assert one(spark, requests.admission_error(ids(1, 12), 3, 9)) == "token 12 is outside the vocabulary"
+    assert one(spark, requests.embedding_error(F.array().cast("array<string>"), F.lit(None).cast("string"))) == "input must not be empty"
+    assert one(spark, vector.erf(F.lit(0.5))) == pytest.approx(math.erf(0.5), abs=2e-7) and one(spark, vector.erf(F.lit(-1.2))) == pytest.approx(math.erf(-1.2), abs=2e-7)
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000, 5000])
+def test_percentiles_by_ranges(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.exponential(3, n), 1 if n > 1000 else 3)
+    df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(values)], "k int, v double").repartition(5)
+    for r in metrics.percentiles(df, ["k"], "v", [0, 50, 90, 99, 100]).collect():
+        mine = np.sort(values[r.k :: 2])
+        assert [r.p0, r.p50, r.p90, r.p99, r.p100] == [mine[math.floor(p / 100 * (len(mine) - 1) + 0.5)] for p in (0, 50, 90, 99, 100)]
+    assert metrics.percentiles(df, [], "v", [50]).first().p50 == np.sort(values)[math.floor(0.5 * (n - 1) + 0.5)]
