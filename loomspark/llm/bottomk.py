@@ -79,11 +79,11 @@ def _compare(k: int, words: int):
         edited = _edited(text, after)
         raw = edited.encode()
         other = sketch(raw, k, words)
-        return (doc_id, len(text), hashlib.sha256(raw).hexdigest(), encoded(mine), encoded(other), resemblance(mine, other, k), resemblance(mine, theirs, k), distinct(mine, k))
+        return (doc_id, len(text), hashlib.sha256(raw).hexdigest(), encoded(mine), encoded(other), resemblance(mine, other, k), resemblance(mine, theirs, k), distinct(mine, k), containment(other, mine, k))
 
     def batch_of(out):
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "edited_within"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     def each(batches):
@@ -131,12 +131,12 @@ def _sent(bounds: np.ndarray, before: dict[int, int]):
 
 def compared(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """`docs` (doc_id, text) to one row each: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_distinct.
+    near_edited, near_next, n_distinct (distinct shingles, estimated), edited_within (share of the edited text's shingles that the text has).
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document by
     ascending doc_id, the first one after the last; a single document is next to itself. Null is an empty
     text; empty texts have an empty fingerprint and are alike. Rows with equal doc_id follow each other in an order
-    fixed by their texts; other columns are ignored; an empty table gives no rows.
+    fixed by their texts; other columns, of any name, are ignored; an empty table gives no rows; a long text is hashed in one task.
 
     Documents are dealt out once, in blocks of neighbouring ids; the first document of each block also goes
     to the block before, as what follows its last.
@@ -150,4 +150,4 @@ def compared(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     before = {r["row"]: firsts[i - 1]["block"] for i, r in enumerate(firsts)}
     dealt = known.select("row", "doc_id", "data").mapInArrow(_sent(bounds, before), "block long, copy int, row long, doc_id long, data binary")
     dealt = dealt.repartition(width(spark), "block").sortWithinPartitions("block", "copy", "row").select("block", "copy", "doc_id", "data")
-    return dealt.mapInArrow(_compare(k, words), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double")
+    return dealt.mapInArrow(_compare(k, words), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, edited_within double")

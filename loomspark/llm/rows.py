@@ -25,8 +25,10 @@ def quoted(name: str) -> str:
 def ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
     """`df` with `name`, its position from 0 by the columns `order`: rows are dealt out by range, numbered in
     each range, and the counts of the ranges before are added (one small row a range)."""
-    spark, at, part, before = df.sparkSession, *(unused(df, x) for x in ("_at", "_part", "_before"))
-    dealt = df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
+    spark, at, part, before, tie = df.sparkSession, *(unused(df, x) for x in ("_at", "_part", "_before", "_tie"))
+    # rows that are equal in all of `order` may be very many: their place in the input tells them apart, so they spread over ranges
+    df = df.withColumn(tie, F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(width(spark), *order, tie).sortWithinPartitions(*order, tie).drop(tie)
     dealt = written(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked")
     sizes = dealt.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias("n"))
     # one row a range, so this window without keys holds as many rows as the shuffle has partitions

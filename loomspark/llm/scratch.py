@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of its own is set, and removed in the end."""
+    """spark.checkpoint.dir of the session. Where it is unset, a session on one machine (as in tests) gets a folder of its own, removed in
+    the end; on a cluster, whose executors would each write to their own disk, that is an error."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         own = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         have = f"file://{own}"

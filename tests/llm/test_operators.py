@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspark.llm import bottomk, bytescan, chaining, components, cutting, decontam, langid, licenses, nearcopies, packing, radix, rows, sharding, simhash, tokencount
+from loomspark.llm import bottomk, bytescan, chaining, components, cutting, decontam, langid, licenses, nearcopies, packing, radix, rows, scratch, sharding, simhash, tokencount
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -64,6 +64,22 @@ def test_numbered_rows_are_unique_and_ascend(odd, docs):
     assert all(r["row"] == r["doc_id"] for r in rows.numbered(docs).collect())
 
 
+def test_columns_of_any_name_are_kept(spark, odd):
+    wide = odd.selectExpr("*", "1 as row", "2 as ROW_", "3 as spans", "4 as most", "5 as _text", "6 as _hit", "7 as _data", "8 as _at", "9 as _part", "10 as group", "11 as _tie")
+    items = spark.createDataFrame([(1, "lost words of nobody at all in any text of this table")], "item_id long, text string")
+    for out in (nearcopies.representatives(wide), chaining.without_passages(wide), decontam.cleaned(wide, items), langid.identified(wide)):
+        assert out.columns == wide.columns
+        assert {(r["row"], r["ROW_"], r["spans"], r["most"], r["_text"], r["_hit"], r["_data"], r["_at"], r["_part"], r["group"], r["_tie"]) for r in out.collect()} == {tuple(range(1, 12))}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        conf = {"spark.master": "spark://there:7077"}
+
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_folder(Session())
+
+
 def test_cut():
     assert cutting.cut("One two, three. four".encode(), [{"start": 1, "end": 3}]) == b"One four"
     assert cutting.cut(b"a b", [{"start": 0, "end": 9}]) is None
@@ -204,6 +220,7 @@ def test_bottom_k(docs, odd, empty):
         assert abs(r.near_edited - exact) < 0.2
         if len(a | b) <= bottomk.K:
             assert r.near_edited == pytest.approx(exact)
+            assert r.edited_within == pytest.approx(len(a & b) / len(b) if b else 1.0) and r.n_distinct == len(a)
     same = {}
     for r in bottomk.compared(odd).collect():
         same.setdefault(r.fingerprint, set()).add(r.doc_id)
