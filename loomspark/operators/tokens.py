@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from loomspark.functions.text import gpt2_split
 from loomspark.functions.unicode import bert_clean, bert_words, bert_words_of
+from loomspark.operators import bpe
 
 #: Pieces that a task remembers.
 MEMORY = 200_000
@@ -37,15 +38,20 @@ def encoded(docs: DataFrame, pieces, encode: Callable[[], Callable[[list[str]],
 
 
 def byte_bpe(docs: DataFrame, path: str) -> DataFrame:
-    """Ids by a byte-level BPE file of the tokenizers library."""
-
-    def encode():
-        from tokenizers import Tokenizer
-
-        run = Tokenizer.from_file(path)
-        return lambda pieces: [x.ids for x in run.encode_batch(pieces, add_special_tokens=False)]
-
-    return encoded(docs, gpt2_split, encode)
+    """`docs` (doc_id, text) to (doc_id, ids) by a byte-level BPE file, without the ids that begin a text."""
+    return bpe.encoded(docs, bpe.load(path))
+
+
+def word_piece_file(content: str) -> tuple[dict[str, int], bool]:
+    """A tokenizer file (JSON) of the word-piece kind to its vocabulary and whether it lower-cases; anything else is an error."""
+    head = json.loads(content)
+    model, normalizer = head.get("model") or {}, head.get("normalizer") or {}
+    if model.get("type") != "WordPiece" or model.get("continuing_subword_prefix", "##") != "##":
+        raise ValueError("not a WordPiece tokenizer file")
+    vocabulary = model.get("vocab") or {}
+    if lacking := [x for x in ("[UNK]", "[CLS]", "[SEP]") if x not in vocabulary]:
+        raise ValueError(f"the vocabulary lacks {', '.join(lacking)}")
+    return vocabulary, bool(normalizer.get("lowercase", True))
 
 
 def longest_match(word: str, vocabulary: dict[str, int], unknown: int, most: int = 100) -> list[int]:

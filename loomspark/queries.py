@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions import quant, requests, sampling, text, unicode, vector
-from loomspark.operators import chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
+from loomspark.operators import bpe, chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
 from loomspark.plans import retrieval
 from loomspark.session import table
 
@@ -656,3 +656,14 @@ def chunk_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = [chr(c) for c in range(33, 0x180)]
     names = ["[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{x}" for x in letters), *(a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou"), *(f"##{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou")]
     return chunk.by_cost(table(spark, sf_dir, "documents"), 128, 16, tokens.word_cost({x: i for i, x in enumerate(names)}))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to the ids of a public byte-level vocabulary and back."""
+    import public_tokenizers
+
+    tokenizer = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = bpe.decoded(bpe.encoded(docs, tokenizer), tokenizer, special=True).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"))
