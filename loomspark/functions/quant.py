@@ -88,3 +88,52 @@ def bfloat16(bits: Column) -> Column:
     nan = (bits.bitwiseAND(F.lit(0x7F800000)) == 0x7F800000) & (bits.bitwiseAND(F.lit(0x7FFFFF)) != 0)
     rounded = F.shiftright(bits + 0x7FFF + F.shiftright(bits, 16).bitwiseAND(F.lit(1)), 16)
     return F.when(nan, F.shiftright(bits, 16).bitwiseOR(F.lit(64))).otherwise(rounded)
+
+
+#: Exponents that a search tries, and what keeps an importance above 0.
+ALPHAS = [i / 10 for i in range(11)]
+IMPORTANCE_FLOOR = 1e-8
+
+
+def _row_of(table: DataFrame, *columns: str) -> DataFrame:
+    """One row with an array a column, in order of `channel`: as many entries as a matrix has columns."""
+
+    def entries(column: str) -> Column:
+        return F.transform("_c", lambda x: x[column].cast("double")).alias(f"_{column}")
+
+    return table.agg(F.array_sort(F.collect_list(F.struct("channel", *columns))).alias("_c")).select(*map(entries, columns))
+
+
+def checked(rows: DataFrame, multiple: int = GROUP) -> DataFrame:
+    """Rows (row, values) of a matrix; a width that isn't a multiple of the group, or differs, is an error when read."""
+    right = (F.size("values") > 0) & (F.size("values") % multiple == 0)
+    return rows.withColumn("values", F.when(right, F.col("values")).otherwise(F.raise_error(F.lit(f"the width of a matrix has to be a multiple of {multiple}"))))
+
+
+def scaled_and_quantized(rows: DataFrame, scales: DataFrame, means: DataFrame, bits: int) -> DataFrame:
+    """`rows` (row, values), `scales` (channel, scale) and `means` (channel, mean_square) to (row, part, scale, codes): columns times their
+    scales, with errors weighed by mean_square / scale^2."""
+    both = _row_of(scales.join(means, "channel"), "scale", "mean_square")
+    joined = checked(rows).crossJoin(F.broadcast(both))
+    values = F.zip_with("values", "_scale", lambda v, c: v.cast("double") * c)
+    weight = F.zip_with("_mean_square", "_scale", lambda m, c: m / (c * c) + IMPORTANCE_FLOOR)
+    parts = joined.select("row", F.posexplode(F.arrays_zip(groups(values).alias("x"), groups(weight).alias("w"))).alias("part", "g"))
+    return quantized(parts.select("row", "part", F.col("g.x").alias("x"), F.col("g.w").alias("w")), "x", bits, "w").select("row", "part", "scale", "codes")
+
+
+def searched_scales(rows: DataFrame, inputs: DataFrame, bits: int) -> DataFrame:
+    """(alpha, error), the least error first: of quantizing `rows` (row, values) with the channel scales of each exponent, the mean square
+    of what the products with the sample `inputs` (embedding; a bounded number) change by. Exponent 0 scales nothing."""
+    means = channel_means(inputs)
+    sample = inputs.agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("_inputs"))
+    found = None
+    for alpha in ALPHAS:
+        scales = channel_scales(means, alpha)
+        coded = scaled_and_quantized(rows, scales, means, bits).withColumn("y", dequantized(F.col("codes"), F.col("scale")))
+        whole = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "y"))), lambda g: g["y"])).alias("y"))
+        back = whole.crossJoin(F.broadcast(_row_of(scales, "scale"))).select("row", F.zip_with("y", "_scale", lambda y, c: y / c).alias("y"))
+        off = rows.join(back, "row").crossJoin(F.broadcast(sample)).select(F.zip_with("values", "y", lambda v, y: v.cast("double") - y).alias("d"), "_inputs")
+        each = F.aggregate("_inputs", F.lit(0.0), lambda total, x: total + F.pow(F.aggregate(F.zip_with(x, "d", lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z), F.lit(2.0)))
+        row = off.select((each / F.size("_inputs")).alias("e")).agg(F.lit(alpha).alias("alpha"), F.avg("e").alias("error"))
+        found = row if found is None else found.union(row)
+    return found.orderBy("error", "alpha")

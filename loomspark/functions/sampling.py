@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,6 +49,10 @@ class Random:
         return out
 
 
+#: What a request that says nothing is sampled with; temperature 0 takes the likeliest token.
+DEFAULTS = {"temperature": 0.0, "top_p": 1.0, "top_k": 0, "seed": 0, "max_tokens": 64, "ignore_eos": False}
+
+
 def arrivals(seed: int, n: int, rate: float) -> Iterator[float]:
     """Poisson arrival times."""
     rng, t = Random(seed), 0.0
@@ -57,6 +61,23 @@ def arrivals(seed: int, n: int, rate: float) -> Iterator[float]:
         yield t
 
 
+def workload(spark: SparkSession, seed: int, n: int, rate: float, prompt: tuple[int, int], output: tuple[int, int], shared: int, vocabulary: int) -> DataFrame:
+    """A load of n requests (req_id, arrival, prompt_tokens: array<int>, max_tokens): exponential gaps that are summed up by range, lengths
+    drawn evenly between two bounds, and `shared` first tokens that all prompts have. Draws are hashes of (seed, request, use), so a request is the same
+    whatever task makes it."""
+    grains = 1 << 53
+    draw = lambda *use: F.pmod(F.xxhash64(F.lit(seed), *use), F.lit(grains)) / grains
+    between = lambda low, high, *use: (F.lit(low) + F.floor(draw(*use) * (high - low + 1))).cast("int")
+    rows = spark.range(n).select(F.col("id").alias("req_id"), (-F.log(1.0 - draw("id", F.lit("gap"))) / rate).alias("gap"), between(*prompt, "id", F.lit("prompt")).alias("size"), between(*output, "id", F.lit("output")).alias("max_tokens"))
+    part = F.floor(F.col("req_id") / 10_000)
+    sums = rows.groupBy(part.alias("part")).agg(F.sum("gap").alias("all")).select("part", (F.sum("all").over(W.orderBy("part")) - F.col("all")).alias("before"))
+    rows = rows.withColumn("part", part).join(sums, "part")
+    arrival = F.col("before") + F.sum("gap").over(W.partitionBy("part").orderBy("req_id"))
+    token = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.when(i < shared, F.lit(-1).cast("long")).otherwise(F.col("req_id")), i), F.lit(vocabulary)).cast("int")
+    tokens = F.transform(F.sequence(F.lit(0), F.greatest(F.col("size"), F.lit(1)) - 1), token)
+    return rows.select("req_id", arrival.alias("arrival"), tokens.alias("prompt_tokens"), "max_tokens")
+
+
 def distribution(logits: DataFrame, temperature: float = 1.0, top_k: int = 0, top_p: float = 1.0) -> DataFrame:
     """`logits` (row, token, logit) to (row, token, rank, p), the most probable first, equal ones by token.
 

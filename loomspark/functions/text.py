@@ -108,6 +108,13 @@ def grounded_prompt(question: Column, passages: Column) -> Column:
     return F.when(F.size(passages) > 0, F.concat(F.lit("Answer from the passages.\n\n"), numbered, F.lit("Question: "), question)).otherwise(F.concat(F.lit("Question: "), question))
 
 
+def one_shot(question: Column, passages: Column) -> Column:
+    """Messages for a question: how to answer, one worked example, and the question after its passages."""
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("text"))
+    example = F.lit("Answer from the passages.\n\n[1] The bridge was opened in May 1931.\n\nQuestion: When was the bridge opened?")
+    return F.array(said("system", F.lit("Answer with the shortest span of the passages that answers the question.")), said("user", example), said("assistant", F.lit("May 1931")), said("user", grounded_prompt(question, passages)))
+
+
 def size_bytes(literal: Column) -> Column:
     """`1G`, `256M`, `8K` or a plain number, powers of 1024; null if it isn't one."""
     unit = F.upper(F.substring(literal, -1, 1))

@@ -62,14 +62,27 @@ def train_parts(vectors: DataFrame, start: np.ndarray, rounds: int) -> np.ndarra
             counts = np.array([found.get((j, c), (0, None))[0] for c in range(len(own))], np.float64)
             for c in np.flatnonzero(counts):
                 own[c] = found[j, c][1] / counts[c]
-            for c in np.flatnonzero(counts == 0):
-                big = len(counts) - 1 - int(counts[::-1].argmax())
-                shift = 1e-4 * (1 + np.abs(own[big]))
-                own[c], own[big] = own[big] + shift, own[big] - shift
-                counts[c] = counts[big] = counts[big] / 2
+            _refill(own, counts)
     return centroids
 
 
+def _refill(cells: np.ndarray, counts: np.ndarray) -> None:
+    """Puts every empty cell beside the fullest one of the moment, which it halves; both in place."""
+    for c in np.flatnonzero(counts == 0):
+        pair = [c, np.flatnonzero(counts == counts.max())[-1]]
+        middle = cells[pair[1]]
+        cells[pair] = middle + np.multiply.outer([1, -1], 1e-4 * (1 + np.abs(middle)))
+        counts[pair] = counts[pair[1]] / 2
+
+
+def random_start(vectors: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    """The vectors of k ids, those of the least hash under a seed; fewer than k vectors are an error."""
+    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).select("embedding").collect()
+    if len(rows) < k:
+        raise ValueError(f"{k} cells need as many vectors, not {len(rows)}")
+    return np.array([r["embedding"] for r in rows], np.float64)
+
+
 def first_vectors(vectors: DataFrame, ids: list[int]) -> np.ndarray:
     """The embeddings of some ids, in that order."""
     rows = {r["id"]: r["embedding"] for r in vectors.where(F.col("id").isin(ids)).select("id", "embedding").collect()}

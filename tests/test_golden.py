@@ -349,3 +349,55 @@ def test_percentiles_by_ranges(spark, n):
         mine = np.sort(values[r.k :: 2])
         assert [r.p0, r.p50, r.p90, r.p99, r.p100] == [mine[math.floor(p / 100 * (len(mine) - 1) + 0.5)] for p in (0, 50, 90, 99, 100)]
     assert metrics.percentiles(df, [], "v", [50]).first().p50 == np.sort(values)[math.floor(0.5 * (n - 1) + 0.5)]
+
+
+def test_scaled_quantization(spark):
+    rng = np.random.default_rng(3)
+    w, x = rng.normal(size=(6, 64)), rng.normal(size=(8, 64)) * np.r_[np.full(4, 20.0), np.ones(60)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "row int, values array<double>")
+    inputs = spark.createDataFrame([(v.tolist(),) for v in x], "embedding array<double>")
+    means = quant.channel_means(inputs)
+    scales = quant.channel_scales(means, 0.5)
+    s = np.array([r.scale for r in scales.orderBy("channel").collect()])
+    got = np.zeros_like(w)
+    for r in quant.scaled_and_quantized(rows, scales, means, 4).collect():
+        got[r.row, r.part * 32 : r.part * 32 + 32] = np.array(r.codes) * r.scale
+    want = np.zeros_like(w)
+    for i in range(6):
+        for g in range(2):
+            at = slice(g * 32, g * 32 + 32)
+            v, weight, best = w[i, at] * s[at], (x[:, at] ** 2).mean(axis=0) / s[at] ** 2 + 1e-8, None
+            for clip in quant.CLIPS[4]:
+                scale = clip * np.abs(v).max() / 7
+                codes = np.clip(np.floor(np.abs(v / scale) + 0.5) * np.sign(v), -8, 7)
+                error = (weight * (v - codes * scale) ** 2).sum()
+                best = min(best or (error + 1, 0), (error, scale)) if best is None or error < best[0] else best
+                if best[0] == error:
+                    want[i, at] = codes * scale
+    assert got == pytest.approx(want)
+    found = quant.searched_scales(rows, inputs, 4).collect()
+    assert sorted(r.alpha for r in found) == quant.ALPHAS and found[0].error <= min(r.error for r in found if r.alpha == 0)
+    mine = {r.alpha: r.error for r in found}
+    assert mine[0.5] == pytest.approx(((x @ (w - want / s).T) ** 2).mean())
+    with pytest.raises(Exception, match="multiple of 32"):
+        quant.checked(spark.createDataFrame([(0, [1.0])], "row int, values array<double>")).collect()
+
+
+def test_starts_of_cells(spark):
+    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "id long, embedding array<double>")
+    assert len({tuple(x) for x in kmeans.random_start(v, 6)}) == 6
+    with pytest.raises(ValueError):
+        kmeans.random_start(v, 7)
+    cells, counts = np.array([[1.0, 1.0], [4.0, 0.0], [9.0, 9.0]]), np.array([4.0, 4.0, 0.0])
+    kmeans._refill(cells, counts)
+    assert counts.tolist() == [4, 2, 2] and cells[2] == pytest.approx([4 + 5e-4, 1e-4]) and cells[1] == pytest.approx([4 - 5e-4, -1e-4])
+
+
+def test_workload(spark):
+    load = sampling.workload(spark, 5, 25_000, 2.0, (4, 9), (1, 3), 3, 50)
+    rows = load.orderBy("req_id").collect()
+    times = np.array([r.arrival for r in rows])
+    assert (np.diff(times) > 0).all() and np.diff(times).mean() == pytest.approx(0.5, rel=0.05)
+    assert {len(r.prompt_tokens) for r in rows} == set(range(4, 10)) and {r.max_tokens for r in rows} == {1, 2, 3}
+    assert len({tuple(r.prompt_tokens[:3]) for r in rows}) == 1 and len({tuple(r.prompt_tokens) for r in rows}) > 15_000
+    assert one(spark, text.one_shot(F.lit("Why?"), F.array(F.lit("Because."))))[-1].text.endswith("Question: Why?")
