@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import bytescan
 from loomspark.llm.cutting import without
 from loomspark.llm.rows import documents, numbered, unused
-from loomspark.llm.scratch import bytes_of, width, written
+from loomspark.llm.scratch import bytes_of, passing, width, written
 
 SEED, SPREAD = 5, 5
 #: Words of a passage, and the share of its words that are equal.
@@ -452,8 +452,8 @@ def _whole(k: int, least: int, alike: float):
     return each
 
 
-def _passages(known: DataFrame, k: int, w: int, least: int, alike: float, hot: int = HOT, most: int = MOST) -> DataFrame:
-    n = width(known.sparkSession)
+def _chains(known: DataFrame, n: int, k: int, w: int, hot: int, most: int) -> DataFrame:
+    """(row, data) to chains (row, first, at, there) with the slices that their alignment needs."""
     seeds = known.select("row", "data").mapInArrow(_seeds(k, w, hot), _SEED)
     dealt = seeds.repartition(n, "seed").sortWithinPartitions("seed", "row", "at")
     found = written(dealt.mapInArrow(_firsts, _MATCH), "matches")
@@ -463,7 +463,13 @@ def _passages(known: DataFrame, k: int, w: int, least: int, alike: float, hot: i
         front = found.where(f"kind = {_FRONT}").select(F.col("row").alias("front"), F.col("at").alias("front_at"), "first", "there")
         matches = matches.union(behind.join(front, ["front", "front_at"]).where("row <> first").select("row", "first", "at", "there"))
     matches = matches.repartition(n, "row", "first").sortWithinPartitions("row", "first", "at")
-    found = written(matches.mapInArrow(_chained(k, w, most), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
+    return written(matches.mapInArrow(_chained(k, w, most), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
+
+
+def _passages(known: DataFrame, k: int, w: int, least: int, alike: float, hot: int = HOT, most: int = MOST) -> DataFrame:
+    n = width(known.sparkSession)
+    with passing(known.sparkSession):
+        found = _chains(known, n, k, w, hot, most)
     # copies of a passage ask for the same slice of its first document: once
     mine = found.select("row", F.col("a_from").alias("from"), F.col("a_to").alias("to"))
     theirs = found.select(F.col("first").alias("row"), F.col("b_from").alias("from"), F.col("b_to").alias("to"))

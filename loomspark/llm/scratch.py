@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +28,35 @@ def shared_folder(spark: SparkSession) -> str:
     return have
 
 
+#: Folders of the tables written inside each open `passing`, the innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df` as Parquet files that outlive any executor, read back with a lineage of one scan."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """The tables written inside are removed in the end but for the last one, which has to hold all that is needed of the others."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        *gone, last = _open.pop() or [""]
+        if _open and last:
+            _open[-1].append(last)
+        for path in gone:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that the cluster is set to deal a shuffle to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
