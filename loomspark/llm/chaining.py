@@ -158,17 +158,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extent(equal: np.ndarray, loss: float) -> tuple[int, int]:
-    """Steps that pay along a diagonal (a match 1, a difference -loss) before the sum falls by over two differences; and the equal ones."""
-    if not len(equal):
-        return 0, 0
-    total = np.cumsum(np.where(equal, 1, -loss))
-    low = np.flatnonzero(np.maximum.accumulate(total) - total > 2 * loss)
-    upto = total[: low[0]] if len(low) else total
-    if not len(upto) or upto.max() <= 0:
-        return 0, 0
-    n = int(upto.argmax()) + 1
-    return n, int(equal[:n].sum())
+def _extent(a, b, i: int, j: int, step: int, loss: float) -> tuple[int, int]:
+    """Words from (i, j) on, forwards or backwards, that pay (a match 1, a difference -loss) before the sum falls by over two
+    differences; and the equal ones. Most end after a few words, so this is a plain walk."""
+    total = best = n = equal = same = at = 0
+    while 0 <= i < len(a) and 0 <= j < len(b):
+        at += 1
+        if a[i] == b[j]:
+            total += 1
+            same += 1
+            if total > best:
+                best, n, equal = total, at, same
+        else:
+            total -= loss
+            if best - total > 2 * loss:
+                break
+        i += step
+        j += step
+    return n, equal
 
 
 def _best(worth: list[float]) -> list[tuple[int, int]]:
@@ -197,6 +204,11 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int,
     stretches remain, so a match far off takes nothing from those before it. Neighbours are joined where they are alike enough
     together and the smaller one outweighs the gap."""
     loss = alike / max(1 - alike, 1e-6)
+    u, v = memoryview(a), memoryview(b)
+    if len(at) == 1:
+        n, same = _extent(u, v, at[0] - 1, there[0] - 1, -1, loss)
+        m, also = _extent(u, v, at[0] + k, there[0] + k, 1, loss)
+        return [(at[0] - n, at[0] + k + m, there[0] - n, there[0] + k + m, (k + same + also) / (k + n + m))]
     blocks: list[list[int]] = []  # from, to, from there, to there, equal, columns
     x, y = at[0], there[0]
     for i, j in zip(at, there):
@@ -235,10 +247,8 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int,
         s, _, t, *_ = blocks[first]
         _, e, _, f, *_ = blocks[last]
         equal, columns = counted(first, last).tolist()
-        left = min(s, t)
-        n, same = _extent((a[s - left : s] == b[t - left : t])[::-1], loss)
-        right = min(len(a) - e, len(b) - f)
-        m, also = _extent(a[e : e + right] == b[f : f + right], loss)
+        n, same = _extent(u, v, s - 1, t - 1, -1, loss)
+        m, also = _extent(u, v, e, f, 1, loss)
         out.append((s - n, e + m, t - n, f + m, (equal + same + also) / (columns + n + m)))
     return out
 
@@ -401,11 +411,13 @@ def _aligned(k: int, alike: float):
     def each(batches):
         for batch in batches:
             out = []
-            for r in (r for i in range(0, batch.num_rows, ROWS) for r in batch.slice(i, ROWS).to_pylist()):
-                a, b = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)
-                for s, e, t, f, share in align(a, b, [x - r["a_from"] for x in r["at"]], [x - r["b_from"] for x in r["there"]], k, alike):
-                    if e - s >= 2 * k and share >= alike:
-                        out.append((r["row"], r["doc_id"], s + r["a_from"], e + r["a_from"], r["source_doc_id"], t + r["b_from"], f + r["b_from"], share))
+            for part in bytescan.slices([batch], ROWS):
+                columns = (part.column(c).to_pylist() for c in ("row", "doc_id", "a_from", "at", "a", "source_doc_id", "b_from", "there", "b"))
+                for row, doc_id, a_from, at, a, source, b_from, there, b in zip(*columns):
+                    a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                    for s, e, t, f, share in align(a, b, [x - a_from for x in at], [x - b_from for x in there], k, alike):
+                        if e - s >= 2 * k and share >= alike:
+                            out.append((row, doc_id, s + a_from, e + a_from, source, t + b_from, f + b_from, share))
             yield _part_batch(out)
 
     return each
