@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bottomk, chaining, decontam, langid, licenses, packing, radix, sharding, simhash, tokencount
+from loomspark.llm import alignment, bottomk, chaining, decontam, langid, licenses, packing, radix, sharding, simhash, spelling, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,17 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_license_scan, op3_bottom_k, op4_simhash, op5_collinear_chains, op6_token_transducer, op7_suffix_radix, op8_byte_gru, op9_suffix_automaton, op10_mixture_packing)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two tokenizers, aligned, with what links them in the corpus."""
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the more frequent words they are near to."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_license_scan, op3_bottom_k, op4_simhash, op5_collinear_chains, op6_token_transducer, op7_suffix_radix, op8_byte_gru, op9_suffix_automaton, op10_mixture_packing, op11_token_alignment, op13_spelling_variants)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
