@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import alignment, bottomk, chaining, decontam, langid, licenses, packing, radix, sharding, simhash, spelling, tokencount
+from loomspark.llm import alignment, bottomk, chaining, decontam, langid, licenses, ngramjoin, packing, radix, sharding, simhash, spelling, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose four-word shingles are alike by 85 of 100."""
+    return ngramjoin.linked(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents with the more frequent words they are near to."""
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_license_scan, op3_bottom_k, op4_simhash, op5_collinear_chains, op6_token_transducer, op7_suffix_radix, op8_byte_gru, op9_suffix_automaton, op10_mixture_packing, op11_token_alignment, op13_spelling_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_license_scan, op3_bottom_k, op4_simhash, op5_collinear_chains, op6_token_transducer, op7_suffix_radix, op8_byte_gru, op9_suffix_automaton, op10_mixture_packing, op11_token_alignment, op12_ngram_join, op13_spelling_variants)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -98,4 +103,14 @@ ORACLES: dict[str, str] = {
       l AS (SELECT doc_id, count(*) AS items, string_agg(x, ',' ORDER BY x) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
       SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
       FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+    # documents of equal sets stand for each other; all pairs of the others that share a shingle are counted
+    "op12_ngram_join": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(len(w), 4) - 1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)),
+      t AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, ' ' ORDER BY k)) AS h FROM s GROUP BY doc_id),
+      c AS (SELECT h, n, min(doc_id) AS c FROM t GROUP BY h, n),
+      e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM (s JOIN c ON doc_id = c) a JOIN (s JOIN c ON doc_id = c) b ON a.k = b.k AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+      l AS (SELECT a, b FROM e JOIN c x ON x.c = a JOIN c y ON y.c = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+      r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+      g AS (SELECT h, n, least_id FROM c JOIN (SELECT a, min(b) AS least_id FROM r GROUP BY a) ON a = c)
+      SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_shingles, coalesce(least_id, d.doc_id) AS component_id FROM d LEFT JOIN t USING (doc_id) LEFT JOIN g USING (h, n)""",
 }

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspark.llm import bottomk, bytescan, chaining, components, cutting, decontam, langid, licenses, nearcopies, packing, radix, rows, scratch, sharding, simhash, tokencount
+from loomspark.llm import alignment, bottomk, bytescan, chaining, components, cutting, decontam, langid, licenses, nearcopies, ngramjoin, packing, radix, rows, scratch, sharding, simhash, spelling, tokencount
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -356,7 +356,7 @@ def _near_groups(texts_):
     return dict(enumerate(label)), met
 
 
-@pytest.mark.parametrize("most", [nearcopies.LIST, 2])
+@pytest.mark.parametrize("most", [ngramjoin.LIST, 2])
 def test_near_copies_of_a_family_that_is_less_alike(spark, most):
     base = [f"w{i}" for i in range(240)]
     rows_ = _variants(base, 4, 40, 1, 1)

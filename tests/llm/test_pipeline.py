@@ -52,4 +52,4 @@ def test_planted_cases(spark, tmp_path):
 
 def test_registered():
     names = list(queries.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
