@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,22 +15,32 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Own folders by application, where the session names none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset, a session on one machine (as in tests) gets a folder of its own, removed in
     the end; on a cluster, whose executors would each write to their own disk, that is an error."""
     have = spark.conf.get("spark.checkpoint.dir", None)
-    if not have:
+    app = spark.sparkContext.applicationId
+    if not have and app not in _own:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         own = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        have = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", have)
-    return have
+        _own[app] = f"file://{own}"
+    return have or _own[app]
+
+
+class _Open(threading.local):
+    """Of a thread: the folders of the tables written inside each open `passing`, the innermost last."""
+
+    def __init__(self):
+        self.tables: list[list[str]] = []
 
 
-#: Folders of the tables written inside each open `passing`, the innermost last.
-_open: list[list[str]] = []
+_here = _Open()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,21 +48,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _here.tables:
+        _here.tables[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[str]]:
-    """The tables written inside are removed in the end but for the last one, which has to hold all that is needed of the others."""
-    _open.append([])
+    """The tables that this thread writes inside are removed in the end but for the last one, which has to hold all that is needed of the others."""
+    _here.tables.append([])
     try:
-        yield _open[-1]
+        yield _here.tables[-1]
     finally:
-        *gone, last = _open.pop() or [""]
-        if _open and last:
-            _open[-1].append(last)
+        *gone, last = _here.tables.pop() or [""]
+        if _here.tables and last:
+            _here.tables[-1].append(last)
         for path in gone:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
