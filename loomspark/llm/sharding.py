@@ -6,8 +6,8 @@ shard a leaf. A median is found by histograms: each pass sums the bytes of `BINS
 the level at once, and goes on in the range that holds the cut, until the cut is near enough or falls between two
 neighbouring points. The driver sees those sums and the cuts, never a point.
 
-Equal texts are one point, so they share a shard, unless they hold more than a part of a leaf: such a group is
-dealt out into salted points of its own. Points are summed up before anything is shuffled.
+Equal texts are one point, so they share a shard. Only a group that holds more bytes than a whole shard may, so that no
+law could hold with it in one, is dealt out into salted points of its own. Points are summed up before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ SHARDS = 40
 OVERHEAD = 16
 BINS = 1024
 #: Of a leaf's bytes: how far a cut may be off, and the most that equal texts hold together.
-OFF, GROUP = 0.0005, 0.02
+OFF, GROUP = 0.0005, 1.0
 #: Rows of a shard that are numbered in one group.
 SLOTS = 4096
 
@@ -119,9 +119,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, off: float
     """`docs` (doc_id, text and, if there, source and lang) to one row each: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes and 16. The law is `bytes`: shards 0 to shards - 1 hold sizes as equal as whole
-    points allow; grown_shard is null. Slots number a shard's rows from 0 without gaps. A null text counts as an empty
-    one, with checksum 0; nulls in other columns are values; repeated rows are placed each; an empty table gives
-    no rows. With fewer points than shards some shards are empty.
+    points allow; grown_shard is null. Equal texts share a shard, unless they hold more than `group` of a shard's bytes. Slots number a shard's
+    rows from 0 without gaps. A null text counts as an empty one, with checksum 0; nulls in other columns are values; repeated rows are placed
+    each; an empty table gives no rows; a text of any length is one point; other columns, of any name, are ignored. With fewer points than shards
+    some shards are empty.
     """
     names = [c for c in ("source", "lang") if c in docs.columns]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
