@@ -9,7 +9,6 @@ on windows from all over a bounded sample of labelled documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -34,7 +33,6 @@ SURE = 0.4
 
 #: Letters: A-Z lower-cased, a-z and bytes of other scripts; all else to space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def letters(text: str) -> bytes:
@@ -42,6 +40,11 @@ def letters(text: str) -> bytes:
     return b" ".join(text.encode().translate(_LETTERS).split())
 
 
+def _lettered(text: str | None) -> bool:
+    """Whether a text has a letter; numbers of any kind are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -225,7 +228,7 @@ class Reader:
         return sums / np.maximum(lengths, 1)[:, None]
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        read = [letters(x) if x and _LETTER.search(x) else b"" for x in texts]
+        read = [letters(x) if _lettered(x) else b"" for x in texts]
         out, i = [(UNKNOWN, 0.0)] * len(read), 0
         while i < len(read) and self._languages:
             few, size = [], 0
@@ -299,7 +302,8 @@ def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int, lang:
 def identified(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN, sure: float = SURE) -> DataFrame:
     """`docs` without those of no language: texts that are null or have no letter, and those whose likeliest language has a mean
     probability under `sure`. All columns are kept, of any name; a null `lang` becomes the language found. Without a
-    language to train on, texts with a letter stay. Repeated rows are judged alike; an empty table stays empty."""
+    language to train on, texts with a letter stay. Repeated rows are judged alike; an empty table stays empty; a text of any length is read
+    whole, in as many sequences as it needs."""
     text, lang, score = (unused(docs, x) for x in ("_text", "_lang", "_score"))
     found = _labelled(docs.select("*", F.col("text").cast("string").alias(text)), docs, sample, hidden, lang, score)
     if docs.where("lang is not null and text is not null").isEmpty():
