@@ -14,6 +14,8 @@ No result depends on how the rows lie in files and batches.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +32,10 @@ SEED, SPREAD = 5, 5
 WORDS, ALIKE = 40, 0.8
 #: Cost of a word between matches, and the most words between two matches of a passage.
 GAP, MOST = 0.1, 64
+#: Cost of a word that differs, a match being 1, in telling how far a passage goes, and how far the sum falls at most.
+LOSS, FALL = 0.75, 4.0
+#: Words on both sides of a chain that it may grow over.
+SLACK = 20
 #: Occurrences of a seed in a batch of rows of which only the first by its number in the document is dealt out by the seed.
 HOT = 64
 #: Slices of texts start and end at multiples of so many words, so that many chains ask for the same ones.
@@ -158,24 +164,66 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extent(a, b, i: int, j: int, step: int, loss: float) -> tuple[int, int]:
-    """Words from (i, j) on, forwards or backwards, that pay (a match 1, a difference -loss) before the sum falls by over two
-    differences; and the equal ones. Most end after a few words, so this is a plain walk."""
-    total = best = n = equal = same = at = 0
+def _extent(a, b, i: int, j: int, step: int) -> list[bool]:
+    """Which words from (i, j) on, forwards or backwards, are equal, as far as that pays: a match 1, a difference -`LOSS`, before the sum falls by
+    over `FALL`. Most end after a few words, so this is a plain walk."""
+    total = best = n = 0
+    same: list[bool] = []
     while 0 <= i < len(a) and 0 <= j < len(b):
-        at += 1
-        if a[i] == b[j]:
+        equal = a[i] == b[j]
+        same.append(equal)
+        if equal:
             total += 1
-            same += 1
             if total > best:
-                best, n, equal = total, at, same
+                best, n = total, len(same)
         else:
-            total -= loss
-            if best - total > 2 * loss:
+            total -= LOSS
+            if best - total > FALL:
                 break
         i += step
         j += step
-    return n, equal
+    return same[:n]
+
+
+def _runs(same: list[bool], s: int, t: int) -> list[list[int]]:
+    """Words along a diagonal from (s, t) on as blocks (from, to, from there, to there, equal, columns) that are equal or differ throughout."""
+    out = []
+    for equal, run in groupby(same):
+        n = len(list(run))
+        out.append([s, s + n, t, t + n, n * equal, n])
+        s, t = s + n, t + n
+    return out
+
+
+def _longest(blocks: list[list[int]], alike: float, least: int) -> list[tuple[int, int]]:
+    """Stretches (first, last) of blocks, each the longest one with a share `alike` of equal words that begins and ends with an equal block,
+    then the longest ones before and behind it, of `least` columns or more."""
+    out, todo = [], [(0, len(blocks))]
+    while todo:
+        start, end = todo.pop()
+        worth, columns = [0.0], [0]
+        for *_, e, c in blocks[start:end]:
+            worth.append(worth[-1] + e - alike * c + 1e-9)
+            columns.append(columns[-1] + c)
+        if columns[-1] < least:
+            continue
+        # starts of falling worth from the left; ends from the right, each with the earliest start that isn't above it
+        starts = []
+        for i in range(end - start):
+            if blocks[start + i][4] == blocks[start + i][5] and (not starts or worth[i] < worth[starts[-1]]):
+                starts.append(i)
+        best = (0, 0, 0)
+        for j in range(end - start, 0, -1):
+            if blocks[start + j - 1][4] == blocks[start + j - 1][5]:
+                while starts and worth[starts[-1]] <= worth[j]:
+                    i = starts.pop()
+                    if i < j:
+                        best = max(best, (columns[j] - columns[i], i, j))
+        size, i, j = best
+        if size >= least:
+            out.append((start + i, start + j - 1))
+            todo += [(start, start + i), (start + j, end)]
+    return sorted(out)
 
 
 def _best(worth: list[float]) -> list[tuple[int, int]]:
@@ -200,15 +248,19 @@ def _best(worth: list[float]) -> list[tuple[int, int]]:
 def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int, alike: float = ALIKE) -> list[tuple[int, int, int, int, float]]:
     """Word hashes of two slices and a chain of matches in them to passages (start, end, start there, end there, share of equal words).
 
-    Matches and the gaps between them are weighed so that a stretch pays if over a share `alike` of its words is equal; the best
-    stretches remain, so a match far off takes nothing from those before it. Neighbours are joined where they are alike enough
-    together and the smaller one outweighs the gap."""
-    loss = alike / max(1 - alike, 1e-6)
+    Matches and the gaps between them are weighed, a difference somewhat less than a match, so a match far off takes nothing from those before it. The best
+    stretches grow along the diagonal at both ends while that pays. Of each the longest part with a share `alike` of equal words
+    remains, and of the rest what is long enough."""
     u, v = memoryview(a), memoryview(b)
     if len(at) == 1:
-        n, same = _extent(u, v, at[0] - 1, there[0] - 1, -1, loss)
-        m, also = _extent(u, v, at[0] + k, there[0] + k, 1, loss)
-        return [(at[0] - n, at[0] + k + m, there[0] - n, there[0] + k + m, (k + same + also) / (k + n + m))]
+        s, t = at[0], there[0]
+        left, right = _extent(u, v, s - 1, t - 1, -1), _extent(u, v, s + k, t + k, 1)
+        n, m = len(left), len(right)
+        if k + n + m < 2 * k:
+            return []
+        share = (k + sum(left) + sum(right)) / (k + n + m)
+        if share >= alike:
+            return [(s - n, s + k + m, t - n, t + k + m, share)]
     blocks: list[list[int]] = []  # from, to, from there, to there, equal, columns
     x, y = at[0], there[0]
     for i, j in zip(at, there):
@@ -220,36 +272,21 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], k: int,
         else:
             n = k
         if i > x or j > y:
-            blocks.append([x, i, y, j, _common(a[x:i], b[y:j]), max(i - x, j - y)])
-        if blocks and blocks[-1][1] == i and blocks[-1][3] == j and blocks[-1][4] == blocks[-1][5]:
-            blocks[-1][1], blocks[-1][3] = i + n, j + n
-            blocks[-1][4] += n
-            blocks[-1][5] += n
-        else:
-            blocks.append([i, i + n, j, j + n, n, n])
+            if i - x == j - y <= k:
+                blocks += _runs([u[x + d] == v[y + d] for d in range(i - x)], x, y)
+            else:
+                blocks.append([x, i, y, j, _common(a[x:i], b[y:j]), max(i - x, j - y)])
+        blocks.append([i, i + n, j, j + n, n, n])
         x, y = i + n, j + n
-
-    def counted(first: int, last: int) -> np.ndarray:
-        return sums[last + 1] - sums[first]
-
-    sums = np.cumsum([[0, 0], *([e, c] for *_, e, c in blocks)], axis=0)
-    found: list[tuple[int, int]] = []
-    for first, last in _best([e - loss * (c - e) for *_, e, c in blocks]):
-        while found:
-            both, gap = counted(found[-1][0], last), counted(found[-1][1] + 1, first - 1)
-            less = min(counted(*found[-1]), counted(first, last), key=lambda x: x[1]) + gap
-            if both[0] < alike * both[1] or 2 * less[0] < less[1]:
-                break
-            first = found.pop()[0]
-        found.append((first, last))
     out = []
-    for first, last in found:
+    for first, last in _best([e - LOSS * (c - e) for *_, e, c in blocks]):
         s, _, t, *_ = blocks[first]
         _, e, _, f, *_ = blocks[last]
-        equal, columns = counted(first, last).tolist()
-        n, same = _extent(u, v, s - 1, t - 1, -1, loss)
-        m, also = _extent(u, v, e, f, 1, loss)
-        out.append((s - n, e + m, t - n, f + m, (equal + same + also) / (columns + n + m)))
+        left, right = _extent(u, v, s - 1, t - 1, -1)[::-1], _extent(u, v, e, f, 1)
+        own = [*_runs(left, s - len(left), t - len(left)), *blocks[first : last + 1], *_runs(right, e, f)]
+        for i, j in _longest(own, alike, 2 * k):
+            equal, columns = (sum(x[c] for x in own[i : j + 1]) for c in (4, 5))
+            out.append((own[i][0], own[j][1], own[i][2], own[j][3], equal / columns))
     return out
 
 
@@ -337,14 +374,12 @@ def _firsts(batches):
         held = [x[tail] for x in (kind, seed, row, at, turn)]
 
 
-def _chained(k: int, w: int, most: int):
+def _chained(k: int, most: int):
     """Matches by (row, first, at) to chains with the slices of both documents that their alignment needs."""
-    slack = k + w
-
     def out_of(key, at, there):
         for chain in chains(at, there, k, GAP, most):
             a, b = [at[i] for i in chain], [there[i] for i in chain]
-            yield (*key, *_rounded(a[0] - slack, a[-1] + k + slack), *_rounded(b[0] - slack, b[-1] + k + slack), a, b)
+            yield (*key, *_rounded(a[0] - SLACK, a[-1] + k + SLACK), *_rounded(b[0] - SLACK, b[-1] + k + SLACK), a, b)
 
     def batch_of(rows):
         types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
@@ -475,7 +510,7 @@ def _chains(known: DataFrame, n: int, k: int, w: int, hot: int, most: int) -> Da
         front = found.where(f"kind = {_FRONT}").select(F.col("row").alias("front"), F.col("at").alias("front_at"), "first", "there")
         matches = matches.union(behind.join(front, ["front", "front_at"]).where("row <> first").select("row", "first", "at", "there"))
     matches = matches.repartition(n, "row", "first").sortWithinPartitions("row", "first", "at")
-    return written(matches.mapInArrow(_chained(k, w, most), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
+    return written(matches.mapInArrow(_chained(k, most), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
 
 
 def _passages(known: DataFrame, k: int, w: int, least: int, alike: float, hot: int = HOT, most: int = MOST) -> DataFrame:
@@ -512,7 +547,7 @@ def repeated_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: in
 def without_passages(docs: DataFrame, k: int = SEED, w: int = SPREAD, least: int = WORDS, alike: float = ALIKE) -> DataFrame:
     """`docs` with `text` cut of passages that repeat an earlier document, all columns kept, of any name; documents that
     consist of such passages go. Null and empty texts stay; an empty table stays empty; of repeated rows the first, in an order
-    fixed by their texts, stays whole; others are cut if they are long enough."""
+    fixed by their texts, stays whole; others are cut if they are long enough. A long text is read in one task and costs memory in proportion."""
     row, spans = unused(docs, "row"), unused(docs, "spans")
     known = numbered(docs, row)
     found = _passages(known.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), bytes_of(F.col("text")).alias("data")), k, w, least, alike)

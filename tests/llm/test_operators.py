@@ -454,12 +454,41 @@ def test_passages_do_not_depend_on_partitions(docs):
 
 
 def test_edited_passages_are_found(spark):
+    """Passages of several lengths with words replaced at several rates, all alike by 0.8: nine of ten, over four fifths of their words, and little else."""
     rng = np.random.default_rng(6)
-    passages = [_prose(rng, 60) for _ in range(200)]
-    edited = [[w if x >= 0.1 else f"e{i}" for i, (w, x) in enumerate(zip(p, rng.random(60)))] for p in passages]
-    rows_ = [(i, [*_prose(rng, 20), *p, *_prose(rng, 20)]) for i, p in enumerate(passages)] + [(1000 + i, [*_prose(rng, 30), *p, *_prose(rng, 10)]) for i, p in enumerate(edited)]
-    found = {r.doc_id - 1000 for r in chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")).collect() if r.source_doc_id == r.doc_id - 1000}
-    assert len(found) >= 190
+    rows_, grid = [], {}
+    for size in (45, 60, 100, 200):
+        for rate in (0.1, 0.15, 0.2):
+            for i in range(40):
+                p = _prose(rng, size)
+                e = p
+                while e == p or sum(x == y for x, y in zip(e, p)) < 0.8 * size:
+                    e = [w if x >= rate else f"e{j}" for j, (w, x) in enumerate(zip(p, rng.random(size)))]
+                n = len(grid)
+                grid[10_000 + n] = (size, rate)
+                rows_ += [(n, [*_prose(rng, 20), *p, *_prose(rng, 40)]), (10_000 + n, [*_prose(rng, 30), *e, *_prose(rng, 30)])]
+    met, other = Counter(), 0
+    for r in chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")).collect():
+        size = grid[r.doc_id][0]
+        inside = min(r.end_word, 30 + size) - max(r.start_word, 30)
+        met[r.doc_id] += inside * (r.source_doc_id == r.doc_id - 10_000)
+        other += r.end_word - r.start_word - inside
+    for kind in set(grid.values()):
+        assert sum(met[i] >= 0.8 * k[0] for i, k in grid.items() if k == kind) >= 36, kind
+    assert other < len(grid)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.booleans(), max_size=40), st.sampled_from([0.5, 0.8, 1.0]))
+def test_longest_stretches(same, alike):
+    blocks = chaining._runs(same, 3, 5)
+    assert sum(b[5] for b in blocks) == len(same) and sum(b[4] for b in blocks) == sum(same)
+    found = [(blocks[i][0] - 3, blocks[j][1] - 3) for i, j in chaining._longest(blocks, alike, 1)]
+    fits = [(j - i, i, j) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1] and sum(same[i:j]) >= alike * (j - i) - 1e-9]
+    assert bool(found) == bool(fits)
+    assert all((j - i, i, j) in fits for i, j in found) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    if fits:
+        assert max(j - i for i, j in found) == max(fits)[0]
 
 
 def test_alignment_bridges_edits():
