@@ -201,7 +201,8 @@ def _joined(batches):
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, part: int = PART) -> DataFrame:
     """`docs` with `text` cut of its runs of hit words, all columns kept, of any name; documents with a share of hit words over
-    `coverage` go. Null and empty texts stay; repeated rows are each cut; without items nothing is cut."""
+    `coverage` go. Null and empty texts stay; repeated rows are each cut; without items nothing is cut; an empty table stays empty; a text of any
+    length is read whole, in one task."""
     row, spans, most = (unused(docs, x) for x in ("row", "spans", "most"))
     known = numbered(docs, row)
     found = decontaminated(known.select(F.col(row).alias("doc_id"), "text"), benchmark, window, part).where("contaminated")
@@ -216,7 +217,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Null texts have no words and items without words have no window; no item gives the hash of the empty string.
     Items with a null id have windows like others but aren't listed. Repeated rows come back as often;
-    other columns are ignored; without documents there are no rows, without items no hits. The items are sent to
+    other columns, of any name, are ignored; without documents there are no rows, without items no hits; a text of any length is read whole, in one
+    task. The items are sent to
     the executors in parts of about `part` bytes, each of which passes over the documents.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), bytes_of(F.col("text")).alias("data")).where("data is not null")

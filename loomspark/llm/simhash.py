@@ -177,8 +177,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     Linked are documents whose fingerprints differ by at most `distance` bits; component_id is the smallest
     doc_id reachable. Equal fingerprints are one node, so a group of copies of any size costs one row in the
     search. Null and empty texts have fingerprint zero and are linked like any other. Repeated rows come back
-    as often; a null doc_id keeps a null doc_id and doesn't count as smallest; other columns are ignored; an
-    empty table gives no rows.
+    as often; a null doc_id keeps a null doc_id and doesn't count as smallest; other columns, of any name, are ignored; an
+    empty table gives no rows. A very long text is read whole in one task, its shingles a part at a time.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
