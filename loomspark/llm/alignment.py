@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.bytescan import slices
-from loomspark.llm.packing import _byte_chars
+from loomspark.llm.packing import _PLAIN, MODEL, RANKS, _blanks, _byte_chars, _same_ranks
 from loomspark.llm.rows import documents
 from loomspark.llm.scratch import written
 
-A_MODEL, B_MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+A_MODEL, B_MODEL = MODEL, public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs that a task holds with their counts: 16 MB.
 HELD = 1 << 20
 #: Counts that are told apart when the most frequent pairs are chosen.
@@ -61,6 +62,7 @@ class Aligner:
         self._a_size, self._b_size = (np.array(list(map(len, x)), np.int64) for x in (self._a_bytes, self._b_bytes))
         own = json.loads(self._a.to_str())
         self._by_word = (own["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not own["normalizer"] and not any(_MARK in p.lstrip(_MARK) for p in pieces)
+        self._ranks = _same_ranks(self._a, RANKS if a_model == MODEL else None)
         #: Ids of words after a space, of both libraries; null for words whose tokens spell something else.
         self._known: dict[str, tuple[bytes, bytes] | None] = {}
         numbers = list(map(str, range(max(len(self._a_bytes), len(self._b_bytes)))))
@@ -69,29 +71,46 @@ class Aligner:
         #: Codes of pairs are a * `width` + b.
         self.width = len(self._b_bytes)
 
+    def _a_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of a space and each text; plain words in one pass by the rank file of the same vocabulary."""
+        words = [x for x in texts if x and " " not in x and not x[-1].isspace() and _PLAIN.fullmatch(x)] if self._ranks else []
+        known = dict(zip(words, self._ranks.led(words, np.dtype(np.int32)) if words else []))
+        rest = [x for x in texts if x not in known]
+        for x, a in zip(rest, self._a.encode_batch([" " + x for x in rest], add_special_tokens=False)):
+            known[x] = np.array(a.ids, np.int32).tobytes()
+        return [known[x] for x in texts]
+
     def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """By definition: of a space and each text, and of each text."""
-        out = []
-        for x, a, b in zip(texts, self._a.encode_batch([" " + x for x in texts], add_special_tokens=False), self._b.encode(texts, num_threads=1)):
-            whole = b" " + x.encode()
-            spelt = b"".join([self._a_bytes[i] for i in a.ids]) == whole == b"".join([self._b_bytes[i] for i in b])
-            out.append((np.array(a.ids, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if spelt else None)
-        return out
+        """By definition: of a space and each text, and of each text; null where the tokens spell something else."""
+        whole = [b" " + x.encode() for x in texts]
+        lists = self._b.encode(texts, num_threads=1)
+        data, ends = np.fromiter(chain.from_iterable(lists), np.int32).tobytes(), np.cumsum([0, *map(len, lists)]).tolist()
+        sides = self._a_ids(texts), [data[4 * i : 4 * j] for i, j in zip(ends, ends[1:])]
+
+        def spelt(side: list[bytes], table: list[bytes]) -> list[bytes]:
+            return [b"".join(map(table.__getitem__, np.frombuffer(x, np.int32).tolist())) for x in side]
+
+        def as_one(side: list[bytes], table: list[bytes], size: np.ndarray) -> bool:
+            ids, ends = np.frombuffer(b"".join(side), np.int32), np.cumsum([len(x) // 4 for x in side])
+            lengths = np.diff(np.r_[0, np.r_[0, np.cumsum(size[ids])][ends]])
+            return np.array_equal(lengths, list(map(len, whole))) and b"".join(map(table.__getitem__, ids.tolist())) == b"".join(whole)
+
+        if as_one(sides[0], self._a_bytes, self._a_size) and as_one(sides[1], self._b_bytes, self._b_size):
+            return list(zip(*sides))
+        both = zip(spelt(sides[0], self._a_bytes), spelt(sides[1], self._b_bytes))
+        return [pair if a == x == b else None for pair, x, (a, b) in zip(zip(*sides), whole, both)]
 
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of A and B; null for texts whose tokens of A or B don't spell a space and the text."""
         if len(self._known) > WORDS:
             self._known.clear()
-        split = []
-        for x in texts:
-            words = x.split(" ") if self._by_word else [""]
-            # a space after white space doesn't start a token
-            split.append(None if "" in words or any(map(str.isspace, {w[-1] for w in words})) else words)
+        # a space after white space doesn't start a token
+        split = [x.split(" ") if self._by_word and x and not (_blanks(x) or x.endswith(" ")) else None for x in texts]
         new = list({w for words in split if words for w in words if w not in self._known})
-        self._known.update(zip(new, self._encoded(new)))
+        self._known.update(zip(new, self._encoded(new) if new else []))
         out = []
         for x, words in zip(texts, split):
-            found = [self._known[w] for w in words] if words else [None]
+            found = list(map(self._known.get, words)) if words else [None]
             if None in found:
                 found = self._encoded([x]) if x else [None]
             out.append(None if found[0] is None else tuple(np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in zip(*found)))
