@@ -9,7 +9,9 @@ collapsed into one group:
 * Pairs of groups, and groups of several sets, are expanded to pairs of their different sets. Bitmaps of parities exclude most that aren't
   alike; all others are verified on the whole sets.
 * Sets of a long list that aren't connected by then are compared with each other in blocks, which are dealt out as keys of their
-  own, so no task holds a list. A group of very many sets is such a list too.
+  own, so no task holds a list. A group of very many sets is such a list too. Of each block the pairs nearest by their bitmaps that would
+  connect all of it are verified first, then all that still lie between components: a family of near copies takes about as many pairs as
+  it has members.
 
 Equal sets are one node from the start, so copies cost one row. Nothing is accepted by chance and no list is cut.
 """
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm import bytescan
+from loomspark.llm import bytescan, simhash
 from loomspark.llm.components import components
 from loomspark.llm.rows import documents
 from loomspark.llm.scratch import passing, width, written
@@ -229,16 +231,44 @@ def _first_pairs(alike: Alike, most: int):
     return each
 
 
-def _other_pairs(alike: Alike):
-    """Blocks (key, i, j, block, first, size, place, label, bits) by (key, i, j) to the pairs (x, y) of rows of block i and block j, with different labels, that may be alike."""
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b) of a spanning forest over the components `root`, nearest pairs first (Boruvka's way)."""
+    order, picked = np.argsort(far, kind="stable"), [np.zeros(0, np.int64)]
+    while len(order := order[root[a[order]] != root[b[order]]]):
+        x, y, place = root[a[order]], root[b[order]], np.arange(len(order))
+        first = np.full(len(root), len(order))
+        for ends in (x, y):
+            np.minimum.at(first, ends, place)
+        pick = np.unique(first[first < len(order)])
+        picked.append(order[pick])
+        member, least = simhash._forest(x[pick], y[pick], len(root))
+        up = np.arange(len(root))
+        up[member] = least
+        root = up[root]
+    return np.concatenate(picked)
+
+
+def _other_pairs(alike: Alike, nearest: bool):
+    """Blocks (key, i, j, block, first, size, place, label, bits) by (key, i, j) to the pairs (x, y) of rows of block i and block j, with different
+    labels, that may be alike; with `nearest` only those of a spanning forest."""
 
     def of(i, j, block, row, size, place, label, bits):
+        few, many, far = (np.concatenate(c) for c in zip(*[[np.zeros(0, np.int64)] * 3, *candidates(i, j, block, size, place, label, bits)]))
+        if nearest:
+            _, first, code = np.unique(label, return_index=True, return_inverse=True)
+            pick = _nearest(few, many, far, first[code])
+            few, many = few[pick], many[pick]
+        for k in range(0, len(few), ROWS):
+            yield row[few[k : k + ROWS]], row[many[k : k + ROWS]]
+
+    def candidates(i, j, block, size, place, label, bits):
+        """(x, y, distance in shares of the most) of a block, by parts: as many as the block's rows times each other, at most."""
         fold = np.bitwise_xor.reduce(bits, axis=1)
         # labels as numbers by their members here: within a block each is compared with the later ones, the largest with nothing
         _, code, count = np.unique(label, return_inverse=True, return_counts=True)
         at = np.empty(len(count), np.int64)
         at[np.argsort(count, kind="stable")] = np.arange(len(count))
-        code, out, held = at[code], [], 0
+        code = at[code]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         left = left[np.argsort(code[left], kind="stable")]
         for part in np.split(left, np.flatnonzero(np.diff(code[left])) + 1) if len(left) else []:
@@ -250,14 +280,10 @@ def _other_pairs(alike: Alike):
                 limit = alike.differ(size[y].astype(np.int64) + size[x])
                 near = np.bitwise_count(fold[y] ^ fold[x]) <= limit
                 y, limit = y[near], limit[near]
-                y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= limit]
-                out.append((np.full(len(y), row[x]), row[y]))
-                held += len(y)
-                if held > ROWS:
-                    yield [np.concatenate(c) for c in zip(*out)]
-                    out, held = [], 0
-        if held:
-            yield [np.concatenate(c) for c in zip(*out)]
+                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                near = differ <= limit
+                if near.any():
+                    yield np.full(near.sum(), x), y[near], differ[near] * 1000 // np.maximum(limit[near], 1)
 
     def pairs(parts):
         table = pa.Table.from_batches(parts)
@@ -383,16 +409,16 @@ def groups(texts: DataFrame, alike: Alike, fingerprint=None, proposed=None, most
         pairs = pairs.union(_expanded(proposed(nodes.select("node", "fp")).distinct(), nodes, "node"))
     links = _alike_rows(pairs.mapInArrow(_within(alike), "x long, y long"), texts, alike)
     labels = written(components(links), "labels").withColumnRenamed("node", "first")
-    if not long.isEmpty():
+    for nearest in () if long.isEmpty() else (True, False):
         known = nodes.join(labels, "first", "left").select("first", "group", "size", F.coalesce("label", "first").alias("label"), "bits")
         # lists within one component have nothing left to compare
         spread = known.groupBy("group").agg(F.min("label").alias("l"), F.max("label").alias("h"))
         open_ = long.join(spread, "group").groupBy("key").agg(F.min("l").alias("l"), F.max("h").alias("h")).where("l <> h").select("key")
         lists = written(long.join(open_, "key", "left_semi").join(known, "group").select("key", "first", "size", "place", "label", "bits"), "lists")
         blocks = _blocks(lists, block).repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        others = blocks.mapInArrow(_other_pairs(alike), "x long, y long")
+        others = blocks.mapInArrow(_other_pairs(alike, nearest), "x long, y long")
         stars = labels.select(F.col("first").alias("a"), F.col("label").alias("b"))
-        labels = components(stars.union(_alike_rows(others, texts, alike))).withColumnRenamed("node", "first")
+        labels = written(components(stars.union(_alike_rows(others, texts, alike))), "labels").withColumnRenamed("node", "first")
     nodes = nodes.join(labels, "first", "left").select("node", F.coalesce("label", "first").alias("group"))
     return of.select("row", "node", "size").join(nodes, "node").select("row", "group", "size")
 

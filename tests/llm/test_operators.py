@@ -830,3 +830,231 @@ def test_new_words_are_encoded_together(texts_):
 
 
 _fresh = []
+
+
+# --- 11 ---
+
+_ODD_TEXTS = ["a  b \n c <|endoftext|> x", None, "", " lead", "trail ", "▁ mark", "a b \x00 c\tt  ", "<s> </s> <0x41> ", "漢字 😀 ok é́", "x" * 5000 + " y", "\n", " ", "foo\n bar", "the end of the end"]
+
+
+def _aligned_by_hand(known):
+    """Two tokenizers' tokens walked side by side; (doc_id, text) rows to the rows wanted."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_lib, b_lib = Tokenizer.from_file(alignment.A_MODEL), sentencepiece.SentencePieceProcessor(model_file=alignment.B_MODEL)
+    a_lib.encode_special_tokens = True
+    plain = {c: i for i, c in enumerate(packing._byte_chars())}
+    a_bytes = lambda i: bytes(plain[c] for c in a_lib.id_to_token(i))
+    b_bytes = lambda i: bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("▁", " ").encode()
+    rows_, count = [], Counter()
+    for doc_id, text in known:
+        whole = (" " + (text or "")).encode()
+        a, b = a_lib.encode(" " + (text or ""), add_special_tokens=False).ids, b_lib.encode(text or "")
+        if not text or b"".join(map(a_bytes, a)) != whole or b"".join(map(b_bytes, b)) != whole:
+            rows_.append((doc_id, [], [], [], []))
+            continue
+        i = j = at_a = at_b = 0
+        links, groups, left, right = [], [], [], []
+        while i < len(a):
+            links.append((a[i], b[j]))
+            left += [] if left and left[-1][0] == i else [(i, a[i])]
+            right += [] if right and right[-1][0] == j else [(j, b[j])]
+            end_a, end_b = at_a + len(a_bytes(a[i])), at_b + len(b_bytes(b[j]))
+            if end_a == end_b:
+                groups.append(",".join(str(x) for _, x in left) + "|" + ",".join(str(x) for _, x in right))
+                left, right = [], []
+            if end_a <= end_b:
+                i, at_a = i + 1, end_a
+            if end_b <= end_a:
+                j, at_b = j + 1, end_b
+        count.update(links)
+        rows_.append((doc_id, a, b, groups, links))
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    digest = lambda g: hashlib.sha256(";".join(g).encode()).hexdigest() if g else ""
+    return [(i, len(a), len(b), len(g), len(x), sum(count[p] == best[p[1]] for p in x), sum(count[p] for p in x), digest(g)) for i, a, b, g, x in rows_]
+
+
+def test_token_alignment(spark, odd, empty):
+    known = [(r.doc_id, r.text) for r in odd.collect()] + [(9000 + i, t) for i, t in enumerate(_ODD_TEXTS)]
+    made = spark.createDataFrame([(*r, 1, "x") for r in known], "doc_id long, text string, row long, pairs string").repartition(5)
+    want = Counter(_aligned_by_hand(known))
+    for held in (alignment.HELD, 40, 0):
+        got = alignment.aligned(made, held=held)
+        assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        assert Counter(tuple(r) for r in got.collect()) == want
+    assert alignment.aligned(empty).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\tthe ing,.x▁<>|"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=4))
+def test_words_are_encoded_as_whole_texts(texts_):
+    align = alignment.aligner()
+    for got, want in zip(align.ids(texts_), align._encoded(texts_)):
+        assert (got is None) == (want is None or not len(want[0]) or got is None)
+        if got is not None:
+            assert [x.tolist() for x in got] == [np.frombuffer(x, np.int32).tolist() for x in want]
+
+
+# --- 12 ---
+
+
+def _four_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    k = min(4, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def _joined_by_hand(known):
+    """(doc_id, text) rows, ids unique, to {doc_id: (n_shingles, component_id)} by comparing all pairs."""
+    sets = {i: _four_words(t) for i, t in known}
+    root = {i: i for i in sets}
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[:k]:
+            shared = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and root[a] != root[b] and 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("most", "block"), [(ngramjoin.LIST, ngramjoin.BLOCK), (1, 3)])
+def test_ngram_join(spark, docs, most, block):
+    """Prose, and short texts of three words only, of which many share a prefix and a size, so groups hold many sets."""
+    rng = np.random.default_rng(5)
+    few = [" ".join(rng.choice(list("abC"), rng.integers(4, 60))) for _ in range(150)] + [" ".join([*"aab" * 20, *rng.choice(list("ab"), 2)]) for _ in range(60)]
+    known = [(r.doc_id, r.text) for r in docs.collect()] + [(2000 + i, t) for i, t in enumerate(few)]
+    made = spark.createDataFrame([(*r, 1, "x") for r in known], "doc_id long, text string, row long, group string").repartition(4)
+    got = ngramjoin.linked(made, most=most, block=block)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == _joined_by_hand(known)
+
+
+def test_ngram_join_of_odd_rows(spark, odd, empty):
+    got = ngramjoin.linked(odd).collect()
+    assert len(got) == odd.count() and ngramjoin.linked(empty).count() == 0
+    lost = [r for r in got if r.doc_id is None]
+    assert sorted((r.n_shingles, r.component_id is None) for r in lost) == [(0, True), (1, True)]
+    assert all(r.component_id == 0 for r in got if r.doc_id == 0)
+    assert all(r.component_id == r.doc_id and r.n_shingles == 0 for r in got if r.doc_id in (500, 501, 502))
+
+
+def test_ngram_join_at_the_limit(spark):
+    """85 of 100 shingles shared is enough, 85 of 101 isn't."""
+    rows_ = []
+    for p in range(40):
+        w = [f"p{p}w{i}" for i in range(95)]  # 92 shingles
+        rows_ += [" ".join(w), " ".join(w[:-7] + [f"p{p}x{i}" for i in range(7 + p % 3)])]
+    want = _joined_by_hand(list(enumerate(rows_)))
+    sizes = [len(_four_words(rows_[i]) & _four_words(rows_[i + 1])) / len(_four_words(rows_[i]) | _four_words(rows_[i + 1])) for i in (0, 2, 4)]
+    assert sizes[0] > sizes[1] == 0.85 > sizes[2]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.linked(spark.createDataFrame(list(enumerate(rows_)), "doc_id long, text string").repartition(3)).collect()} == want
+
+
+def test_a_long_list_of_unlike_sets_is_dealt_out():
+    """50,000 unlike sets in one list: each block of it is compared in bounded time, and holds a bounded number of rows."""
+    n = 2 * ngramjoin.BLOCK
+    rng = np.random.default_rng(8)
+    bits = [x.tobytes() for x in rng.integers(0, 1 << 63, (n, ngramjoin.BITS // 64)).astype(np.uint64)]
+    import time
+
+    import pyarrow as pa
+
+    block = np.repeat([3, 7], ngramjoin.BLOCK)
+    ids = np.arange(n)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, 3, np.int32)), pa.array(np.full(n, 7, np.int32)), pa.array(block.astype(np.int32)), pa.array(ids), pa.array(np.full(n, 60, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(ids), pa.array(bits, pa.binary())], ["key", "i", "j", "block", "first", "size", "place", "label", "bits"])
+    start = time.process_time()
+    assert sum(b.num_rows for b in ngramjoin._other_pairs(ngramjoin.ALIKE, False)([batch])) == 0
+    assert time.process_time() - start < 20
+
+
+def test_blocks_of_a_long_list(spark):
+    made = spark.range(50_000).selectExpr("7L as key", "id as first", "60 as size", "0 as place", "id as label", "binary('x') as bits")
+    sizes = [r["count"] for r in ngramjoin._blocks(made, ngramjoin.BLOCK).groupBy("i", "j").count().collect()]
+    assert len(sizes) == 25 * 26 // 2 and max(sizes) < 2.5 * ngramjoin.BLOCK
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(2, 12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.integers(0, 50)), max_size=40))
+def test_nearest_pairs_connect_all(n, edges):
+    edges = [(a % n, b % n, d) for a, b, d in edges if a % n != b % n]
+    a, b, d = (np.array(x, np.int64) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 3
+    pick = ngramjoin._nearest(a, b, d, np.arange(n))
+    reach = lambda pairs: {frozenset(g) for g in _sets_of(n, pairs)}
+    assert reach(list(zip(a[pick], b[pick]))) == reach(list(zip(a, b)))
+    assert len(pick) == n - len(_sets_of(n, list(zip(a, b))))
+
+
+def _sets_of(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return [[i for i in range(n) if label[i] == x] for x in set(label)]
+
+
+# --- 13 ---
+
+
+def _variants_by_hand(known):
+    import zlib as z
+
+    count = Counter()
+    for doc_id, text in known:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", (text or "").translate(LOWER)):
+            h = z.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            at = h % len(run)
+            count[run[:at] + run[at + 1 :] if h % 97 == 0 else run] += 1
+    n = {w: c for w, c in count.items() if len(w) >= 5 and c >= 3}
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    form, others = {}, {}
+    for w in n:
+        found = [x for x in n if near(w, x)]
+        others[w] = len(found)
+        best = min(found, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n[w], others[w], n[form[w]] if form[w] else None))
+    return out
+
+
+def test_spelling_variants(spark, odd, empty):
+    rng = np.random.default_rng(11)
+    stems = ["".join(rng.choice(list("abcdeéßÀ×"), rng.integers(5, 9))) for _ in range(40)]
+    pool = []
+    for s in stems:
+        i, c = int(rng.integers(len(s))), str(rng.choice(list("abcé")))
+        pool += [s] * 12 + [s[:i] + s[i + 1 :]] * 4 + [s[:i] + c + s[i:]] * 3 + [s[:i] + c + s[i + 1 :]] * 5 + [s[::-1]] * 2
+    pool += ["aaaaaa"] * 9 + ["aaaaa"] * 4 + ["aaaaaaa"] * 30 + ["abcabc", "bacabc", "Abcabd"] * 5 + ["x" * 3000, "x" * 3001, "X" * 3000] * 3
+    rows_ = [(i, " ".join(rng.choice(pool, 60)) + ("." if i % 3 else "-") + "été2Été") for i in range(60)] + [(r.doc_id, r.text) for r in odd.collect()]
+    made = spark.createDataFrame([(*r, "x", 1) for r in rows_], "doc_id long, text string, word string, n long").repartition(5)
+    got = spelling.variants(made)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == _variants_by_hand(rows_)
+    assert any(f and f != r for _, f, r, *_ in found)
+    assert spelling.variants(empty).count() == 0
+
+
+def test_words_of_many_anagrams_make_few_pairs(spark):
+    """Permutations of one word share a key; pairs that are near only come out."""
+    from itertools import islice, permutations
+
+    made = spark.createDataFrame([(i, "".join(w) + tail, 5) for i, (w, tail) in enumerate((w, t) for w in islice(permutations("abcdefg"), 2000) for t in ("", "x"))], "id long, word string, n long")
+    got = spelling.near(made)
+    assert got.count() == 4000 and got.where("length(near) in (7, 8)").count() == 4000
