@@ -1,22 +1,24 @@
-"""Approximate neighbours by layered proximity graphs, one for each shard of the vectors.
+"""Approximate neighbours by layered proximity graphs, one for each cell of the vectors.
 
-A shard's graph is built in its task in the order of ids, so it is the same each time. The index is a table of
-edges (shard, layer, src, dst); a search walks every shard's graph and merges the ranked results.
+Cells are those of k-means; a vector stands in a few of the nearest ones. The index is a table of nodes with their links, saved by cell: a
+search routes each query to the cells nearest to it, reads those alone, takes their graphs as they are, and merges the ranked results.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.sampling import Random
-from loomspark.operators.knn import query_blocks, ranked
+from loomspark.operators import ivfpq, kmeans
+from loomspark.operators.knn import _vectors, ranked
+from loomspark.shared import written
 
 
 class Graph:
@@ -26,8 +28,11 @@ class Graph:
         self._x, self.m, self._ip = vectors, m, metric == "ip"
         self.links: list[dict[int, list[int]]] = []
         self.entry = -1
+        #: Distances taken.
+        self.visited = 0
 
     def _far(self, q: np.ndarray, rows: list[int]) -> np.ndarray:
+        self.visited += len(rows)
         x = self._x[rows]
         return -(x @ q) if self._ip else ((x - q) ** 2).sum(axis=1)
 
@@ -94,82 +99,129 @@ class Graph:
         return self._walk(q, at, max(width, k), 0)[:k]
 
 
-def _vectors_of(frame: pd.DataFrame) -> np.ndarray:
-    return np.array(frame["embedding"].tolist(), np.float64)
+#: Vectors of one graph, about: what one task builds and searches. Queries that it searches it for at once.
+SHARD, BLOCK = 20_000, 1024
+#: Cells that each vector stands in: the nearest ones, so that a query finds the neighbours beyond a border in its own cells.
+COPIES = 3
+_NODE = "cell long, part int, row int, id long, embedding array<double>, links array<array<int>>"
 
 
-#: Vectors of a shard, about: what one task builds and searches.
-SHARD = 20_000
+@dataclass
+class Index:
+    """Cells by centroids; nodes (cell, part, row, id, embedding, links), links by layer to rows of the same part."""
 
+    centroids: np.ndarray
+    nodes: DataFrame
+    m: int
+    metric: str
 
-def shards_for(vectors: DataFrame) -> int:
-    """Shards for a table of vectors: as many as keep each within what a task holds, and the cluster busy."""
-    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-n // SHARD), min(cores, n // 250))
 
+def cells_for(vectors: int) -> int:
+    """Cells by which queries are routed: as many as keep each within what a task holds, and 16 where that allows it."""
+    return max(1, -(-COPIES * vectors // SHARD), min(16, vectors // 30))
 
-def _shard(shards: int):
-    return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
+def built(vectors: DataFrame, centroids: np.ndarray, m: int = 16, width: int = 200, seed: int = 1, metric: str = "l2", copies: int = COPIES) -> Index:
+    """`vectors` (id, embedding) to graphs, one for each cell; a cell of over `SHARD` vectors, such as one of very many equal ones, has several
+    parts by the hash of the id, each a graph. A graph is built in its task in the order of ids, so it is the same each time."""
+    placed = kmeans.assigned(vectors.where("id is not null and embedding is not null"), centroids, metric, keep=True, copies=copies)
+    parts = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts")))  # a row a cell
+    rows = placed.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "embedding")
 
-def built(vectors: DataFrame, shards: int, m: int = 16, width: int = 200, seed: int = 1, metric: str = "l2") -> DataFrame:
-    """`vectors` (id, embedding) to edges (shard, layer, src, dst, ord); a vector without links on a layer has one row with a
-    null dst. A shard has to fit a task; take as many as that needs."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id").reset_index(drop=True)
-        graph, rng, ids = Graph(_vectors_of(frame), m, metric), Random(seed), frame["id"].tolist()
-        for row in range(len(frame)):
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        x = _vectors(table.column("embedding").chunk(0))
+        graph, rng = Graph(x, m, metric), Random(seed)
+        for row in range(len(x)):
             graph.add(row, min(15, int(-math.log(1.0 - rng.uniform()) / math.log(m))), width)
-        out = [(frame["shard"][0], layer, ids[src], ids[dst] if dst is not None else None, i) for layer, links in enumerate(graph.links) for src, to in links.items() for i, dst in enumerate(to or [None])]
-        return pd.DataFrame(out, columns=["shard", "layer", "src", "dst", "ord"]).astype({"dst": "Int64"})
-
-    rows = vectors.select(_shard(shards).alias("shard"), F.col("id").cast("long").alias("id"), "embedding")
-    return rows.groupBy("shard").applyInPandas(one, "shard int, layer int, src long, dst long, ord int")
-
-
-def search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, shards: int, width: int = 128, m: int = 16, metric: str = "l2") -> DataFrame:
-    """(qid, id, distance, rank) of each query (qid, embedding) over all shards; queries go out in blocks of bounded size."""
-    found = [_search(edges, vectors, block, k, shards, width, m, metric) for block in query_blocks(queries)]
-    return ranked(reduce(DataFrame.union, found), k, "qid")
-
-
-def _search(edges: DataFrame, vectors: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, shards: int, width: int, m: int, metric: str) -> DataFrame:
-    held = vectors.sparkSession.sparkContext.broadcast(list(zip(block[0].tolist(), block[1])))
-
-    def one(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("id").reset_index(drop=True)
-        graph, place = Graph(_vectors_of(nodes), m, metric), {i: r for r, i in enumerate(nodes["id"].tolist())}
-        graph.links = [{} for _ in range(int(links["layer"].max()) + 1)]
-        for layer, src, dst in links.sort_values(["layer", "src", "ord"])[["layer", "src", "dst"]].itertuples(index=False):
-            to = graph.links[layer].setdefault(place[src], [])
-            if not pd.isna(dst):
-                to.append(place[int(dst)])
-        graph.entry = min(graph.links[-1])
-        ids = nodes["id"].tolist()
-        out = [(qid, ids[r], d) for qid, q in held.value for d, r in graph.search(q, k, width)]
-        return pd.DataFrame(out, columns=["qid", "id", "distance"])
-
-    nodes = vectors.select(_shard(shards).alias("shard"), F.col("id").cast("long").alias("id"), "embedding")
-    return nodes.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(one, "qid long, id long, distance double")
-
-
-def mean_degree(edges: DataFrame) -> DataFrame:
+        links = [[layer[row] for layer in graph.links if row in layer] for row in range(len(x))]
+        columns = [table.column("cell"), table.column("part"), pa.array(range(len(x)), pa.int32()), table.column("id"), table.column("embedding"), pa.array(links, pa.list_(pa.list_(pa.int32())))]
+        return pa.Table.from_arrays(columns, ["cell", "part", "row", "id", "embedding", "links"])
+
+    return Index(centroids, rows.groupBy("cell", "part").applyInArrow(one, _NODE), m, metric)
+
+
+def saved(index: Index, path: str) -> None:
+    """The graphs partitioned by cell, and the centroids."""
+    spark = index.nodes.sparkSession
+    index.nodes.write.partitionBy("cell").parquet(f"{path}/nodes")
+    rows = [(i, v.tolist(), index.m, index.metric) for i, v in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "cell long, v array<double>, m int, metric string").write.parquet(f"{path}/model")
+
+
+def loaded(spark: SparkSession, path: str) -> Index:
+    rows = spark.read.parquet(f"{path}/model").orderBy("cell").collect()  # a row a cell
+    nodes = spark.read.parquet(f"{path}/nodes").withColumn("cell", F.col("cell").cast("long"))
+    return Index(np.array([r["v"] for r in rows]), nodes, rows[0]["m"], rows[0]["metric"])
+
+
+def _graph(table: pa.Table, m: int, metric: str) -> tuple[Graph, list[int]]:
+    """The graph of a part from its rows, and the ids of its rows."""
+    table = table.sort_by("row").combine_chunks()
+    graph = Graph(_vectors(table.column("embedding").chunk(0)), m, metric)
+    for row, layers in enumerate(table.column("links").to_pylist()):
+        for layer, to in enumerate(layers):
+            if len(graph.links) <= layer:
+                graph.links.append({})
+            graph.links[layer][row] = to
+    graph.entry = min(graph.links[-1])
+    return graph, table.column("id").to_pylist()
+
+
+def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[int], block: int = BLOCK) -> DataFrame:
+    """(qid, width, turn, id, distance, visited): the k nearest of each query (qid, embedding) in each of the `probes` cells nearest to it (turn 0: the
+    nearest), for each width of the walk; visited: vectors whose distance was taken in that walk, in each of its rows. Each graph is loaded once
+    for all widths and a block of queries. Queries go to their cells by a shuffle."""
+    m, metric = index.m, index.metric
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            graph, ids = _graph(left, m, metric)
+            q = _vectors(right.combine_chunks().column("embedding").chunk(0))
+            for qid, turn, x in zip(right.column("qid").to_pylist(), right.column("turn").to_pylist(), q):
+                for width in widths:
+                    graph.visited = 0
+                    found = graph.search(x, k, width)
+                    out += [(qid, width, turn, ids[r], d, graph.visited) for d, r in found]
+        kinds = [("qid", pa.int64()), ("width", pa.int32()), ("turn", pa.int32()), ("id", pa.int64()), ("distance", pa.float64()), ("visited", pa.int64())]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    routes = ivfpq.routed(queries, index.centroids, probes, metric)
+    nodes = ivfpq.probed(index.nodes, routes, len(index.centroids))
+    counts = F.broadcast(routes.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # a row a cell
+    parts = F.broadcast(nodes.groupBy("cell").agg((F.max("part") + 1).alias("parts")))
+    left = nodes.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = routes.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
+    right = right.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    groups = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block"))
+    return groups.applyInArrow(met, "qid long, width int, turn int, id long, distance double, visited long")
+
+
+def search(index: Index, queries: DataFrame, k: int, probes: int, width: int = 128) -> DataFrame:
+    """(qid, id, distance, rank) of each query (qid, embedding) over the `probes` cells nearest to it. A vector that stands in several counts once."""
+    found = walked(index, queries, k, probes, [width]).groupBy("qid", "id").agg(F.min("distance").alias("distance"))
+    return ranked(found, k, "qid")
+
+
+def edges(index: Index) -> DataFrame:
+    """(cell, part, layer, src, dst): all links, as rows."""
+    each = index.nodes.select("cell", "part", F.col("row").alias("src"), F.posexplode("links").alias("layer", "to"))
+    return each.select("cell", "part", "layer", "src", F.explode("to").alias("dst"))
+
+
+def mean_degree(index: Index) -> DataFrame:
     """One row: links a vector on layer 0."""
-    return edges.where("layer = 0").groupBy("shard", "src").agg(F.count("dst").alias("n")).agg(F.avg("n").alias("degree"))
+    return index.nodes.agg(F.avg(F.size(F.get("links", 0))).alias("degree"))
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """(shard, vectors, reached): vectors that can be reached on layer 0 from the one a search of the shard starts at, by widening the
+def reachable(index: Index) -> DataFrame:
+    """(cell, part, vectors, reached): vectors that can be reached on layer 0 from the one a search of the part starts at, by widening the
     frontier with a join a round."""
-    base = edges.where("layer = 0")
-    layers = edges.groupBy("shard").agg(F.max(F.struct("layer", -F.col("src"))).alias("top"))
-    seen = layers.select("shard", (-F.col("top.col2")).alias("src"))
-    links = base.where("dst is not null").select("shard", "src", "dst")
-    frontier, n = seen, -1
+    top = index.nodes.groupBy("cell", "part").agg(F.max(F.struct(F.size("links").alias("n"), -F.col("row"))).alias("top"), F.count("*").alias("vectors"))
+    seen = top.select("cell", "part", (-F.col("top.col2")).alias("src"))
+    links, frontier, n = written(edges(index).where("layer = 0").select("cell", "part", "src", "dst"), "links"), seen, -1
     while n != (n := seen.count()):
-        frontier = links.join(frontier, ["shard", "src"]).select("shard", F.col("dst").alias("src")).distinct().join(seen, ["shard", "src"], "left_anti")
-        frontier = frontier.checkpoint() if base.sparkSession.conf.get("spark.checkpoint.dir", None) else frontier.persist()
-        seen = seen.union(frontier)
-    every = base.groupBy("shard").agg(F.countDistinct("src").alias("vectors"))
-    return every.join(seen.groupBy("shard").agg(F.count("*").alias("reached")), "shard")
+        frontier = links.join(frontier, ["cell", "part", "src"]).select("cell", "part", F.col("dst").alias("src")).distinct().join(seen, ["cell", "part", "src"], "left_anti")
+        seen = written(seen.union(frontier), "seen")
+    return top.select("cell", "part", "vectors").join(seen.groupBy("cell", "part").agg(F.count("*").alias("reached")), ["cell", "part"])

@@ -1,21 +1,43 @@
 """Inverted file with product quantization: cells by k-means, residuals as a code for each sub-vector.
 
-The index is a table (cell, id, codes); saved, it is partitioned by cell, so a search reads the cells it
-probes and no others. Centroids and codewords are small and of fixed number.
+A search never turns codes back into vectors. For each query and cell it probes there is one table of the distances between each sub-vector
+of the query's residual and each codeword; a vector's distance is the sum of the entries that its codes name. Queries and entries
+meet in the shuffle, cell by cell: a cell with many entries is cut into parts, one with many queries into blocks, and each part meets
+each block in a task of its own, so neither passes through the driver.
+
+The index is a table (cell, id, codes). Saved, it is partitioned by cell, so a search reads the cells it probes and no others, and grows by
+versions (see `sources.versions`). Centroids and codewords are of bounded number and broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.vector import INNER_PRODUCT
+from loomspark.functions.vector import distance as vector_distance
 from loomspark.operators import kmeans
-from loomspark.operators.knn import _nearest, _vectors, distances, query_blocks, ranked
+from loomspark.operators.knn import TILE, _nearest, _vectors, distances, ranked
+from loomspark.sources import versions
+
+#: Cells of an index: twice the root of its vectors within these bounds; and vectors a cell that it is trained on, at most.
+LEAST_CELLS, MOST_CELLS, PER_CELL = 8, 1 << 16, 64
+#: Entries of a cell that one task scores, and queries that it scores them for.
+PART, BLOCK = 1 << 16, 4096
+
+
+def cells_for(vectors: int) -> int:
+    return max(LEAST_CELLS, min(MOST_CELLS, round(2 * vectors**0.5)))
+
+
+def sample_for(vectors: DataFrame, n: int, cells: int) -> DataFrame:
+    """(id, embedding) of every so manieth id: `PER_CELL` vectors a cell, about; `n` vectors in all."""
+    step = max(1, n // (PER_CELL * cells))
+    return vectors.where(F.col("id") % step == 0).select("id", "embedding")
 
 
 @dataclass
@@ -32,16 +54,19 @@ class Index:
         return len(self.codewords) + 4
 
 
-def trained(sample: DataFrame, start: list[int], m: int, words: int, rounds: int, metric: str = "l2") -> Index:
-    """From a bounded sample (id, embedding): cells start at the vectors with the ids `start`, codewords at the residuals of
-    the first ids. With fewer vectors than `words` the other codewords stay zero and can be chosen."""
-    centroids = kmeans.train(sample, kmeans.first_vectors(sample, start), rounds)
-    ids = [r["id"] for r in sample.orderBy("id").select("id").limit(words).collect()]
+def trained(sample: DataFrame, cells: int, m: int, words: int, rounds: int, metric: str = "l2") -> Index:
+    """From a bounded sample (id, embedding): cells start at the vectors of the first ids, codewords at the residuals of the next ones.
+    With too few vectors the other codewords stay zero and can be chosen."""
+    ids = [r["id"] for r in sample.orderBy("id").select("id").limit(cells + words).collect()]
+    if len(ids) < cells:
+        raise ValueError(f"{cells} cells need as many vectors, not {len(ids)}")
+    centroids = kmeans.train(sample, kmeans.first_vectors(sample, ids[:cells]), rounds)
     residuals = residual(sample, centroids)
-    wide = centroids.shape[1] // m
+    wide, ids = centroids.shape[1] // m, ids[cells:]
     codewords = np.zeros((m, words, wide))
-    first = kmeans.first_vectors(residuals, ids)
-    codewords[:, : len(ids)] = kmeans.train_parts(residuals, np.stack([first[:, j * wide : (j + 1) * wide] for j in range(m)]), rounds)
+    if ids:
+        first = kmeans.first_vectors(residuals, ids)
+        codewords[:, : len(ids)] = kmeans.train_parts(residuals, np.stack([first[:, j * wide : (j + 1) * wide] for j in range(m)]), rounds)
     return Index(centroids, codewords, metric)
 
 
@@ -73,100 +98,150 @@ def encoded(vectors: DataFrame, index: Index) -> DataFrame:
             cell = distances(x, centroids, metric).argmin(axis=1)
             rest = x - centroids[cell]
             codes = np.stack([distances(rest[:, j * wide : (j + 1) * wide], codewords[j], "l2").argmin(axis=1) for j in range(len(codewords))], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column(0), pa.array(codes.tolist(), pa.list_(pa.int32()))], ["cell", "id", "codes"])
+            ends = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int32).ravel()))], ["cell", "id", "codes"])
 
     return vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(each, "cell long, id long, codes array<int>")
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int, refine: int = 0, vectors: DataFrame | None = None) -> DataFrame:
-    """(qid, id, distance, rank) of the k nearest by the codes in the `probes` nearest cells; with `refine`, k * refine candidates
-    are ranked again by their own vectors (id, embedding). Queries (qid, embedding) go out in blocks of bounded size."""
-    keep = k * max(1, refine)
-    return ranked(reduce(DataFrame.union, [_search(index, block, k, probes, keep, vectors if refine else None) for block in query_blocks(queries)]), k, "qid")
+def lookup(queries: np.ndarray, centroid: np.ndarray, codewords: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query and one cell: the table (queries, m, words) of what each code adds to a distance, and what all of the cell's vectors add."""
+    m, _, wide = codewords.shape
+    if metric == INNER_PRODUCT:
+        parts = [-(queries[:, j * wide : (j + 1) * wide] @ codewords[j].T) for j in range(m)]
+        return np.stack(parts, axis=1), -(queries @ centroid)
+    rest = queries - centroid
+    parts = [((rest[:, None, j * wide : (j + 1) * wide] - codewords[j][None]) ** 2).sum(axis=2) for j in range(m)]
+    return np.stack(parts, axis=1), np.zeros(len(queries))
 
 
-def _search(index: Index, block: tuple[np.ndarray, np.ndarray], k: int, probes: int, keep: int, vectors: DataFrame | None) -> DataFrame:
-    """Candidates (qid, id, distance) of a block of queries."""
-    spark, metric, (qids, q) = index.entries.sparkSession, index.metric, block
-    near = np.argsort(distances(q, index.centroids, metric), axis=1, kind="stable")[:, :probes] if len(q) else np.zeros((0, probes), np.int64)
-    probed = sorted(set(near.ravel().tolist()))
-    held = spark.sparkContext.broadcast((qids, q, near, index.centroids, index.codewords))
-
-    def each(batches):
-        qids, q, near, centroids, codewords = held.value
-        m, _, wide = codewords.shape
-        for batch in batches:
-            cells = batch.column(0).to_numpy()
-            for cell in np.unique(cells):
-                who = np.flatnonzero((near == cell).any(axis=1))
-                here = batch.filter(pa.array(cells == cell))
-                codes = np.array(here.column(2).to_pylist())
-                approx = np.concatenate([codewords[j][codes[:, j]] for j in range(m)], axis=1) + centroids[cell]
-                n, ids, d = _nearest(q[who], approx, here.column(1).to_numpy(), keep, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[who][n]), pa.array(ids), pa.array(d)], ["qid", "id", "distance"])
-
-    entries = index.entries.where(F.col("cell").isin(probed)).select("cell", "id", "codes")
-    found = ranked(entries.mapInArrow(each, "qid long, id long, distance double"), keep, "qid").select("qid", "id", "distance")
-    if vectors is None:
-        return found
-    pairs = found.select("qid", "id").join(vectors, "id").select("qid", "id", F.col("embedding").cast("array<double>").alias("embedding"))
-
-    def again(batches):
-        qids, q = held.value[:2]
-        for batch in batches:
-            if batch.num_rows:
-                x, mine = _vectors(batch.column(2)), q[np.searchsorted(qids, batch.column(0).to_numpy())]
-                d = -(x * mine).sum(axis=1) if metric == "ip" else ((x - mine) ** 2).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["qid", "id", "distance"])
+def scored(tables: np.ndarray, base: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(queries, entries): one addition a code."""
+    out = np.repeat(base[:, None], len(codes), axis=1)
+    for j in range(codes.shape[1]):
+        out += tables[:, j, codes[:, j]]
+    return out
 
-    return pairs.mapInArrow(again, "qid long, id long, distance double")
 
+def _least(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k least (score, id) of each row."""
+    bound = np.partition(scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(scores), np.inf)
+    q, i = np.nonzero(scores <= bound[:, None])
+    near = scores[q, i]
+    order = np.lexsort((ids[i], near, q))
+    q, i, near = q[order], i[order], near[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+    return q[keep], ids[i[keep]], near[keep]
 
-def search_cells(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2") -> DataFrame:
-    """(qid, id, distance, rank) of the k nearest of the vectors (id, embedding) in the `probes` cells nearest to each query, without codes."""
 
-    def one(block) -> DataFrame:
-        near = np.argsort(distances(block[1], centroids, metric), axis=1, kind="stable")[:, :probes] if len(block[0]) else np.zeros((0, probes), np.int64)
-        held = vectors.sparkSession.sparkContext.broadcast((*block, near, centroids))
+def routed(queries: DataFrame, centroids: np.ndarray, probes: int, metric: str) -> DataFrame:
+    """`queries` (qid, embedding) to (cell, turn, qid, embedding): a row for each of the `probes` nearest cells, the nearest first (turn 0)."""
+    held = queries.sparkSession.sparkContext.broadcast(centroids)
 
-        def each(batches):
-            qids, q, near, centroids = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, ids = _vectors(batch.column(1)), batch.column(0).to_numpy()
-                cells = distances(x, centroids, metric).argmin(axis=1)
-                for cell in np.unique(cells):
-                    who, here = np.flatnonzero((near == cell).any(axis=1)), np.flatnonzero(cells == cell)
-                    n, found, d = _nearest(q[who], x[here], ids[here], k, metric)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[who][n]), pa.array(found), pa.array(d)], ["qid", "id", "distance"])
+    def each(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(distances(_vectors(batch.column(1)), held.value, metric), axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                turn = np.tile(np.arange(near.shape[1]), len(near)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), pa.array(turn), batch.column(0).take(rows), batch.column(1).take(rows)], ["cell", "turn", "qid", "embedding"])
+
+    rows = queries.where("qid is not null and embedding is not null").select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(each, "cell long, turn int, qid long, embedding array<double>")
+
+
+def meeting(entries: DataFrame, queries: DataFrame, part: int = PART, block: int = BLOCK):
+    """`entries` (cell, id, ...) and `queries` (cell, qid, ...) grouped to meet: parts of at most about `part` entries of a cell with blocks of
+    about `block` of its queries, each pair of them in a group of its own. Cells that no query probes are left out."""
+    counts = entries.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    counts = counts.join(queries.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cell")
+    counts = F.broadcast(counts)  # a row a cell
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        rows = rows.join(counts, "cell").withColumn(own, F.pmod(F.xxhash64(key), F.col(mine)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).drop("parts", "blocks")
+
+    left = dealt(entries, "id", "part", "block", "parts", "blocks")
+    right = dealt(queries, "qid", "block", "part", "blocks", "parts")
+    return left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block"))
+
+
+def probed(entries: DataFrame, routes: DataFrame, cells: int) -> DataFrame:
+    """The entries of cells that some query probes; a scan of files partitioned by cell reads those alone."""
+    near = [r["cell"] for r in routes.select("cell").distinct().collect()]  # at most as many as there are cells
+    return entries if len(near) >= cells else entries.where(F.col("cell").isin(near))
+
+
+def search(index: Index, queries: DataFrame, k: int, probes: int, refine: int = 0, vectors: DataFrame | None = None, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(qid, id, distance, rank) of the k nearest of each query (qid, embedding) by the codes in its `probes` nearest cells; with
+    `refine`, k * refine candidates are ranked again by their own vectors (id, embedding). Null queries have no neighbours."""
+    metric, keep = index.metric, k * max(1, refine)
+    held = index.entries.sparkSession.sparkContext.broadcast((index.centroids, index.codewords))
+    routes = routed(queries, index.centroids, probes, metric)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if left.num_rows and right.num_rows:
+            centroids, codewords = held.value
+            left, right = left.combine_chunks(), right.combine_chunks()
+            ids, qids = left.column("id").to_numpy(), right.column("qid").to_numpy()
+            codes = left.column("codes").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
+            q, cell = _vectors(right.column("embedding").chunk(0)), left.column("cell")[0].as_py()
+            step = max(1, TILE // max(len(ids), codewords.size))
+            for i in range(0, len(q), step):
+                n, near, d = _least(scored(*lookup(q[i : i + step], centroids[cell], codewords, metric), codes), ids, keep)
+                for x, y in zip(out, (qids[i : i + step][n], near, d)):
+                    x.append(y)
+        columns = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))]
+        return pa.Table.from_arrays(columns, ["qid", "id", "distance"])
+
+    groups = meeting(probed(index.entries, routes, len(index.centroids)).select("cell", "id", "codes"), routes.drop("turn"), part, block)
+    found = ranked(groups.applyInArrow(met, "qid long, id long, distance double"), keep, "qid")
+    return reranked(found, queries, vectors, k, metric) if refine else found
+
+
+def reranked(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    """Candidates (qid, id) ranked by the distances of their own vectors (id, embedding)."""
+    pairs = found.select("qid", "id").join(vectors.select("id", F.col("embedding").alias("_x")), "id").join(queries.select("qid", F.col("embedding").alias("_q")), "qid")
+    return ranked(pairs.select("qid", "id", vector_distance(metric, F.col("_q"), F.col("_x")).alias("distance")), k, "qid")
+
+
+def search_cells(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2", part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(qid, id, distance, rank) of the k nearest of the vectors (id, embedding) in the `probes` cells nearest to each query, without codes."""
+    entries = kmeans.assigned(vectors.where("id is not null and embedding is not null"), centroids, metric, keep=True).select("cell", "id", "embedding")
 
-        rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        return rows.mapInArrow(each, "qid long, id long, distance double")
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            left, right = left.combine_chunks(), right.combine_chunks()
+            n, ids, d = _nearest(_vectors(right.column("embedding").chunk(0)), _vectors(left.column("embedding").chunk(0)), left.column("id").to_numpy(), k, metric)
+            columns = [right.column("qid").to_numpy()[n], ids, d]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], ["qid", "id", "distance"])
 
-    return ranked(reduce(DataFrame.union, map(one, query_blocks(queries))), k, "qid")
+    groups = meeting(entries, routed(queries, centroids, probes, metric).drop("turn"), part, block)
+    return ranked(groups.applyInArrow(met, "qid long, id long, distance double"), k, "qid")
 
 
 def saved(index: Index, path: str) -> None:
-    """The index as tables: entries partitioned by cell, so that a search reads the cells it probes and no others, centroids and codewords."""
+    """The model, and the entries as the first version of a table partitioned by cell; their ids are places in the order of the ids they had."""
     spark = index.entries.sparkSession
-    index.entries.repartition("cell").write.partitionBy("cell").parquet(f"{path}/entries")
     rows = [("centroid", i, 0, v.tolist()) for i, v in enumerate(index.centroids)] + [("codeword", c, j, v.tolist()) for j, words in enumerate(index.codewords) for c, v in enumerate(words)]
     spark.createDataFrame([(*r, index.metric) for r in rows], "kind string, number int, part int, v array<double>, metric string").write.parquet(f"{path}/model")
+    versions.appended(index.entries.select("cell", "codes", F.col("id").alias("own_id")), path, ["own_id"], ["cell"])
 
 
-def loaded(spark: SparkSession, path: str) -> Index:
-    rows = spark.read.parquet(f"{path}/model").orderBy("kind", "part", "number").collect()  # of fixed number
+def loaded(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The index as of a version, the last if none is named."""
+    rows = spark.read.parquet(f"{path}/model").orderBy("kind", "part", "number").collect()  # of bounded number
     centroids = np.array([r["v"] for r in rows if r["kind"] == "centroid"])
     words = [r for r in rows if r["kind"] == "codeword"]
     parts = 1 + max(r["part"] for r in words)
     codewords = np.array([r["v"] for r in words]).reshape(parts, len(words) // parts, -1)
-    return Index(centroids, codewords, rows[0]["metric"], spark.read.parquet(f"{path}/entries").select(F.col("cell").cast("long").alias("cell"), "id", "codes"))
+    return Index(centroids, codewords, rows[0]["metric"], versions.read(spark, path, version).select("cell", "id", "codes", "own_id"))
 
 
-def added(index: Index, vectors: DataFrame, path: str) -> None:
-    """More vectors (id, embedding) for a saved index; ids go on after the largest one there."""
-    entries = index.entries.sparkSession.read.parquet(f"{path}/entries")
-    last = entries.agg(F.max("id")).first()[0]
-    moved = vectors.select((F.col("id") + (0 if last is None else last + 1)).alias("id"), "embedding")
-    encoded(moved, index).repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/entries")
+def added(index: Index, vectors: DataFrame, path: str) -> tuple[int, int]:
+    """More vectors (id, embedding) for a saved index, as a version; (first id, vectors): ids go on after the last one, in the order of the ids given,
+    also where several writers add at once."""
+    return versions.appended(encoded(vectors, index).select("cell", "codes", F.col("id").alias("own_id")), path, ["own_id"], ["cell"])

@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from loomspark.operators.knn import _vectors, distances
 
 
-def assigned(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
-    """`vectors` (id, embedding) to (id, cell, distance): the nearest centroid, the lowest number of equals."""
+def assigned(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2", keep: bool = False, copies: int = 1) -> DataFrame:
+    """`vectors` (id, embedding) to (id, cell, distance): the nearest centroid, the lowest number of equals; with `keep` the embedding too. With
+    `copies` a row for each of the nearest ones."""
     held = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def each(batches):
         for batch in batches:
             if batch.num_rows:
                 d = distances(_vectors(batch.column(1)), held.value, metric)
-                cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int64)), pa.array(d[np.arange(len(d)), cell])], ["id", "cell", "distance"])
-
-    return vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(each, "id long, cell long, distance double")
+                cell = d.argmin(axis=1)[:, None] if copies == 1 else np.argsort(d, axis=1, kind="stable")[:, :copies]
+                row = np.repeat(np.arange(len(d)), cell.shape[1])
+                ids, x = (batch.column(i).take(pa.array(row)) for i in (0, 1))
+                columns = [ids, pa.array(cell.ravel().astype(np.int64)), pa.array(d[row, cell.ravel()]), *([x] if keep else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "cell", "distance", "embedding"][: len(columns)])
+
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(each, "id long, cell long, distance double" + (", embedding array<double>" if keep else ""))
 
 
 def _sums(vectors: DataFrame, centroids: np.ndarray) -> dict[tuple[int, int], tuple[int, np.ndarray]]:

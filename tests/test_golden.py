@@ -15,6 +15,7 @@ import __spark_entry__ as driver
 from loomspark.functions import quant, requests, sampling, text, unicode, vector
 from loomspark.operators import chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
 from loomspark.sources import text as text_source
+from loomspark.sources import versions
 from loomspark.sources import vectors as vector_source
 from loomspark.streaming import detokenize
 
@@ -137,11 +138,13 @@ def test_approximate_search(spark):
     base, queries = _clustered(spark, 2000, 32)
     truth = knn.exact(base, queries, 10).cache()
     recall = lambda found: metrics.neighbour_recall(found, truth, queries, 10).first().recall
-    edges = hnsw.built(base, 2, width=80).cache()
-    wide = recall(hnsw.search(edges, base, queries, 10, 2, width=128))
-    assert wide >= 0.98 and wide >= recall(hnsw.search(edges, base, queries, 10, 2, width=16))
-    assert hnsw.mean_degree(edges).first().degree > 8
-    index = ivfpq.trained(base.where("id < 800"), list(range(16)), 8, 64, 4)
+    index = ivfpq.trained(base.where("id < 800"), 16, 8, 64, 4)
+    graphs = hnsw.built(base, index.centroids, width=80, copies=2)
+    graphs.nodes = graphs.nodes.cache()
+    wide = recall(hnsw.search(graphs, queries, 10, 7, width=128))
+    assert wide >= 0.95 and wide >= recall(hnsw.search(graphs, queries, 10, 7, width=10)) >= recall(hnsw.search(graphs, queries, 10, 1, width=10))
+    assert hnsw.mean_degree(graphs).first().degree > 8
+    assert all(r.reached >= 0.95 * r.vectors for r in hnsw.reachable(graphs).collect())
     index.entries = ivfpq.encoded(base, index).cache()
     plain = recall(ivfpq.search(index, queries, 10, 8))
     refined = recall(ivfpq.search(index, queries, 10, 8, 10, base))
@@ -149,6 +152,86 @@ def test_approximate_search(spark):
     assert index.bytes_per_vector == 12
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_lookup_tables_give_the_distances_of_coded_vectors(spark, metric):
+    """And however entries and queries are dealt out: the sums of table entries are the distances of what the codes stand for."""
+    base, queries = _clustered(spark, 300, 16)
+    index = ivfpq.trained(base, 4, 4, 16, 1, metric)
+    index.entries = ivfpq.encoded(base, index).cache()
+    entries, q = index.entries.collect(), {r.qid: np.array(r.embedding) for r in queries.collect()}
+    back = {r.id: (r.cell, index.centroids[r.cell] + np.concatenate([index.codewords[j][c] for j, c in enumerate(r.codes)])) for r in entries}
+    far = (lambda x, y: -(x @ y)) if metric == "ip" else (lambda x, y: ((x - y) ** 2).sum())
+    want = {}
+    for i, x in q.items():
+        near = np.argsort(knn.distances(x[None], index.centroids, metric)[0], kind="stable")[:2]
+        want[i] = sorted((round(far(x, y), 8), v) for v, (c, y) in back.items() if c in near)[:5]
+    for part, block in ((1 << 16, 4096), (20, 3)):
+        got = {}
+        for r in ivfpq.search(index, queries, 5, 2, part=part, block=block).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((round(r.distance, 8), r.id))
+        assert {i: [d for d, _ in x] for i, x in got.items()} == {i: [d for d, _ in x] for i, x in want.items()}
+
+
+def test_a_saved_graph_index_reads_the_cells_of_its_queries(spark, tmp_path):
+    base, queries = _clustered(spark, 600, 16)
+    centroids = ivfpq.trained(base, 8, 4, 4, 2).centroids
+    index = hnsw.built(base, centroids, width=60, copies=2)
+    hnsw.saved(index, f"{tmp_path}/graphs")
+    kept = hnsw.loaded(spark, f"{tmp_path}/graphs")
+    assert kept.nodes.count() == 1200
+    want = [tuple(r) for r in hnsw.search(index, queries, 5, 3, 64).orderBy("qid", "rank").collect()]
+    assert [tuple(r) for r in hnsw.search(kept, queries, 5, 3, 64).orderBy("qid", "rank").collect()] == want
+    # some cells go, those that one query isn't routed to: its neighbours stay the same
+    one = queries.where("qid = 7")
+    cells = [r.cell for r in ivfpq.routed(one, centroids, 3, "l2").collect()]
+    assert len(cells) == 3
+    kept.nodes = kept.nodes.where(F.col("cell").isin(cells))
+    assert [tuple(r) for r in hnsw.search(kept, one, 5, 3, 64).orderBy("rank").collect()] == [r for r in want if r[0] == 7]
+
+
+def test_very_many_equal_vectors_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 50)
+    base = spark.createDataFrame([(i, [1.0, 2.0] if i < 180 else [float(i), 0.5]) for i in range(220)], "id long, embedding array<double>")
+    index = hnsw.built(base, np.array([[1.0, 2.0], [200.0, 0.5]]), m=4, width=20, copies=1)
+    index.nodes = index.nodes.cache()
+    sizes = {(r.cell, r.part): r["count"] for r in index.nodes.groupBy("cell", "part").count().collect()}
+    assert len(sizes) == 5 and max(sizes.values()) < 75
+    found = hnsw.search(index, spark.createDataFrame([(1, [205.2, 0.5])], "qid long, embedding array<double>"), 3, 1, 20)
+    assert [r.id for r in found.orderBy("rank").collect()] == [205, 206, 204]
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda a, b: spark.range(a, b).selectExpr("id as x", "concat('v', id) as name").repartition(3)
+    assert versions.appended(rows(0, 10), path, ["x"]) == (0, 10)
+    assert versions.appended(rows(50, 50), path, ["x"]) == (10, 0)
+    assert versions.appended(rows(20, 25), path, ["x"]) == (10, 5)
+    assert versions.length(spark, path) == 15
+    want = [(i, i if i < 10 else i + 10) for i in range(15)]
+    assert sorted((r.id, r.x) for r in versions.read(spark, path).collect()) == want
+    assert sorted((r.id, r.x) for r in versions.read(spark, path, 1).collect()) == want[:10]
+    with pytest.raises(ValueError, match="no such version"):
+        versions.read(spark, f"{tmp_path}/none")
+
+
+def test_appends_at_the_same_time_take_different_numbers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/t"
+    add = lambda i: versions.appended(spark.range(7).selectExpr("id as x", f"{i} as writer"), path, ["x"])
+    with ThreadPoolExecutor(4) as pool:
+        taken = sorted(pool.map(add, range(6)))
+    assert taken == [(7 * i, 7) for i in range(6)]
+    got = versions.read(spark, path).collect()
+    assert sorted(r.id for r in got) == list(range(42))
+    for first, _ in taken:
+        mine = sorted((r.id, r.x, r.writer) for r in got if first <= r.id < first + 7)
+        assert [x for _, x, _ in mine] == list(range(7)) and len({w for *_, w in mine}) == 1
+    # a draft that lost, or a folder without a version, is never seen
+    spark.range(3).selectExpr("id as x", "9 as writer", "id as _at").write.parquet(f"{path}/data/batch=lost")
+    assert versions.read(spark, path).count() == 42
+
+
 def test_empty_cells_split_the_largest(spark):
     df = spark.createDataFrame([(i, [float(i % 2) * 10 + i / 100]) for i in range(40)], "id long, embedding array<double>")
     got = kmeans.train(df, np.array([[0.0], [10.0], [1000.0]]), 5)
@@ -307,14 +390,14 @@ def test_index_is_kept_and_added_to(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     v = spark.createDataFrame(rows, "id long, embedding array<double>")
-    index = ivfpq.trained(v, list(range(4)), 8, 32, 2)
+    index = ivfpq.trained(v, 4, 8, 32, 2)
     index.entries = ivfpq.encoded(v, index)
     ivfpq.saved(index, f"{tmp_path}/index")
     q = v.where("id < 5").withColumnRenamed("id", "qid")
     again = ivfpq.loaded(spark, f"{tmp_path}/index")
     want = [tuple(r) for r in ivfpq.search(index, q, 3, 2).orderBy("qid", "rank").collect()]
     assert [tuple(r) for r in ivfpq.search(again, q, 3, 2).orderBy("qid", "rank").collect()] == want
-    ivfpq.added(again, v.where("id < 2"), f"{tmp_path}/index")
+    assert ivfpq.added(again, v.where("id < 2"), f"{tmp_path}/index") == (300, 2)
     more = ivfpq.loaded(spark, f"{tmp_path}/index")
     assert more.entries.count() == 302 and {r.id for r in more.entries.where("id >= 300").collect()} == {300, 301}
     found = {r.id for r in ivfpq.search(more, q.where("qid = 0"), 2, 4).collect()}
@@ -322,8 +405,9 @@ def test_index_is_kept_and_added_to(spark, tmp_path):
 
 
 def test_reachable(spark):
-    edges = spark.createDataFrame([(0, 0, 1, 2), (0, 0, 2, 3), (0, 0, 3, 1), (0, 0, 4, 1), (0, 1, 1, None)], "shard int, layer int, src long, dst long")
-    assert [tuple(r) for r in hnsw.reachable(edges).collect()] == [(0, 4, 3)]
+    links = [[[1], []], [[2]], [[0]], [[0]]]
+    nodes = spark.createDataFrame([(0, 0, i, 10 + i, [1.0], x) for i, x in enumerate(links)], hnsw._NODE)
+    assert [tuple(r) for r in hnsw.reachable(hnsw.Index(np.zeros((1, 1)), nodes, 16, "l2")).collect()] == [(0, 0, 4, 3)]
 
 
 def test_requests(spark):
