@@ -36,6 +36,8 @@ GAP, MOST = 0.1, 64
 LOSS, FALL = 0.75, 4.0
 #: Words on both sides of a chain that it may grow over.
 SLACK = 20
+#: Words on each side of a chain of one match that are looked at for many chains at once.
+LOOK = 24
 #: Occurrences of a seed in a batch of rows of which only the first by its number in the document is dealt out by the seed.
 HOT = 64
 #: Slices of texts start and end at multiples of so many words, so that many chains ask for the same ones.
@@ -374,6 +376,29 @@ def _firsts(batches):
         held = [x[tail] for x in (kind, seed, row, at, turn)]
 
 
+def _spread(batches):
+    """(kind, front, front_at, x, y) by all of it, a front with what it is matched to before those behind it, to the matches of these."""
+    held = np.zeros((4, 1), np.int64) - 1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind, *rest = (batch.column(i).to_numpy() for i in range(5))
+        rest = np.c_[held, np.stack(rest)]
+        kind = np.r_[_FRONT, kind]
+        of = np.maximum.accumulate(np.where(kind == _FRONT, np.arange(len(kind)), 0))
+        pick = np.flatnonzero((kind == _BEHIND) & (rest[2] != rest[2][of]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rest[2][pick], rest[3][pick], rest[2][of[pick]], rest[3][of[pick]])], ["row", "at", "first", "there"])
+        held = rest[:, of[-1:]]
+
+
+def _lone(row, first, at, there, k: int) -> pa.RecordBatch:
+    """Chains of one match each."""
+    sides = [x for y in (at, there) for x in (np.maximum(0, y - SLACK) // STEP * STEP, -(-(y + k + SLACK) // STEP) * STEP)]
+    one = pa.array(np.arange(len(row) + 1, dtype=np.int32))
+    lists = [pa.ListArray.from_arrays(one, pa.array(x)) for x in (at, there)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, (row, first, *sides)), *lists], ["row", "first", "a_from", "a_to", "b_from", "b_to", "at", "there"])
+
+
 def _chained(k: int, most: int):
     """Matches by (row, first, at) to chains with the slices of both documents that their alignment needs."""
     def out_of(key, at, there):
@@ -389,8 +414,17 @@ def _chained(k: int, most: int):
     def each(batches):
         key, at, there = None, [], []
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            # pairs of documents with one match need no chaining; the first and the last may have more in other batches
+            columns = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
+            new = np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]), True]
+            lone = new[:-1] & new[1:]
+            lone[[0, -1]] = False
+            if lone.any():
+                yield _lone(*(c[lone] for c in columns), k)
             out = []
-            for row, first, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row, first, a, b in zip(*(c[~lone].tolist() for c in columns)):
                 if (row, first) != key:
                     if at:
                         out += out_of(key, at, there)
@@ -440,12 +474,49 @@ def _part_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
+def _reach(a, b, i, j, low, high, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `_extent` gives for many places at once: words that pay from (i, j) on, in words a and b between low and high of each side, and
+    whether the walk ended within `LOOK` words."""
+    n, best, total = np.zeros(len(i), np.int64), np.zeros(len(i)), np.zeros(len(i))
+    at = np.arange(len(i))
+    for t in range(1, LOOK + 1):
+        inside = (i[at] >= low[0][at]) & (i[at] < high[0][at]) & (j[at] >= low[1][at]) & (j[at] < high[1][at])
+        at = at[inside]
+        if not len(at):
+            break
+        total[at] += np.where(a[i[at]] == b[j[at]], 1.0, -LOSS)
+        up = at[total[at] > best[at]]
+        best[up], n[up] = total[up], t
+        at = at[best[at] - total[at] <= FALL]
+        i, j = i + step, j + step
+    ended = np.ones(len(n), bool)
+    ended[at] = False
+    return n, ended
+
+
+def _worth(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    """Which chains may hold a part: those of several matches, and those of one around which enough is alike."""
+    sides, low, high = [], [], []
+    for start, at, words in (("a_from", "at", "a"), ("b_from", "there", "b")):
+        data, lists = batch.column(words), batch.column(at)
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // 4
+        first = lists.flatten().to_numpy()[np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()]
+        sides.append((np.frombuffer(data.buffers()[2], np.uint32), ends[:-1] + first - batch.column(start).to_numpy()))
+        low.append(ends[:-1])
+        high.append(ends[1:])
+    (a, i), (b, j) = sides
+    left, done = _reach(a, b, i - 1, j - 1, low, high, -1)
+    right, also = _reach(a, b, i + k, j + k, low, high, 1)
+    return (batch.column("at").value_lengths().to_numpy() > 1) | ~done | ~also | (left + right >= k)
+
+
 def _aligned(k: int, alike: float):
     """Chains with both slices to parts of passages; seeds that nothing is alike around are none."""
 
     def each(batches):
         for batch in batches:
             out = []
+            batch = batch.filter(pa.array(_worth(batch, k))) if batch.num_rows else batch
             for part in bytescan.slices([batch], ROWS):
                 columns = (part.column(c).to_pylist() for c in ("row", "doc_id", "a_from", "at", "a", "source_doc_id", "b_from", "there", "b"))
                 for row, doc_id, a_from, at, a, source, b_from, there, b in zip(*columns):
@@ -507,8 +578,11 @@ def _chains(known: DataFrame, n: int, k: int, w: int, hot: int, most: int) -> Da
     matches = found.where(f"kind = {_ALONE}").select("row", "first", "at", "there")
     behind = found.where(f"kind = {_BEHIND}").select("row", "at", F.col("first").alias("front"), F.col("there").alias("front_at"))
     if not behind.isEmpty():
-        front = found.where(f"kind = {_FRONT}").select(F.col("row").alias("front"), F.col("at").alias("front_at"), "first", "there")
-        matches = matches.union(behind.join(front, ["front", "front_at"]).where("row <> first").select("row", "first", "at", "there"))
+        front = found.where(f"kind = {_FRONT}").select(F.lit(_FRONT).cast("long").alias("kind"), F.col("row").alias("front"), F.col("at").cast("long").alias("front_at"), F.col("first").alias("x"), F.col("there").cast("long").alias("y"))
+        both = front.union(behind.select(F.lit(_BEHIND).cast("long"), "front", F.col("front_at").cast("long"), "row", F.col("at").cast("long")))
+        both = both.repartition(n, "front", "front_at").sortWithinPartitions("front", "front_at", "kind")
+        spread = both.mapInArrow(_spread, "row long, at long, first long, there long")
+        matches = matches.union(spread.select("row", "first", F.col("at").cast("int"), F.col("there").cast("int")))
     matches = matches.repartition(n, "row", "first").sortWithinPartitions("row", "first", "at")
     return written(matches.mapInArrow(_chained(k, most), "row long, first long, a_from long, a_to long, b_from long, b_to long, at array<long>, there array<long>"), "chains")
 
@@ -528,7 +602,7 @@ def _passages(known: DataFrame, k: int, w: int, least: int, alike: float, hot: i
     b = slices.select(F.col("row").alias("first"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("doc_id").alias("source_doc_id"), F.col("words").alias("b"))
     both = found.join(a, ["row", "a_from", "a_to"]).join(b, ["first", "b_from", "b_to"])
     parts = both.mapInArrow(_aligned(k, alike), _PART)
-    parts = parts.repartition(n, "row").sortWithinPartitions("row", "start_word", "end_word")
+    parts = parts.repartition(n, "row").sortWithinPartitions("row", "start_word", "end_word", "source_doc_id", "source_start")
     return parts.mapInArrow(_whole(k, least, alike), _PART)
 
 

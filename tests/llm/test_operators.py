@@ -478,6 +478,42 @@ def test_edited_passages_are_found(spark):
     assert other < len(grid)
 
 
+def test_lone_chains_are_told_apart_as_by_their_alignment():
+    """Chains of one match are left out only where the walk finds no part; bounds of the slices hold."""
+    import pyarrow as pa
+
+    rng, k, rows_ = np.random.default_rng(2), 5, []
+    for _ in range(3000):
+        n, m = rng.integers(5, 60, 2)
+        a, b = (rng.integers(0, 3, x).astype(np.uint32) for x in (n, m))
+        i, j = int(rng.integers(0, n - 4)), int(rng.integers(0, m - 4))
+        size = int(rng.integers(5, 40))
+        part = min(size, n - i, m - j)
+        b[j : j + part] = a[i : i + part]
+        at = [i] if rng.random() < 0.9 else [i, i + 2]
+        rows_.append((32, at, a.tobytes(), 64, [x - i + j for x in at], b.tobytes()))
+    names = ["a_from", "at", "a", "b_from", "there", "b"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.binary()] * 2
+    shift = lambda r: (32, [x + 32 for x in r[1]], r[2], 64, [x + 64 for x in r[4]], r[5])
+    batch = pa.RecordBatch.from_arrays([pa.array([shift(r)[c] for r in rows_], t) for c, t in enumerate(types)], names).slice(100)
+    worth = chaining._worth(batch, k)
+    assert 0.1 < worth.mean() < 0.95
+    for keep, (_, at, a, _, there, b) in zip(worth.tolist(), rows_[100:]):
+        found = [p for p in chaining.align(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), at, there, k) if p[1] - p[0] >= 2 * k]
+        assert keep or (len(at) == 1 and not found)
+
+
+def test_occurrences_behind_others_are_matched_as_these():
+    import pyarrow as pa
+
+    front, behind = chaining._FRONT, chaining._BEHIND
+    rows_ = [(front, 5, 1, 2, 9), (behind, 5, 1, 6, 30), (behind, 5, 1, 2, 31), (front, 5, 7, 3, 8), (front, 6, 0, 1, 1), (behind, 6, 0, 8, 2), (behind, 6, 0, 9, 3)]
+    batch = lambda r: pa.RecordBatch.from_arrays([pa.array([x[c] for x in r], pa.int64()) for c in range(5)], ["kind", "front", "front_at", "x", "y"])
+    for cut in range(len(rows_) + 1):
+        out = [tuple(r.values()) for b in chaining._spread([batch(rows_[:cut]), batch(rows_[cut:])]) for r in b.to_pylist()]
+        assert out == [(6, 30, 2, 9), (8, 2, 1, 1), (9, 3, 1, 1)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.booleans(), max_size=40), st.sampled_from([0.5, 0.8, 1.0]))
 def test_longest_stretches(same, alike):
