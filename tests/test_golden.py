@@ -285,14 +285,68 @@ def test_vector_files(spark, tmp_path):
     got = vector_source.fvecs(spark, str(tmp_path / "x.fvecs")).orderBy("id").collect()
     assert [r.embedding for r in got] == x.tolist()
     assert vector_source.fvecs(spark, str(tmp_path / "x.fvecs"), 2).count() == 2
-    with pytest.raises(ValueError):
-        vector_source._records(struct.pack("<if", 2, 1.0), "<f4", None)
     head = json.dumps({"w": {"dtype": "BF16", "shape": [2], "data_offsets": [0, 4]}, "n": {"dtype": "I64", "shape": [1], "data_offsets": [4, 12]}, "__metadata__": {}}).encode()
     (tmp_path / "m.tensors").write_bytes(struct.pack("<Q", len(head)) + head + bytes([0x80, 0x3F, 0x00, 0xC0]) + bytes(8))
     r = vector_source.tensors(spark, str(tmp_path / "m.tensors"), True).collect()
     assert [(t.name, t.dtype, t.shape, t.data) for t in r] == [("w", "BF16", [2], [1.0, -2.0])]
 
 
+def test_vector_files_in_ranges(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(1000, 7)).astype("<f4")
+    raw = np.column_stack([np.full(1000, 7, "<i4"), x.view("<i4")]).tobytes()
+    (tmp_path / "x.fvecs").write_bytes(raw)
+    read = vector_source.fvecs(spark, f"{tmp_path}/x.fvecs", size=5000)
+    assert read.rdd.getNumPartitions() == 7  # 156 records of 32 bytes each
+    assert np.array_equal(np.array([r.embedding for r in read.orderBy("id").collect()], "<f4"), x)
+    few = vector_source.fvecs(spark, f"{tmp_path}/x.fvecs", 200, 5000)
+    assert few.rdd.getNumPartitions() == 2 and sorted(r.id for r in few.collect()) == list(range(200))
+    (tmp_path / "i.ivecs").write_bytes(struct.pack("<iii", 2, -5, 6) * 3)
+    assert [r.neighbors for r in vector_source.ivecs(spark, f"{tmp_path}/i.ivecs").collect()] == [[-5, 6]] * 3
+    for name, bad in (("long", raw + b"x"), ("empty", b""), ("zero", struct.pack("<i", 0)), ("ragged", struct.pack("<ifif", 1, 1.0, 2, 1.0))):
+        (tmp_path / name).write_bytes(bad)
+        with pytest.raises(Exception, match="vector file|dimension"):
+            vector_source.fvecs(spark, f"{tmp_path}/{name}").collect()
+    with pytest.raises(ValueError, match="no file"):
+        vector_source.fvecs(spark, f"{tmp_path}/none*")
+    vector_source.write_fvecs(read.repartition(3), "embedding", f"{tmp_path}/out")
+    again = vector_source.fvecs(spark, f"{tmp_path}/out")
+    assert sorted(tuple(r.embedding) for r in again.collect()) == sorted(map(tuple, x.tolist()))
+    assert len(list((tmp_path / "out").glob("*.fvecs"))) == 3
+    with pytest.raises(Exception, match="one positive dimension"):
+        vector_source.write_fvecs(spark.sql("SELECT explode(array(array(1f), array(1f, 2f), array(3f))) AS v").coalesce(1), "v", f"{tmp_path}/ragged_out")
+    assert not list((tmp_path / "ragged_out").rglob("*.fvecs"))
+
+
+def test_tensor_files_over_several_shards(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"t{i}", ["F32", "F16", "BF16"][i % 3], shape, rng.normal(size=int(np.prod(shape))).astype("<f4").tolist()) for i, shape in enumerate([[3, 4], [5], [2, 2, 2], [0], [1000], []])]
+    df = spark.createDataFrame(rows, "name string, dtype string, shape array<long>, data array<float>").repartition(4, "name")
+    vector_source.write_tensors(df, f"{tmp_path}/m")
+    index = {r.name: r.file for r in vector_source.index_of(spark, f"{tmp_path}/m").collect()}
+    files = {p.name for p in (tmp_path / "m").glob("*.safetensors")}
+    assert set(index) == {r[0] for r in rows} and set(index.values()) == files and len(files) > 1
+    heads = {r.name: (r.dtype, r.shape, r.path.rsplit("/", 1)[1]) for r in vector_source.tensors(spark, f"{tmp_path}/m").collect()}
+    assert heads == {n: (d, s, index[n]) for n, d, s, _ in rows}
+    got = {}
+    for r in vector_source.tensors(spark, f"{tmp_path}/m", True, 256).orderBy("name", "at").collect():
+        assert r.at == len(got.setdefault(r.name, []))
+        got[r.name] += r.data
+    for name, dtype, _, data in rows:
+        want = np.array(data, "<f4")
+        step = {"F32": 0, "F16": 2e-3, "BF16": 8e-3}[dtype]
+        assert np.allclose(got[name], want, rtol=step, atol=1e-4 if step else 0) and np.array_equal(vector_source.decoded(vector_source.raw_of(np.array(got[name], "<f4"), dtype), dtype), np.array(got[name], "<f4"))
+    bad = spark.createDataFrame([*rows[:3], ("short", "F32", [9], [1.0])], df.schema).repartition(4, "name")
+    with pytest.raises(Exception, match="wrong dtype or byte length"):
+        vector_source.write_tensors(bad, f"{tmp_path}/bad")
+    assert not [p for p in (tmp_path / "bad").rglob("*.safetensors")] and not (tmp_path / "bad" / "model.safetensors.index.json").exists()
+
+
+def test_bytes_of_small_floats():
+    x = np.array([1.0, 1 + 2**-8, 1 + 3 * 2**-8, -0.0, np.inf, np.nan, 3.4e38], "<f4")
+    back = vector_source.decoded(vector_source.raw_of(x, "BF16"), "BF16")
+    assert back[:5].tolist() == [1.0, 1.0, 1 + 2**-6, -0.0, np.inf] and np.isnan(back[5]) and np.isinf(back[6])
+
+
 def test_detokenizing_in_parts():
     data, stops = "héllo 😀 world. STOP no".encode(), ["STOP", ". X"]
     for size in (1, 2, 3, 7):
