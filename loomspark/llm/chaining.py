@@ -41,7 +41,7 @@ LOOK = 24
 #: Occurrences of a seed in a batch of rows of which only the first by its number in the document is dealt out by the seed.
 HOT = 64
 #: Slices of texts start and end at multiples of so many words, so that many chains ask for the same ones.
-STEP = 32
+STEP = 16
 #: Bytes of slices that a task holds at once, and rows of them that it aligns at once.
 PART, ROWS = 4 << 20, 512
 
