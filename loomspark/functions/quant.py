@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.vector import let
+from loomspark.operators.knn import _vectors
 
 GROUP = 32
 # Code ranges and the clips tried for each width.
@@ -121,19 +124,63 @@ def scaled_and_quantized(rows: DataFrame, scales: DataFrame, means: DataFrame, b
     return quantized(parts.select("row", "part", F.col("g.x").alias("x"), F.col("g.w").alias("w")), "x", bits, "w").select("row", "part", "scale", "codes")
 
 
+def gram(inputs: DataFrame) -> np.ndarray:
+    """The sums of products of each two channels over all `inputs` (embedding), divided by their number: every batch is one matrix product, and the
+    products are added up by row and column."""
+
+    def each(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(batch.column(0))
+                g = x.T @ x
+                ends = pa.array(np.arange(len(g) + 1, dtype=np.int32) * len(g))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(g))), pa.array(np.full(len(g), batch.num_rows)), pa.ListArray.from_arrays(ends, pa.array(g.ravel()))], ["i", "n", "g"])
+
+    parts = inputs.where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(each, "i long, n long, g array<double>")
+    sums = parts.select("i", "n", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()  # as many rows as the square of the width
+    width = round(sums.num_rows**0.5)
+    out = np.zeros((width, width))
+    out[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("x").to_numpy() / sums.column("n").to_numpy()
+    return out
+
+
 def searched_scales(rows: DataFrame, inputs: DataFrame, bits: int) -> DataFrame:
     """(alpha, error), the least error first: of quantizing `rows` (row, values) with the channel scales of each exponent, the mean square
-    of what the products with the sample `inputs` (embedding; a bounded number) change by. Exponent 0 scales nothing."""
+    of what the products with all `inputs` (embedding) change by. Exponent 0 scales nothing.
+
+    With G the mean of the inputs' products of channels, a row that changes by d changes its products by d'Gd in the mean square, so the inputs are read
+    once, whatever their number, and the rows once for all exponents."""
     means = channel_means(inputs)
-    sample = inputs.agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("_inputs"))
-    found = None
-    for alpha in ALPHAS:
-        scales = channel_scales(means, alpha)
-        coded = scaled_and_quantized(rows, scales, means, bits).withColumn("y", dequantized(F.col("codes"), F.col("scale")))
-        whole = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "y"))), lambda g: g["y"])).alias("y"))
-        back = whole.crossJoin(F.broadcast(_row_of(scales, "scale"))).select("row", F.zip_with("y", "_scale", lambda y, c: y / c).alias("y"))
-        off = rows.join(back, "row").crossJoin(F.broadcast(sample)).select(F.zip_with("values", "y", lambda v, y: v.cast("double") - y).alias("d"), "_inputs")
-        each = F.aggregate("_inputs", F.lit(0.0), lambda total, x: total + F.pow(F.aggregate(F.zip_with(x, "d", lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z), F.lit(2.0)))
-        row = off.select((each / F.size("_inputs")).alias("e")).agg(F.lit(alpha).alias("alpha"), F.avg("e").alias("error"))
-        found = row if found is None else found.union(row)
-    return found.orderBy("error", "alpha")
+    table = means.orderBy("channel").toPandas()  # a row a channel
+    send = rows.sparkSession.sparkContext.broadcast((gram(inputs), table["mean_abs"].to_numpy(), table["mean_square"].to_numpy()))
+
+    def each(batches):
+        g, mean_abs, mean_square = send.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, errors = _vectors(batch.column(0)), []
+            for alpha in ALPHAS:
+                raw = np.maximum(mean_abs, 1e-5) ** alpha
+                scale = np.maximum(raw / np.sqrt(raw.max() * raw.min()), 1e-4)
+                off = x - _coded_rows(x * scale, mean_square / (scale * scale) + IMPORTANCE_FLOOR, bits) / scale
+                errors.append(float(np.einsum("ri,ij,rj->", off, g, off)))
+            yield pa.RecordBatch.from_arrays([pa.array(ALPHAS), pa.array(errors), pa.array([batch.num_rows] * len(ALPHAS), pa.int64())], ["alpha", "error", "n"])
+
+    found = checked(rows).select(F.col("values").cast("array<double>").alias("values")).mapInArrow(each, "alpha double, error double, n long")
+    return found.groupBy("alpha").agg((F.sum("error") / F.sum("n")).alias("error")).orderBy("error", "alpha")
+
+
+def _coded_rows(x: np.ndarray, weight: np.ndarray, bits: int) -> np.ndarray:
+    """Rows quantized and turned back, as `quantized` does it by group: of the clips the first with the least weighted error."""
+    low, high = RANGES[bits]
+    groups_, w = x.reshape(len(x), -1, GROUP), weight.reshape(1, -1, GROUP)
+    most, best, out = np.abs(groups_).max(axis=2, keepdims=True), None, None
+    for clip in CLIPS[bits]:
+        scale = clip * most / high
+        ratio = np.divide(groups_, scale, out=np.zeros_like(groups_), where=scale > 0)
+        back = np.clip(np.sign(ratio) * np.floor(np.abs(ratio) + 0.5), low, high) * scale
+        error = (w * (groups_ - back) ** 2).sum(axis=2, keepdims=True)
+        better = np.ones_like(error, bool) if best is None else error < best
+        best, out = np.where(better, error, best) if best is not None else error, np.where(better, back, out if out is not None else 0.0)
+    return out.reshape(x.shape)

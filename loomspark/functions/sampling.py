@@ -129,7 +129,3 @@ def evenly_spaced(tokens: Column, count: int, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.slice(tokens, F.floor(span * i / count).cast("int") + 1, length))
 
 
-def hash_sample(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    """n rows a group, those of the least hash of `key`: a sample that doesn't depend on the order of reading."""
-    order = W.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")

@@ -169,7 +169,7 @@ def _graph(table: pa.Table, m: int, metric: str) -> tuple[Graph, list[int]]:
 
 
 def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[int], block: int = BLOCK) -> DataFrame:
-    """(qid, width, turn, id, distance, visited): the k nearest of each query (qid, embedding) in each of the `probes` cells nearest to it (turn 0: the
+    """(qid, width, turn, part, id, distance, visited): the k nearest of each query (qid, embedding) in each of the `probes` cells nearest to it (turn 0: the
     nearest), for each width of the walk; visited: vectors whose distance was taken in that walk, in each of its rows. Each graph is loaded once
     for all widths and a block of queries. Queries go to their cells by a shuffle."""
     m, metric = index.m, index.metric
@@ -179,12 +179,13 @@ def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[i
         if left.num_rows and right.num_rows:
             graph, ids = _graph(left, m, metric)
             q = _vectors(right.combine_chunks().column("embedding").chunk(0))
+            part = left.column("part")[0].as_py()
             for qid, turn, x in zip(right.column("qid").to_pylist(), right.column("turn").to_pylist(), q):
                 for width in widths:
                     graph.visited = 0
                     found = graph.search(x, k, width)
-                    out += [(qid, width, turn, ids[r], d, graph.visited) for d, r in found]
-        kinds = [("qid", pa.int64()), ("width", pa.int32()), ("turn", pa.int32()), ("id", pa.int64()), ("distance", pa.float64()), ("visited", pa.int64())]
+                    out += [(qid, width, turn, part, ids[r], d, graph.visited) for d, r in found]
+        kinds = [("qid", pa.int64()), ("width", pa.int32()), ("turn", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("distance", pa.float64()), ("visited", pa.int64())]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     routes = ivfpq.routed(queries, index.centroids, probes, metric)
@@ -195,7 +196,7 @@ def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[i
     right = routes.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
     right = right.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     groups = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block"))
-    return groups.applyInArrow(met, "qid long, width int, turn int, id long, distance double, visited long")
+    return groups.applyInArrow(met, "qid long, width int, turn int, part int, id long, distance double, visited long")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, width: int = 128) -> DataFrame:

@@ -209,18 +209,24 @@ def reranked(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, m
 
 def search_cells(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2", part: int = PART, block: int = BLOCK) -> DataFrame:
     """(qid, id, distance, rank) of the k nearest of the vectors (id, embedding) in the `probes` cells nearest to each query, without codes."""
+    return ranked(cell_candidates(vectors, centroids, queries, k, probes, metric, part, block).drop("turn"), k, "qid")
+
+
+def cell_candidates(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2", part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(qid, turn, id, distance): the k nearest of each part of each of a query's `probes` cells, the nearest cell being turn 0. Those of turns below p are
+    what a search of p cells ranks, so one pass serves all widths."""
     entries = kmeans.assigned(vectors.where("id is not null and embedding is not null"), centroids, metric, keep=True).select("cell", "id", "embedding")
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        columns = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
             n, ids, d = _nearest(_vectors(right.column("embedding").chunk(0)), _vectors(left.column("embedding").chunk(0)), left.column("id").to_numpy(), k, metric)
-            columns = [right.column("qid").to_numpy()[n], ids, d]
-        return pa.Table.from_arrays([pa.array(x) for x in columns], ["qid", "id", "distance"])
+            columns = [right.column("qid").to_numpy()[n], right.column("turn").to_numpy()[n], ids, d]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], ["qid", "turn", "id", "distance"])
 
-    groups = meeting(entries, routed(queries, centroids, probes, metric).drop("turn"), part, block)
-    return ranked(groups.applyInArrow(met, "qid long, id long, distance double"), k, "qid")
+    groups = meeting(entries, routed(queries, centroids, probes, metric), part, block)
+    return groups.applyInArrow(met, "qid long, turn int, id long, distance double")
 
 
 def saved(index: Index, path: str) -> None:

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from loomspark.functions import vector
 from loomspark.functions.text import words
+from loomspark.shared import written
 
 
 def ndcg(run: DataFrame, qrels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -74,11 +76,13 @@ def percentiles(values: DataFrame, by: list[str], column: str, wanted: list[floa
     result); the counts of the ranges tell which one holds a rank, and each is sorted by itself.
     """
     one = F.lit(0).alias("_all")
-    counted = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_value")).agg(F.count("*").alias("_n")).withColumn("_all", one)
+    counted = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    counted = written(counted, "counted").withColumn("_all", one)  # read twice
     group = ["_all", *by]
     cuts = counted.groupBy(*group).agg(F.percentile_approx("_value", [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("_cuts"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
     placed = counted.alias("l").join(cuts.alias("r"), same).select("l.*", F.size(F.filter(F.array_distinct("_cuts"), lambda x: x < F.col("_value"))).alias("_range"))
+    placed = written(placed, "placed")
     sums = placed.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"))
     upto = W.partitionBy(*group)  # RANGES rows a group
     sums = sums.select(*group, "_range", (F.sum("_size").over(upto.orderBy("_range")) - F.col("_size")).alias("_before"), F.sum("_size").over(upto).alias("_total"))
@@ -91,6 +95,19 @@ def percentiles(values: DataFrame, by: list[str], column: str, wanted: list[floa
     return rows.groupBy(*group).agg(*[F.coalesce(at(p), F.lit(0.0)).alias(f"p{p:g}") for p in wanted]).drop("_all")
 
 
+def chi_square(counts: DataFrame, seen: str, expected: str) -> DataFrame:
+    """One row: the sum of (seen - expected)^2 / expected over rows with something expected, and those rows less one."""
+    rows = counts.where(F.col(expected) > 0)
+    return rows.agg(F.sum(F.pow(F.col(seen) - F.col(expected), F.lit(2)) / F.col(expected)).alias("chi_square"), (F.count("*") - 1).alias("freedom"))
+
+
+def cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the cosine of two columns of vectors, all rows taken as one vector each; 0 where one has no length."""
+    dot = lambda x, y: F.sum(vector.dot(F.col(x), F.col(y)))
+    sums = pairs.agg(dot(a, b).alias("ab"), dot(a, a).alias("aa"), dot(b, b).alias("bb"))
+    return sums.select(F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(F.lit(0.0)).alias("cosine"))
+
+
 def perplexity(tokens: DataFrame, context: int) -> DataFrame:
     """`tokens` (seq, pos, logits, target) to (seq, windows, perplexity) over full windows of `context`; the first position of
     each window isn't scored, the rest of a sequence is dropped."""

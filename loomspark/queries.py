@@ -14,10 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark import shared
-from loomspark.functions import quant, requests, sampling, text, unicode, vector
-from loomspark.operators import bpe, chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
+from loomspark.functions import json, model, quant, requests, sampling, text, unicode, vector
+from loomspark.operators import batching, bpe, chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
 from loomspark.plans import retrieval
 from loomspark.session import table
+from loomspark.sources import text as text_source
+from loomspark.sources import vectors as vector_source
+from loomspark.sources import versions
+from loomspark.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -368,6 +372,62 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, rows)
 
 
+_WIDTHS = [0.125, 0.25, 0.5, 0.75, 1.0]
+
+
+@query(f"""WITH {_lloyd(_GROWN)}, r AS (SELECT q.vec_id AS qid, c.cell, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2.format(a="q.embedding", b="c.v")}, c.cell) AS turn FROM embeddings q, c2 c WHERE q.vec_id % {EVERY} = 0),
+  w AS (SELECT ceil(s * {_GROWN})::INT AS width FROM (SELECT unnest({_WIDTHS}) AS s)), t AS ({_knn_sql(_L2)}),
+  f AS (SELECT width, qid, a2.id, {_L2.format(a="q.embedding", b="e.embedding")} AS d FROM w JOIN r ON turn <= width JOIN a2 USING (cell) JOIN embeddings e ON e.vec_id = a2.id JOIN embeddings q ON q.vec_id = qid),
+  b AS (SELECT width, qid, id FROM f QUALIFY row_number() OVER (PARTITION BY width, qid ORDER BY d, id) <= {K}),
+  n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % {EVERY} = 0) AS q FROM embeddings)
+  SELECT width, round(count(t.id) / (any_value(q) * {K}), 6) AS recall, round((SELECT count(*) FROM f WHERE f.width = b.width) / (any_value(q) * any_value(n)), 6) AS visited
+  FROM b LEFT JOIN t USING (qid, id), n GROUP BY width""")
+def probe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall against cells read, all widths from one pass."""
+    v = _vectors(spark, sf_dir)
+    q, cells = _queries(v), ivfpq.cells_for(v.count())
+    widths = [math.ceil(s * cells) for s in _WIDTHS]
+    found = retrieval.probe_sweep(v, q, _centroids(v, 2, cells), knn.exact(v, q, K), K, widths)
+    return found.select("width", F.round("recall", 6).alias("recall"), F.round("visited", 6).alias("visited"))
+
+
+@query()
+def walk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall against the width of the walk, of a saved graph index."""
+    v, index = _vectors(spark, sf_dir), _hnsw(spark, sf_dir)
+    q = _queries(v)
+    found = retrieval.walk_sweep(index, q, knn.exact(v, q, K), K, _routes(len(index.centroids)), [10, 20, 40, 80, 160], v.count())
+    return found.select("width", F.round("recall", 4).alias("recall"), F.round("visited", 4).alias("visited"))
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY label >= 5 ORDER BY label, vec_id) - 1 AS i FROM embeddings)
+  SELECT i + CASE WHEN label >= 5 THEN (SELECT count(*) FROM embeddings WHERE label < 5) ELSE 0 END AS id, vec_id, label, embedding FROM a""")
+def appended_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made by two appends, with ids that go on."""
+    e, path = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), shared.new_path(spark, "vectors")
+    for part in (e.where("label < 5"), e.where("label >= 5")):
+        versions.appended(part, path, ["label", "vec_id"])
+    return versions.read(spark, path).select("id", "vec_id", "label", "embedding")
+
+
+@query("SELECT list_transform(embedding, lambda x: x::FLOAT::DOUBLE) AS embedding, 64::BIGINT AS n FROM embeddings")
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors to float files and back, in ranges of 16 KB."""
+    path = shared.new_path(spark, "fvecs")
+    vector_source.write_fvecs(table(spark, sf_dir, "embeddings"), "embedding", path)
+    return vector_source.fvecs(spark, path, size=16 << 10).select(F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").cast("long").alias("n"))
+
+
+@query("SELECT 'v' || vec_id AS name, 'F32' AS dtype, [8, 8]::BIGINT[] AS shape, list_transform(embedding, lambda x: x::FLOAT::DOUBLE) AS data FROM embeddings")
+def tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a tensor, to files with an index and back."""
+    path = shared.new_path(spark, "tensors")
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.lit("F32").alias("dtype"), F.array(F.lit(8), F.lit(8)).alias("shape"), F.col("embedding").alias("data"))
+    vector_source.write_tensors(rows, path)
+    return vector_source.tensors(spark, path, True).select("name", "dtype", "shape", F.col("data").cast("array<double>").alias("data"))
+
+
 # --- text ------------------------------------------------------------------------------------
 
 _NORMAL = r"""list_filter(string_split_regex(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"""
@@ -522,6 +582,13 @@ def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("x.qids").alias("row"), "token", (8 * F.col("x.values")).alias("logit"))
 
 
+def _top_logits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k greatest of each row, kept in the batches of the product; equal ones by token."""
+    v = _vectors(spark, sf_dir)
+    best = knn.exact(v, _queries(v), k, vector.INNER_PRODUCT)
+    return best.select(F.col("qid").alias("row"), F.col("id").alias("token"), (-8 * F.col("distance")).alias("logit"))
+
+
 _DISTRIBUTION = f"""r AS (SELECT row, token, logit / 0.8 AS s, row_number() OVER (PARTITION BY row ORDER BY logit / 0.8 DESC, token) AS rank FROM ({_LOGITS}) QUALIFY rank <= 20),
   e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY row)) AS e FROM r),
   p AS (SELECT *, e / sum(e) OVER (PARTITION BY row) AS p FROM e),
@@ -531,19 +598,19 @@ _DISTRIBUTION = f"""r AS (SELECT row, token, logit / 0.8 AS s, row_number() OVER
 
 @query(f"WITH {_DISTRIBUTION} SELECT row, token, rank, round(p, 6) AS p FROM kept")
 def sampling_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.distribution(_logits(spark, sf_dir), 0.8, 20, 0.9).withColumn("p", F.round("p", 6))
+    return sampling.distribution(_top_logits(spark, sf_dir, 20), 0.8, 20, 0.9).withColumn("p", F.round("p", 6))
 
 
 @query(f"""WITH {_DISTRIBUTION}, c2 AS (SELECT *, sum(p) OVER (PARTITION BY row ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM kept)
   SELECT row, coalesce(arg_min(token, rank) FILTER (run > (row % 97) / 97.0), arg_max(token, rank)) AS token FROM c2 GROUP BY row""")
 def sampling_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = sampling.distribution(_logits(spark, sf_dir), 0.8, 20, 0.9)
+    p = sampling.distribution(_top_logits(spark, sf_dir, 20), 0.8, 20, 0.9)
     return sampling.draw(p, p.select("row", (F.col("row") % 97 / 97.0).alias("u")).distinct())
 
 
 @query(f"SELECT row, arg_min(token, struct_pack(a := -logit, b := token)) AS token FROM ({_LOGITS}) GROUP BY row")
 def greedy_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _logits(spark, sf_dir).groupBy("row").agg(F.min_by("token", F.struct(-F.col("logit"), F.col("token"))).alias("token"))
+    return _top_logits(spark, sf_dir, 1).select("row", "token")
 
 
 @query(f"""WITH l AS ({_LOGITS}), p AS (SELECT row, token, exp(logit) / sum(exp(logit)) OVER (PARTITION BY row) AS p, exp(logit / 2) / sum(exp(logit / 2)) OVER (PARTITION BY row) AS q FROM l),
@@ -751,3 +818,152 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = bpe.decoded(bpe.encoded(docs, tokenizer), tokenizer, special=True).withColumnRenamed("text", "back")
     return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"))
+
+
+_LENGTHS = r"SELECT doc_id, least(512, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')))::BIGINT AS length FROM documents"
+
+
+@query(f"""WITH l AS ({_LENGTHS}), p AS (SELECT *, row_number() OVER (ORDER BY length, doc_id) - 1 AS i FROM l)
+  SELECT doc_id, length, i // 32 AS batch, i % 32 AS place, max(length) OVER (PARTITION BY i // 32) - length AS padding FROM p""")
+def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their words, 512 at most, in batches of 32 of about equal lengths."""
+    words = F.coalesce(F.size(text.words(F.col("text"))), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(512), F.greatest(words, F.lit(0))).cast("long").alias("length"))
+    return batching.length_sorted(rows, "doc_id", "length")
+
+
+@query("""SELECT source, doc_id, md5('7' || doc_id) AS "order" FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('7' || doc_id), doc_id) <= 20""")
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents of each source, by a hash of their ids."""
+    return batching.bottom(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 20, "7")
+
+
+@query(f"""WITH x AS (SELECT unnest(range(1, 65)) AS channel, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT channel, avg(abs(x)) AS a, avg(x * x) AS s FROM x GROUP BY channel),
+  p AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS alpha), r AS (SELECT alpha, channel, s, pow(greatest(a, 0.00001), alpha) AS raw FROM m, p),
+  c AS (SELECT alpha, channel, s, greatest(raw / sqrt(max(raw) OVER (PARTITION BY alpha) * min(raw) OVER (PARTITION BY alpha)), 0.0001) AS scale FROM r),
+  l AS (SELECT alpha, list(scale ORDER BY channel) AS scale, list(s / (scale * scale) + 0.00000001 ORDER BY channel) AS w FROM c GROUP BY alpha),
+  g AS (SELECT alpha, vec_id, part, list_transform(range(part * 32 + 1, part * 32 + 33), lambda i: embedding[i]::DOUBLE * scale[i]) AS x, w[part * 32 + 1 : part * 32 + 32] AS w, scale[part * 32 + 1 : part * 32 + 32] AS scale
+    FROM embeddings, l, range(0, 2) t(part) WHERE vec_id % {EVERY} = 0),
+  t AS (SELECT *, clip::DOUBLE * list_max(list_transform(x, lambda v: abs(v))) / 7 AS q FROM g, (SELECT unnest({quant.CLIPS[4]}) AS clip, unnest(range(0, 11)) AS place)),
+  k AS (SELECT *, list_transform(x, lambda v: greatest(-8, least(7, round(v / q))) * q) AS y FROM t),
+  b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY alpha, vec_id, part ORDER BY list_sum(list_transform(range(1, 33), lambda i: w[i] * (x[i] - y[i]) * (x[i] - y[i]))), place) = 1),
+  d AS (SELECT alpha, vec_id, flatten(list(list_transform(range(1, 33), lambda i: (x[i] - y[i]) / scale[i]) ORDER BY part)) AS d FROM b GROUP BY alpha, vec_id)
+  SELECT alpha, round(avg(e * e), 10) AS error FROM (SELECT alpha, {_DOT.format(a="d.d", b="e.embedding")} AS e FROM d, embeddings e) GROUP BY alpha""")
+def awq_alpha_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query vectors as weights, all vectors as inputs: the error of each exponent of the channel scales."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("row"), F.col("embedding").alias("values"))
+    return quant.searched_scales(rows, e.select("embedding"), 4).select("alpha", F.round("error", 10).alias("error"))
+
+
+@query(f"""WITH {_RECORDS} SELECT count(*) AS requests, count(*) FILTER (ok) AS completed, count(*) FILTER (finish = 'cancelled') AS cancelled,
+    sum(prompt) FILTER (ok)::BIGINT AS prompt_tokens, sum(tokens) FILTER (ok)::BIGINT AS output_tokens, max(tokens) AS longest FROM v""")
+def engine_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that are taken while the requests are written."""
+    path = shared.new_path(spark, "requests")
+    series = counters.of_requests(F.col("tokens"), F.col("prompt"), F.col("finish"))
+    return counters.counted(_records(spark, sf_dir), series, lambda rows: rows.write.parquet(path))
+
+
+@query("""WITH b AS (SELECT c.conv_id, '{"model": "m' || c.conv_id % 3 || '", "messages": [' || string_agg('{"role": ' || to_json(role) || ', "content": ' || coalesce(to_json(text), 'null') || '}', ', ' ORDER BY turn, role, text) || ']' ||
+      CASE WHEN c.conv_id % 4 = 1 THEN ', "temperature": ' || c.conv_id % 9 / 4.0::DOUBLE ELSE '' END || CASE c.conv_id % 7 WHEN 2 THEN '} x' WHEN 3 THEN '' WHEN 4 THEN '}{}' ELSE '}' END AS body, c.conv_id % 7 NOT IN (2, 3, 4) AS valid,
+      count(*) AS n, first(role ORDER BY turn, role, text) AS role, length(last(text ORDER BY turn, role, text)) AS chars FROM conversations c GROUP BY c.conv_id)
+  SELECT conv_id, valid, CASE WHEN valid THEN 'm' || conv_id % 3 END AS model, CASE WHEN valid AND conv_id % 4 = 1 THEN conv_id % 9 / 4.0::DOUBLE END AS temperature,
+    CASE WHEN valid THEN n END AS messages, CASE WHEN valid THEN role END AS first_role, CASE WHEN valid THEN chars END AS last_chars FROM b""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the JSON bodies of requests, some of them broken, read as VARIANT."""
+    i = F.col("conv_id")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    messages = F.array_join(F.transform("m", lambda x: F.concat(F.lit('{"role": '), json.quoted(x["role"]), F.lit(', "content": '), F.coalesce(json.quoted(x["text"]), F.lit("null")), F.lit("}"))), ", ")
+    more = F.when(i % 4 == 1, F.concat(F.lit(', "temperature": '), (i % 9 / 4.0).cast("string"))).otherwise("")
+    end = F.when(i % 7 == 2, "} x").when(i % 7 == 3, "").when(i % 7 == 4, "}{}").otherwise("}")
+    body = F.concat(F.lit('{"model": "m'), (i % 3).cast("string"), F.lit('", "messages": ['), messages, F.lit("]"), more, end)
+    v = rows.select("conv_id", json.parsed(body).alias("v"))
+    every = json.field(F.col("v"), "$.messages", "array<struct<role:string,content:string>>")
+    return v.select("conv_id", F.col("v").isNotNull().alias("valid"), json.field(F.col("v"), "$.model", "string").alias("model"), json.field(F.col("v"), "$.temperature", "double").alias("temperature"),
+        F.when(F.col("v").isNotNull(), F.size(every)).cast("long").alias("messages"), json.field(F.col("v"), "$.messages[0].role", "string").alias("first_role"), F.length(F.element_at(every, -1)["content"]).cast("long").alias("last_chars"))
+
+
+@query(f"SELECT count(*) AS questions, round(100 * avg(em), 6) AS em, round(100 * avg(f1), 4) AS f1 FROM ({ORACLES['answer_em_f1']})")
+def corpus_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over all answers."""
+    return metrics.corpus_scores(answer_em_f1(spark, sf_dir)).select("questions", F.round("em", 6).alias("em"), F.round("f1", 4).alias("f1"))
+
+
+_CONFIG = "p_size * 64 AS hidden, p_size % 7 + 1 AS layers, p_size % 5 + 4 AS heads, p_size % 3 + 1 AS kv_heads, 64 AS head_dim, p_size * 172 AS intermediate, 32000 + p_partkey % 1000 AS vocab, p_partkey % 2 = 0 AS tied"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_CONFIG} FROM part)
+  SELECT p_partkey, (layers * (hidden * (heads + 2 * kv_heads) * head_dim + heads * head_dim * hidden + 3 * hidden * intermediate + 2 * hidden) + vocab * hidden * (CASE WHEN tied THEN 1 ELSE 2 END) + hidden)::BIGINT AS parameters,
+    (2 * layers * kv_heads * head_dim * 4)::BIGINT AS cache_bytes FROM c""".replace("p_size", "p_size::BIGINT"))
+def model_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as model configurations."""
+    c = table(spark, sf_dir, "part").selectExpr("p_partkey", *_CONFIG.split(", "))
+    sizes = model.parameters(*map(F.col, ("hidden", "layers", "heads", "kv_heads", "head_dim", "intermediate", "vocab", "tied")))
+    return c.select("p_partkey", sizes.cast("long").alias("parameters"), model.cache_bytes(F.col("layers"), F.col("kv_heads"), F.col("head_dim")).cast("long").alias("cache_bytes"))
+
+
+_QID = "coalesce(lang, 'é') || '-' || coalesce(source, 'Z') || '-' || doc_id"
+
+
+@query(f"SELECT {_QID} AS qid, row_number() OVER (ORDER BY {_QID}) - 1 AS place FROM documents")
+def query_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of any letters in the order of their bytes."""
+    return retrieval.ordered(table(spark, sf_dir, "documents").selectExpr(f"{_QID} AS qid"))
+
+
+@query(f"""WITH {_CLIPPED}, n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), o AS (SELECT sum(n) / count(*) AS e, count(*) AS k FROM n)
+  SELECT (SELECT round(sum(list_sum(list_transform(list_zip(x, codes), lambda z: z[1] * z[2] * scale))) / sqrt(sum(list_sum(list_transform(x, lambda v: v * v))) * sum(list_sum(list_transform(codes, lambda c: c * scale * c * scale)))), 8) FROM best) AS cosine,
+    (SELECT round(sum((n - e) * (n - e) / e), 6) FROM n, o) AS chi_square, (SELECT k - 1 FROM o) AS freedom""")
+def fit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine of vectors and their codes; the fit of event kinds to equal shares."""
+    q = quant.quantized(_groups(spark, sf_dir), "x", 4).withColumn("y", quant.dequantized(F.col("codes"), F.col("scale")))
+    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    n = n.crossJoin(n.agg(F.avg("n").alias("e")))  # a row a kind
+    found = metrics.cosine(q, "x", "y").crossJoin(metrics.chi_square(n, "n", "e"))
+    return found.select(F.round("cosine", 8).alias("cosine"), F.round("chi_square", 6).alias("chi_square"), "freedom")
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, {_TRIM.format(x="coalesce(lang, '') || ' ' || coalesce(text, '')")} AS text FROM documents""")
+def jsonl_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to JSON lines with a title, and back as a corpus."""
+    path = shared.new_path(spark, "corpus")
+    d = table(spark, sf_dir, "documents")
+    text_source.append_json_lines(d.select(F.col("doc_id").cast("string").alias("_id"), F.col("lang").alias("title"), "text"), path)
+    return text_source.corpus(spark, path)
+
+
+@query("SELECT coalesce(source, '') AS qid, arg_max(coalesce(text, ''), doc_id) AS text FROM documents GROUP BY coalesce(source, '')")
+def jsonl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as queries with the ids of their sources, in one file by doc_id: the last one of each holds."""
+    path = shared.new_path(spark, "queries")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("_id"), "text")
+    # ranges of doc_id in the order of their files, as the last line decides
+    text_source.append_json_lines(d.orderBy("doc_id").coalesce(1).select("_id", "text"), path)
+    return text_source.queries(spark, path)
+
+
+@query("SELECT user_id::VARCHAR AS qid, event_type AS doc_id, max(event_id % 4)::INT AS rel FROM events WHERE event_id % 9 > 0 GROUP BY user_id, event_type")
+def qrels_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as judgements in two files, each with a heading, and lines that are none; of equal pairs the greatest stands last."""
+    path = shared.new_path(spark, "qrels")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.col("event_id") % 4).alias("rel"))
+    line = F.when(F.col("event_id") % 9 == 0, F.concat_ws("\t", "user_id", "event_type")).otherwise(F.concat_ws("\t", F.col("user_id").cast("string"), "event_type", F.col("rel").cast("string")))
+    best = e.withColumn("head", F.lit(0)).select("rel", "event_id", line.alias("value"))
+    heads = spark.range(2).select((2 * F.col("id") - 1).cast("long").alias("rel"), F.lit(-1).cast("long").alias("event_id"), F.lit("query-id\tcorpus-id\tscore").alias("value"))
+    both = best.select(F.col("rel").cast("long").alias("rel"), "event_id", "value").unionByName(heads)
+    for i, part in enumerate((both.where("rel in (-1, 0)"), both.where("rel in (1, 2, 3) and event_id >= 0").unionByName(heads.where("rel = 1")))):
+        part.repartition(1).sortWithinPartitions("rel", "event_id").select("value").write.mode("append").text(f"{path}/{i}")
+    return text_source.qrels(spark, f"{path}/*/*.txt")
+
+
+@query(r"""WITH q AS (SELECT doc_id, coalesce(lang, '') AS context FROM documents), c AS (SELECT context, row_number() OVER (ORDER BY min(doc_id)) - 1 AS context_id FROM q GROUP BY context)
+  SELECT 'q' || doc_id AS question, context_id, context FROM q JOIN c USING (context)""")
+def question_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as questions about their language, with contexts numbered as they first come."""
+    path = shared.new_path(spark, "questions")
+    d = table(spark, sf_dir, "documents").orderBy("doc_id").coalesce(1)
+    rows = d.select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question"), F.coalesce("lang", F.lit("")).alias("context"), F.array(F.coalesce("source", F.lit(""))).alias("answers"))
+    text_source.append_json_lines(rows, path)
+    contexts, questions = text_source.question_set(spark, path)
+    return questions.join(contexts, "context_id").select("question", "context_id", "context")

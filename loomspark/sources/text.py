@@ -32,16 +32,18 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed_qrels(lines: DataFrame) -> DataFrame:
-    """`lines` (at, value) to (qid, doc_id, rel): lines of three tab-separated fields, without the first line; a rel that isn't a
-    number from 0 up is 0; of equal pairs the last line holds."""
-    first = lines.agg(F.min("at").alias("head"))
-    rows = lines.crossJoin(F.broadcast(first)).where("at > head").select("at", F.split("value", "\t").alias("f")).where("size(f) = 3")
+    """`lines` (file, at, value) to (qid, doc_id, rel): lines of three tab-separated fields, without the first line of each file; a rel that isn't a
+    number from 0 up is 0; of equal pairs the last line holds, of the last file by name."""
+    first = lines.groupBy("file").agg(F.min("at").alias("head"))  # a row a file
+    rows = lines.join(F.broadcast(first), "file").where("at > head").select(F.struct("file", "at").alias("at"), F.split("value", "\t").alias("f")).where("size(f) = 3")
     rel = F.greatest(F.coalesce(F.get("f", 2).try_cast("int"), F.lit(0)), F.lit(0))
     return rows.groupBy(F.get("f", 0).alias("qid"), F.get("f", 1).alias("doc_id")).agg(F.max_by(rel, "at").alias("rel"))
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
-    return parsed_qrels(spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value"))
+    # ranges of a file may be read in any order: where a range starts, and then the place in it
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+    return parsed_qrels(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value"))
 
 
 def question_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

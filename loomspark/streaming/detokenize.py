@@ -39,11 +39,18 @@ def emitted(held: bytes, stopped: bool, data: bytes, stops: list[str], last: boo
     return out, text[len(text) - keep :].encode() + held[cut:], False
 
 
-def texts(tokens: DataFrame, stops: list[str]) -> DataFrame:
-    """A stream (or table) of (req_id, seq, data binary, last boolean) to (req_id, text): what each batch adds to a request."""
+def texts(tokens: DataFrame, stops: list[str], idle: int | None = None) -> DataFrame:
+    """A stream (or table) of (req_id, seq, data binary, last boolean) to (req_id, text): what each batch adds to a request.
+
+    With `idle`, a request that gets no token for so many milliseconds ends: what is held of it is sent, and its state goes. Such a stream runs a batch at
+    every trigger, with or without data."""
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, stopped = state.get if state.exists else (b"", False)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"req_id": [key[0]], "text": [emitted(bytes(held), stopped, b"", stops, True)[0]]})
+            return
         rows = pd.concat(list(frames)).sort_values("seq")
         parts = []
         for data, last in zip(rows["data"], rows["last"]):
@@ -54,6 +61,8 @@ def texts(tokens: DataFrame, stops: list[str]) -> DataFrame:
                 state.remove()
         else:
             state.update((held, stopped))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
         yield pd.DataFrame({"req_id": [key[0]], "text": ["".join(parts)]})
 
-    return tokens.groupBy("req_id").applyInPandasWithState(each, "req_id long, text string", "held binary, stopped boolean", "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("req_id").applyInPandasWithState(each, "req_id long, text string", "held binary, stopped boolean", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)

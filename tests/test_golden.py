@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import base64
+import hashlib
 import json
 import math
 import struct
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from loomspark.functions import quant, requests, sampling, text, unicode, vector
-from loomspark.operators import chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
+from loomspark.operators import batching, chunk, hnsw, ivfpq, kmeans, knn, metrics, prefix, tokens
 from loomspark.sources import text as text_source
 from loomspark.sources import versions
 from loomspark.sources import vectors as vector_source
@@ -396,8 +397,14 @@ def test_samples(spark):
     tokens_ = F.sequence(F.lit(0), F.lit(99))
     assert [x[0] for x in one(spark, sampling.evenly_spaced(tokens_, 4, 10))] == [0, 22, 45, 67]
     rows = spark.range(200).selectExpr("id % 3 as g", "id")
-    first = {tuple(r) for r in sampling.hash_sample(rows, "g", "id", 5).collect()}
-    assert len(first) == 15 and first == {tuple(r) for r in sampling.hash_sample(rows.repartition(7), "g", "id", 5).collect()}
+    first = {tuple(r) for r in batching.bottom(rows, "g", "id", 5).collect()}
+    want = {(g, i, h) for g in range(3) for h, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(g, 200, 3))[:5]}
+    assert first == want == {tuple(r) for r in batching.bottom(rows.repartition(7), "g", "id", 5).collect()}
+    odd = spark.createDataFrame([(None, 1), (None, 2), ("a", None), ("a", 3)], "g string, id long")
+    assert sorted((str(r.g), r.id) for r in batching.bottom(odd, "g", "id", 1).collect()) == [("None", min((hashlib.md5(str(i).encode()).hexdigest(), i) for i in (1, 2))[1]), ("a", 3)]
+    # no window over all rows: only what tasks have kept of each group is sorted
+    plan = batching.bottom(spark.range(10_000).selectExpr("id % 2 as g", "id").repartition(4), "g", "id", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow")
     sparse = spark.createDataFrame([(0, 2, 0.25), (0, 3, 0.75)], "row int, token int, p double")
     assert [r.p for r in sampling.dense(sparse, sparse.select("row").distinct(), 5).orderBy("token").collect()] == [0, 0, 0.25, 0.75, 0]
 
