@@ -26,7 +26,7 @@ WINDOW, WINDOWS, PASSES = 64, 16_000, 3
 #: Bytes of a sequence, and bytes that it reads before and after them (spaces beyond the text).
 SEQUENCE, MARGIN = 512, 32
 #: Bytes of texts that are read at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 UNKNOWN = "und"
 #: Mean probability of the likeliest language under which `identified` takes a text for one of no language.
 SURE = 0.4

@@ -38,9 +38,9 @@ BLOCK = 2048
 #: Bits of the bucket of a shingle's hash.
 BUCKETS = 20
 #: Bits of a parity bitmap, and rows that a task gives out at once.
-BITS, ROWS = 512, 1 << 17
+BITS, ROWS = 512, 1 << 16
 #: Pairs of shingle sets that are compared at once.
-SETS = 256
+SETS = 64
 
 #: Kinds of rows: a text, a member of a shingle's list, a pair of groups.
 _TEXT, _MEMBER, _PAIR = 0, 1, 2
@@ -138,7 +138,7 @@ def _members(alike: Alike, rank: np.ndarray, fingerprint):
 
     def each(batches):
         seen: set[int] = set()  # groups that this task has listed; told apart again where they meet
-        for batch in bytescan.slices(batches):
+        for batch in bytescan.slices(batches, 512):
             nodes, groups, sizes, bits, fps, out, held = [], [], [], [], [], [], 0
             if len(seen) > ROWS:
                 seen.clear()
@@ -314,7 +314,7 @@ def _other_pairs(alike: Alike, nearest: bool):
 
 def _sets(alike: Alike):
     def each(batches):
-        for batch in bytescan.slices(batches):
+        for batch in bytescan.slices(batches, 256):
             sets = [alike.set_of(x).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "shingles"])
 
