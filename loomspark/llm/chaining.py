@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import bytescan
 from loomspark.llm.cutting import without
 from loomspark.llm.rows import documents, numbered, unused
-from loomspark.llm.scratch import bytes_of, passing, width, written
+from loomspark.llm.scratch import alone, bytes_of, passing, width, written
 
 SEED, SPREAD = 5, 5
 #: Words of a passage, and the share of its words that are equal.
@@ -317,6 +317,7 @@ def _seeds(k: int, w: int, hot: int):
     names = ["kind", "seed", "row", "at", "turn", "other"]
 
     def each(batches):
+        alone()
         for batch in bytescan.slices(batches):
             found = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64)]
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -514,6 +515,7 @@ def _aligned(k: int, alike: float):
     """Chains with both slices to parts of passages; seeds that nothing is alike around are none."""
 
     def each(batches):
+        alone()
         for batch in batches:
             out = []
             batch = batch.filter(pa.array(_worth(batch, k))) if batch.num_rows else batch

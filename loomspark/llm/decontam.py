@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.bytescan import ALNUM, slices, words_of
 from loomspark.llm.cutting import without
 from loomspark.llm.rows import documents, numbered, unused
-from loomspark.llm.scratch import bytes_of, written
+from loomspark.llm.scratch import alone, bytes_of, written
 
 WINDOW = 10
 #: Share of hit words over which a document goes as a whole.
@@ -170,6 +170,7 @@ def _scan(items: DataFrame, window: int):
     key, held = uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
     def each(batches):
+        alone("decontam")
         automaton = _automaton(key, held.value, window)
         for batch in slices(batches):
             out = []

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.rows import quoted, unused
+from loomspark.llm.scratch import alone
 
 HIDDEN = 12
 #: Documents of a language that are trained on, about, and windows of each, evenly spaced over its whole text.
@@ -289,6 +290,7 @@ def _labelled(rows: DataFrame, docs: DataFrame, sample: int, hidden: int, lang:
     names = rows.columns[:-1]
 
     def each(batches):
+        alone()
         read = Reader(*model.value)
         for batch in batches:
             out, texts = [], batch.column(len(names))

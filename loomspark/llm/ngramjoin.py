@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import bytescan, simhash
 from loomspark.llm.components import components
 from loomspark.llm.rows import documents
-from loomspark.llm.scratch import passing, width, written
+from loomspark.llm.scratch import alone, passing, width, written
 
 #: Members of a list that are all compared at once; of longer lists only those that aren't connected yet. Also the sets of a group that are expanded.
 LIST = 16
@@ -93,6 +93,7 @@ def _counts(alike: Alike, bits: int):
     """Texts to (bucket, n): how many shingles of a task's texts, repeats included, fall into each bucket."""
 
     def each(batches):
+        alone()
         total, held, size = np.zeros(1 << bits, np.int64), [], 0
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -137,6 +138,7 @@ def _members(alike: Alike, rank: np.ndarray, fingerprint):
         return _rows(_MEMBER, keys.view(np.int64), np.repeat([x for _, x, _ in out], n), None, np.repeat([x for _, _, x in out], n), place)
 
     def each(batches):
+        alone()
         seen: set[int] = set()  # groups that this task has listed; told apart again where they meet
         for batch in bytescan.slices(batches, 512):
             nodes, groups, sizes, bits, fps, out, held = [], [], [], [], [], [], 0
@@ -323,6 +325,7 @@ def _sets(alike: Alike):
 
 def _verified(alike: Alike):
     def each(batches):
+        alone()
         for batch in batches:
             for i in range(0, batch.num_rows, SETS):
                 part = batch.slice(i, SETS)

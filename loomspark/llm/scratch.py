@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
+import sys
 import tempfile
 import threading
 import uuid
@@ -68,6 +70,23 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: What the modules of this subpackage remember in a worker from task to task.
+_REMEMBERED = {"packing": "_encoders", "tokencount": "_counters", "alignment": "_aligners", "decontam": "_automata"}
+
+
+def alone(own: str = "") -> None:
+    """At the start of a task: what other operators have left in this worker, which serves one after another, goes, and its free memory back
+    to the system."""
+    for module, name in _REMEMBERED.items():
+        found = sys.modules.get(f"{__package__}.{module}")
+        if module != own and found is not None:
+            getattr(found, name).clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that the cluster is set to deal a shuffle to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
