@@ -329,14 +329,14 @@ def _hnsw(spark: SparkSession, sf_dir: str) -> hnsw.Index:
 
 @query()
 def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the codes of a saved index alone."""
-    index = _ivfpq(spark, sf_dir)
-    return ivfpq.search(index, _queries(_vectors(spark, sf_dir)), K, len(index.centroids)).withColumn("distance", F.round("distance", 6))
+    """By the codes of all cells of a saved index, twice as many as wanted, and their vectors: codes alone find 0.87 to 0.93 of the neighbours."""
+    v, index = _vectors(spark, sf_dir), _ivfpq(spark, sf_dir)
+    return ivfpq.search(index, _queries(v), K, len(index.centroids), 2, v).withColumn("distance", F.round("distance", 6))
 
 
 @query()
 def ivfpq_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the codes of a saved index, ranked again by the vectors."""
+    """By the codes of the nearest cells of a saved index, eight times as many as wanted, and their vectors."""
     v, index = _vectors(spark, sf_dir), _ivfpq(spark, sf_dir)
     return ivfpq.search(index, _queries(v), K, _probes(len(index.centroids)), 8, v).withColumn("distance", F.round("distance", 6))
 
