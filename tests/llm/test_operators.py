@@ -1094,3 +1094,99 @@ def test_words_of_many_anagrams_make_few_pairs(spark):
     made = spark.createDataFrame([(i, "".join(w) + tail, 5) for i, (w, tail) in enumerate((w, t) for w in islice(permutations("abcdefg"), 2000) for t in ("", "x"))], "id long, word string, n long")
     got = spelling.near(made)
     assert got.count() == 4000 and got.where("length(near) in (7, 8)").count() == 4000
+
+
+# --- shared parts ---
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_equal_texts_share_a_shard(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {r.doc_id: r for r in sharding.sharded(docs).collect()}
+    whole, of, sizes = sum(r["size"] for r in got.values()) / sharding.SHARDS, {}, Counter()
+    for r in docs.select("doc_id", "text").collect():
+        of.setdefault(r.text or "", []).append(got[r.doc_id])
+    for rows_ in of.values():
+        if sum(r["size"] for r in rows_) <= whole:
+            assert len({r.shard for r in rows_}) == 1
+    for r in got.values():
+        sizes[r.shard] += r["size"]
+    largest = max(sum(r["size"] for r in rows_) for rows_ in of.values())
+    assert max(sizes.values()) - min(sizes.values()) <= max(2 * largest, 0.1 * whole)
+
+
+def test_numbers_are_no_letters():
+    for text in ("½ ² ①", "123 ½", "Ⅷ", "²", "!?", "", None, "٣ ४"):
+        assert not langid._lettered(text)
+    assert all(map(langid._lettered, ("1 a", "é", "漢", "ª", "ب")))
+
+
+def test_shared_folder_without_a_setting():
+    class Session:
+        class sparkContext:
+            applicationId = "app-1"
+
+        def __init__(self, **known):
+            self.known = known
+
+        @property
+        def conf(self):
+            return self
+
+        def get(self, key, default=None):
+            return self.known.get(key, default)
+
+    local = Session(**{"spark.master": "local[4]"})
+    assert scratch.shared_folder(local) == scratch.shared_folder(local) and scratch.shared_folder(local).startswith("file://")
+    assert scratch.shared_folder(Session(**{"spark.master": "local", "spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
+    Session.sparkContext.applicationId = "app-2"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session(**{"spark.master": "spark://host:7077"}))
+
+
+def test_open_tables_are_those_of_a_thread(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    meet = Barrier(2)
+
+    def one(i):
+        with scratch.passing(spark):
+            scratch.written(spark.range(i), "gone")
+            meet.wait(60)
+            last = scratch.written(spark.range(10 + i), "last")
+            meet.wait(60)
+        meet.wait(60)
+        return last.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(one, (1, 2))) == [11, 12]
+
+
+def test_a_worker_drops_what_others_left():
+    kept, others = packing._encoders, tokencount._counters
+    before = dict(kept), dict(others)
+    kept["x", 1], others["y"] = object(), object()
+    try:
+        scratch.alone("packing")
+        assert ("x", 1) in kept and not others
+        scratch.alone()
+        assert not kept
+    finally:
+        kept.clear()
+        kept.update(before[0])
+        others.update(before[1])
+
+
+def test_a_text_of_ten_megabytes(spark):
+    """Every new operator reads it whole."""
+    rng = np.random.default_rng(1)
+    pool = np.array(["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(3000)])
+    long = " ".join(rng.choice(pool, 1_250_000))
+    made = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short words here only"), (4, None)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.linked(made).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[2][0] == got[1][0] + 1 > 1_200_000 and got[3] == (1, 3)
+    words_ = {r.word: r.n for r in spelling.variants(made).collect()}
+    assert sum(words_.values()) > 2_400_000
+    tokens_ = {r.doc_id: r for r in alignment.aligned(made).collect()}
+    assert tokens_[1].n_links >= max(tokens_[1].n_a, tokens_[1].n_b) > 1_250_000 and tokens_[4].n_a == 0
