@@ -18,15 +18,16 @@ _own: dict[str, str] = {}
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset a session on one machine has a folder of its own, removed in the end; on a
     cluster that is an error."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
+    if have := spark.conf.get("spark.checkpoint.dir", None):
+        return have
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
-    if not have and app not in _own:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if app not in _own:
         own = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         _own[app] = f"file://{own}"
-    return have or _own[app]
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
