@@ -575,15 +575,8 @@ def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOGITS = f"SELECT q.vec_id AS row, b.vec_id AS token, 8 * {_DOT.format(a='q.embedding', b='b.embedding')} AS logit FROM embeddings q, embeddings b WHERE q.vec_id % {EVERY} = 0"
 
 
-def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query vectors as rows, all vectors as the vocabulary."""
-    v = _vectors(spark, sf_dir)
-    each = knn.products(v, _queries(v)).select(F.col("id").alias("token"), F.explode(F.arrays_zip("qids", "values")).alias("x"))
-    return each.select(F.col("x.qids").alias("row"), "token", (8 * F.col("x.values")).alias("logit"))
-
-
 def _top_logits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The k greatest of each row, kept in the batches of the product; equal ones by token."""
+    """The query vectors as rows, all vectors as the vocabulary: the k greatest of each row, kept in the batches of the product; equal ones by token."""
     v = _vectors(spark, sf_dir)
     best = knn.exact(v, _queries(v), k, vector.INNER_PRODUCT)
     return best.select(F.col("qid").alias("row"), F.col("id").alias("token"), (-8 * F.col("distance")).alias("logit"))
@@ -613,12 +606,13 @@ def greedy_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_logits(spark, sf_dir, 1).select("row", "token")
 
 
-@query(f"""WITH l AS ({_LOGITS}), p AS (SELECT row, token, exp(logit) / sum(exp(logit)) OVER (PARTITION BY row) AS p, exp(logit / 2) / sum(exp(logit / 2)) OVER (PARTITION BY row) AS q FROM l),
+@query(f"""WITH l AS (SELECT * FROM ({_LOGITS}) QUALIFY row_number() OVER (PARTITION BY row ORDER BY logit DESC, token) <= 20), p AS (SELECT row, token, exp(logit) / sum(exp(logit)) OVER (PARTITION BY row) AS p, exp(logit / 2) / sum(exp(logit / 2)) OVER (PARTITION BY row) AS q FROM l),
   r AS (SELECT *, greatest(p - q, 0) AS rest FROM p)
   SELECT row, token, round(rest / sum(rest) OVER (PARTITION BY row), 6) AS p, ((token % 10) / 10.0 < least(1.0, p / q)) AS accepted FROM r""")
 def speculative_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = sampling.distribution(_logits(spark, sf_dir))
-    draft = sampling.distribution(_logits(spark, sf_dir), 2.0)
+    """The 20 greatest of each row; the draft is the same at twice the temperature."""
+    logits = shared.written(_top_logits(spark, sf_dir, 20), "logits")
+    target, draft = sampling.distribution(logits), sampling.distribution(logits, 2.0)
     rest = sampling.residual(target, draft).select("row", "token", F.round("p", 6).alias("p"))
     both = target.join(draft.select("row", "token", F.col("p").alias("q")), ["row", "token"])
     stands = both.select("row", "token", sampling.accepted(F.col("p"), F.col("q"), F.col("token") % 10 / 10.0).alias("accepted"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspark.functions import json, model, quant
-from loomspark.operators import batching, metrics, prefix
+from loomspark.operators import batching, knn, metrics, prefix
 from loomspark.plans import retrieval
 from loomspark.sources import text as text_source
 from loomspark.streaming import counters, detokenize
@@ -131,3 +131,21 @@ def test_order_of_ids_is_that_of_their_bytes(spark):
     ids = ["b", "B", "é", "a", "", "z", "😀", "\uffff", "10", "9"]
     got = [r.qid for r in retrieval.ordered(spark.createDataFrame([(x,) for x in ids], "qid string").repartition(4)).orderBy("place").collect()]
     assert got == sorted(ids, key=str.encode)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_queries_in_many_blocks(spark, metric):
+    """Parts and blocks that meet in the shuffle give the rows of one block, ties, nulls and repeated vectors included."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(300)] + [(900 + i, [1.0] * 6) for i in range(100)] + [(None, [0.0] * 6), (999, None)]
+    base = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    queries = base.where("id % 4 = 0").select(F.col("id").alias("qid"), "embedding").union(spark.createDataFrame([(None, [1.0] * 6), (5, None)], "qid long, embedding array<double>"))
+    bytes_ = {"block": 500, "part": 4000}
+    key = lambda r: tuple(r)
+    assert sorted(knn.exact(base, queries, 7, metric, **bytes_).collect(), key=key) == sorted(knn.exact(base, queries, 7, metric).collect(), key=key)
+    plan = knn.exact(base, queries, 7, metric, **bytes_)._jdf.queryExecution().toString()
+    assert "CoGroup" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    cells = lambda df: sorted((r.id, q, v) for r in df.collect() for q, v in zip(r.qids, r.values))
+    assert cells(knn.products(base, queries, 500, 700)) == cells(knn.products(base, queries))
+    assert knn.exact(base.where("false"), queries, 7, metric, **bytes_).count() == 0
+    assert knn.exact(base, queries.where("false"), 7, metric, **bytes_).count() == 0
