@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Defaults and limits.
+# Defaults and limits, and the wording of the messages below, which clients compare.
 MAX_TOKENS = {True: 512, False: 16}
 MAX_INPUTS = 2048
 TEMPERATURE, TOP_P = (0.0, 100.0), 1.0
@@ -60,6 +60,24 @@ def greedy(temperature: Column) -> Column:
     return temperature <= 0
 
 
+def collected(requests: DataFrame, events: DataFrame, by: list[str], stopped: Column | None = None) -> DataFrame:
+    """`requests` (`by`) and `events` (`by`, seq, token, finish: null but for a closing event) to (`by`, tokens, finish).
+
+    Tokens are those before the first closing event, in order of seq; later ones don't count. A request without a closing event was cancelled. One for which
+    `stopped` holds came when no engine ran: it is rejected, whatever events it has. Requests have bounded numbers of tokens; other requests' events are ignored.
+    """
+    closing = F.min(F.when(F.col("finish").isNotNull(), F.struct("seq", "finish")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("finish").isNull() & F.col("token").isNotNull(), F.struct("seq", "token"))))
+    found = events.groupBy(*by).agg(closing.alias("_end"), listed.alias("_all"))
+    kept = F.filter("_all", lambda x: F.col("_end").isNull() | (x["seq"] < F.col("_end.seq")))
+    found = found.select(*by, F.transform(kept, lambda x: x["token"]).alias("_tokens"), F.col("_end.finish").alias("_finish"))
+    gone = F.coalesce(stopped, F.lit(False)) if stopped is not None else F.lit(False)
+    rows = requests.select(*by, gone.alias("_gone")).join(found, by, "left")
+    none = F.array().cast(found.schema["_tokens"].dataType)
+    tokens = F.when(F.col("_gone") | F.col("_tokens").isNull(), none).otherwise(F.col("_tokens"))
+    return rows.select(*by, tokens.alias("tokens"), F.when(F.col("_gone"), "rejected: engine stopped").otherwise(F.coalesce("_finish", F.lit("cancelled"))).alias("finish"))
+
+
 def metric_lines(rows: DataFrame, labels: dict[str, str], series: list[str], prefix: str = "") -> DataFrame:
     """`rows` to (series, line): a line of the text format for each series and row, with labels from columns."""
     quoted = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), '"', '\\\\"')

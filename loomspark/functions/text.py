@@ -102,6 +102,32 @@ def chat_format(template: Column) -> Column:
     return F.when(template.contains("<|im_start|>"), "chatml").when(template.contains("<|start_header_id|>"), "llama3").otherwise("plain")
 
 
+def default_system(template: Column) -> Column:
+    """The system text that a chatml template writes out itself: what stands between the marks of a system turn, not empty and without signs of
+    code; null without one. Templates that break the line count before those that spell the break as an escape."""
+
+    def first(mark: str) -> Column:
+        turn = rf"(?s)<\|im_start\|>system{mark}(?=(.*?)<\|im_end\|>)"
+        found = F.regexp_extract_all(template, F.lit(turn), F.lit(1))
+        return F.get(F.filter(found, lambda x: (x != "") & ~x.rlike(r"[{'+]")), 0)
+
+    return F.coalesce(first(r"\n"), first(r"\\n"))
+
+
+def templated(messages: Column, template: Column) -> Column:
+    """The prompt of messages in the format that a template shows; a chatml one has a leading system turn only if it names its text."""
+    bare = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
+    led = F.coalesce(F.get(bare, 0)["role"] == "system", F.lit(False)) | default_system(template).isNull()
+    full = F.when(led, bare).otherwise(F.concat(F.array(F.struct(F.lit("system").alias("role"), default_system(template).alias("text"))), bare))
+    turns_ = F.concat(F.array_join(F.transform(full, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["text"], F.lit("<|im_end|>\n"))), ""), F.lit("<|im_start|>assistant\n"))
+    kind = chat_format(template)
+    return F.when(kind == "chatml", turns_).when(kind == "llama3", llama3_chat(bare)).otherwise(plain_chat(bare))
+
+
+# Tokens that end an answer, by format.
+STOPS = {"chatml": ["<|im_end|>"], "llama3": ["<|eot_id|>", "<|eom_id|>"], "plain": []}
+
+
 def grounded_prompt(question: Column, passages: Column) -> Column:
     """The question after numbered passages; alone without any."""
     numbered = F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p, F.lit("\n\n"))), "")

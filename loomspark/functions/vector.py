@@ -111,16 +111,18 @@ def float_bytes_base64(v: Column) -> Column:
 
 
 def _bits(x: Column) -> Column:
-    """Bits of a finite 32-bit float as a number, from sign, exponent and fraction."""
-    a = F.abs(_double(x))
+    """Bits of a 32-bit float as a number, from sign, exponent and fraction; NaN is the quiet one without a sign."""
+    endless = F.abs(_double(x)) == float("inf")
+    a = F.when(F.isnan(x) | endless, 0.0).otherwise(F.abs(_double(x)))
     e = F.greatest(F.floor(F.log2(F.when(a > 0, a).otherwise(F.lit(1.0)))), F.lit(-126))
     # the logarithm can be off by one next to powers of two
     e = F.when(a >= F.pow(F.lit(2.0), e + 1), e + 1).when(a < F.pow(F.lit(2.0), e), F.greatest(e - 1, F.lit(-126))).otherwise(e)
     normal = a >= F.pow(F.lit(2.0), F.lit(-126))
     fraction = F.round(F.when(normal, a / F.pow(F.lit(2.0), e) - 1).otherwise(a / F.pow(F.lit(2.0), F.lit(-126))) * (1 << 23)).cast("long")
     exponent = F.when(normal, e + 127).otherwise(F.lit(0)).cast("long")
-    sign = F.when(_double(x) < 0, F.lit(1 << 31)).otherwise(F.lit(0)).cast("long")
-    return sign + F.when(a > 0, exponent * (1 << 23) + fraction).otherwise(F.lit(0).cast("long"))
+    sign = F.when(x.cast("string").startswith("-"), F.lit(1 << 31)).otherwise(F.lit(0)).cast("long")  # of -0.0 too
+    number = F.when(a > 0, exponent * (1 << 23) + fraction).when(endless, F.lit(0x7F800000)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.isnan(x), F.lit(0x7FC00000).cast("long")).otherwise(sign + number)
 
 
 # Coefficients of a rational Chebyshev fit of the complementary error function, by ascending power; error below 1.2e-7.

@@ -961,3 +961,42 @@ def question_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_source.append_json_lines(rows, path)
     contexts, questions = text_source.question_set(spark, path)
     return questions.join(contexts, "context_id").select("question", "context_id", "context")
+
+
+# Three templates: a chatml one with its own system text, one of headers, one of neither.
+_TEMPLATES = ["{% x %}<|im_start|>system\\nBe brief.<|im_end|>\\n{{ m }}", "<|start_header_id|>{{ role }}<|end_header_id|>", "{{ text }}"]
+_TRIM_SQL = r"regexp_replace({x}, '^[\x09-\x0d \x{{85}}\p{{Z}}]+|[\x09-\x0d \x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+@query(f"""SELECT conv_id, CASE conv_id % 3
+    WHEN 0 THEN CASE WHEN first(role ORDER BY turn, role, text) = 'system' THEN '' ELSE '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) END
+      || string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) || '<|im_start|>assistant' || chr(10)
+    WHEN 1 THEN '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || {_TRIM_SQL.format(x="coalesce(text, '')")} || '<|eot_id|>', '' ORDER BY turn, role, text)
+      || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)
+    ELSE string_agg(coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn, role, text) END AS prompt FROM conversations GROUP BY conv_id""")
+def templated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation in the format that its own template shows."""
+    template = F.element_at(F.array(*map(F.lit, _TEMPLATES)), (F.pmod("conv_id", F.lit(3)) + 1).cast("int"))
+    return _messages(spark, sf_dir).select("conv_id", text.templated(F.col("m"), template).alias("prompt"))
+
+
+@query(f"""WITH l AS (SELECT {_TRIM_SQL.format(x="unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n'))")} AS line FROM conversations WHERE text IS NOT NULL)
+  SELECT '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || line || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt, count(*) AS n
+  FROM l WHERE line <> '' GROUP BY 1""")
+def prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all messages as a file of prompts, read back through a template."""
+    path = shared.new_path(spark, "prompts")
+    table(spark, sf_dir, "conversations").where("text is not null").select("text").write.text(path)
+    return text_source.prompts(spark, path, _TEMPLATES[0]).groupBy("prompt").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT *, user_id AS u, ts::DATE::VARCHAR AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS seq FROM events),
+  c AS (SELECT u, day, min(seq) FILTER (event_type IN ('signup', 'error')) AS stop, arg_min(CASE event_type WHEN 'signup' THEN 'stop' ELSE 'length' END, seq) FILTER (event_type IN ('signup', 'error')) AS f FROM e GROUP BY u, day)
+  SELECT u AS user_id, day, CASE WHEN u % 13 = 0 THEN []::BIGINT[] ELSE coalesce(list(event_id ORDER BY seq) FILTER (seq < coalesce(stop, seq + 1)), []) END AS tokens,
+    CASE WHEN u % 13 = 0 THEN 'rejected: engine stopped' ELSE coalesce(any_value(f), 'cancelled') END AS finish FROM e JOIN c USING (u, day) GROUP BY u, day""")
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of a day stand for the stream of one request; sign-ups and errors close it. Users divisible by 13 meet a stopped engine."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date").cast("string"))
+    finish = F.when(F.col("event_type") == "signup", "stop").when(F.col("event_type") == "error", "length")
+    stream = e.select("user_id", "day", F.struct("ts", "event_id").alias("seq"), F.col("event_id").alias("token"), finish.alias("finish"))
+    return requests.collected(e.select("user_id", "day").distinct(), stream, ["user_id", "day"], F.col("user_id") % 13 == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import trimmed
+from loomspark.functions.text import STOPS, chat_format, default_system, templated, trimmed
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,9 +59,33 @@ def question_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return contexts, rows.join(contexts, "context").select("at", "question", "context_id", "answers")
 
 
-def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """One prompt a line that isn't blank."""
-    return spark.read.text(path).where(trimmed(F.col("value")) != "").select(F.col("value").alias("prompt"))
+def prompts(spark: SparkSession, path: str, template: str | None = None) -> DataFrame:
+    """One prompt a line that isn't blank; with a chat template, the trimmed line as its user turn."""
+    lines = spark.read.text(path).where(trimmed(F.col("value")) != "")
+    if template is None:
+        return lines.select(F.col("value").alias("prompt"))
+    said = F.array(F.struct(F.lit("user").alias("role"), trimmed(F.col("value")).alias("text")))
+    return lines.select(templated(said, F.lit(template)).alias("prompt"))
+
+
+def tokenizer_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Folders below `path` that hold a tokenizer.json to (folder, format, default_system, vocabulary, stop_ids): the chat format of the template in
+    tokenizer_config.json (plain without one), distinct ids, and the ids of the tokens that end an answer, added tokens before those of the vocabulary."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+
+    def files(name: str, schema: str) -> DataFrame:
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
+        return read.select(folder.alias("folder"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("folder", "x.*")
+
+    heads = files("tokenizer.json", "added_tokens array<struct<id int, content string>>, model struct<vocab map<string, int>>")
+    chats = files("tokenizer_config.json", "chat_template string")
+    rows = heads.join(chats, "folder", "left").withColumn("template", F.coalesce("chat_template", F.lit("")))
+    added = F.coalesce("added_tokens", F.array().cast("array<struct<id int, content string>>"))
+    number = lambda t: F.coalesce(F.get(F.filter(added, lambda a: a["content"] == t), 0)["id"], F.try_element_at("model.vocab", t))
+    stops = F.create_map(*[x for k, v in STOPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    ids = F.array_compact(F.transform(F.element_at(stops, chat_format(F.col("template"))), number))
+    size = F.size(F.array_distinct(F.concat(F.map_values("model.vocab"), F.transform(added, lambda a: a["id"]))))
+    return rows.select("folder", chat_format(F.col("template")).alias("format"), default_system(F.col("template")).alias("default_system"), size.alias("vocabulary"), ids.alias("stop_ids"))
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that were written for any size: small cases by hand and by brute force."""
 
+import base64
 import json as plain_json
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspark.functions import json, model, quant
+from loomspark.functions import json, model, quant, requests, text, vector
 from loomspark.operators import batching, knn, metrics, prefix
 from loomspark.plans import retrieval
 from loomspark.sources import text as text_source
@@ -149,3 +150,46 @@ def test_queries_in_many_blocks(spark, metric):
     assert cells(knn.products(base, queries, 500, 700)) == cells(knn.products(base, queries))
     assert knn.exact(base.where("false"), queries, 7, metric, **bytes_).count() == 0
     assert knn.exact(base, queries.where("false"), 7, metric, **bytes_).count() == 0
+
+
+def test_bytes_of_all_floats(spark):
+    values = [0.0, -0.0, 1.5, -2.0, float("inf"), float("-inf"), float("nan"), 1e-45, -1e-40, 3.4028235e38, 1.17549435e-38, 0.1]
+    row = spark.createDataFrame([(values,), ([],)], "v array<float>").select(vector.float_bytes_base64(F.col("v")).alias("b")).collect()
+    assert [base64.b64decode(r.b) for r in row] == [np.array(values, "<f4").tobytes(), b""]
+
+
+def test_system_text_of_templates(spark):
+    start, end = "<|im_start|>system", "<|im_end|>"
+    cases = {
+        f"{start}\nBe kind.{end}": "Be kind.", f"x{start}\\nBe kind.{end}y": "Be kind.", f"{start}\n{{{{ m }}}}{end}{start}\nTwo\nlines.{end}": "Two\nlines.",
+        f"{start}\\nescaped{end}{start}\nreal{end}": "real", f"{start}\n{end}": None, f"{start}\nno end": None, f"{start}\n' + m + '{end}": None, "": None, None: None,
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "t string").select("t", text.default_system(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == cases
+    said = F.array(F.struct(F.lit("user").alias("role"), F.lit("Hi").alias("text")))
+    got = spark.range(1).select(text.templated(said, F.lit("<|im_start|>")).alias("a"), text.templated(said, F.lit(f"{start}\nS{end}")).alias("b")).first()
+    assert got.a == "<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n" and got.b == f"{start}\nS{end}\n" + got.a
+
+
+def test_tokenizer_folders(spark, tmp_path):
+    made = {
+        "a": ({"added_tokens": [{"id": 9, "content": "<|im_end|>", "special": True}], "model": {"vocab": {"x": 0, "<|im_end|>": 1}}}, {"chat_template": "<|im_start|>system\nS<|im_end|>"}),
+        "b": ({"added_tokens": [{"id": 5, "content": "<|eot_id|>"}], "model": {"vocab": {"x": 0, "<|eom_id|>": 7}}}, {"chat_template": "<|start_header_id|>"}),
+        "c": ({"model": {"vocab": {"x": 0}}}, None),
+    }
+    for name, (head, chat) in made.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "tokenizer.json").write_text(plain_json.dumps(head, indent=1))
+        if chat:
+            (tmp_path / name / "tokenizer_config.json").write_text(plain_json.dumps(chat))
+    rows = text_source.tokenizer_folders(spark, str(tmp_path)).collect()
+    assert {tuple(map(str, r)) for r in rows} == {("a", "chatml", "S", "3", "[9]"), ("b", "llama3", "None", "3", "[5, 7]"), ("c", "plain", "None", "1", "[]")}
+
+
+def test_collected_requests(spark):
+    events = [(1, 2, 20, None), (1, 1, 10, None), (1, 3, None, "stop"), (1, 4, 40, None), (1, 5, None, "length"), (2, 1, 7, None), (4, 1, 8, None), (9, 1, 1, None)]
+    e = spark.createDataFrame(events, "req_id long, seq int, token int, finish string")
+    r = spark.createDataFrame([(1,), (2,), (3,), (4,)], "req_id long")
+    got = {x.req_id: (x.tokens, x.finish) for x in requests.collected(r, e, ["req_id"], F.col("req_id") == 4).collect()}
+    assert got == {1: ([10, 20], "stop"), 2: ([7], "cancelled"), 3: ([], "cancelled"), 4: ([], "rejected: engine stopped")}
+    assert requests.collected(r, e.where("false"), ["req_id"]).where("finish = 'cancelled'").count() == 4
