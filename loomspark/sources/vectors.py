@@ -7,6 +7,7 @@ write puts its files in place when all tasks are done; if one fails, none of the
 from __future__ import annotations
 
 import json
+import math
 import os
 import struct
 import uuid
@@ -21,8 +22,10 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a range that one task reads, and of the batches it gives out.
 RANGE, BATCH = 64 << 20, 4 << 20
-#: Bytes of tensors in a file that is written, about.
-SHARD = 1 << 30
+#: Rows of a batch, at most.
+ROWS = 4096
+#: Bytes of tensors in a file that is written, about, and of its header: many small tensors make more files.
+SHARD, HEAD = 1 << 30, 8 << 20
 # Bytes of the dtypes that are read, the longest header, and the name of the index over several files.
 _WIDTHS = {"F32": 4, "F16": 2, "BF16": 2}
 _HEADER = 100 << 20
@@ -98,7 +101,7 @@ def _cut(r: _Range, size: int) -> Iterator[_Range]:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    """Drafts that a task has written, and the tensors in each."""
+    """Drafts that a task has written, and whether they hold named tensors."""
 
     files: list
 
@@ -110,15 +113,21 @@ class _Writer(DataSourceArrowWriter):
         self._path, self._suffix, self._draft = path, suffix, f"{path}/_drafts-{uuid.uuid4().hex}"
 
     def commit(self, messages) -> None:
-        drafts = [f for m in messages if m for f in m.files]
-        names = {}
-        for i, (draft, tensors) in enumerate(drafts):
-            name = f"part-{i + 1:05d}-of-{len(drafts):05d}-{uuid.uuid4().hex[:8]}{self._suffix}"
-            _move(draft, f"{self._path}/{name}")
-            names |= dict.fromkeys(tensors, name)
-        if names:
-            with _create(f"{self._path}/{_INDEX}") as out:
-                out.write(json.dumps({"metadata": {}, "weight_map": names}).encode())
+        drafts, index = [f for m in messages if m for f in m.files], None
+        try:
+            for i, (draft, named) in enumerate(drafts):
+                name = f"part-{i + 1:05d}-of-{len(drafts):05d}-{uuid.uuid4().hex[:8]}{self._suffix}"
+                _move(draft, f"{self._path}/{name}")
+                if named:  # the index goes out file by file: the driver holds one header
+                    store, at = _store(f"{self._path}/{name}")
+                    head, _ = _header(f"{self._path}/{name}", store.get_file_info(at).size)
+                    index = index or _create(f"{self._path}/{_INDEX}")
+                    index.write((('{"metadata": {}, "weight_map": {' if i == 0 else ", ") + ", ".join(f"{json.dumps(t)}: {json.dumps(name)}" for t in head)).encode())
+            if index:
+                index.write(b"}}")
+        finally:
+            if index:
+                index.close()
         self._clear()
 
     def abort(self, messages) -> None:
@@ -192,7 +201,7 @@ class _VectorWriter(_Writer):
         finally:
             if out:
                 out.close()
-        return _Written([(draft, [])] if out else [])
+        return _Written([(draft, False)] if out else [])
 
 
 class FloatVectors(DataSource):
@@ -273,36 +282,70 @@ def _header(path: str, size: int) -> tuple[dict, int]:
         return json.loads(data.read(n)), 8 + n
 
 
+@dataclass
+class _Share(InputPartition):
+    """The tensors of a file, or runs of their entries, that start from byte `start` on and before `end`."""
+
+    path: str
+    size: int
+    start: int
+    end: int
+
+
 class _TensorReader(DataSourceReader):
+    """Files are cut into shares by their sizes alone; each task reads the header of its file, so a tensor is a task of its own only where it is as
+    large as a share."""
+
     def __init__(self, options):
         self._files, self._range, self._values = json.loads(options["files"]), int(options.get("range", RANGE)), options.get("values") == "true"
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Share]:
         out = []
         for path, size in self._files:
-            head, base = _header(path, size)
-            for name, t in sorted((k, v) for k, v in head.items() if k != "__metadata__"):
-                if t["dtype"] not in _WIDTHS:
-                    continue
-                (start, end), width = t["data_offsets"], _WIDTHS[t["dtype"]]
-                n = int(np.prod(t["shape"], dtype=object))
-                if end - start != width * n or base + end > size or start < 0:
-                    raise ValueError(f"{name}: wrong byte length")
-                whole = _Range(path, base + start, 0, n, width, name, t["dtype"], tuple(t["shape"]))
-                out += _cut(whole, self._range) if self._values and n else [whole]
+            starts = range(0, max(1, size), self._range) if self._values else range(1)
+            out += [_Share(path, size, at, at + self._range if at != starts[-1] else size + 1) for at in starts]
         return out
 
-    def read(self, r: _Range):
-        names = ["path", "name", "dtype", "shape", "offset", "length", "at", "data"]
-        step = max(1, BATCH // r.width) if self._values else max(1, r.count)
-        with _open(r.path) as data:
-            data.seek(r.start)
-            for at in range(0, max(1, r.count), step):
-                n = min(step, r.count - at)
-                values = decoded(data.read(n * r.width), r.dtype) if self._values else None
-                lists = pa.nulls(1, pa.list_(pa.float32())) if values is None else pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(values))
-                row = [pa.array([x], t) for x, t in ((r.path, pa.string()), (r.name, pa.string()), (r.dtype, pa.string()), (list(r.shape), pa.list_(pa.int64())), (r.start + at * r.width, pa.int64()), (n * r.width, pa.int64()), (r.first + at, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*row, lists], names)
+    def _ranges(self, share: _Share) -> list[_Range]:
+        head, base = _header(share.path, share.size)
+        out = []
+        for name, t in head.items():
+            if name == "__metadata__" or t["dtype"] not in _WIDTHS:
+                continue
+            (start, end), width = t["data_offsets"], _WIDTHS[t["dtype"]]
+            n = math.prod(t["shape"])
+            if end - start != width * n or base + end > share.size or start < 0:
+                raise ValueError(f"{name}: wrong byte length")
+            if base + end < share.start or base + start >= share.end:
+                continue
+            whole = _Range(share.path, base + start, 0, n, width, name, t["dtype"], tuple(t["shape"]))
+            out += [r for r in (_cut(whole, self._range) if self._values and n else [whole]) if share.start <= r.start < share.end]
+        return sorted(out, key=lambda r: r.start)
+
+    def read(self, share: _Share):
+        rows, held = [], 0
+        with _open(share.path) as data:
+            for r in self._ranges(share):
+                step = max(1, BATCH // r.width) if self._values else max(1, r.count)
+                data.seek(r.start)
+                for at in range(0, max(1, r.count), step):
+                    n = min(step, r.count - at)
+                    values = decoded(data.read(n * r.width), r.dtype) if self._values else np.zeros(0, np.float32)
+                    rows.append((r.path, r.name, r.dtype, r.shape, r.start + at * r.width, n * r.width, r.first + at, values))
+                    held += values.nbytes
+                    if held >= BATCH or len(rows) >= ROWS:
+                        yield self._batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        lengths = [len(v) for v in columns[-1]]
+        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(columns[-1]))) if self._values else pa.nulls(len(rows), pa.list_(pa.float32()))
+        types = {"path": pa.string(), "name": pa.string(), "dtype": pa.string(), "shape": pa.list_(pa.int64()), "offset": pa.int64(), "length": pa.int64(), "at": pa.int64()}
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types.values())), lists], [*types, "data"])
 
 
 class _TensorWriter(_Writer):
@@ -312,21 +355,22 @@ class _TensorWriter(_Writer):
         super().__init__(path, ".safetensors", overwrite)
 
     def write(self, batches) -> _Written:
-        done, held, size = [], [], 0
+        done, held, size, head = [], [], 0, 0
         for batch in batches:
             for name, dtype, shape, data in zip(*(batch.column(c) for c in ("name", "dtype", "shape", "data"))):
                 name, dtype, shape = name.as_py(), dtype.as_py(), shape.as_py()
                 values = np.asarray(data.values.to_numpy(zero_copy_only=False), np.float32)
-                if dtype not in _WIDTHS or len(values) != int(np.prod(shape, dtype=object)):
+                if dtype not in _WIDTHS or len(values) != math.prod(shape):
                     raise ValueError(f"{name}: wrong dtype or byte length")
                 held.append((name, dtype, shape, raw_of(values, dtype)))
                 size += len(held[-1][3])
-                if size > SHARD:
+                head += len(json.dumps(name)) + 24 * len(shape) + 100
+                if size > SHARD or head > HEAD:
                     done.append(self._file(held))
-                    held, size = [], 0
+                    held, size, head = [], 0, 0
         return _Written(done + ([self._file(held)] if held else []))
 
-    def _file(self, tensors: list) -> tuple[str, list[str]]:
+    def _file(self, tensors: list) -> tuple[str, bool]:
         head, at = {}, 0
         for name, dtype, shape, raw in tensors:
             head[name] = {"dtype": dtype, "shape": shape, "data_offsets": [at, at + len(raw)]}
@@ -338,7 +382,7 @@ class _TensorWriter(_Writer):
             out.write(struct.pack("<Q", len(text)) + text)
             for *_, raw in tensors:
                 out.write(raw)
-        return draft, list(head)
+        return draft, True
 
 
 class Tensors(DataSource):

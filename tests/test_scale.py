@@ -4,6 +4,7 @@ import base64
 import json as plain_json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from loomspark.functions import json, model, quant, requests, text, vector
 from loomspark.operators import batching, knn, metrics, prefix
 from loomspark.plans import retrieval
 from loomspark.sources import text as text_source
+from loomspark.sources import vectors as vector_source
 from loomspark.streaming import counters, detokenize
 
 
@@ -193,3 +195,25 @@ def test_collected_requests(spark):
     got = {x.req_id: (x.tokens, x.finish) for x in requests.collected(r, e, ["req_id"], F.col("req_id") == 4).collect()}
     assert got == {1: ([10, 20], "stop"), 2: ([7], "cancelled"), 3: ([], "cancelled"), 4: ([], "rejected: engine stopped")}
     assert requests.collected(r, e.where("false"), ["req_id"]).where("finish = 'cancelled'").count() == 4
+
+
+def test_small_tensors_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks by bytes of the files, not by tensors; headers of bounded size; the index names all of them."""
+    rows = [(f"t{i}", "F32", [2, 2], [float(i), 0.0, -1.0, 0.5]) for i in range(1500)] + [("big", "F32", [3000], [float(i) for i in range(3000)]), ("none", "F32", [0], [])]
+    df = spark.createDataFrame(rows, "name string, dtype string, shape array<long>, data array<float>").repartition(2, "name")
+    vector_source.write_tensors(df, f"{tmp_path}/m")
+    read = vector_source.tensors(spark, f"{tmp_path}/m", True)
+    assert read.rdd.getNumPartitions() == len(list((tmp_path / "m").glob("*.safetensors"))) == 2
+    for size in (64 << 20, 5000):
+        got = {}
+        for r in vector_source.tensors(spark, f"{tmp_path}/m", True, size).orderBy("name", "at").collect():
+            assert r.at == len(got.setdefault(r.name, []))
+            got[r.name] += r.data
+        assert got == {name: data for name, _, _, data in rows}
+    index = {r.name: r.file for r in vector_source.index_of(spark, f"{tmp_path}/m").collect()}
+    assert index == {r.name: r.path.rsplit("/", 1)[1] for r in read.collect()}
+    monkeypatch.setattr(vector_source, "HEAD", 1000)
+    batch = pa.RecordBatch.from_pylist([{"name": n, "dtype": d, "shape": s, "data": x} for n, d, s, x in rows[:50]], pa.schema([("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("data", pa.list_(pa.float32()))]))
+    files = vector_source._TensorWriter(str(tmp_path / "many"), False).write([batch]).files
+    heads = [vector_source._header(path, (tmp_path / path).stat().st_size)[0] for path, _ in files]
+    assert len(files) > 3 and [n for h in heads for n in h] == [r[0] for r in rows[:50]]
