@@ -111,13 +111,18 @@ def cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def perplexity(tokens: DataFrame, context: int) -> DataFrame:
     """`tokens` (seq, pos, logits, target) to (seq, windows, perplexity) over full windows of `context`; the first position of
     each window isn't scored, the rest of a sequence is dropped."""
-    n = F.count("*").over(W.partitionBy("seq"))
-    window = F.floor(F.col("pos") / context)
-    kept = tokens.withColumn("n", n).where((window < F.floor(F.col("n") / context)) & (F.col("pos") % context > 0))
     most = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - most.cast("double")))
     nll = F.log(total) + most.cast("double") - F.element_at("logits", (F.col("target") + 1).cast("int")).cast("double")
-    return kept.groupBy("seq").agg(F.countDistinct(window).alias("windows"), F.exp(F.avg(nll)).alias("perplexity"))
+    return windowed_perplexity(tokens.select("seq", "pos", nll.alias("nll")), context)
+
+
+def windowed_perplexity(scored: DataFrame, context: int) -> DataFrame:
+    """The same of `scored` (seq, pos, nll), each position with the negative log of its target's probability."""
+    n = F.count("*").over(W.partitionBy("seq"))
+    window = F.floor(F.col("pos") / context)
+    kept = scored.withColumn("n", n).where((window < F.floor(F.col("n") / context)) & (F.col("pos") % context > 0))
+    return kept.groupBy("seq").agg(F.countDistinct(window).alias("windows"), F.exp(F.avg("nll")).alias("perplexity"))
 
 
 def load_summary(records: DataFrame, by: list[str] | None = None) -> DataFrame:

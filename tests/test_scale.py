@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspark.functions import json, model, quant, requests, text, vector
-from loomspark.operators import batching, knn, metrics, prefix
+from loomspark.operators import batching, knn, logits, metrics, prefix
 from loomspark.plans import retrieval
 from loomspark.sources import text as text_source
 from loomspark.sources import vectors as vector_source
@@ -217,3 +217,18 @@ def test_small_tensors_share_tasks(spark, tmp_path, monkeypatch):
     files = vector_source._TensorWriter(str(tmp_path / "many"), False).write([batch]).files
     heads = [vector_source._header(path, (tmp_path / path).stat().st_size)[0] for path, _ in files]
     assert len(files) > 3 and [n for h in heads for n in h] == [r[0] for r in rows[:50]]
+
+
+@pytest.mark.parametrize("bytes_", [{}, {"block": 500, "part": 3000}])
+def test_likelihoods_without_rows_of_logits(spark, bytes_):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    words = base.where("id % 4 = 0").select(F.col("id").alias("qid"), "embedding")
+    values = 8 * x @ x[::4].T
+    want = np.log(np.exp(values).sum(axis=1)) - values[np.arange(200), np.arange(200) * 7 % 50]
+    df = logits.likelihoods(base, words, 7, 8.0, **bytes_)
+    got = {r.id: r.nll for r in df.collect()}
+    assert [got[i] for i in range(200)] == pytest.approx(want.tolist()) and len(got) == 200
+    assert "array<double>" not in " ".join(t for _, t in df.dtypes)
+    assert logits.likelihoods(base, words.where("false"), 7, 8.0).count() == 0
