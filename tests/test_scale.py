@@ -247,3 +247,15 @@ def test_speculation_over_all_tokens(spark, bytes_):
     assert len(got) == 40 * 120
     for i in range(40):
         assert [got[3 * i, j] for j in range(120)] == [pytest.approx(t, abs=1e-12) for t in zip(rest[i].tolist(), p[i].tolist(), q[i].tolist())]
+
+
+def test_products_are_rows_rounded_as_sql_rounds(spark):
+    """One row a vector also where the queries are in blocks; a small negative product stays a negative zero; half goes away from zero."""
+    assert [repr(float(x)) for x in knn.rounded(np.array([-3e-7, 3e-7, 0.5e-6, -0.5e-6, 1.0000004, np.inf, -np.nan]), 6)] == ["-0.0", "0.0", "1e-06", "-1e-06", "1.0", "inf", "nan"]
+    x = np.random.default_rng(5).integers(-3, 4, (90, 6)).astype(float)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    rows = base.where("id % 3 = 0").select(F.col("id").alias("qid"), "embedding")
+    for bytes_ in ((), (500, 700)):
+        got = knn.products(base, rows, *bytes_, digits=6).collect()
+        assert len(got) == 90 and all(r.qids == list(range(0, 90, 3)) for r in got)
+        assert all(r["values"] == (x[r.id] @ x[::3].T).tolist() for r in got)
