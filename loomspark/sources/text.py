@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import STOPS, chat_format, default_system, templated, trimmed
+from loomspark.operators import batching
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -25,9 +25,14 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(string_field("_id").alias("doc_id"), trimmed(F.concat(string_field("title"), F.lit(" "), string_field("text"))).alias("text"))
 
 
+def _place() -> Column:
+    """The place of a line by name of its file: ranges of files may be read in any order, so where a range starts, and then the place in it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+
+
 def queries(spark: SparkSession, path: str) -> DataFrame:
-    """Lines {_id, text} to (qid, text); of equal ids the last line holds."""
-    rows = json_lines(spark, path, "_id string, text string").select(string_field("_id").alias("qid"), string_field("text").alias("text"), F.monotonically_increasing_id().alias("at"))
+    """Lines {_id, text} to (qid, text); of equal ids the last line holds, of the last file by name."""
+    rows = json_lines(spark, path, "_id string, text string").select(string_field("_id").alias("qid"), string_field("text").alias("text"), _place().alias("at"))
     return rows.groupBy("qid").agg(F.max_by("text", "at").alias("text"))
 
 
@@ -47,15 +52,11 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def question_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lines {question, context, answers} to contexts (context_id, context), numbered in the order they first come, and
+    """Lines {question, context, answers} to contexts (context_id, context), numbered in the order they first come, files by name, and
     questions (at, question, context_id, answers)."""
-    rows = json_lines(spark, path, "question string, context string, answers array<string>").withColumn("at", F.monotonically_increasing_id())
+    rows = json_lines(spark, path, "question string, context string, answers array<string>").withColumn("at", _place())
     firsts = rows.groupBy("context").agg(F.min("at").alias("at"))
-    # one row a context; ranges of `at` are numbered apart and the counts before them added
-    part = F.shiftright("at", 33)
-    before = firsts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    place = firsts.withColumn("part", part).withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("at")))
-    contexts = place.join(before, "part").select((F.col("i") - 1 + F.col("before")).alias("context_id"), "context")
+    contexts = batching.numbered(firsts, "context_id", "at").select("context_id", "context")
     return contexts, rows.join(contexts, "context").select("at", "question", "context_id", "answers")
 
 

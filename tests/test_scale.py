@@ -259,3 +259,13 @@ def test_products_are_rows_rounded_as_sql_rounds(spark):
         got = knn.products(base, rows, *bytes_, digits=6).collect()
         assert len(got) == 90 and all(r.qids == list(range(0, 90, 3)) for r in got)
         assert all(r["values"] == (x[r.id] @ x[::3].T).tolist() for r in got)
+
+
+def test_lines_of_several_files_by_name(spark, tmp_path):
+    """The last line by name of file holds, however the files are read: larger ones come first there."""
+    for i, n in enumerate((1, 400, 3)):
+        (tmp_path / f"part-{i}.jsonl").write_text("".join(plain_json.dumps({"_id": "a" if j == 0 else f"x{j}", "text": f"{i}-{j}", "question": f"q{i}-{j}", "context": f"c{i}-{j % 2}", "answers": []}) + "\n" for j in range(n)))
+    got = {r.qid: r.text for r in text_source.queries(spark, str(tmp_path)).collect()}
+    assert got["a"] == "2-0" and got["x1"] == "2-1" and got["x3"] == "1-3" and len(got) == 400
+    contexts, questions = text_source.question_set(spark, str(tmp_path))
+    assert {r.context_id: r.context for r in contexts.collect()} == dict(enumerate(["c0-0", "c1-0", "c1-1", "c2-0", "c2-1"])) and questions.count() == 404
