@@ -28,6 +28,8 @@ from loomspark.sources import versions
 LEAST_CELLS, MOST_CELLS, PER_CELL = 8, 1 << 16, 64
 #: Entries of a cell that one task scores, and queries that it scores them for.
 PART, BLOCK = 1 << 16, 4096
+#: Rows (query, cell) that a task makes at once.
+ROUTES = 1 << 15
 
 
 def cells_for(vectors: int) -> int:
@@ -141,11 +143,13 @@ def routed(queries: DataFrame, centroids: np.ndarray, probes: int, metric: str)
 
     def each(batches):
         for batch in batches:
-            if batch.num_rows:
-                near = np.argsort(distances(_vectors(batch.column(1)), held.value, metric), axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            step = max(1, ROUTES // len(held.value))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                near = np.argsort(distances(_vectors(part.column(1)), held.value, metric), axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
                 turn = np.tile(np.arange(near.shape[1]), len(near)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), pa.array(turn), batch.column(0).take(rows), batch.column(1).take(rows)], ["cell", "turn", "qid", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), pa.array(turn), part.column(0).take(rows), part.column(1).take(rows)], ["cell", "turn", "qid", "embedding"])
 
     rows = queries.where("qid is not null and embedding is not null").select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(each, "cell long, turn int, qid long, embedding array<double>")

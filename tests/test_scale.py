@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspark.functions import json, model, quant, requests, text, vector
-from loomspark.operators import batching, knn, logits, metrics, prefix
+from loomspark.operators import batching, ivfpq, knn, logits, metrics, prefix
 from loomspark.plans import retrieval
 from loomspark.sources import text as text_source
 from loomspark.sources import vectors as vector_source
@@ -269,3 +269,30 @@ def test_lines_of_several_files_by_name(spark, tmp_path):
     assert got["a"] == "2-0" and got["x1"] == "2-1" and got["x3"] == "1-3" and len(got) == 400
     contexts, questions = text_source.question_set(spark, str(tmp_path))
     assert {r.context_id: r.context for r in contexts.collect()} == dict(enumerate(["c0-0", "c1-0", "c1-1", "c2-0", "c2-1"])) and questions.count() == 404
+
+
+def test_routes_are_made_in_bounded_batches(spark, monkeypatch):
+    """A batch of queries times their cells isn't held at once; the routes are the same."""
+    rng = np.random.default_rng(6)
+    x, cells = rng.normal(size=(300, 5)), rng.normal(size=(40, 5))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "qid long, embedding array<double>").coalesce(1)
+    want = sorted(map(tuple, ivfpq.routed(q, cells, 30, "l2").select("qid", "turn", "cell").collect()))
+    assert len(want) == 300 * 30
+    monkeypatch.setattr(ivfpq, "ROUTES", 100)
+    assert sorted(map(tuple, ivfpq.routed(q, cells, 30, "l2").select("qid", "turn", "cell").collect())) == want
+    order = np.argsort(((x[:, None] - cells[None]) ** 2).sum(axis=2), axis=1)[:, :30]
+    assert want == [(i, t, int(c)) for i in range(300) for t, c in enumerate(order[i])]
+    made = []
+    held = spark.createDataFrame([(0,)], "x int")
+
+    class Rows:  # the function that the tasks run, on a batch of its own
+        sparkSession = spark
+        where = select = lambda self, *_: self
+
+        def mapInArrow(self, each, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(x.tolist())], ["qid", "embedding"])
+            made.extend(b.num_rows for b in each(iter([batch])))
+            return held
+
+    ivfpq.routed(Rows(), cells, 30, "l2")
+    assert sum(made) == 300 * 30 and max(made) <= 100
