@@ -34,6 +34,21 @@ def recall_at(run: DataFrame, qrels: DataFrame, queries: DataFrame, k: int) -> D
     return joined.select("qid", F.when(F.col("total") > 0, F.coalesce("hits", F.lit(0)) / F.col("total")).otherwise(F.lit(0.0)).alias("recall"))
 
 
+def class_scores(run: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """`run` (qid, doc_id, rank), `items` (id, label) and `queries` (qid, label), each one of the items, to (qid, ndcg, recall) where the items of a query's label
+    but itself are relevant, all alike; queries without one are left out.
+
+    The judgements, as many as pairs of a label, are never rows: the run meets the labels, and of all relevant ones only the number counts.
+    """
+    sizes = items.where("label is not null").groupBy("label").agg((F.count("*") - 1).alias("total"))  # a row a label
+    asked = queries.select("qid", "label").join(F.broadcast(sizes), "label").where("total > 0")
+    judged = run.where(F.col("rank") <= k).join(items.select(F.col("id").alias("doc_id"), F.col("label").alias("own")), "doc_id").where("qid <> doc_id").join(asked, "qid")
+    found = judged.where("own = label").groupBy("qid").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.count("*").alias("hits"))
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.col("total"), F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    rows = asked.join(found, "qid", "left")
+    return rows.select("qid", (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall"))
+
+
 def neighbour_recall(found: DataFrame, truth: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """One row (recall): shared neighbours (qid, id, rank) of all queries over queries times k, also where fewer were found."""
     hits = found.where(F.col("rank") <= k).join(truth.where(F.col("rank") <= k).select("qid", "id"), ["qid", "id"], "left_semi")

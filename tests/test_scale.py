@@ -296,3 +296,20 @@ def test_routes_are_made_in_bounded_batches(spark, monkeypatch):
 
     ivfpq.routed(Rows(), cells, 30, "l2")
     assert sum(made) == 300 * 30 and max(made) <= 100
+
+
+def test_scores_of_classes(spark):
+    """As by judgements of all pairs of a label, which are never made."""
+    rng = np.random.default_rng(7)
+    labels = [None if i == 3 else 99 if i == 4 else int(rng.integers(0, 3)) for i in range(60)]
+    items = spark.createDataFrame(list(enumerate(labels)), "id long, label int").repartition(3)
+    queries = items.where("id % 2 = 0 or id < 5").select(F.col("id").alias("qid"), "label")
+    run = spark.createDataFrame([(q, int(d), r + 1) for q in range(0, 60, 2) for r, d in enumerate(rng.permutation(60)[:12])], "qid long, doc_id long, rank long").where("qid <> doc_id and qid <> 8")
+    qrels = queries.join(items.withColumnRenamed("id", "doc_id"), "label").where("qid <> doc_id").select("qid", "doc_id", F.lit(1).alias("rel"))
+    kept = retrieval.judged(queries, qrels)
+    want = {r.qid: (r.ndcg, r.recall) for r in metrics.ndcg(run, qrels, kept, 10).join(metrics.recall_at(run, qrels, kept, 10), "qid").collect()}
+    df = metrics.class_scores(run, items, queries, 10)
+    got = {r.qid: (r.ndcg, r.recall) for r in df.collect()}
+    assert set(got) == set(want) and not {3, 4} & set(got) and 8 in got
+    for q, pair in want.items():
+        assert got[q] == pytest.approx(pair)
