@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +37,17 @@ def length_sorted(rows: DataFrame, key: str, length: str, size: int = BATCH) ->
     return placed.withColumn("padding", longest - F.col(length))
 
 
+#: Bytes of a batch whose rows become Python objects at once, about.
+SLICE = 1 << 20
+
+
+def sliced(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `size` bytes each, of a row at least: what a row takes as Python objects is many times its bytes."""
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 #: Groups of which a task holds rows before it gives them out.
 _GROUPS = 4096
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import words
+from loomspark.operators.batching import sliced
 
 #: Words whose cost a task remembers.
 MEMORY = 200_000
@@ -46,7 +47,7 @@ def by_cost(docs: DataFrame, most: int, overlap: int, cost: Callable[[str], int]
 
     def each(batches):
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             out = []
             if len(known) > MEMORY:
                 known.clear()

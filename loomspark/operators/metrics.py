@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType
 
 from loomspark.functions import vector
 from loomspark.functions.text import words
+from loomspark.operators.batching import sliced
 from loomspark.shared import written
 
 
@@ -55,10 +56,19 @@ def neighbour_recall(found: DataFrame, truth: DataFrame, queries: DataFrame, k:
     return hits.agg(F.count("*").alias("hits")).crossJoin(queries.agg(F.count("*").alias("n"))).select((F.col("hits") / (F.col("n") * k)).alias("recall"))
 
 
-@F.pandas_udf(LongType())
-def _shared(prediction: pd.Series, answer: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def _shared(prediction: pa.Array, answer: pa.Array) -> pa.Array:
     """Tokens that two texts share, each as often as both have it."""
-    return pd.Series([sum((Counter(p) & Counter(a)).values()) for p, a in zip(prediction, answer)], dtype="int64")
+
+    def lists(column: pa.Array) -> list:
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        tokens = column.flatten().to_numpy(zero_copy_only=False).tolist()
+        return [tokens[s:e] for s, e in zip(ends, ends[1:])]
+
+    out = []
+    for rows in sliced(pa.RecordBatch.from_arrays([prediction, answer], ["p", "a"])):
+        out += [sum((Counter(p) & Counter(a)).values()) for p, a in zip(*map(lists, rows.columns))]
+    return pa.array(out, pa.int64())
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:

@@ -313,3 +313,11 @@ def test_scores_of_classes(spark):
     assert set(got) == set(want) and not {3, 4} & set(got) and 8 in got
     for q, pair in want.items():
         assert got[q] == pytest.approx(pair)
+
+
+def test_parts_of_a_batch_by_bytes():
+    texts = ["x" * n for n in (10, 3000, 0, 5, 2000, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(batching.sliced(batch, 1500))
+    assert len(parts) > 1 and [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert list(batching.sliced(batch.slice(0, 0))) == [] and len(list(batching.sliced(batch))) == 1 and len(list(batching.sliced(batch, 1))) == 9
