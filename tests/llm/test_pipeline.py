@@ -53,3 +53,16 @@ def test_planted_cases(spark, tmp_path):
 def test_registered():
     names = list(queries.QUERIES)
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
+
+
+def test_near_copies_take_no_idle_step(spark, monkeypatch):
+    """Near copies are those of the exact join; no step runs whose result it would find by itself."""
+    from loomspark.llm import nearcopies, simhash
+
+    def idle(*_, **__):
+        raise AssertionError("a step without effect")
+
+    monkeypatch.setattr(simhash, "fingerprint_links", idle)
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, text), (4, "quite another text of its own words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.representatives(docs).collect()) == [1, 4]
