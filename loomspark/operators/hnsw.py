@@ -6,7 +6,6 @@ search routes each query to the cells nearest to it, reads those alone, takes th
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -21,86 +20,220 @@ from loomspark.operators.knn import _vectors, ranked
 from loomspark.shared import written
 
 
+#: Not a vector, in rows of links and of walks.
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Candidates that a walk opens at once, queries that walk together, vectors that are added together.
+OPENED, TOGETHER, ADDED = 8, 256, 512
+
+
+def _keys(far: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances and rows as numbers in the order of both; the lowest bit, of those that a walk has opened, is unset."""
+    bits = (far.astype(np.float32) + np.float32(0)).view(np.uint32)
+    bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+    return bits.astype(np.uint64) << np.uint64(32) | rows.astype(np.uint64) << np.uint64(1)
+
+
+def _rows(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> np.uint64(1)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
+def _padded(group: np.ndarray, keys: np.ndarray, groups: int) -> np.ndarray:
+    """(groups, most of a group): the keys of each group, and none behind them."""
+    order = np.argsort(group, kind="stable")
+    group, keys = group[order], keys[order]
+    counts = np.bincount(group, minlength=groups)
+    out = np.full((groups, counts.max(initial=0)), _NONE)
+    out[group, np.arange(len(group)) - (np.cumsum(counts) - counts)[group]] = keys
+    return out
+
+
+class _Layer:
+    """Links of some of the rows: `place` of a row in `to`, whose rows are padded by -1."""
+
+    def __init__(self, rows: np.ndarray, n: int, most: int):
+        self.most, self.rows, self.place = most, rows, np.full(n, -1, np.int32)
+        self.place[rows] = np.arange(len(rows), dtype=np.int32)
+        self.to, self.count = np.full((len(rows), most), -1, np.int32), np.zeros(len(rows), np.int32)
+
+
 class Graph:
-    """A graph over the rows of `vectors`; links by layer and row."""
-
-    def __init__(self, vectors: np.ndarray, m: int, metric: str):
-        self._x, self.m, self._ip = vectors, m, metric == "ip"
-        self.links: list[dict[int, list[int]]] = []
-        self.entry = -1
-        #: Distances taken.
-        self.visited = 0
-
-    def _far(self, q: np.ndarray, rows: list[int]) -> np.ndarray:
-        self.visited += len(rows)
-        x = self._x[rows]
-        return -(x @ q) if self._ip else ((x - q) ** 2).sum(axis=1)
-
-    def _walk(self, q: np.ndarray, start: list[tuple[float, int]], width: int, layer: int) -> list[tuple[float, int]]:
-        """Best-first: the `width` nearest found, nearest first; ends when the next candidate is farther than all of them."""
-        seen, todo = {r for _, r in start}, list(start)
-        best = [(-d, -r) for d, r in start]
-        heapq.heapify(todo)
-        heapq.heapify(best)
-        while todo:
-            d, r = heapq.heappop(todo)
-            if len(best) >= width and d > -best[0][0]:
-                break
-            new = [n for n in self.links[layer].get(r, ()) if n not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for e, n in zip(self._far(q, new).tolist(), new):
-                if len(best) < width or e < -best[0][0]:
-                    heapq.heappush(todo, (e, n))
-                    heapq.heappush(best, (-e, -n))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        return sorted((-d, -r) for d, r in best)
-
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Candidates, nearest first, that are farther from each one chosen than from the centre."""
-        out: list[int] = []
-        for d, r in found:
-            if len(out) == most:
+    """A graph over the rows of `vectors`; links by layer and row. Many queries walk it together, a step of all of them at a time, and many rows are
+    added together: each finds those before it by a walk, or, among the rows added with it, by all distances."""
+
+    def __init__(self, vectors: np.ndarray, m: int, metric: str, levels: np.ndarray):
+        self.m, self._ip, self._exact = m, metric == "ip", vectors
+        self._middle = np.zeros(vectors.shape[1]) if self._ip or not len(vectors) else vectors.mean(axis=0)
+        self._scale = np.abs(vectors - self._middle).max(initial=0.0) or 1.0
+        self._x = self._near(vectors)
+        self.layers = [_Layer(np.flatnonzero(levels >= i), len(levels), m * (1 if i else 2)) for i in range(1 + levels.max(initial=0))]
+        self._levels = levels
+
+    def _near(self, vectors: np.ndarray) -> np.ndarray:
+        """Rounded, as a walk compares them; what it finds is measured again."""
+        return ((vectors - self._middle) / self._scale).astype(np.float32)
+
+    def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of vectors along the last axis."""
+        return -np.einsum("...j,...j->...", a, b) if self._ip else np.einsum("...j,...j->...", d := a - b, d)
+
+    def _walk(self, q: np.ndarray, start: np.ndarray, width: int, layer: int, visited: np.ndarray | None = None) -> np.ndarray:
+        """Best-first from a row for each query: keys of the `width` nearest found, nearest first; ends when all of them have been opened."""
+        links, best = self.layers[layer], np.full((len(q), width), _NONE)
+        best[:, 0] = _keys(self._far(q, self._x[start]), start)
+        wide = len(links.rows) + 1  # the last place is that of no link, -1
+        seen = np.zeros(len(q) * wide, bool)
+        seen[np.arange(len(q)) * wide - 1] = True
+        seen[np.arange(len(q)) * wide + links.place[start]] = True
+        if visited is not None:
+            visited += 1
+        live = np.arange(len(q))
+        while len(live):
+            at = best[live]
+            turn = (fresh := at & np.uint64(1) == 0).cumsum(axis=1, dtype=np.int16)
+            row, place = np.nonzero(fresh & (turn <= OPENED))
+            opened, turn = links.place[_rows(at[row, place])], turn[row, place]
+            at[row, place] |= np.uint64(1)
+            whose, found = [], []
+            for i in range(1, OPENED + 1):
+                own = np.flatnonzero(turn == i)
+                to = links.to.take(opened[own], axis=0)
+                places = (live[row[own]] * wide)[:, None] + (to if layer == 0 else np.where(to < 0, -1, links.place[to]))
+                new = np.flatnonzero(~seen.take(places.ravel(), mode="wrap"))
+                seen[places.ravel()[new]] = True
+                whose.append(row[own[new // to.shape[1]]])
+                found.append(to.ravel()[new])
+            who, to = np.concatenate(whose), np.concatenate(found)
+            if visited is not None:
+                visited[live] += np.bincount(who, minlength=len(live))
+            keys = _keys(self._far(self._x.take(to, axis=0), q.take(live[who], axis=0)), to)
+            nearer = keys < at[who, -1]
+            at = np.sort(np.concatenate([at, _padded(who[nearer], keys[nearer], len(live))], axis=1), axis=1)[:, :width]
+            best[live] = at
+            live = live[(at & np.uint64(1) == 0).any(axis=1)]
+        return np.where(best == _NONE, best, best & ~np.uint64(1))
+
+    def _diverse(self, keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidates, nearest first, those that are farther from each one chosen than from the centre: (centres, most) rows, padded by -1, and their number."""
+        out, count = np.full((len(keys), most), -1, np.int32), np.zeros(len(keys), np.int32)
+        chosen = np.zeros((len(keys), most, self._x.shape[1]), np.float32)
+        slots = np.arange(most)
+        left = np.arange(len(keys))
+        for j in range(keys.shape[1]):
+            left = left[(keys[left, j] != _NONE) & (count[left] < most)]
+            if not len(left):
                 break
-            if not out or (self._far(self._x[r], out) > d).all():
-                out.append(r)
-        return out
-
-    def add(self, row: int, level: int, width: int) -> None:
-        q, top = self._x[row], len(self.links) - 1
-        while len(self.links) <= level:
-            self.links.append({})
-        for layer in range(level + 1):
-            self.links[layer][row] = []
-        if self.entry < 0:
-            self.entry = row
+            rows, wide = _rows(keys[left, j]), count[left].max()
+            x = self._x[rows]
+            between = self._far(chosen[left, :wide], x[:, None])
+            # as keys, so that rounding is the same on both sides
+            nearer = (_keys(between, np.zeros_like(between)) >> np.uint64(32) <= (keys[left, j] >> np.uint64(32))[:, None]) & (slots[:wide] < count[left][:, None])
+            own = ~nearer.any(axis=1)
+            to = left[own]
+            out[to, count[to]], chosen[to, count[to]] = rows[own], x[own]
+            count[to] += 1
+        return out, count
+
+    def _linked(self, links: _Layer, rows: np.ndarray, keys: np.ndarray) -> None:
+        """Links of new rows to the diverse ones of their candidates, and back."""
+        to, count = self._diverse(keys, self.m)
+        place = links.place[rows]
+        links.to[place, : self.m], links.count[place] = to, count
+        back, others = np.repeat(rows, count), to[to >= 0]
+        order = np.argsort(others, kind="stable")
+        back, others = back[order], links.place[others[order]]
+        each, first, more = np.unique(others, return_index=True, return_counts=True)
+        full = links.count[each] + more > links.most
+        fits = ~np.repeat(full, more)
+        at = (links.count[others] + np.arange(len(others)) - np.repeat(first, more))[fits]
+        links.to[others[fits], at] = back[fits]
+        links.count[each[~full]] += more[~full].astype(np.int32)
+        if not full.any():
             return
-        at = [(float(self._far(q, [self.entry])[0]), self.entry)]
-        for layer in range(top, level, -1):
-            at = self._walk(q, at[:1], 1, layer)
-        for layer in range(min(top, level), -1, -1):
-            at = self._walk(q, at, width, layer)
-            most = self.m * (2 if layer == 0 else 1)
-            self.links[layer][row] = self._diverse(at, self.m)
-            for other in self.links[layer][row]:
-                back = self.links[layer][other]
-                back.append(row)
-                if len(back) > most:
-                    self.links[layer][other] = self._diverse(sorted(zip(self._far(self._x[other], back).tolist(), back)), most)
-        if level > top:
-            self.entry = row
-
-    def search(self, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
-        at = [(float(self._far(q, [self.entry])[0]), self.entry)]
-        for layer in range(len(self.links) - 1, 0, -1):
-            at = self._walk(q, at[:1], 1, layer)
-        return self._walk(q, at, max(width, k), 0)[:k]
-
-
-#: Vectors of one graph, about: what one task builds and searches. Queries that it searches it for at once.
-SHARD, BLOCK = 20_000, 1024
+        crowded = each[full]
+        which, have = np.nonzero(links.to[crowded] >= 0)
+        which = np.concatenate([which, np.repeat(np.arange(len(crowded)), more[full])])
+        rows = np.concatenate([links.to[crowded][links.to[crowded] >= 0], back[~fits]])
+        keys = _keys(self._far(self._x[rows], self._x[links.rows[crowded[which]]]), rows)
+        links.to[crowded], links.count[crowded] = self._diverse(np.sort(_padded(which, keys, len(crowded)), axis=1), links.most)
+
+    def build(self, width: int) -> None:
+        """Adds all rows in order, `ADDED` at a time."""
+        top = -1
+        entry = 0
+        for begin in range(0, len(self._x), ADDED):
+            rows = np.arange(begin, min(begin + ADDED, len(self._x)))
+            x, levels = self._x[rows], self._levels[rows]
+            start = np.full(len(rows), entry)
+            found: list[np.ndarray] = []
+            for layer in range(max(top, levels.max()), -1, -1):
+                own = np.flatnonzero(levels >= layer)
+                near = np.full((len(rows), width), _NONE)
+                if layer <= top:
+                    for others, wide in ((np.flatnonzero(levels < layer), 1), (own, width)):
+                        for i in range(0, len(others), TOGETHER):
+                            some = others[i : i + TOGETHER]
+                            near[some, :wide] = self._walk(x[some], start[some], wide, layer)
+                    start = _rows(near[:, 0])
+                between = _keys(self._far(x[own, None], x[None, own]), np.broadcast_to(rows[own], (len(own), len(own)))) if len(own) else np.zeros((0, 0), np.uint64)
+                between[np.triu_indices(len(own))] = _NONE  # rows before it alone
+                found.append(np.sort(np.concatenate([near[own], between], axis=1), axis=1)[:, :width])
+            for layer, keys in zip(range(len(found) - 1, -1, -1), found):
+                self._linked(self.layers[layer], rows[levels >= layer], keys)
+            if levels.max() > top:
+                top = int(levels.max())
+                entry = int(rows[levels.argmax()])
+
+    def search(self, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, row, distance) of the k nearest found of each query, and distances taken by each query."""
+        out, visited = [[], [], []], np.zeros(len(queries), np.int64)
+        entry = int(self.layers[-1].rows[0])
+        for i in range(0, len(queries), TOGETHER):
+            exact = queries[i : i + TOGETHER]
+            q, start, count = self._near(exact), np.full(len(exact), entry), visited[i : i + TOGETHER]
+            for layer in range(len(self.layers) - 1, 0, -1):
+                start = _rows(self._walk(q, start, 1, layer, count)[:, 0])
+            keys = self._walk(q, start, max(width, k), 0, count)
+            rows, who = _rows(keys[keys != _NONE]), np.nonzero(keys != _NONE)[0]
+            d = -(self._exact[rows] * exact[who]).sum(axis=1) if self._ip else ((self._exact[rows] - exact[who]) ** 2).sum(axis=1)
+            order = np.lexsort((rows, d, who))
+            who, rows, d = who[order], rows[order], d[order]
+            keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+            for to, values in zip(out, (who[keep] + i, rows[keep], d[keep])):
+                to.append(values)
+        return (*(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))), visited)
+
+    def links(self) -> pa.ListArray:
+        """Of each row its links by layer."""
+        ends = np.cumsum(np.r_[0, self._levels + 1])
+        counts = np.zeros(ends[-1], np.int64)
+        for i, layer in enumerate(self.layers):
+            counts[ends[layer.rows] + i] = layer.count
+        inner = np.cumsum(np.r_[0, counts])
+        values = np.zeros(inner[-1], np.int32)
+        for i, layer in enumerate(self.layers):
+            row, at = np.nonzero(np.arange(layer.most) < layer.count[:, None])
+            values[inner[ends[layer.rows[row]] + i] + at] = layer.to[row, at]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(values)))
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, links: pa.ListArray, m: int, metric: str) -> Graph:
+        """The graph with the links of its rows as they are."""
+        ends, lists = links.offsets.to_numpy(), links.values
+        inner, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        graph = cls(vectors, m, metric, np.diff(ends) - 1)
+        for i, layer in enumerate(graph.layers):
+            at = ends[layer.rows] + i
+            layer.count = np.diff(inner)[at]
+            row, place = np.nonzero(np.arange(layer.most) < layer.count[:, None])
+            layer.to[row, place] = values[inner[at[row]] + place]
+        return graph
+
+
+#: Vectors of one graph, about: what one task builds and searches. Queries that it searches it for. A walk grows with the logarithm of its graph, so
+#: few large graphs cost a query less than many small ones.
+SHARD, BLOCK = 200_000, 1 << 14
+#: Graphs of a table that needs no more: cells of which a query reads a share, so their number doesn't grow.
+CELLS = 24
 #: Cells that each vector stands in: the nearest ones, so that a query finds the neighbours beyond a border in its own cells.
 COPIES = 3
 _NODE = "cell long, part int, row int, id long, embedding array<double>, links array<array<int>>"
@@ -117,8 +250,13 @@ class Index:
 
 
 def cells_for(vectors: int) -> int:
-    """Cells by which queries are routed: as many as keep each within what a task holds, and 16 where that allows it."""
-    return max(1, -(-COPIES * vectors // SHARD), min(16, vectors // 30))
+    """Cells by which queries are routed: as many as keep each within what a task holds, and `CELLS` where that allows it."""
+    return max(1, -(-COPIES * vectors // SHARD), min(CELLS, vectors // 30))
+
+
+def _tasks(cells: int) -> int:
+    """Partitions over which cells are dealt, so that few of them share one: they are few, and long to work on."""
+    return min(2048, 8 * cells)
 
 
 def built(vectors: DataFrame, centroids: np.ndarray, m: int = 16, width: int = 200, seed: int = 1, metric: str = "l2", copies: int = COPIES) -> Index:
@@ -131,14 +269,14 @@ def built(vectors: DataFrame, centroids: np.ndarray, m: int = 16, width: int = 2
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
         x = _vectors(table.column("embedding").chunk(0))
-        graph, rng = Graph(x, m, metric), Random(seed)
-        for row in range(len(x)):
-            graph.add(row, min(15, int(-math.log(1.0 - rng.uniform()) / math.log(m))), width)
-        links = [[layer[row] for layer in graph.links if row in layer] for row in range(len(x))]
-        columns = [table.column("cell"), table.column("part"), pa.array(range(len(x)), pa.int32()), table.column("id"), table.column("embedding"), pa.array(links, pa.list_(pa.list_(pa.int32())))]
+        rng = Random(seed)
+        levels = np.array([min(15, int(-math.log(1.0 - rng.uniform()) / math.log(m))) for _ in range(len(x))], np.int64)
+        graph = Graph(x, m, metric, levels)
+        graph.build(width)
+        columns = [table.column("cell"), table.column("part"), pa.array(range(len(x)), pa.int32()), table.column("id"), table.column("embedding"), graph.links()]
         return pa.Table.from_arrays(columns, ["cell", "part", "row", "id", "embedding", "links"])
 
-    return Index(centroids, rows.groupBy("cell", "part").applyInArrow(one, _NODE), m, metric)
+    return Index(centroids, rows.repartition(_tasks(len(centroids)), "cell", "part").groupBy("cell", "part").applyInArrow(one, _NODE), m, metric)
 
 
 def saved(index: Index, path: str) -> None:
@@ -155,17 +293,11 @@ def loaded(spark: SparkSession, path: str) -> Index:
     return Index(np.array([r["v"] for r in rows]), nodes, rows[0]["m"], rows[0]["metric"])
 
 
-def _graph(table: pa.Table, m: int, metric: str) -> tuple[Graph, list[int]]:
+def _graph(table: pa.Table, m: int, metric: str) -> tuple[Graph, np.ndarray]:
     """The graph of a part from its rows, and the ids of its rows."""
     table = table.sort_by("row").combine_chunks()
-    graph = Graph(_vectors(table.column("embedding").chunk(0)), m, metric)
-    for row, layers in enumerate(table.column("links").to_pylist()):
-        for layer, to in enumerate(layers):
-            if len(graph.links) <= layer:
-                graph.links.append({})
-            graph.links[layer][row] = to
-    graph.entry = min(graph.links[-1])
-    return graph, table.column("id").to_pylist()
+    graph = Graph.of(_vectors(table.column("embedding").chunk(0)), table.column("links").chunk(0), m, metric)
+    return graph, table.column("id").to_numpy()
 
 
 def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[int], block: int = BLOCK) -> DataFrame:
@@ -175,18 +307,17 @@ def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[i
     m, metric = index.m, index.metric
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [("qid", pa.int64()), ("width", pa.int32()), ("turn", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("distance", pa.float64()), ("visited", pa.int64())]
         out = []
         if left.num_rows and right.num_rows:
             graph, ids = _graph(left, m, metric)
-            q = _vectors(right.combine_chunks().column("embedding").chunk(0))
-            part = left.column("part")[0].as_py()
-            for qid, turn, x in zip(right.column("qid").to_pylist(), right.column("turn").to_pylist(), q):
-                for width in widths:
-                    graph.visited = 0
-                    found = graph.search(x, k, width)
-                    out += [(qid, width, turn, part, ids[r], d, graph.visited) for d, r in found]
-        kinds = [("qid", pa.int64()), ("width", pa.int32()), ("turn", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("distance", pa.float64()), ("visited", pa.int64())]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+            right = right.combine_chunks()
+            q, qids, turns, part = _vectors(right.column("embedding").chunk(0)), right.column("qid").to_numpy(), right.column("turn").to_numpy(), left.column("part")[0].as_py()
+            for width in widths:
+                who, rows, d, visited = graph.search(q, k, width)
+                columns = [qids[who], np.full(len(who), width), turns[who], np.full(len(who), part), ids[rows], d, visited[who]]
+                out.append(pa.Table.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds)], [n for n, _ in kinds]))
+        return pa.concat_tables(out) if out else pa.schema(kinds).empty_table()
 
     routes = ivfpq.routed(queries, index.centroids, probes, metric)
     nodes = ivfpq.probed(index.nodes, routes, len(index.centroids))
@@ -195,8 +326,8 @@ def walked(index: Index, queries: DataFrame, k: int, probes: int, widths: list[i
     left = nodes.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     right = routes.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
     right = right.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    groups = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block"))
-    return groups.applyInArrow(met, "qid long, width int, turn int, part int, id long, distance double, visited long")
+    left, right = (x.repartition(_tasks(len(index.centroids)), "cell", "part", "block").groupBy("cell", "part", "block") for x in (left, right))
+    return left.cogroup(right).applyInArrow(met, "qid long, width int, turn int, part int, id long, distance double, visited long")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, width: int = 128) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspark.functions import json, model, quant, requests, text, vector
-from loomspark.operators import batching, ivfpq, knn, logits, metrics, prefix
+from loomspark.operators import batching, hnsw, ivfpq, knn, logits, metrics, prefix
 from loomspark.plans import retrieval
 from loomspark.sources import text as text_source
 from loomspark.sources import vectors as vector_source
@@ -321,3 +321,22 @@ def test_parts_of_a_batch_by_bytes():
     parts = list(batching.sliced(batch, 1500))
     assert len(parts) > 1 and [x for p in parts for x in p.column(1).to_pylist()] == texts
     assert list(batching.sliced(batch.slice(0, 0))) == [] and len(list(batching.sliced(batch))) == 1 and len(list(batching.sliced(batch, 1))) == 9
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_graphs_are_built_and_walked_together(metric):
+    """A query meets as many graphs of a table as of one six times as large; rows added together find each other, and queries find what each finds alone."""
+    assert hnsw.cells_for(102_564) == hnsw.cells_for(615_384) == hnsw.CELLS
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8)) + 1e4 * (metric == "l2")
+    levels = np.minimum(15, (-np.log(1 - rng.uniform(size=len(x))) / np.log(8)).astype(int))
+    graph = hnsw.Graph(x, 8, metric, levels)
+    graph.build(60)
+    again = hnsw.Graph.of(x, graph.links(), 8, metric)
+    assert again.links().equals(graph.links()) and max(map(len, (layers[0] for layers in graph.links().to_pylist()))) <= 16
+    who, rows, d, visited = again.search(x[:300], 10, 80)
+    truth = np.argsort(knn.distances(x[:300] - 1e4 * (metric == "l2"), x - 1e4 * (metric == "l2"), metric), axis=1, kind="stable")[:, :10]
+    assert sum(len(set(rows[who == i]) & set(t)) for i, t in enumerate(truth)) >= 0.95 * truth.size and visited.max() < len(x)
+    for i in (0, 299):
+        _, own, own_d, own_visited = again.search(x[i : i + 1], 10, 80)
+        assert own.tolist() == rows[who == i].tolist() and own_d.tolist() == d[who == i].tolist() and own_visited[0] == visited[i]
