@@ -43,7 +43,7 @@ def _recalls(found: DataFrame, truth: DataFrame, queries: DataFrame, k: int) ->
 def probe_sweep(vectors: DataFrame, queries: DataFrame, centroids, truth: DataFrame, k: int, widths: list[int], metric: str = "l2") -> DataFrame:
     """(width, recall, visited) of searches of the `width` nearest cells, for all widths from one pass; visited: the share of the vectors (id, embedding)
     whose distance a query takes."""
-    found = written(ivfpq.cell_candidates(vectors, centroids, queries, k, max(widths), metric), "candidates")
+    found = written(ivfpq.cell_candidates(vectors, centroids, queries, k, widths, metric), "candidates")
     each = F.explode(F.filter(F.array(*map(F.lit, widths)), lambda w: w > F.col("turn"))).alias("width")
     sizes = kmeans.assigned(vectors, centroids, metric).groupBy("cell").agg(F.count("*").alias("n"))  # a row a cell
     read = ivfpq.routed(queries, centroids, max(widths), metric).select("qid", "cell", each).join(F.broadcast(sizes), "cell").groupBy("width").agg(F.sum("n").alias("read"))

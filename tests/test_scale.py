@@ -340,3 +340,42 @@ def test_graphs_are_built_and_walked_together(metric):
     for i in (0, 299):
         _, own, own_d, own_visited = again.search(x[i : i + 1], 10, 80)
         assert own.tolist() == rows[who == i].tolist() and own_d.tolist() == d[who == i].tolist() and own_visited[0] == visited[i]
+
+
+def test_candidates_grow_with_bins_and_not_with_cells(spark):
+    """A task gives out k rows a query however many cells it holds; what is ranked is the same, with small and large cells."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(300, 4)), rng.normal(size=(120, 4)) * 0.01 + 3])
+    cells = np.concatenate([x[:30], np.full((1, 4), 3.0)])
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[::21])], "qid long, embedding array<double>")
+    assert ivfpq.cell_candidates(base, cells, queries, 2, [20]).count() == 2 * 20
+    near = np.argsort(((x[::21, None] - cells[None]) ** 2).sum(axis=2), axis=1, kind="stable")
+    own = ((x[:, None] - cells[None]) ** 2).sum(axis=2).argmin(axis=1)
+    far = ((x[::21, None] - x[None]) ** 2).sum(axis=2)
+    for part, block in ((1 << 16, 4096), (50, 7)):
+        found = ivfpq.cell_candidates(base, cells, queries, 5, [4, 12], part=part, block=block).collect()
+        for width in (4, 12):
+            for q in range(20):
+                got = sorted((r.distance, r.id) for r in found if r.qid == q and r.turn < width)[:5]
+                want = [i for i in np.argsort(far[q], kind="stable") if own[i] in near[q, :width]][:5]
+                assert [i for _, i in got] == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_rounded_sums_lose_no_candidate(metric, shift):
+    rng = np.random.default_rng(10)
+    centroids, words = rng.normal(size=(12, 8)) + shift, rng.normal(size=(4, 16, 2))
+    cell, codes = np.sort(rng.integers(0, 12, 700)), rng.integers(0, 16, (700, 4)).astype(np.int32)
+    codes[:300] = codes[0]  # equal distances within a cell
+    q, usable = rng.normal(size=(9, 8)) + shift, rng.random((9, 12)) < 0.5
+    ids = rng.permutation(700)
+    tables = ivfpq.Tables(words, centroids, cell, codes, metric)
+    n, found, d = tables.least(q, usable[:, cell], ids, 6)
+    for i in range(9):
+        own = np.flatnonzero(usable[i, cell])
+        exact = tables.exact(np.repeat(q[i : i + 1], len(own), axis=0), own)
+        assert list(zip(d[n == i], found[n == i])) == sorted(zip(exact, ids[own]))[:6]
+    back = centroids[cell] + np.concatenate([words[j][codes[:, j]] for j in range(4)], axis=1)
+    assert np.allclose(tables.exact(q[[0] * 700], np.arange(700)), knn.distances(q[:1] - shift * (metric == "l2"), back - shift * (metric == "l2"), metric)[0], rtol=1e-9, atol=1e-8)
