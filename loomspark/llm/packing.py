@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,7 +47,8 @@ _PLAIN = re.compile(r"[^<>\u0250-\U0010ffff]*")
 
 def _blanks(text: str) -> bool:
     """Whether the text starts with a space or has white space before one."""
-    return text.startswith(" ") or any(p in text for p in (_PAIRS[:10] if text.isascii() else _PAIRS))
+    # a single rare character is found faster than a pair that ends with a frequent one
+    return text.startswith(" ") or "  " in text or any(p[0] in text and p in text for p in (_PAIRS[:10] if text.isascii() else _PAIRS) if p != "  ")
 
 
 class _Ranks:
@@ -155,14 +157,36 @@ class Encoder:
                 ids[j] = known[words[j]]
         return found
 
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        """Of texts with white space before a space."""
+        whole = self._gathered([self._joined(x.split(" ")) for x in texts], self._whole, lambda new: self._whole.update(zip(new, self._ids(new))))
+        return [b"".join([*ids, self._end]) for ids in whole]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Of texts without it: each distinct word of all of them is looked up once, and their ids are laid out by NumPy."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        # no word holds a space, and one string is cut faster than many are taken from Arrow
+        words = coded.dictionary
+        if words.nbytes < 1 << 30:
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), " ")[0].as_py().split(" ")
+        else:
+            words = words.to_pylist()
+        which, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        first = self._gathered([[words[i] for i in which[ends[:-1]].tolist()]], self._whole, lambda new: self._whole.update(zip(new, self._ids(new))))[0]
+        ids = self._gathered([words], self._led, self._learn_led)[0]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+        begin, n = np.cumsum(counts) - counts, counts[which]
+        n[ends[:-1]] = 0  # the first words, which no space leads
+        upto = np.cumsum(n)
+        data = np.frombuffer(b"".join(ids), self.type)[np.repeat(begin[which] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        cuts = (np.r_[0, upto[ends[1:] - 1]] * self.type.itemsize).tolist()
+        return [x + data[i:j] + self._end for x, i, j in zip(first, cuts, cuts[1:])]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [x.split(" ") for x in texts]
         blank = [_blanks(x) for x in texts]
-        whole = [self._joined(words) if b else words[:1] for words, b in zip(split, blank)]
-        led = [[] if b else words[1:] for words, b in zip(split, blank)]
-        first = self._gathered(whole, self._whole, lambda new: self._whole.update(zip(new, self._ids(new))))
-        rest = self._gathered(led, self._led, self._learn_led)
-        return [b"".join([*a, *b, self._end]) for a, b in zip(first, rest)]
+        parts = [iter(encode(own) if own else []) for encode, own in ((self._together, [x for x, b in zip(texts, blank) if not b]), (self._apart, [x for x, b in zip(texts, blank) if b]))]
+        return [next(parts[b]) for b in blank]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

@@ -1190,3 +1190,17 @@ def test_a_text_of_ten_megabytes(spark):
     assert sum(words_.values()) > 2_400_000
     tokens_ = {r.doc_id: r for r in alignment.aligned(made).collect()}
     assert tokens_[1].n_links >= max(tokens_[1].n_a, tokens_[1].n_b) > 1_250_000 and tokens_[4].n_a == 0
+
+
+def test_packing_looks_a_distinct_word_up_once(monkeypatch):
+    """However often it stands in a batch; and ids are the library's, with blanks of all kinds."""
+    from tokenizers import Tokenizer
+
+    asked = []
+    encode, gathered = packing.Encoder(packing.MODEL, 1, packing.RANKS), packing.Encoder._gathered
+    monkeypatch.setattr(packing.Encoder, "_gathered", lambda self, lists, known, learn: asked.append(sum(map(len, lists))) or gathered(self, lists, known, learn))
+    encode(["one two three " * 400 + "end"] * 50)
+    assert sum(asked) <= 60
+    texts = ["", " ", "a", "a ", " a", "a  b", "a　 b", "x\n y", "\n", "<s> a <|endoftext|> b", "é 漢字 b", "a\tb c", "a b "]
+    library = Tokenizer.from_file(packing.MODEL)
+    assert [np.frombuffer(x, encode.type).tolist() for x in encode(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
