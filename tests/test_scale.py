@@ -285,6 +285,22 @@ def test_products_are_rows_rounded_as_sql_rounds(spark):
         assert all(r["values"] == (x[r.id] @ x[::3].T).tolist() for r in got)
 
 
+def test_products_in_blocks_are_not_shuffled(spark, monkeypatch):
+    """Whole rows come out of the tasks, however many blocks the queries have; qids only where they are asked for; many products of one partition are dealt out."""
+    x = np.random.default_rng(7).integers(-3, 4, (90, 6)).astype(float)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").coalesce(1)
+    rows = base.where("id % 3 = 0").select(F.col("id").alias("qid"), "embedding")
+    for most, task, parts in ((500, 1 << 20, 1), (500, 700, 4), (1 << 20, 700, 4)):
+        monkeypatch.setattr(knn, "PRODUCTS", task, raising=False)
+        df = knn.products(base, rows, most, 700, digits=6)
+        plan = df._jdf.queryExecution().toString()
+        assert "CoGroup" not in plan and "Aggregate" not in plan and df.rdd.getNumPartitions() == parts
+        assert {r.id: (r.qids, r["values"]) for r in df.collect()} == {i: (list(range(0, 90, 3)), (x[i] @ x[::3].T).tolist()) for i in range(90)}
+    bare = knn.products(base, rows, 500, 700, digits=6, named=False)
+    assert bare.columns == ["id", "values"] and {r.id: r["values"] for r in bare.collect()} == {i: (x[i] @ x[::3].T).tolist() for i in range(90)}
+    assert knn.products(base, rows.where("false")).count() == 0 and knn.products(base.where("false"), rows).count() == 0
+
+
 def test_lines_of_several_files_by_name(spark, tmp_path):
     """The last line by name of file holds, however the files are read: larger ones come first there."""
     for i, n in enumerate((1, 400, 3)):
